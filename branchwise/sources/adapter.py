@@ -35,8 +35,15 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 MAX_BRANCHES = 1024
 
 
+_READS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Driver table as a DataFrame; the (lazy) relation is reused per session."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _READS[key]
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
