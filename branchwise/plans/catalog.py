@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from branchwise.operators import listings as L
+from branchwise.operators import quality as Q
 from branchwise.operators import reports as R
 from branchwise.operators import views as V
 from branchwise.plans.params import AS_OF, AS_OF_WEEK1, BRANCH, TOP_N
 from branchwise.session import configure
 from branchwise.sources.schemas import Tables
+from branchwise.sources.adapter import raw_invoice_lines, read
 from branchwise.sources.store import open_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +64,18 @@ _ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "top_stock": lambda t: R.top_stock(t, TOP_N),
     "top_stock_default_n": lambda t: R.top_stock(t, None),
     "daily_preview": R.daily_preview,
+    # data quality
+    "dq_orphans": Q.orphans,
+    "dq_check_violations": Q.check_violations,
+    "dq_null_counts": Q.null_counts,
+    "dq_fragment_membership": Q.fragment_membership,
+}
+
+# name -> fn(spark, sf_dir, tables) for queries that also read source rows.
+_ON_SOURCE: dict[str, Callable[[SparkSession, str, Tables], DataFrame]] = {
+    "dq_duplicate_keys": lambda s, d, t: Q.duplicate_keys(
+        t, {"invoice_line_raw": (raw_invoice_lines(s, d), ["invoice_id", "product_code"])}),
+    "parse_event_props": lambda s, d, t: L.parse_event_props(read(s, d, "events")),
 }
 
 
@@ -82,8 +96,16 @@ def _wrap(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     return run
 
 
+def _wrap_source(fn: Callable[[SparkSession, str, Tables], DataFrame]) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return fn(spark, sf_dir, open_tables(spark, sf_dir))
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {name: _wrap(fn) for name, fn in _ON_TABLES.items()}
+    out.update({name: _wrap_source(fn) for name, fn in _ON_SOURCE.items()})
     from branchwise.plans import changesets
     out.update(changesets.queries())
     return out

@@ -14,7 +14,7 @@ BASE = """
 WITH geo AS (
   SELECT n_nationkey, r_regionkey, r_name AS branch_code
   FROM nation JOIN region ON r_regionkey = n_regionkey),
-branch AS (SELECT r_name AS branch_code, TRUE AS is_active FROM region),
+branch AS (SELECT r_name AS branch_code, r_name AS branch_name, TRUE AS is_active FROM region),  -- name: NULL-ness only
 employee AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS employee_id, s_name AS full_name,
          CASE WHEN s_suppkey % 10 = 1 THEN 'Manager' ELSE 'Cashier' END AS job_title,
@@ -210,6 +210,68 @@ FROM branch b LEFT JOIN gl ON gl.branch_code = b.branch_code GROUP BY b.branch_c
 }
 
 
+DQ_DUPLICATES = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}) AS key, "
+    f"count(*) AS row_count FROM {name} GROUP BY {', '.join(keys)} HAVING count(*) > 1"
+    for name, keys in [("branch", ["branch_code"]), ("employee", ["employee_id"]),
+                       ("product", ["product_code"]), ("invoice", ["invoice_id"]),
+                       ("inventory", ["product_code", "branch_code"]),
+                       ("invoice_line", ["invoice_id", "product_code"]),
+                       ("invoice_line_raw", ["invoice_id", "product_code"])])
+
+DQ_FK = " UNION ALL ".join(
+    f"SELECT '{name}' AS constraint_name, count(*) AS checked_rows, "
+    f"CAST(count(*) FILTER (WHERE p.{pc} IS NULL) AS BIGINT) AS orphan_rows "
+    f"FROM {child} c LEFT JOIN (SELECT DISTINCT {pc} FROM {parent}) p ON p.{pc} = c.{cc} "
+    f"WHERE c.{cc} IS NOT NULL"
+    for name, child, cc, parent, pc in [
+        ("employee_branch", "employee", "branch_code", "branch", "branch_code"),
+        ("invoice_branch", "invoice", "branch_code", "branch", "branch_code"),
+        ("invoice_employee", "invoice", "employee_id", "employee", "employee_id"),
+        ("inventory_product", "inventory", "product_code", "product", "product_code"),
+        ("inventory_branch", "inventory", "branch_code", "branch", "branch_code"),
+        ("line_invoice", "invoice_line", "invoice_id", "invoice", "invoice_id"),
+        ("line_product", "invoice_line", "product_code", "product", "product_code")])
+
+DQ_CK = " UNION ALL ".join(
+    f"SELECT '{name}' AS constraint_name, count(*) AS checked_rows, "
+    f"CAST(count(*) FILTER (WHERE NOT ({cond})) AS BIGINT) AS violations FROM {tb}"
+    for name, tb, cond in [("product_price_nonneg", "product", "unit_price >= 0"),
+                           ("inventory_qty_nonneg", "inventory", "qty >= 0"),
+                           ("line_qty_positive", "invoice_line", "qty > 0"),
+                           ("line_price_nonneg", "invoice_line", "unit_price >= 0")])
+
+DQ_NN = " UNION ALL ".join(
+    f"SELECT '{tb}' AS table_name, '{col}' AS column_name, "
+    f"CAST(count(*) FILTER (WHERE {col} IS NULL) AS BIGINT) AS null_count FROM {tb}"
+    for tb, cols in [("branch", ["branch_code", "branch_name", "is_active"]),
+                     ("employee", ["employee_id", "full_name", "job_title", "branch_code"]),
+                     ("product", ["product_code", "product_name", "unit_price"]),
+                     ("invoice", ["invoice_id", "created_at", "branch_code"]),
+                     ("inventory", ["product_code", "branch_code", "qty"]),
+                     ("invoice_line", ["invoice_id", "product_code", "qty", "unit_price", "branch_code"])]
+    for col in cols)
+
+DQ_FR = """SELECT 'invoice_line' AS table_name, count(*) AS checked_rows,
+ CAST(count(*) FILTER (WHERE i.branch_code IS NULL OR i.branch_code <> l.branch_code) AS BIGINT) AS misplaced_rows
+FROM invoice_line l LEFT JOIN invoice i ON i.invoice_id = l.invoice_id
+UNION ALL
+SELECT 'invoice_employee', count(*),
+ CAST(count(*) FILTER (WHERE e.branch_code IS NULL OR e.branch_code <> i.branch_code) AS BIGINT)
+FROM invoice i LEFT JOIN employee e ON e.employee_id = i.employee_id WHERE i.employee_id IS NOT NULL"""
+
+ORACLE.update({
+    "dq_duplicate_keys": q("SELECT * FROM (" + DQ_DUPLICATES + ") x",
+                           """invoice_line_raw AS (SELECT CAST(l_orderkey AS VARCHAR) AS invoice_id,
+ CAST(l_partkey AS VARCHAR) AS product_code FROM lineitem)"""),
+    "dq_orphans": q(DQ_FK),
+    "dq_check_violations": q(DQ_CK),
+    "dq_null_counts": q(DQ_NN),
+    "dq_fragment_membership": q(DQ_FR),
+    "parse_event_props": "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(ORACLE)
     from branchwise.plans import changesets

@@ -159,6 +159,13 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                 stock_rule(F.col("p_partkey"), F.col("b.rk")).alias("qty")))
 
 
+def raw_invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source line rows keyed like invoice lines, before merging repeats."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return li.select(F.col("l_orderkey").cast("string").alias("invoice_id"),
+                     F.col("l_partkey").cast("string").alias("product_code"))
+
+
 def canonical_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy canonical tables (plans only; nothing runs here)."""
     return Tables(
