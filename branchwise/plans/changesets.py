@@ -1,5 +1,355 @@
-"""Change-set queries (filled in below)."""
+"""Registered change-set queries and their DuckDB oracle SQL.
+
+Requests come from ``requests`` (every source row is a request).  Keys whose
+result does not depend on replay order beyond "first valid request of a
+key" have an oracle written directly in SQL.  ``post_invoices``,
+``post_single_line`` and ``stock_transfer`` depend on which earlier requests
+consumed stock; they have no SQL form and are checked against a plain
+serial replay in ``tests/test_replay.py``.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from branchwise.operators import changes as C
+from branchwise.operators import sales as S
+from branchwise.plans.params import AS_OF
+from branchwise.plans import requests as RQ
+from branchwise.session import configure
+from branchwise.sources.store import open_tables
+
+NOW = _dt.datetime(AS_OF.year, AS_OF.month, AS_OF.day, 12, 0, 0)
+
+
+def _run(build):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return build(spark, sf_dir, open_tables(spark, sf_dir))
+    return run
+
+
+def _invoice_item_merge(s, d, t):
+    return S.merge_items(RQ.sale_requests(s, d)).select(
+        "seq", F.col("item_code").alias("product_code"), "qty", F.col("price").alias("given_price"))
+
+
+def _invoice_price_resolve(s, d, t):
+    m = S.merge_items(RQ.sale_requests(s, d))
+    cat = t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat"))
+    from branchwise.functions.exprs import resolve_price
+    return m.join(cat, "item_code", "left").select(
+        "seq", F.col("item_code").alias("product_code"),
+        resolve_price("price", "_cat").alias("unit_price"))
+
+
+def _invoice_stock_check(s, d, t):
+    """Each sale document alone against the opening stock of its branch."""
+    req = RQ.sale_requests(s, d)
+    m = S.merge_items(req).join(req.select("seq", "branch_code"), "seq")
+    inv = t.inventory.select(F.col("product_code").alias("item_code"), "branch_code", F.col("qty").alias("_on_hand"))
+    j = m.join(inv, ["item_code", "branch_code"], "left")
+    return j.groupBy("seq").agg(
+        F.count(F.lit(1)).alias("product_count"),
+        F.sum(F.when(F.col("_on_hand").isNull(), 1).otherwise(0)).cast("bigint").alias("missing_rows"),
+        F.sum(F.when(F.col("_on_hand") < F.col("qty"), 1).otherwise(0)).cast("bigint").alias("short_rows"))
+
+
+def _transfer_validate(s, d, t):
+    """Static transfer guards plus the source row and stock of the opening state."""
+    r = S.transfer_guards(t, RQ.transfer_requests(s, d))
+    inv = t.inventory.select(F.col("product_code").alias("_code_in"), F.col("branch_code").alias("_from"),
+                             F.col("qty").alias("_on_hand"))
+    j = r.join(inv, ["_code_in", "_from"], "left")
+    return j.select("seq", F.col("_code").alias("guard_code"), F.col("_on_hand").alias("source_qty"),
+                    (F.col("_code").isNull() & F.col("_on_hand").isNotNull() & (F.col("_on_hand") >= F.col("qty")))
+                    .alias("passes_alone"))
+
+
+def _inventory_item_create(s, d, t):
+    after_delete = C.delete_stock_rows(t, RQ.stock_row_deletes(s, d)).tables
+    return C.create_stock_rows(after_delete, RQ.stock_row_creates(s, d)).outcome
+
+
+def _apply_change_feed(s, d, t):
+    from branchwise.streaming.replicate import apply_changes
+    return apply_changes(RQ.member_snapshot(s, d), RQ.change_feed(s, d), ["member_id"],
+                         ["balance", "updated_at"])
+
+
+def _single_line_requests(s, d):
+    """One single-line sale per order: the order's smallest part."""
+    from branchwise.sources.adapter import read
+    li = read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    first = li.groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("f"))
+    req = RQ.sale_requests(s, d).drop("items_json")
+    return (req.join(first, req.seq == first.l_orderkey, "left")
+            .select("seq", "invoice_id", "employee_id",
+                    F.col("f.l_partkey").cast("string").alias("product_code"),
+                    F.col("f.l_quantity").cast("int").alias("qty"), "note", "branch_code"))
+
+
+_BUILDERS = {
+    "employee_insert": lambda s, d, t: C.add_employees(t, RQ.employee_add(s, d)).outcome,
+    "employee_patch": lambda s, d, t: C.patch_employees(t, RQ.employee_patch(s, d)).outcome,
+    "employee_delete": lambda s, d, t: C.delete_employees(t, RQ.employee_delete(s, d)).outcome,
+    "product_create": lambda s, d, t: C.create_products(t, RQ.product_create(s, d)).outcome,
+    "product_create_stock": lambda s, d, t: C.create_products(t, RQ.product_create(s, d)).created_stock,
+    "product_patch": lambda s, d, t: C.patch_products(t, RQ.product_patch(s, d)).outcome,
+    "product_delete": lambda s, d, t: C.delete_products(t, RQ.product_delete(s, d)).outcome,
+    "inventory_set": lambda s, d, t: C.set_stock(t, RQ.stock_requests(s, d)).outcome,
+    "stock_receipt": lambda s, d, t: C.receive_stock(t, RQ.stock_requests(s, d)).outcome,
+    "inventory_item_delete": lambda s, d, t: C.delete_stock_rows(t, RQ.stock_row_deletes(s, d)).outcome,
+    "inventory_item_create": _inventory_item_create,
+    "invoice_delete": lambda s, d, t: C.delete_invoices(t, RQ.invoice_deletes(s, d)).outcome,
+    "invoice_item_merge": _invoice_item_merge,
+    "invoice_price_resolve": _invoice_price_resolve,
+    "invoice_stock_check": _invoice_stock_check,
+    "transfer_validate": _transfer_validate,
+    "apply_change_feed": _apply_change_feed,
+    "post_invoices": lambda s, d, t: S.post_invoices(t, RQ.sale_requests(s, d), now=NOW).outcome,
+    "post_single_line": lambda s, d, t: S.post_single_lines(t, _single_line_requests(s, d), now=NOW).outcome,
+    "stock_transfer": lambda s, d, t: S.transfer_stock(t, RQ.transfer_requests(s, d)).outcome,
+}
 
 
 def queries():
-    return {}
+    return {name: _run(fn) for name, fn in _BUILDERS.items()}
+
+
+# ---------------------------------------------------------------- oracle SQL
+# The request rules again, in SQL.
+REQ = """
+sup AS (SELECT s_suppkey, s_name, r_name, r_regionkey FROM supplier
+        JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+emp_add AS (SELECT s_suppkey AS seq,
+  CASE WHEN s_suppkey % 23 = 0 THEN 'CENTRAL' WHEN s_suppkey % 4 = 1 THEN '  ' || lower(r_name) ELSE r_name END AS branch_code,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'E' || CAST(s_suppkey // 4 AS VARCHAR) ELSE CAST(s_suppkey AS VARCHAR) END AS employee_id,
+  s_name AS full_name, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE 'Cashier' END AS job_title FROM sup),
+emp_patch AS (SELECT s_suppkey * 2 + i AS seq,
+  CASE WHEN s_suppkey % 11 = 0 THEN 'NOWHERE' ELSE r_name END AS branch_code,
+  CASE WHEN s_suppkey % 9 = 0 THEN 'X' || CAST(s_suppkey AS VARCHAR) ELSE CAST(s_suppkey AS VARCHAR) END AS employee_id,
+  CASE WHEN i = 0 THEN s_name || ' X' WHEN s_suppkey % 3 = 0 THEN '  ' ELSE s_name || ' Y' END AS full_name,
+  CASE WHEN i = 1 AND s_suppkey % 2 = 0 THEN 'Senior' END AS job_title
+  FROM sup, (VALUES (0), (1)) v(i)),
+emp_del AS (SELECT s_suppkey * 2 + i AS seq, r_name AS branch_code,
+  CASE WHEN s_suppkey % 7 = 3 THEN 'X' || CAST(s_suppkey AS VARCHAR) ELSE CAST(s_suppkey AS VARCHAR) END AS employee_id
+  FROM sup, (VALUES (0), (1)) v(i) WHERE i = 0 OR s_suppkey % 5 = 0),
+prod_add AS (SELECT p_partkey AS seq,
+  CASE WHEN p_partkey % 3 = 1 THEN CAST(p_partkey AS VARCHAR) ELSE 'N' || CAST(p_partkey // 3 AS VARCHAR) END AS product_code,
+  CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS product_name,
+  CASE WHEN p_partkey % 5 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN p_partkey % 17 = 0 THEN NULL
+       ELSE CAST(p_retailprice AS DECIMAL(10,2)) END AS unit_price FROM part),
+prod_patch AS (SELECT p_partkey AS seq,
+  CASE WHEN p_partkey % 17 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
+  CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE p_name || ' v2' END AS product_name,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN CAST(-1 AS DECIMAL(10,2))
+       ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) + CAST(1.5 AS DECIMAL(10,2)) AS DECIMAL(10,2)) END AS unit_price
+  FROM part),
+prod_del AS (SELECT p_partkey AS seq,
+  CASE WHEN p_partkey % 13 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code
+  FROM part),
+grid AS (SELECT p_partkey, r_regionkey, r_name, i FROM part, region, (VALUES (0), (1)) v(i)),
+stock_req AS (SELECT (p_partkey * 1024 + r_regionkey) * 2 + i AS seq,
+  CASE WHEN p_partkey % 31 = 0 AND i = 1 THEN 'NOWHERE' ELSE r_name END AS branch_code,
+  CASE WHEN p_partkey % 29 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) WHEN p_partkey % 37 = 0 THEN ' '
+       ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
+  CAST((p_partkey + i * 7) % 50 - 5 AS INT) AS qty FROM grid),
+row_del AS (SELECT (p_partkey * 1024 + r_regionkey) * 2 + i AS seq, r_name AS branch_code,
+  CASE WHEN p_partkey % 2 = 1 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code
+  FROM grid WHERE i = 0 OR p_partkey % 6 = 0),
+row_add AS (SELECT (p_partkey * 1024 + r_regionkey) * 2 + i AS seq, r_name AS branch_code,
+  CASE WHEN p_partkey % 19 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
+  CAST((p_partkey + r_regionkey) % 40 AS INT) AS qty FROM grid WHERE i = 0 OR p_partkey % 2 = 1),
+ord AS (SELECT o_orderkey, o_orderpriority, g.branch_code FROM orders
+  JOIN customer ON c_custkey = o_custkey JOIN geo g ON g.n_nationkey = c_nationkey),
+inv_del AS (SELECT o_orderkey * 2 + i AS seq,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'NOWHERE' ELSE branch_code END AS branch_code,
+  CAST(o_orderkey AS VARCHAR) AS invoice_id FROM ord, (VALUES (0), (1)) v(i) WHERE i = 0 OR o_orderkey % 11 = 0),
+sale_items AS (SELECT l_orderkey AS seq, CAST(l_partkey AS VARCHAR) AS product_code, CAST(l_quantity AS INT) AS qty,
+  CASE WHEN l_partkey % 2 = 1 THEN CAST(p_retailprice AS DECIMAL(10,2)) END AS price
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+sale_merged AS (SELECT seq, product_code, CAST(sum(qty) AS BIGINT) AS qty, max(price) AS price
+  FROM sale_items GROUP BY seq, product_code),
+sale_branch AS (SELECT o_orderkey AS seq, branch_code FROM ord),
+ev_regions AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos, count(*) OVER () AS n FROM region),
+xfer AS (SELECT event_id AS seq, f.r_name AS from_branch, t.r_name AS to_branch,
+  CAST(user_id AS VARCHAR) AS product_code, CAST(event_id % 61 AS INT) AS qty
+  FROM events JOIN ev_regions f ON f.pos = user_id % f.n JOIN ev_regions t ON t.pos = (user_id + event_id) % t.n)
+"""
+
+ACTIVE = "EXISTS (SELECT 1 FROM branch x WHERE x.branch_code = {b} AND x.is_active)"
+
+
+def _blank(x: str) -> str:
+    return f"nullif(trim({x}), '') IS NULL"
+
+
+def _q(select: str, extra: str = "") -> str:
+    from branchwise.plans.oracle import BASE
+    return BASE + ", " + REQ + (", " + extra if extra else "") + "\n" + select
+
+
+def _first_valid(key: str, code_if_dup: str) -> str:
+    return (f"CASE WHEN pre IS NOT NULL THEN pre "
+            f"WHEN seq <> min(CASE WHEN pre IS NULL THEN seq END) OVER (PARTITION BY {key}) "
+            f"THEN '{code_if_dup}' END")
+
+
+ORACLE = {
+    "employee_insert": _q("""SELECT seq, id AS employee_id, b AS branch_code, code IS NULL AS accepted, code AS reject_code
+FROM (SELECT *, """ + _first_valid("id", "50001") + """ AS code FROM (
+  SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN """ + _blank("employee_id") + " OR " + _blank("full_name") + " OR " + _blank("job_title") + """ THEN '50000'
+    WHEN EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id) THEN '50001' END AS pre
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(employee_id) AS id FROM emp_add) r) p) f"""),
+
+    "employee_patch": _q("""SELECT r.seq, r.id AS employee_id, r.b AS branch_code, r.code IS NULL AS accepted, r.code AS reject_code,
+  CASE WHEN r.code IS NULL THEN coalesce(n.name, e.full_name) END AS full_name_after,
+  CASE WHEN r.code IS NULL THEN coalesce(n.title, e.job_title) END AS job_title_after
+FROM rr r
+LEFT JOIN employee e ON e.employee_id = r.id AND e.branch_code = r.b
+LEFT JOIN (SELECT id,
+    arg_max(trim(full_name), seq) FILTER (WHERE NOT """ + _blank("full_name") + """) AS name,
+    arg_max(trim(job_title), seq) FILTER (WHERE NOT """ + _blank("job_title") + """) AS title
+  FROM rr WHERE code IS NULL GROUP BY id) n ON n.id = r.id""",
+                         """rr AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN """ + _blank("employee_id") + """ THEN '50000'
+    WHEN NOT EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id AND e.branch_code = b) THEN '50001' END AS code
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(employee_id) AS id FROM emp_patch) r0)"""),
+
+    "employee_delete": _q("""SELECT seq, id AS employee_id, b AS branch_code, code IS NULL AS accepted, code AS reject_code
+FROM (SELECT *, """ + _first_valid("id, b", "50001") + """ AS code FROM (
+  SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN """ + _blank("employee_id") + """ THEN '50000'
+    WHEN NOT EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id AND e.branch_code = b) THEN '50001'
+    WHEN EXISTS (SELECT 1 FROM invoice i WHERE i.employee_id = id) THEN 'FK_INVOICE' END AS pre
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(employee_id) AS id FROM emp_del) r) p) f"""),
+
+    "product_patch": _q("""SELECT r.seq, r.code_in AS product_code, r.code IS NULL AS accepted, r.code AS reject_code,
+  CASE WHEN r.code IS NULL THEN coalesce(n.name, p.product_name) END AS product_name_after,
+  CASE WHEN r.code IS NULL THEN CAST(coalesce(n.price, p.unit_price) AS DECIMAL(10,2)) END AS unit_price_after
+FROM rr r
+LEFT JOIN product p ON p.product_code = r.code_in
+LEFT JOIN (SELECT code_in,
+    arg_max(trim(product_name), seq) FILTER (WHERE NOT """ + _blank("product_name") + """) AS name,
+    arg_max(unit_price, seq) FILTER (WHERE unit_price IS NOT NULL) AS price
+  FROM rr WHERE code IS NULL GROUP BY code_in) n ON n.code_in = r.code_in""",
+                        """rr AS (SELECT *, CASE WHEN """ + _blank("product_code") + """ THEN '50000'
+    WHEN unit_price IS NOT NULL AND unit_price <= 0 THEN '50000'
+    WHEN NOT EXISTS (SELECT 1 FROM product p WHERE p.product_code = code_in) THEN '50001' END AS code
+  FROM (SELECT *, trim(product_code) AS code_in FROM prod_patch) r0)"""),
+
+    "product_delete": _q("""SELECT seq, code_in AS product_code, code IS NULL AS accepted, code AS reject_code
+FROM (SELECT *, """ + _first_valid("code_in", "50001") + """ AS code FROM (
+  SELECT *, CASE WHEN """ + _blank("product_code") + """ THEN '50000'
+    WHEN NOT EXISTS (SELECT 1 FROM product p WHERE p.product_code = code_in) THEN '50001'
+    WHEN EXISTS (SELECT 1 FROM invoice_line l WHERE l.product_code = code_in) THEN '50002' END AS pre
+  FROM (SELECT *, trim(product_code) AS code_in FROM prod_del) r) p) f"""),
+
+    "inventory_set": _q("""SELECT r.seq, r.b AS branch_code, r.code_in AS product_code, r.code IS NULL AS accepted,
+  r.code AS reject_code,
+  CASE WHEN r.code IS NULL THEN CAST(coalesce(n.qty, v.qty) AS INT) END AS qty_after
+FROM rr r
+LEFT JOIN inventory v ON v.product_code = r.code_in AND v.branch_code = r.b
+LEFT JOIN (SELECT code_in, b, arg_max(qty, seq) AS qty FROM rr WHERE code IS NULL GROUP BY 1, 2) n
+  ON n.code_in = r.code_in AND n.b = r.b""",
+                        """rr AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN '50000'
+    WHEN """ + _blank("product_code") + """ THEN '50000'
+    WHEN qty < 0 THEN '50000'
+    WHEN NOT EXISTS (SELECT 1 FROM inventory v WHERE v.product_code = code_in AND v.branch_code = b) THEN '50001'
+    WHEN qty IS NULL THEN 'NOT_NULL' END AS code
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(product_code) AS code_in FROM stock_req) r0)"""),
+
+    "stock_receipt": _q("""SELECT r.seq, r.b AS branch_code, r.code_in AS product_code, r.code IS NULL AS accepted,
+  r.code AS reject_code,
+  CASE WHEN r.code IS NULL THEN CAST(v.qty + coalesce(n.qty, 0) AS INT) END AS qty_after
+FROM rr r
+LEFT JOIN inventory v ON v.product_code = r.code_in AND v.branch_code = r.b
+LEFT JOIN (SELECT code_in, b, sum(qty) AS qty FROM rr WHERE code IS NULL GROUP BY 1, 2) n
+  ON n.code_in = r.code_in AND n.b = r.b""",
+                        """rr AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN '50000'
+    WHEN """ + _blank("product_code") + """ THEN '50000'
+    WHEN qty <= 0 THEN '50000'
+    WHEN NOT EXISTS (SELECT 1 FROM inventory v WHERE v.product_code = code_in AND v.branch_code = b) THEN '50001'
+    WHEN qty IS NULL THEN 'NOT_NULL' END AS code
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(product_code) AS code_in FROM stock_req) r0)"""),
+
+    "inventory_item_create": _q("""SELECT r.seq, r.b AS branch_code, r.code_in AS product_code, r.code IS NULL AS accepted,
+  r.code AS reject_code, CASE WHEN r.code IS NULL THEN r.qty END AS qty_after
+FROM (SELECT *, """ + _first_valid("code_in, b", "50000") + """ AS code FROM (
+  SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN NOT EXISTS (SELECT 1 FROM product p WHERE p.product_code = code_in) THEN '50001'
+    WHEN EXISTS (SELECT 1 FROM inv2 v WHERE v.product_code = code_in AND v.branch_code = b) THEN '50000' END AS pre
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(product_code) AS code_in FROM row_add) r0) p) r""",
+                                """inv2 AS (SELECT * FROM inventory v WHERE NOT EXISTS (
+    SELECT 1 FROM rd WHERE rd.code IS NULL AND rd.code_in = v.product_code AND rd.b = v.branch_code))"""),
+
+    "invoice_delete": _q("""SELECT r.seq, r.id AS invoice_id, r.b AS branch_code, r.code IS NULL AS accepted,
+  r.code AS reject_code,
+  CASE WHEN r.code IS NULL THEN CAST((SELECT count(*) FROM invoice_line l WHERE l.invoice_id = r.id
+                                      AND l.branch_code = r.b) AS BIGINT) END AS lines_deleted
+FROM (SELECT *, """ + _first_valid("id, b", "50001") + """ AS code FROM (
+  SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN NOT EXISTS (SELECT 1 FROM invoice i WHERE i.invoice_id = id AND i.branch_code = b) THEN '50001' END AS pre
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(invoice_id) AS id FROM inv_del) r0) p) r"""),
+
+    "invoice_item_merge": _q("SELECT seq, product_code, qty, price AS given_price FROM sale_merged"),
+
+    "invoice_price_resolve": _q("""SELECT m.seq, m.product_code,
+  CAST(coalesce(nullif(m.price, 0), p.unit_price, 0) AS DECIMAL(10,2)) AS unit_price
+FROM sale_merged m LEFT JOIN product p ON p.product_code = m.product_code"""),
+
+    "invoice_stock_check": _q("""SELECT m.seq, count(*) AS product_count,
+  CAST(count(*) FILTER (WHERE v.qty IS NULL) AS BIGINT) AS missing_rows,
+  CAST(count(*) FILTER (WHERE v.qty < m.qty) AS BIGINT) AS short_rows
+FROM sale_merged m JOIN sale_branch sb ON sb.seq = m.seq
+LEFT JOIN inventory v ON v.product_code = m.product_code AND v.branch_code = sb.branch_code
+GROUP BY m.seq"""),
+
+    "transfer_validate": _q("""SELECT seq, guard_code, source_qty,
+  (guard_code IS NULL AND source_qty IS NOT NULL AND source_qty >= qty) AS passes_alone
+FROM (SELECT x.seq, x.qty,
+  CASE WHEN NOT """ + ACTIVE.format(b="upper(trim(x.from_branch))") + " OR NOT " + ACTIVE.format(b="upper(trim(x.to_branch))") + """ THEN '50000'
+    WHEN upper(trim(x.from_branch)) = upper(trim(x.to_branch)) THEN '50000'
+    WHEN """ + _blank("x.product_code") + """ THEN '50000'
+    WHEN x.qty IS NULL OR x.qty <= 0 THEN '50001' END AS guard_code,
+  v.qty AS source_qty
+FROM xfer x LEFT JOIN inventory v ON v.product_code = trim(x.product_code)
+  AND v.branch_code = upper(trim(x.from_branch))) z"""),
+
+    "apply_change_feed": """WITH feed AS (
+  SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN 'I' WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op,
+         user_id AS member_id, value AS balance, ts AS updated_at FROM events),
+last AS (SELECT member_id, arg_max(op, seq) AS op, arg_max(balance, seq) AS balance,
+                arg_max(updated_at, seq) AS updated_at FROM feed GROUP BY member_id),
+snap AS (SELECT c_custkey AS member_id, c_acctbal AS balance, CAST(NULL AS TIMESTAMP) AS updated_at FROM customer)
+SELECT s.member_id, s.balance, s.updated_at FROM snap s WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.member_id = s.member_id)
+UNION ALL
+SELECT member_id, balance, updated_at FROM last WHERE op <> 'D'""",
+}
+
+# CTEs shared by several oracle queries (appended to the request CTEs).
+_PC = """pc AS (SELECT *, """ + _first_valid("code_in", "50000") + """ AS code FROM (
+  SELECT *, CASE WHEN """ + _blank("product_code") + " OR " + _blank("product_name") + """ THEN '50000'
+    WHEN unit_price <= 0 THEN '50000'
+    WHEN EXISTS (SELECT 1 FROM product p WHERE p.product_code = code_in) THEN '50000'
+    WHEN unit_price IS NULL THEN 'NOT_NULL' END AS pre
+  FROM (SELECT *, trim(product_code) AS code_in FROM prod_add) r) p)"""
+_RD = """rd AS (SELECT *, """ + _first_valid("code_in, b", "50001") + """ AS code FROM (
+  SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN NOT EXISTS (SELECT 1 FROM inventory v WHERE v.product_code = code_in AND v.branch_code = b) THEN '50001' END AS pre
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(product_code) AS code_in FROM row_del) r0) p)"""
+
+ORACLE["product_create"] = _q("SELECT seq, code_in AS product_code, code IS NULL AS accepted, code AS reject_code FROM pc", _PC)
+ORACLE["product_create_stock"] = _q("""SELECT pc.code_in AS product_code, b.branch_code, CAST(0 AS INT) AS qty
+FROM pc JOIN branch b ON b.is_active
+WHERE pc.code IS NULL
+  AND NOT EXISTS (SELECT 1 FROM inventory v WHERE v.product_code = pc.code_in AND v.branch_code = b.branch_code)""", _PC)
+ORACLE["inventory_item_delete"] = _q("""SELECT seq, b AS branch_code, code_in AS product_code, code IS NULL AS accepted,
+  code AS reject_code FROM rd""", _RD)
+ORACLE["inventory_item_create"] = ORACLE["inventory_item_create"].replace(
+    "inv2 AS (", _RD + ",\ninv2 AS (", 1)
