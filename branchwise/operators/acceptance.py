@@ -65,24 +65,41 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Reliable checkpoint (not a local one): a lost executor does not lose
+    it, and the lineage of later steps starts here.
+    """
+    return _checkpoint(df)
+
+
 def _prepare(moves: DataFrame, opening: DataFrame) -> DataFrame:
-    """Attach the opening balance and a bucket number to every move."""
+    """Attach the opening balance, the key's move count and a bucket number."""
     op = opening.select(*KEY, F.col("qty").cast("bigint").alias("open_qty"),
                         F.lit(True).alias("open_exists"))
     m = (moves.join(op, KEY, "left")
          .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
          .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
-    stats = m.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_lo"),
+    stats = m.groupBy(*KEY).agg(F.count(F.lit(1)).alias("key_moves"), F.min("seq").alias("_lo"),
                                 F.max("seq").alias("_hi"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(ROWS_PER_BUCKET)))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("key_moves") / F.lit(ROWS_PER_BUCKET)))
     bucket = F.when(nb == 1, F.lit(0)).otherwise(
         F.floor((F.col("seq") - F.col("_lo")) * nb / (F.col("_hi") - F.col("_lo") + 1)))
     return (m.join(stats, KEY).withColumn("bucket", bucket.cast("bigint"))
-            .drop("_n", "_lo", "_hi"))
+            .drop("_lo", "_hi"))
 
 
-def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Add ``p_<c>``: sum of ``c`` over strictly earlier moves of the same key."""
+def _earlier_sums(df: DataFrame, cols: list[str], bucketed: bool) -> DataFrame:
+    """Add ``p_<c>``: sum of ``c`` over strictly earlier moves of the same key.
+
+    ``bucketed`` is set when some key has more moves than ROWS_PER_BUCKET;
+    then per-bucket totals give offsets and the windows run per (key,
+    bucket).  Otherwise one window per key is enough.
+    """
+    if not bucketed:
+        w = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"p_{c}") for c in cols])
     tot = df.groupBy(*KEY, "bucket").agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
     wb = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*KEY, "bucket", *[F.coalesce(F.sum(f"t_{c}").over(wb), F.lit(0)).alias(f"o_{c}")
@@ -93,7 +110,35 @@ def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.select(*df.columns, *[(F.col(f"o_{c}") + F.col(f"w_{c}")).alias(f"p_{c}") for c in cols])
 
 
-def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
+    """Per-request aggregates: f_<check> (some move surely fails it) and
+    o_<check> (every move surely passes it)."""
+    sure = {
+        EXISTS: (~ex_hi, ex_lo),
+        ENOUGH: (F.col("debit") > bal_hi, F.col("debit") <= bal_lo),
+        ABSENT: (ex_lo, ~ex_hi),
+    }
+    aggs = []
+    for name, (fail, ok) in sure.items():
+        on = F.col(f"chk_{name}")
+        aggs.append(F.max(on & fail).alias(f"f_{name}"))
+        aggs.append(F.min(~on | ok).alias(f"o_{name}"))
+    return aggs
+
+
+CHECK_NAMES = (EXISTS, ENOUGH, ABSENT)
+
+
+def _static_checks(single: DataFrame) -> DataFrame:
+    """Checks of moves that are alone on their key: no earlier move, so the
+    bounds are exact from the start and never change."""
+    ex = F.col("open_exists")
+    bal = F.col("open_qty")
+    return single.groupBy("seq").agg(*_check_aggs(single, ex, ex, bal, bal))
+
+
+def _round(m: DataFrame, state: DataFrame, static: DataFrame, checks: list[tuple[str, list[str]]],
+           bucketed: bool) -> DataFrame:
     """One round: new status for the undecided requests."""
     live = m.join(state.where(F.col("status") != REJECTED).select("seq", "status"), "seq")
     a = F.col("status") == ACCEPTED
@@ -104,30 +149,23 @@ def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]])
         F.col("debit").alias("dAU"),
         F.when(a, F.col("credit")).otherwise(zero).alias("cA"),
         F.col("credit").alias("cAU"))
-    p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"])
+    p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"], bucketed)
     ex_lo = F.col("open_exists") | (F.col("p_cA") > 0)
     ex_hi = F.col("open_exists") | (F.col("p_cAU") > 0)
     bal_lo = F.col("open_qty") + F.col("p_cA") - F.col("p_dAU")
     bal_hi = F.col("open_qty") + F.col("p_cAU") - F.col("p_dA")
-    sure = {
-        EXISTS: (~ex_hi, ex_lo),
-        ENOUGH: (F.col("debit") > bal_hi, F.col("debit") <= bal_lo),
-        ABSENT: (ex_lo, ~ex_hi),
-    }
-    aggs = []
-    for name, (fail, ok) in sure.items():
-        on = F.col(f"chk_{name}")
-        aggs.append(F.max(on & fail).alias(f"f_{name}"))
-        aggs.append(F.min(~on | ok).alias(f"o_{name}"))
-    per = p.where(F.col("status") == UNDECIDED).groupBy("seq").agg(*aggs)
+    dyn = p.where(F.col("status") == UNDECIDED).groupBy("seq").agg(*_check_aggs(p, ex_lo, ex_hi, bal_lo, bal_hi))
+    und = state.where(F.col("status") == UNDECIDED).select("seq")
+    st = static.select("seq", *[F.col(f"{x}_{n}").alias(f"s{x}_{n}") for n in CHECK_NAMES for x in "fo"])
+    per = und.join(dyn, "seq", "left").join(st, "seq", "left")
     status = None
     code = None
     for reject_code, names in checks:
         f = F.lit(False)
         o = F.lit(True)
         for n in names:
-            f = f | F.col(f"f_{n}")
-            o = o & F.col(f"o_{n}")
+            f = f | F.coalesce(F.col(f"f_{n}"), F.lit(False)) | F.coalesce(F.col(f"sf_{n}"), F.lit(False))
+            o = o & F.coalesce(F.col(f"o_{n}"), F.lit(True)) & F.coalesce(F.col(f"so_{n}"), F.lit(True))
         status = (F.when(f, F.lit(REJECTED)) if status is None else status.when(f, F.lit(REJECTED)))
         status = status.when(~o, F.lit(UNDECIDED))
         code = (F.when(f, F.lit(reject_code)) if code is None else code.when(f, F.lit(reject_code)))
@@ -146,8 +184,13 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     ``checks``: ordered (reject_code, [check names]) -- the first group a
     request fails gives its code, as the procedures test in that order.
     """
-    m = _checkpoint(_prepare(moves, opening))
-    state = _checkpoint(m.select("seq").distinct()
+    prepared = _checkpoint(_prepare(moves, opening))
+    # One scalar: does any key need more than one bucket?
+    bucketed = prepared.where(F.col("bucket") > 0).limit(1).count() > 0
+    # Moves alone on their key are decided once; only shared keys iterate.
+    static = _checkpoint(_static_checks(prepared.where(F.col("key_moves") == 1)))
+    m = _checkpoint(prepared.where(F.col("key_moves") > 1))
+    state = _checkpoint(prepared.select("seq").distinct()
                         .select("seq", F.lit(UNDECIDED).alias("status"),
                                 F.lit(None).cast("string").alias("reject_code")))
     rounds = 0
@@ -156,16 +199,16 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
         if undecided == 0:
             break
         rounds += 1
-        new = _round(m, state, checks).withColumnRenamed("status", "_s") \
+        new = _round(m, state, static, checks, bucketed).withColumnRenamed("status", "_s") \
             .withColumnRenamed("reject_code", "_c")
         state = _checkpoint(
             state.join(new, "seq", "left")
             .select("seq", F.coalesce("_s", "status").alias("status"),
                     F.when(F.col("_s").isNotNull(), F.col("_c")).otherwise(F.col("reject_code"))
                     .alias("reject_code")))
-    acc = m.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
+    acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
-    bal = _earlier_sums(acc, ["net", "credit"])
+    bal = _earlier_sums(acc, ["net", "credit"], bucketed)
     bal = bal.select(*KEY, "seq", "debit", "credit",
                      (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
                      (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before"))

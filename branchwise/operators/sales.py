@@ -69,8 +69,7 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
     r = r.withColumn("_final", code)
     acc = r.where(F.col("_final").isNull())
     acc_lines = merged.join(acc.select("seq", "_inv", "_branch"), "seq")
-    new_lines = (acc_lines.join(t.product.select(F.col("product_code").alias("item_code"),
-                                                 F.col("unit_price").alias("_cat")), "item_code")
+    new_lines = (acc_lines.where(F.col("_cat").isNotNull())
                  .select(F.col("_inv").alias("invoice_id"), F.col("item_code").alias("product_code"),
                          F.col("qty").cast("int").alias("qty"),
                          F.coalesce(F.nullif("price", F.lit(0)), "_cat").cast(MONEY).alias("unit_price"),
@@ -90,8 +89,6 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
     tables = t.with_tables(invoice=t.invoice.unionByName(heads),
                            invoice_line=t.invoice_line.unionByName(new_lines),
                            inventory=new_stock)
-    per = new_lines.groupBy(F.col("invoice_id").alias("_inv"), F.col("branch_code").alias("_branch")) \
-        .agg(F.count(F.lit(1)).alias("_n"))
     return tables, r
 
 
@@ -115,18 +112,25 @@ def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
     (PK_INVOICE); stock row missing or short for any product (50005); a
     product already on the invoice (PK_LINE).
     """
+    # The request batch is read once: it is materialised in the shared
+    # checkpoint folder, and so are the parsed items and the guard results,
+    # which every later step reads several times.
+    req = A.materialize(req)
     r = with_branch(req, t).withColumn("_inv", X.clean("invoice_id")).withColumn("_emp", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_emp"), F.col("branch_code").alias("_branch"))
     r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok")
-    items = explode_items(r.select("seq", "items_json"))
+    items = explode_items(req.select("seq", "items_json"))
     item_stats = items.groupBy("seq").agg(
         F.count("item_pos").alias("_n_items"),
         F.max(X.is_blank("item_code") | F.col("item_qty").isNull() | (F.col("item_qty") <= 0))
         .alias("_bad_item"))
-    merged = merge_items(r.select("seq", "items_json"))
-    priced = merged.join(t.product.select(F.col("product_code").alias("item_code"),
-                                          F.col("unit_price").alias("_cat")), "item_code", "left")
-    price_stats = priced.groupBy("seq").agg(
+    merged = A.materialize(
+        items.where(F.col("item_code").isNotNull() & (F.col("item_code") != ""))
+        .groupBy("seq", "item_code")
+        .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price"))
+        .join(t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat")),
+              "item_code", "left"))
+    price_stats = merged.groupBy("seq").agg(
         F.max(X.resolve_price("price", "_cat") <= 0).alias("_bad_price"))
     r = r.join(item_stats, "seq", "left").join(price_stats, "seq", "left")
     pre = [
@@ -137,10 +141,10 @@ def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
         (F.coalesce(F.col("_bad_item"), F.lit(False)), str(X.E_50003)),
         (F.coalesce(F.col("_bad_price"), F.lit(False)), str(X.E_50004)),
     ]
-    r = r.withColumn("_pre", first_code(pre))
+    r = r.withColumn("_pre", first_code(pre)).drop("items_json")
     r = _invoice_owner(t, r, F.col("_pre").isNull())
-    r = r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-                     .when(F.col("_foreign"), F.lit(PK_INVOICE)))
+    r = A.materialize(r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
+                                   .when(F.col("_foreign"), F.lit(PK_INVOICE))))
     live = r.where(F.col("_code").isNull()).select("seq", "_inv", "_branch")
     m = merged.join(live, "seq")
     moves = m.select("seq", F.lit("S").alias("kind"), F.col("item_code").alias("k1"),
@@ -154,8 +158,7 @@ def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
     opening = _stock_opening(t).unionByName(_line_opening(t, live))
     settled = A.settle(moves, opening, [(str(X.E_50005), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
     tables, r = _sale_effects(t, r, merged, settled, now)
-    totals = (merged.join(t.product.select(F.col("product_code").alias("item_code"),
-                                           F.col("unit_price").alias("_cat")), "item_code")
+    totals = (merged.where(F.col("_cat").isNotNull())
               .groupBy("seq").agg(F.count(F.lit(1)).alias("_lines"),
                                   F.sum(X.amount(F.col("qty"), X.resolve_price("price", "_cat"))).alias("_total")))
     out = r.join(totals, "seq", "left")
