@@ -217,7 +217,7 @@ def post_single_lines(t: Tables, req: DataFrame, strict: bool = True, now=None)
     opening = _stock_opening(t).unionByName(_line_opening(t, live.select("_inv")))
     settled = A.settle(moves, opening, [(str(X.E_50003), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
     merged = r.select("seq", "item_code", F.col("qty").cast("bigint").alias("qty"),
-                      F.lit(None).cast(MONEY).alias("price"))
+                      F.lit(None).cast(MONEY).alias("price"), "_cat")
     tables, r = _sale_effects(t, r, merged, settled, now)
     ok = F.col("_final").isNull()
     outcome = r.select("seq", F.col("_inv").alias("invoice_id"), F.col("_branch").alias("branch_code"),
