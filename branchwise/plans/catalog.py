@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from branchwise.operators import bundles as B
 from branchwise.operators import listings as L
 from branchwise.operators import quality as Q
 from branchwise.operators import reports as R
 from branchwise.operators import views as V
+from branchwise.plans import requests as RQ
 from branchwise.plans.params import AS_OF, AS_OF_WEEK1, BRANCH, TOP_N
 from branchwise.session import configure
 from branchwise.sources.schemas import Tables
@@ -64,6 +67,8 @@ _ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "top_stock": lambda t: R.top_stock(t, TOP_N),
     "top_stock_default_n": lambda t: R.top_stock(t, None),
     "daily_preview": R.daily_preview,
+    "analytics_overview": lambda t: B.analytics_overview_long(t, AS_OF),
+    "branch_dashboard_bundle": lambda t: B.branch_dashboard_bundle_long(t, BRANCH, AS_OF),
     # data quality
     "dq_orphans": Q.orphans,
     "dq_check_violations": Q.check_violations,
@@ -76,9 +81,23 @@ _ON_SOURCE: dict[str, Callable[[SparkSession, str, Tables], DataFrame]] = {
     "dq_duplicate_keys": lambda s, d, t: Q.duplicate_keys(
         t, {"invoice_line_raw": (raw_invoice_lines(s, d), ["invoice_id", "product_code"])}),
     "parse_event_props": lambda s, d, t: L.parse_event_props(read(s, d, "events")),
+    "product_lookup": lambda s, d, t: L.product_lookup(t, RQ.product_lookups(s, d)),
+    "inventory_lookup_default": lambda s, d, t: L.inventory_lookup(t, RQ.inventory_lookups(s, d)),
+    "scalar_dates": lambda s, d, t: B.scalar_dates(read(s, d, "orders"), AS_OF),
+    "scalar_text": lambda s, d, t: B.scalar_text(_customer_regions(s, d), t.branch.where("is_active"), BRANCH),
+    "scalar_numeric": lambda s, d, t: B.scalar_numeric(
+        read(s, d, "lineitem").join(read(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))),
 }
 
 
+def _customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey)
+
+
 def _json_roundtrip(df: DataFrame) -> DataFrame:
     """Rows -> JSON documents -> rows (compared on contents)."""
     from pyspark.sql import functions as F

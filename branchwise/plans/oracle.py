@@ -272,6 +272,83 @@ ORACLE.update({
 })
 
 
+def _long(report, src, key="NULL", label="NULL", count="NULL", amount="NULL", amount2="NULL", pos="NULL",
+          where="TRUE", branch="branch_code") -> str:
+    return (f"SELECT '{report}' AS report, CAST({branch} AS VARCHAR) AS branch_code, CAST({key} AS VARCHAR) AS item_key, "
+            f"CAST({label} AS VARCHAR) AS item_label, CAST({count} AS BIGINT) AS count_value, "
+            f"CAST({amount} AS DECIMAL(28,2)) AS amount, CAST({amount2} AS DECIMAL(28,2)) AS amount2, "
+            f"CAST({pos} AS INT) AS position FROM ({src}) x WHERE {where}")
+
+
+_B = f"branch_code = '{BRANCH}'"
+ORACLE.update({
+    "analytics_overview": " UNION ALL ".join([
+        _long("daily", ORACLE["daily_revenue"], key="strftime(day, '%Y-%m-%d')",
+              count="coalesce(order_count, 0)", amount="coalesce(revenue, 0)"),
+        _long("weekly", ORACLE["weekly_revenue"], key="printf('%d-W%02d', year, week)",
+              count="coalesce(order_count, 0)", amount="coalesce(revenue, 0)"),
+        _long("best_employee", ORACLE["best_employee_week"], key="employee_id", label="full_name",
+              amount="coalesce(revenue, 0)"),
+        _long("best_product", ORACLE["best_product_week"], key="product_code", label="product_name",
+              count="coalesce(units, 0)"),
+        _long("week_compare", ORACLE["week_compare"], amount="coalesce(this_week, 0)",
+              amount2="coalesce(last_week, 0)"),
+    ]),
+    "branch_dashboard_bundle": " UNION ALL ".join([
+        _long("summary", ORACLE["branch_dashboard_all"], key="'employees'", count="employee_count", where=_B),
+        _long("summary", ORACLE["branch_dashboard_all"], key="'invoices'", count="invoice_count", where=_B),
+        _long("summary", ORACLE["branch_dashboard_all"], key="'stock_units'", count="total_stock_units", where=_B),
+        _long("summary", ORACLE["branch_dashboard_all"], key="'low_stock_products'", count="low_stock_products",
+              where=_B),
+        _long("summary", ORACLE["branch_dashboard_all"], key="'revenue'", amount="revenue", where=_B),
+        _long("trend", ORACLE["branch_revenue_7d"], key="strftime(day, '%Y-%m-%d')",
+              label="strftime(day, '%m-%d')", amount="revenue", where=_B),
+        _long("top_stock", _top_stock(8), key="product_code", label="product_name", count="qty", pos="rank",
+              where=_B),
+    ]),
+    "product_lookup": q("""SELECT r.requested_code, p.product_code, p.product_name, p.unit_price,
+  p.product_code IS NOT NULL AS found,
+  CASE WHEN nullif(trim(r.requested_code), '') IS NULL THEN 50000 END AS error_code
+FROM (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR)
+                  WHEN p_partkey % 13 = 0 THEN '  ' ELSE ' ' || CAST(p_partkey AS VARCHAR) || ' ' END AS requested_code
+      FROM part) r
+LEFT JOIN product p ON p.product_code = trim(r.requested_code)"""),
+    "inventory_lookup_default": q("""SELECT r.branch_code, r.requested_code, CAST(coalesce(v.qty, 0) AS INT) AS qty,
+  v.qty IS NOT NULL AS found,
+  CASE WHEN nullif(trim(r.requested_code), '') IS NULL THEN 50000 END AS error_code
+FROM (SELECT r_name AS branch_code,
+             CASE WHEN p_partkey % 11 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR)
+                  WHEN p_partkey % 13 = 0 THEN ' ' ELSE ' ' || CAST(p_partkey AS VARCHAR) END AS requested_code
+      FROM part, region) r
+LEFT JOIN inventory v ON v.product_code = trim(r.requested_code) AND v.branch_code = r.branch_code"""),
+    "scalar_dates": f"""SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year,
+  CAST((dayofyear(o_orderdate) - 1 + dayofweek(date_trunc('year', o_orderdate))) // 7 + 1 AS INT) AS week,
+  printf('%d-W%02d', year(o_orderdate),
+         (dayofyear(o_orderdate) - 1 + dayofweek(date_trunc('year', o_orderdate))) // 7 + 1) AS week_label,
+  strftime(o_orderdate, '%Y-%m-%d') AS iso_day, strftime(o_orderdate, '%m-%d') AS short_day,
+  strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS display_time,
+  CAST(datediff('day', CAST(o_orderdate AS DATE), {_d(AS_OF)}) AS INT) AS days_before_as_of
+FROM orders""",
+    "scalar_text": f"""SELECT c_custkey, trim('  ' || c_name || ' ') AS name_clean,
+  nullif(trim(seg), '') IS NULL AS segment_blank,
+  coalesce(nullif(trim(seg), ''), c_name) AS patched,
+  CASE WHEN EXISTS (SELECT 1 FROM region r2 WHERE r2.r_name = norm) THEN norm END AS branch_or_null,
+  coalesce(CASE WHEN EXISTS (SELECT 1 FROM region r2 WHERE r2.r_name = norm) THEN norm END, '{BRANCH}') AS source_branch
+FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN '  ' ELSE c_mktsegment END AS seg,
+             upper(trim(CASE WHEN c_custkey % 5 = 0 THEN 'nowhere' ELSE ' ' || lower(r_name) || ' ' END)) AS norm
+      FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) c""",
+    "scalar_numeric": """SELECT l_orderkey, l_partkey,
+  CAST(CAST(l_quantity AS INT) * CAST(p_retailprice AS DECIMAL(10,2)) AS DECIMAL(18,2)) AS amount,
+  CAST(coalesce(nullif(CASE WHEN l_partkey % 3 = 0 THEN CAST(0 AS DECIMAL(10,2)) WHEN l_partkey % 3 = 1 THEN NULL
+                            ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) - 1 AS DECIMAL(10,2)) END, 0),
+                CAST(p_retailprice AS DECIMAL(10,2)), 0) AS DECIMAL(10,2)) AS resolved_price,
+  coalesce(TRY_CAST(trim(CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN ''
+                              WHEN l_partkey % 4 = 2 THEN 'abc' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END)
+                    AS DECIMAL(28,2)), CAST(0 AS DECIMAL(28,2))) AS number_value
+FROM lineitem JOIN part ON p_partkey = l_partkey""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(ORACLE)
     from branchwise.plans import changesets

@@ -236,3 +236,20 @@ def member_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return c.select(F.col("c_custkey").alias("member_id"), F.col("c_acctbal").alias("balance"),
                     F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def product_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lookup per part: padded, unknown or blank codes."""
+    k = F.col("p_partkey")
+    return _parts(spark, sf_dir).select(
+        F.when(k % 11 == 0, F.concat(F.lit("U"), _s(k))).when(k % 13 == 0, F.lit("  "))
+         .otherwise(F.concat(F.lit(" "), _s(k), F.lit(" "))).alias("requested_code"))
+
+
+def inventory_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lookup per stock row: padded, unknown or blank codes."""
+    k = F.col("p_partkey")
+    return _grid(spark, sf_dir, 1).select(
+        F.col("r_name").alias("branch_code"),
+        F.when(k % 11 == 0, F.concat(F.lit("U"), _s(k))).when(k % 13 == 0, F.lit(" "))
+         .otherwise(F.concat(F.lit(" "), _s(k))).alias("requested_code"))
