@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.functions import exprs as X
@@ -392,3 +392,90 @@ def delete_invoices(t: Tables, req: DataFrame) -> ChangeResult:
                                          F.col("_branch").alias("branch_code"),
                                          F.when(ok, F.coalesce("_lines", F.lit(0))).cast("bigint")
                                          .alias("lines_deleted")))
+
+
+def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
+    """Replace an invoice's lines by one line (the mock store's update).
+
+    Requests (seq, branch_code, invoice_id, product_code, product_name, qty,
+    unit_price, total_amount, employee_id, note).  The invoice must exist in
+    the branch (50001).  Every field falls back to the invoice's current
+    row: the product to the last given one (first line by code at the
+    start), the quantity to the last positive one, the employee to the last
+    non-blank one, the note to the last non-NULL one.  The price is the
+    given price if > 0, else total / quantity if both > 0, else the
+    catalogue price (0 when unknown); it is written to the catalogue, with
+    the name (last non-blank, else the catalogue name, else the code).
+
+    Each rule is "last value up to this request", i.e. a window ``last(...,
+    ignorenulls)`` per invoice and per product ordered by seq: exact in
+    request order without a row loop.
+    """
+    r = with_branch(req, t).withColumn("_id", X.clean("invoice_id"))
+    inv = t.invoice.select(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"),
+                           F.col("employee_id").alias("_emp0"), F.col("note").alias("_note0"))
+    r = r.join(inv, ["_id", "_branch"], "left")
+    r = _flag(r, t.invoice.select(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch")),
+              ["_id", "_branch"], "_exists")
+    r = r.withColumn("_code", first_code([(~F.col("_branch_ok"), BAD_BRANCH),
+                                          (~F.col("_exists"), str(X.E_NOT_FOUND))]))
+    first = (t.invoice_line.groupBy(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"))
+             .agg(F.min(F.struct("product_code", "qty")).alias("_f")))
+    ok = r.where(F.col("_code").isNull()).join(first, ["_id", "_branch"], "left")
+    upto = Window.partitionBy("_id", "_branch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ok = ok.select(
+        "*",
+        F.coalesce(F.last(X.blank_to_null("product_code"), True).over(upto), F.col("_f.product_code"))
+        .alias("product_code_after"),
+        F.coalesce(F.last(F.when(F.col("qty") > 0, F.col("qty")), True).over(upto), F.col("_f.qty"))
+        .cast("int").alias("qty_after"),
+        F.coalesce(F.last(X.blank_to_null("employee_id"), True).over(upto), F.col("_emp0"))
+        .alias("employee_id_after"),
+        F.coalesce(F.last("note", True).over(upto), F.col("_note0")).alias("note_after"))
+    cat = t.product.select(F.col("product_code").alias("product_code_after"), F.col("product_name").alias("_name0"),
+                           F.col("unit_price").alias("_price0"))
+    ok = ok.join(cat, "product_code_after", "left")
+    explicit = (F.when(F.col("unit_price") > 0, F.col("unit_price"))
+                .when((F.col("total_amount") > 0) & (F.col("qty") > 0), F.col("total_amount") / F.col("qty")))
+    by_product = Window.partitionBy("product_code_after").orderBy("seq") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    ok = ok.select(
+        "*",
+        F.coalesce(F.last(explicit.cast(MONEY), True).over(by_product), F.col("_price0"), F.lit(0))
+        .cast(MONEY).alias("unit_price_after"),
+        F.coalesce(F.last(X.blank_to_null("product_name"), True).over(by_product), F.col("_name0"),
+                   F.col("product_code_after")).alias("product_name_after"))
+    after = ok.select("seq", "product_code_after", "qty_after", "unit_price_after", "product_name_after",
+                      "employee_id_after", "note_after")
+    out = r.join(after, "seq", "left")
+    # New state: each replaced invoice keeps the row of its last request.
+    last_row = (ok.groupBy("_id", "_branch")
+                .agg(F.max(F.struct("seq", "product_code_after", "qty_after", "unit_price_after",
+                                    "employee_id_after", "note_after")).alias("l")))
+    lines = last_row.select(F.col("_id").alias("invoice_id"), F.col("l.product_code_after").alias("product_code"),
+                            F.col("l.qty_after").alias("qty"), F.col("l.unit_price_after").alias("unit_price"),
+                            F.col("_branch").alias("branch_code"))
+    gone = last_row.select(F.col("_id").alias("invoice_id"), F.col("_branch").alias("branch_code"))
+    heads = (t.invoice.join(last_row.withColumnRenamed("_id", "invoice_id").withColumnRenamed("_branch", "branch_code"),
+                            ["invoice_id", "branch_code"], "left")
+             .select("invoice_id",
+                     F.when(F.col("l").isNotNull(), F.col("l.note_after")).otherwise(F.col("note")).alias("note"),
+                     "created_at", "branch_code",
+                     F.when(F.col("l").isNotNull(), F.col("l.employee_id_after")).otherwise(F.col("employee_id"))
+                     .alias("employee_id")))
+    prods = (ok.groupBy(F.col("product_code_after").alias("product_code"))
+             .agg(F.max(F.struct("seq", "product_name_after", "unit_price_after")).alias("p")))
+    new_prod = (t.product.join(prods, "product_code", "full")
+                .select("product_code",
+                        F.coalesce(F.col("p.product_name_after"), F.col("product_name")).alias("product_name"),
+                        F.coalesce(F.col("p.unit_price_after"), F.col("unit_price")).cast(MONEY).alias("unit_price")))
+    tables = t.with_tables(
+        invoice=heads,
+        invoice_line=t.invoice_line.join(gone, ["invoice_id", "branch_code"], "left_anti")
+        .unionByName(lines.where(F.col("product_code").isNotNull())),
+        product=new_prod)
+    ok_col = F.col("_code").isNull()
+    return ChangeResult(tables, _outcome(
+        out, F.col("_id").alias("invoice_id"), F.col("_branch").alias("branch_code"),
+        *[F.when(ok_col, F.col(c)).alias(c) for c in ("product_code_after", "qty_after", "unit_price_after",
+                                                       "product_name_after", "employee_id_after", "note_after")]))

@@ -105,6 +105,7 @@ _BUILDERS = {
     "inventory_item_delete": lambda s, d, t: C.delete_stock_rows(t, RQ.stock_row_deletes(s, d)).outcome,
     "inventory_item_create": _inventory_item_create,
     "invoice_delete": lambda s, d, t: C.delete_invoices(t, RQ.invoice_deletes(s, d)).outcome,
+    "invoice_replace": lambda s, d, t: C.replace_invoices(t, RQ.invoice_replaces(s, d)).outcome,
     "invoice_item_merge": _invoice_item_merge,
     "invoice_price_resolve": _invoice_price_resolve,
     "invoice_stock_check": _invoice_stock_check,
@@ -175,6 +176,16 @@ sale_items AS (SELECT l_orderkey AS seq, CAST(l_partkey AS VARCHAR) AS product_c
 sale_merged AS (SELECT seq, product_code, CAST(sum(qty) AS BIGINT) AS qty, max(price) AS price
   FROM sale_items GROUP BY seq, product_code),
 sale_branch AS (SELECT o_orderkey AS seq, branch_code FROM ord),
+repl AS (SELECT o_orderkey * 2 + i AS seq, branch_code,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'Z' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS invoice_id,
+  CASE WHEN i = 0 AND o_orderkey % 2 = 0 THEN NULL ELSE CAST((o_orderkey + i) % 50 AS VARCHAR) END AS product_code,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'Renamed ' || CAST(o_orderkey AS VARCHAR) END AS product_name,
+  CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE (o_orderkey + i) % 9 END AS INT) AS qty,
+  CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 100 + 0.5 AS DECIMAL(10,2)) END AS unit_price,
+  CASE WHEN o_orderkey % 7 = 0 AND (o_orderkey + i) % 9 > 0 THEN CAST(((o_orderkey + i) % 9) * 3 AS DECIMAL(12,2)) END AS total_amount,
+  CASE WHEN o_orderkey % 8 = 0 THEN 'E' || CAST(o_orderkey AS VARCHAR) END AS employee_id,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'note ' || CAST(o_orderkey AS VARCHAR) END AS note
+  FROM ord, (VALUES (0), (1)) v(i) WHERE i = 0 OR o_orderkey % 3 = 0),
 ev_regions AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos, count(*) OVER () AS n FROM region),
 xfer AS (SELECT event_id AS seq, f.r_name AS from_branch, t.r_name AS to_branch,
   CAST(user_id AS VARCHAR) AS product_code, CAST(event_id % 61 AS INT) AS qty
@@ -297,6 +308,32 @@ FROM (SELECT *, """ + _first_valid("id, b", "50001") + """ AS code FROM (
     WHEN NOT EXISTS (SELECT 1 FROM invoice i WHERE i.invoice_id = id AND i.branch_code = b) THEN '50001' END AS pre
   FROM (SELECT *, upper(trim(branch_code)) AS b, trim(invoice_id) AS id FROM inv_del) r0) p) r"""),
 
+    "invoice_replace": _q("""SELECT g.seq, g.id AS invoice_id, g.b AS branch_code, g.code IS NULL AS accepted,
+  g.code AS reject_code, a2.product_code_after, a2.qty_after, a2.unit_price_after, a2.product_name_after,
+  a2.employee_id_after, a2.note_after
+FROM g LEFT JOIN a2 ON a2.seq = g.seq""", """g AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+    WHEN NOT EXISTS (SELECT 1 FROM invoice i WHERE i.invoice_id = id AND i.branch_code = b) THEN '50001' END AS code
+  FROM (SELECT *, upper(trim(branch_code)) AS b, trim(invoice_id) AS id FROM repl) r0),
+fl AS (SELECT invoice_id, branch_code, min(product_code) AS p0, arg_min(qty, product_code) AS q0
+  FROM invoice_line GROUP BY 1, 2),
+ok AS (SELECT g.*, i.employee_id AS e0, i.note AS n0, fl.p0, fl.q0 FROM g
+  JOIN invoice i ON i.invoice_id = g.id AND i.branch_code = g.b
+  LEFT JOIN fl ON fl.invoice_id = g.id AND fl.branch_code = g.b WHERE g.code IS NULL),
+a1 AS (SELECT ok.*,
+  coalesce(last_value(nullif(trim(product_code), '') IGNORE NULLS) OVER w, p0) AS product_code_after,
+  CAST(coalesce(last_value(CASE WHEN qty > 0 THEN qty END IGNORE NULLS) OVER w, q0) AS INT) AS qty_after,
+  coalesce(last_value(nullif(trim(employee_id), '') IGNORE NULLS) OVER w, e0) AS employee_id_after,
+  coalesce(last_value(note IGNORE NULLS) OVER w, n0) AS note_after
+  FROM ok WINDOW w AS (PARTITION BY id, b ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a2 AS (SELECT a1.*,
+  CAST(coalesce(last_value(CAST(CASE WHEN a1.unit_price > 0 THEN a1.unit_price
+                                     WHEN a1.total_amount > 0 AND a1.qty > 0 THEN a1.total_amount / a1.qty END
+                                AS DECIMAL(10,2)) IGNORE NULLS) OVER w2, p.unit_price, 0) AS DECIMAL(10,2)) AS unit_price_after,
+  coalesce(last_value(nullif(trim(a1.product_name), '') IGNORE NULLS) OVER w2, p.product_name, a1.product_code_after)
+    AS product_name_after
+  FROM a1 LEFT JOIN product p ON p.product_code = a1.product_code_after
+  WINDOW w2 AS (PARTITION BY a1.product_code_after ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""),
+
     "invoice_item_merge": _q("SELECT seq, product_code, qty, price AS given_price FROM sale_merged"),
 
     "invoice_price_resolve": _q("""SELECT m.seq, m.product_code,

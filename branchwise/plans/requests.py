@@ -253,3 +253,25 @@ def inventory_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("branch_code"),
         F.when(k % 11 == 0, F.concat(F.lit("U"), _s(k))).when(k % 13 == 0, F.lit(" "))
          .otherwise(F.concat(F.lit(" "), _s(k))).alias("requested_code"))
+
+
+def invoice_replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One replace per order, a second one for every third order; products
+    are drawn from 50 codes so the catalogue rule chains across invoices."""
+    k = F.col("o_orderkey")
+    ob = _order_branch(spark, sf_dir)
+    reps = F.sequence(F.lit(0), F.when(k % 3 == 0, F.lit(1)).otherwise(F.lit(0)))
+    o = ob.select("*", F.explode(reps).alias("i"))
+    i = F.col("i")
+    q = (k + i) % 9
+    return o.select(
+        (k * 2 + i).alias("seq"),
+        F.col("r_name").alias("branch_code"),
+        F.when(k % 17 == 0, F.concat(F.lit("Z"), _s(k))).otherwise(_s(k)).alias("invoice_id"),
+        F.when((i == 0) & (k % 2 == 0), F.lit(None).cast("string")).otherwise(_s((k + i) % 50)).alias("product_code"),
+        F.when(k % 6 == 0, F.concat(F.lit("Renamed "), _s(k))).alias("product_name"),
+        F.when(k % 5 == 0, F.lit(0)).otherwise(q).cast("int").alias("qty"),
+        F.when(k % 4 == 0, (k % 100 + F.lit(0.5)).cast(MONEY)).alias("unit_price"),
+        F.when((k % 7 == 0) & (q > 0), (q * 3).cast("decimal(12,2)")).alias("total_amount"),
+        F.when(k % 8 == 0, F.concat(F.lit("E"), _s(k))).alias("employee_id"),
+        F.when(k % 10 == 0, F.concat(F.lit("note "), _s(k))).alias("note"))
