@@ -28,6 +28,7 @@ windows over (key, bucket), so no task holds a whole hot key.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -61,16 +62,21 @@ class Settled:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)  # makes sure a checkpoint folder is set
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` as Parquet into the shared folder (the
+    cluster's ``spark.checkpoint.dir``) and read it back.
 
+    One computation (a reliable ``checkpoint()`` computes an uncached plan
+    twice), columnar files with statistics for the planner, and nothing on
+    executor-local disks: a lost executor does not lose it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
 
-    Reliable checkpoint (not a local one): a lost executor does not lose
-    it, and the lineage of later steps starts here.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (see ``_checkpoint``)."""
     return _checkpoint(df)
 
 
@@ -209,9 +215,9 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
     bal = _earlier_sums(acc, ["net", "credit"], bucketed)
-    bal = bal.select(*KEY, "seq", "debit", "credit",
-                     (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
-                     (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before"))
+    bal = _checkpoint(bal.select(*KEY, "seq", "debit", "credit",
+                                 (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
+                                 (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before")))
     return Settled(status=state, moves=bal, rounds=rounds)
 
 

@@ -119,20 +119,24 @@ def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
     r = with_branch(req, t).withColumn("_inv", X.clean("invoice_id")).withColumn("_emp", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_emp"), F.col("branch_code").alias("_branch"))
     r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok")
+    # Items are parsed once: one row per (request, item code) carries the
+    # merged quantity and price and the item checks of its raw items.
     items = explode_items(req.select("seq", "items_json"))
-    item_stats = items.groupBy("seq").agg(
-        F.count("item_pos").alias("_n_items"),
-        F.max(X.is_blank("item_code") | F.col("item_qty").isNull() | (F.col("item_qty") <= 0))
-        .alias("_bad_item"))
-    merged = A.materialize(
-        items.where(F.col("item_code").isNotNull() & (F.col("item_code") != ""))
+    bad = X.is_blank("item_code") | F.col("item_qty").isNull() | (F.col("item_qty") <= 0)
+    per_item = A.materialize(
+        items.where(F.col("item_pos").isNotNull())
         .groupBy("seq", "item_code")
-        .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(bad).alias("_bad"),
+             F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price"))
         .join(t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat")),
               "item_code", "left"))
-    price_stats = merged.groupBy("seq").agg(
-        F.max(X.resolve_price("price", "_cat") <= 0).alias("_bad_price"))
-    r = r.join(item_stats, "seq", "left").join(price_stats, "seq", "left")
+    merged = per_item.where(F.col("item_code").isNotNull() & (F.col("item_code") != "")) \
+        .select("seq", "item_code", "qty", "price", "_cat")
+    has_code = F.col("item_code").isNotNull() & (F.col("item_code") != "")
+    item_stats = per_item.groupBy("seq").agg(
+        F.sum("_n").alias("_n_items"), F.max("_bad").alias("_bad_item"),
+        F.max(has_code & (X.resolve_price("price", "_cat") <= 0)).alias("_bad_price"))
+    r = r.join(item_stats, "seq", "left")
     pre = [
         (~F.col("_branch_ok"), str(X.E_INPUT)),
         (X.is_blank("invoice_id") | X.is_blank("employee_id") | X.is_blank("items_json"), str(X.E_INPUT)),
@@ -145,17 +149,23 @@ def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
     r = _invoice_owner(t, r, F.col("_pre").isNull())
     r = A.materialize(r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
                                    .when(F.col("_foreign"), F.lit(PK_INVOICE))))
-    live = r.where(F.col("_code").isNull()).select("seq", "_inv", "_branch")
+    live = r.where(F.col("_code").isNull()).select("seq", "_inv", "_branch", "_is_new")
     m = merged.join(live, "seq")
+    # A line can only collide on an invoice that exists already or that
+    # several requests name; lines of any other new invoice are unique
+    # (items are merged per product), so they need no line move at all.
+    shared = live.groupBy("_inv").agg(F.count(F.lit(1)).alias("_uses"), F.min("_is_new").alias("_new"))
+    shared = shared.where((F.col("_uses") > 1) | ~F.col("_new")).select("_inv")
+    lm = m.join(shared, "_inv", "left_semi")
     moves = m.select("seq", F.lit("S").alias("kind"), F.col("item_code").alias("k1"),
                      F.col("_branch").alias("k2"), F.col("qty").alias("debit"),
                      F.lit(0).cast("bigint").alias("credit"), F.lit(True).alias("chk_exists"),
                      F.lit(True).alias("chk_enough"), F.lit(False).alias("chk_absent")) \
-        .unionByName(m.select("seq", F.lit("L").alias("kind"), F.col("_inv").alias("k1"),
+        .unionByName(lm.select("seq", F.lit("L").alias("kind"), F.col("_inv").alias("k1"),
                               F.col("item_code").alias("k2"), F.lit(0).cast("bigint").alias("debit"),
                               F.lit(1).cast("bigint").alias("credit"), F.lit(False).alias("chk_exists"),
                               F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent")))
-    opening = _stock_opening(t).unionByName(_line_opening(t, live))
+    opening = _stock_opening(t).unionByName(_line_opening(t, shared))
     settled = A.settle(moves, opening, [(str(X.E_50005), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
     tables, r = _sale_effects(t, r, merged, settled, now)
     totals = (merged.where(F.col("_cat").isNotNull())
