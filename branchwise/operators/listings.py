@@ -132,10 +132,17 @@ def invoice_list(t: Tables, branch: str | None = None) -> DataFrame:
     Lines are summed per invoice before the join.
     """
     inv = _branch_filter(t.invoice, branch)
+    emp = t.employee.select("employee_id", "branch_code", F.col("full_name").alias("employee_name"))
+    if t.invoice_summary is not None:
+        # Stored per-invoice totals: one scan, no join with the lines.
+        s = _branch_filter(t.invoice_summary, branch)
+        j = s.withColumnRenamed("n_lines", "line_count").join(emp, ["employee_id", "branch_code"], "left")
+        return (j.select("invoice_id", "total", F.col("line_count").cast("bigint").alias("line_count"),
+                         "note", "created_at", "branch_code", "employee_id", "employee_name")
+                .orderBy(F.desc("created_at")))
     per = (t.invoice_line.groupBy("invoice_id", "branch_code")
            .agg(F.sum(X.amount()).cast(TOTAL).alias("total"),
                 F.count("product_code").alias("line_count")))
-    emp = t.employee.select("employee_id", "branch_code", F.col("full_name").alias("employee_name"))
     if "employee_id" in inv.columns:
         j = (inv.join(per, ["invoice_id", "branch_code"], "left")
              .join(emp, ["employee_id", "branch_code"], "left"))

@@ -26,6 +26,14 @@ def _branch_filter(df: DataFrame, branch: str | None) -> DataFrame:
     return df if branch is None else df.where(F.col("branch_code") == F.lit(branch))
 
 
+def _branch_cond(branch: str | None):
+    return None if branch is None else (F.col("branch_code") == F.lit(branch))
+
+
+def _and(a, b):
+    return b if a is None else (a if b is None else a & b)
+
+
 # ------------------------------------------------------------------ revenue
 def revenue_by_branch(t: Tables) -> DataFrame:
     """Revenue of the registered (active) branches, sorted by branch."""
@@ -69,7 +77,7 @@ def revenue_share(t: Tables) -> DataFrame:
 
 def daily_revenue(t: Tables, branch: str | None = None) -> DataFrame:
     """Distinct orders and revenue by branch and day; day DESC, branch."""
-    tot = invoice_totals(t, _branch_filter(t.invoice, branch))
+    tot = invoice_totals(t, _branch_cond(branch))
     return (tot.groupBy("branch_code", F.to_date("created_at").alias("day"))
             .agg(F.count(F.lit(1)).alias("order_count"), X.money_sum("total").alias("revenue"))
             .orderBy(F.desc("day"), "branch_code"))
@@ -77,7 +85,7 @@ def daily_revenue(t: Tables, branch: str | None = None) -> DataFrame:
 
 def weekly_revenue(t: Tables, branch: str | None = None) -> DataFrame:
     """The same by branch, year and DATEPART(WEEK) (not ISO)."""
-    tot = invoice_totals(t, _branch_filter(t.invoice, branch))
+    tot = invoice_totals(t, _branch_cond(branch))
     return (tot.groupBy("branch_code",
                         X.sql_year("created_at").alias("year"),
                         X.sql_week("created_at").alias("week"))
@@ -114,8 +122,7 @@ def week_compare(t: Tables, as_of, rolling: bool = False) -> DataFrame:
         prev = X.week_bounds(as_of, -1)
     is_this = X.in_days("created_at", *this)
     is_prev = X.in_days("created_at", *prev) if prev else F.lit(False)
-    inv = t.invoice.where(is_this | is_prev)
-    tot = invoice_totals(t, inv)
+    tot = invoice_totals(t, is_this | is_prev)
     zero = F.lit(0).cast(TOTAL)
     return (tot.groupBy("branch_code")
             .agg(X.money_sum(F.when(is_this, F.col("total")).otherwise(zero)).alias("this_week"),
@@ -135,7 +142,7 @@ def branch_dashboard_all(t: Tables, branch: str | None = None) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("employee_count")))
     inv = (_branch_filter(t.invoice, branch).groupBy("branch_code")
            .agg(F.count(F.lit(1)).alias("invoice_count")))
-    rev = (invoice_totals(t, _branch_filter(t.invoice, branch)).groupBy("branch_code")
+    rev = (invoice_totals(t, _branch_cond(branch)).groupBy("branch_code")
            .agg(X.money_sum("total").alias("revenue")))
     stock = (_branch_filter(t.inventory, branch).groupBy("branch_code")
              .agg(X.int_sum("qty").alias("total_stock_units"),
@@ -169,9 +176,8 @@ def branch_revenue_7d(t: Tables, as_of, branch: str | None = None) -> DataFrame:
     spine = (_branch_filter(t.branch, branch)
              .select("branch_code",
                      F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day")))
-    inv = _branch_filter(t.invoice, branch).where(
-        X.in_days("created_at", first, as_of + _dt.timedelta(days=1)))
-    per_day = (invoice_totals(t, inv)
+    cond = _and(_branch_cond(branch), X.in_days("created_at", first, as_of + _dt.timedelta(days=1)))
+    per_day = (invoice_totals(t, cond)
                .groupBy("branch_code", F.to_date("created_at").alias("day"))
                .agg(X.money_sum("total").alias("revenue")))
     return (spine.join(per_day, ["branch_code", "day"], "left")
@@ -213,9 +219,9 @@ def revenue_report_zero_filled(t: Tables) -> DataFrame:
 
     Its ``invoice_count`` counts line rows, not invoices (kept as is).
     """
-    per = (global_invoice_lines(t).groupBy("branch_code")
-           .agg(X.money_sum("amount").alias("revenue"),
-                F.count(F.lit(1)).alias("invoice_count")))
+    per = (invoice_totals(t).groupBy("branch_code")
+           .agg(X.money_sum("total").alias("revenue"),
+                F.sum("n_lines").alias("invoice_count")))
     return (t.branch.select("branch_code").join(per, "branch_code", "left")
             .select("branch_code",
                     F.coalesce("revenue", F.lit(0).cast(TOTAL)).alias("revenue"),
@@ -237,8 +243,7 @@ def best_employee_week(t: Tables, as_of) -> DataFrame:
     another branch is dropped.  Revenue is summed per (branch, employee)
     before the join; ties go to the smaller employee id.
     """
-    inv = t.invoice.where(X.in_week("created_at", X.as_date(as_of)))
-    per = (invoice_totals(t, inv).groupBy("branch_code", "employee_id")
+    per = (invoice_totals(t, X.in_week("created_at", X.as_date(as_of))).groupBy("branch_code", "employee_id")
            .agg(X.money_sum("total").alias("revenue")))
     emp = t.employee.select("employee_id", "branch_code", "full_name")
     joined = per.join(emp, ["employee_id", "branch_code"])

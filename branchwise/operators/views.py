@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from branchwise.functions.exprs import amount
-from branchwise.sources.schemas import Tables
+from branchwise.sources.schemas import TOTAL, Tables
 
 
 def fragment(df: DataFrame, branch_code: str) -> DataFrame:
@@ -52,19 +52,42 @@ def global_invoice_lines(t: Tables, invoices: DataFrame | None = None) -> DataFr
                     amount("qty", "unit_price").alias("amount")))
 
 
-def invoice_totals(t: Tables, invoices: DataFrame | None = None) -> DataFrame:
-    """One row per invoice that has lines: total, line count, units.
+def invoice_summary(t: Tables) -> DataFrame:
+    """Every invoice with its total, line count and units (NULL total and 0
+    lines for an invoice without lines).  Lines are summed per invoice
+    before the join (map-side partial aggregation)."""
+    per_invoice = (t.invoice_line
+                   .groupBy("invoice_id", "branch_code")
+                   .agg(F.sum(amount("qty", "unit_price")).cast(TOTAL).alias("total"),
+                        F.count(F.lit(1)).alias("n_lines"),
+                        F.sum("qty").alias("units")))
+    inv = t.invoice.select("invoice_id", "note", "created_at", "branch_code", "employee_id")
+    return (inv.join(per_invoice, ["invoice_id", "branch_code"], "left")
+            .select("invoice_id", "note", "created_at", "branch_code", "employee_id", "total",
+                    F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+                    F.coalesce("units", F.lit(0)).cast("bigint").alias("units")))
 
-    Lines are summed per invoice *before* the join (map-side partial
-    aggregation), so the join and every later grouping see one row per
-    invoice instead of one per line, and COUNT(DISTINCT invoice) becomes a
-    plain count.  Exact: the amounts are decimals.
+
+def invoice_totals(t: Tables, cond: Column | None = None) -> DataFrame:
+    """One row per invoice that has lines (optionally filtered by ``cond`` on
+    invoice columns): total, line count, units.
+
+    Reads the stored summary when the snapshot has one (a single scan, no
+    join); otherwise sums lines per invoice before joining the headers, so
+    every later join and grouping sees one row per invoice and COUNT
+    (DISTINCT invoice) becomes a plain count.  Exact: amounts are decimals.
     """
+    cols = ["invoice_id", "branch_code", "created_at", "employee_id", "total", "n_lines", "units"]
+    if t.invoice_summary is not None:
+        s = t.invoice_summary
+        if cond is not None:
+            s = s.where(cond)
+        return s.where(F.col("n_lines") > 0).select(*cols)
     per_invoice = (t.invoice_line
                    .groupBy("invoice_id", "branch_code")
-                   .agg(F.sum(amount("qty", "unit_price")).alias("total"),
+                   .agg(F.sum(amount("qty", "unit_price")).cast(TOTAL).alias("total"),
                         F.count(F.lit(1)).alias("n_lines"),
-                        F.sum("qty").alias("units")))
-    inv = (invoices if invoices is not None else t.invoice).select(
-        "invoice_id", "branch_code", "created_at", "employee_id")
-    return inv.join(per_invoice, ["invoice_id", "branch_code"])
+                        F.sum("qty").cast("bigint").alias("units")))
+    inv = t.invoice if cond is None else t.invoice.where(cond)
+    inv = inv.select("invoice_id", "branch_code", "created_at", "employee_id")
+    return inv.join(per_invoice, ["invoice_id", "branch_code"]).select(*cols)

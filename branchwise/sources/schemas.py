@@ -7,7 +7,7 @@ the fragment column of its invoice so each fragment holds its own lines.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -58,6 +58,17 @@ INVOICE_LINE = T.StructType([
     T.StructField("branch_code", T.StringType(), False),
 ])
 
+INVOICE_SUMMARY = T.StructType([
+    T.StructField("invoice_id", T.StringType(), False),
+    T.StructField("note", T.StringType(), True),
+    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("branch_code", T.StringType(), False),
+    T.StructField("employee_id", T.StringType(), True),
+    T.StructField("total", TOTAL, True),
+    T.StructField("n_lines", T.LongType(), False),
+    T.StructField("units", T.LongType(), False),
+])
+
 SCHEMAS = {
     "branch": BRANCH,
     "employee": EMPLOYEE,
@@ -89,12 +100,19 @@ class Tables:
     invoice: DataFrame
     inventory: DataFrame
     invoice_line: DataFrame
+    # Derived per-invoice totals stored beside the snapshot (see
+    # ``store.invoice_summary``); None when absent or out of date.
+    invoice_summary: DataFrame | None = None
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self)]
+        return list(SCHEMAS)
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     def with_tables(self, **changed: DataFrame) -> "Tables":
+        """New state; a change of invoices or lines drops the derived summary,
+        so readers fall back to computing totals from the lines."""
+        if ("invoice" in changed or "invoice_line" in changed) and "invoice_summary" not in changed:
+            changed["invoice_summary"] = None
         return replace(self, **changed)
