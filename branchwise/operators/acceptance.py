@@ -34,13 +34,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from branchwise.operators import ordered
 from branchwise.session import shared_dir
 
 ACCEPTED, REJECTED, UNDECIDED = "A", "R", "U"
 KEY = ["kind", "k1", "k2"]
 
-# A key is cut into buckets of at most this many moves for the running sums.
-ROWS_PER_BUCKET = 200_000
 
 # Check names a move can carry.
 EXISTS, ENOUGH, ABSENT = "exists", "enough", "absent"
@@ -80,40 +79,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return _checkpoint(df)
 
 
-def _prepare(moves: DataFrame, opening: DataFrame) -> DataFrame:
-    """Attach the opening balance, the key's move count and a bucket number."""
+def _prepare(moves: DataFrame, opening: DataFrame) -> tuple[DataFrame, bool]:
+    """Attach the opening balance, the key's move count (``key_rows``) and a
+    bucket number; also tell whether any key is hot."""
     op = opening.select(*KEY, F.col("qty").cast("bigint").alias("open_qty"),
                         F.lit(True).alias("open_exists"))
     m = (moves.join(op, KEY, "left")
          .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
          .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
-    stats = m.groupBy(*KEY).agg(F.count(F.lit(1)).alias("key_moves"), F.min("seq").alias("_lo"),
-                                F.max("seq").alias("_hi"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("key_moves") / F.lit(ROWS_PER_BUCKET)))
-    bucket = F.when(nb == 1, F.lit(0)).otherwise(
-        F.floor((F.col("seq") - F.col("_lo")) * nb / (F.col("_hi") - F.col("_lo") + 1)))
-    return (m.join(stats, KEY).withColumn("bucket", bucket.cast("bigint"))
-            .drop("_lo", "_hi"))
+    return ordered.bucketize(m, KEY, "seq")
 
 
 def _earlier_sums(df: DataFrame, cols: list[str], bucketed: bool) -> DataFrame:
-    """Add ``p_<c>``: sum of ``c`` over strictly earlier moves of the same key.
-
-    ``bucketed`` is set when some key has more moves than ROWS_PER_BUCKET;
-    then per-bucket totals give offsets and the windows run per (key,
-    bucket).  Otherwise one window per key is enough.
-    """
-    if not bucketed:
-        w = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"p_{c}") for c in cols])
-    tot = df.groupBy(*KEY, "bucket").agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
-    wb = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*KEY, "bucket", *[F.coalesce(F.sum(f"t_{c}").over(wb), F.lit(0)).alias(f"o_{c}")
-                                       for c in cols])
-    wm = Window.partitionBy(*KEY, "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.select("*", *[F.coalesce(F.sum(c).over(wm), F.lit(0)).alias(f"w_{c}") for c in cols])
-    out = inner.join(off, KEY + ["bucket"])
-    return out.select(*df.columns, *[(F.col(f"o_{c}") + F.col(f"w_{c}")).alias(f"p_{c}") for c in cols])
+    """Add ``p_<c>``: sum of ``c`` over strictly earlier moves of the same key."""
+    return ordered.running_sums(df, KEY, cols, bucketed)
 
 
 def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
@@ -190,12 +169,11 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     ``checks``: ordered (reject_code, [check names]) -- the first group a
     request fails gives its code, as the procedures test in that order.
     """
-    prepared = _checkpoint(_prepare(moves, opening))
-    # One scalar: does any key need more than one bucket?
-    bucketed = prepared.where(F.col("bucket") > 0).limit(1).count() > 0
+    prepared, bucketed = _prepare(moves, opening)
+    prepared = _checkpoint(prepared)
     # Moves alone on their key are decided once; only shared keys iterate.
-    static = _checkpoint(_static_checks(prepared.where(F.col("key_moves") == 1)))
-    m = _checkpoint(prepared.where(F.col("key_moves") > 1))
+    static = _checkpoint(_static_checks(prepared.where(F.col("key_rows") == 1)))
+    m = _checkpoint(prepared.where(F.col("key_rows") > 1))
     state = _checkpoint(prepared.select("seq").distinct()
                         .select("seq", F.lit(UNDECIDED).alias("status"),
                                 F.lit(None).cast("string").alias("reject_code")))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.functions import exprs as X
+from branchwise.operators import ordered
 from branchwise.sources.schemas import MONEY, Tables
 
 BAD_BRANCH = "BAD_BRANCH"
@@ -422,29 +423,30 @@ def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
     first = (t.invoice_line.groupBy(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"))
              .agg(F.min(F.struct("product_code", "qty")).alias("_f")))
     ok = r.where(F.col("_code").isNull()).join(first, ["_id", "_branch"], "left")
-    upto = Window.partitionBy("_id", "_branch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ok = ok.select(
-        "*",
-        F.coalesce(F.last(X.blank_to_null("product_code"), True).over(upto), F.col("_f.product_code"))
-        .alias("product_code_after"),
-        F.coalesce(F.last(F.when(F.col("qty") > 0, F.col("qty")), True).over(upto), F.col("_f.qty"))
-        .cast("int").alias("qty_after"),
-        F.coalesce(F.last(X.blank_to_null("employee_id"), True).over(upto), F.col("_emp0"))
-        .alias("employee_id_after"),
-        F.coalesce(F.last("note", True).over(upto), F.col("_note0")).alias("note_after"))
+    # "Last value up to this request" per invoice, then per product; both
+    # are skew-safe ordered scans (hot keys are cut into seq buckets).
+    ok, hot = ordered.bucketize(ok, ["_id", "_branch"])
+    ok = ordered.running_last(ok, ["_id", "_branch"], {
+        "_p": X.blank_to_null("product_code"),
+        "_q": F.when(F.col("qty") > 0, F.col("qty")),
+        "_e": X.blank_to_null("employee_id"),
+        "_n": F.col("note")}, hot)
+    ok = ok.select(*[c for c in ok.columns if c not in ("bucket", "key_rows")],
+                   F.coalesce("_p", F.col("_f.product_code")).alias("product_code_after"),
+                   F.coalesce("_q", F.col("_f.qty")).cast("int").alias("qty_after"),
+                   F.coalesce("_e", "_emp0").alias("employee_id_after"),
+                   F.coalesce("_n", "_note0").alias("note_after"))
     cat = t.product.select(F.col("product_code").alias("product_code_after"), F.col("product_name").alias("_name0"),
                            F.col("unit_price").alias("_price0"))
     ok = ok.join(cat, "product_code_after", "left")
     explicit = (F.when(F.col("unit_price") > 0, F.col("unit_price"))
                 .when((F.col("total_amount") > 0) & (F.col("qty") > 0), F.col("total_amount") / F.col("qty")))
-    by_product = Window.partitionBy("product_code_after").orderBy("seq") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    ok = ok.select(
-        "*",
-        F.coalesce(F.last(explicit.cast(MONEY), True).over(by_product), F.col("_price0"), F.lit(0))
-        .cast(MONEY).alias("unit_price_after"),
-        F.coalesce(F.last(X.blank_to_null("product_name"), True).over(by_product), F.col("_name0"),
-                   F.col("product_code_after")).alias("product_name_after"))
+    ok, hot = ordered.bucketize(ok, ["product_code_after"])
+    ok = ordered.running_last(ok, ["product_code_after"], {
+        "_price": explicit.cast(MONEY), "_name": X.blank_to_null("product_name")}, hot)
+    ok = ok.select("*",
+                   F.coalesce("_price", "_price0", F.lit(0)).cast(MONEY).alias("unit_price_after"),
+                   F.coalesce("_name", "_name0", "product_code_after").alias("product_name_after"))
     after = ok.select("seq", "product_code_after", "qty_after", "unit_price_after", "product_name_after",
                       "employee_id_after", "note_after")
     out = r.join(after, "seq", "left")

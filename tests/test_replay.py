@@ -119,3 +119,21 @@ def test_random_sales_match_replay(spark, seed):
     got = {r.seq: (r.accepted, r.reject_code, r.line_count, r.total) for r in res.outcome.collect()}
     want = replay.post_invoices(state_of(t), [r.asDict() for r in req.collect()])
     assert got == want
+
+
+def test_hot_key_buckets_give_the_same_answers(spark, tables, monkeypatch):
+    """Force the bucketed (hot key) path with tiny buckets."""
+    from branchwise.operators import ordered
+    from branchwise.operators import changes as C
+    req = RQ.transfer_requests(spark, SF001)
+    plain = S.transfer_stock(tables, req)
+    plain_out = {r.seq: tuple(r) for r in plain.outcome.collect()}
+    rep_req = RQ.invoice_replaces(spark, SF001)
+    plain_rep = {r.seq: tuple(r) for r in C.replace_invoices(tables, rep_req).outcome.collect()}
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 3)
+    hot = S.transfer_stock(tables, req)
+    assert {r.seq: tuple(r) for r in hot.outcome.collect()} == plain_out
+    st = state_of(tables)
+    want = replay.transfers(st, [r.asDict() for r in req.collect()])
+    assert {r.seq: (r.accepted, r.reject_code, r.from_before, r.to_before) for r in hot.outcome.collect()} == want
+    assert {r.seq: tuple(r) for r in C.replace_invoices(tables, rep_req).outcome.collect()} == plain_rep
