@@ -232,15 +232,19 @@ def explode_items(df: DataFrame, json_col: str = "items_json") -> DataFrame:
                     F.col("item.DonGia").alias("item_price")))
 
 
-# Documents per invoice are split into this many chunks by product hash,
-# so one huge invoice is packed by many tasks.
-ITEM_DOC_CHUNKS = 64
+# A JSON item document holds at most about this many items; a larger
+# invoice is packed as several documents (chunks by product hash), so no
+# collected group grows with the data.
+ITEMS_PER_DOC = 1000
 
 
 def pack_invoice_items(t: Tables) -> DataFrame:
     """Lines -> JSON item documents (``JSON.stringify(items)``)."""
-    chunk = F.pmod(F.xxhash64("product_code"), F.lit(ITEM_DOC_CHUNKS))
-    return (t.invoice_line.groupBy("invoice_id", chunk.alias("chunk"))
+    sizes = t.invoice_line.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("_n"))
+    docs = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(ITEMS_PER_DOC)))
+    chunk = F.pmod(F.xxhash64("product_code"), docs)
+    return (t.invoice_line.join(sizes, "invoice_id")
+            .groupBy("invoice_id", chunk.alias("chunk"))
             .agg(F.to_json(F.collect_list(F.struct(F.col("product_code").alias("MaSP"),
                                                    F.col("qty").alias("SoLuong"),
                                                    F.col("unit_price").alias("DonGia"))))

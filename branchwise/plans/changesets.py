@@ -85,8 +85,8 @@ def _single_line_requests(s, d):
     from branchwise.sources.adapter import read
     li = read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     first = li.groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("f"))
-    req = RQ.sale_requests(s, d).drop("items_json")
-    return (req.join(first, req.seq == first.l_orderkey, "left")
+    heads = RQ.sale_headers(s, d)
+    return (heads.join(first, heads.o_orderkey == first.l_orderkey, "left")
             .select("seq", "invoice_id", "employee_id",
                     F.col("f.l_partkey").cast("string").alias("product_code"),
                     F.col("f.l_quantity").cast("int").alias("qty"), "note", "branch_code"))
@@ -170,12 +170,14 @@ ord AS (SELECT o_orderkey, o_orderpriority, g.branch_code FROM orders
 inv_del AS (SELECT o_orderkey * 2 + i AS seq,
   CASE WHEN o_orderkey % 7 = 0 THEN 'NOWHERE' ELSE branch_code END AS branch_code,
   CAST(o_orderkey AS VARCHAR) AS invoice_id FROM ord, (VALUES (0), (1)) v(i) WHERE i = 0 OR o_orderkey % 11 = 0),
-sale_items AS (SELECT l_orderkey AS seq, CAST(l_partkey AS VARCHAR) AS product_code, CAST(l_quantity AS INT) AS qty,
+sale_items AS (SELECT l_orderkey * 1048576
+    + l_partkey % least(1048576, greatest(1, CAST(ceil(count(*) OVER (PARTITION BY l_orderkey) / 1000) AS BIGINT))) AS seq,
+  CAST(l_partkey AS VARCHAR) AS product_code, CAST(l_quantity AS INT) AS qty,
   CASE WHEN l_partkey % 2 = 1 THEN CAST(p_retailprice AS DECIMAL(10,2)) END AS price
   FROM lineitem JOIN part ON p_partkey = l_partkey),
 sale_merged AS (SELECT seq, product_code, CAST(sum(qty) AS BIGINT) AS qty, max(price) AS price
   FROM sale_items GROUP BY seq, product_code),
-sale_branch AS (SELECT o_orderkey AS seq, branch_code FROM ord),
+sale_branch AS (SELECT o_orderkey AS order_key, branch_code FROM ord),
 repl AS (SELECT o_orderkey * 2 + i AS seq, branch_code,
   CASE WHEN o_orderkey % 17 = 0 THEN 'Z' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS invoice_id,
   CASE WHEN i = 0 AND o_orderkey % 2 = 0 THEN NULL ELSE CAST((o_orderkey + i) % 50 AS VARCHAR) END AS product_code,
@@ -343,7 +345,7 @@ FROM sale_merged m LEFT JOIN product p ON p.product_code = m.product_code"""),
     "invoice_stock_check": _q("""SELECT m.seq, count(*) AS product_count,
   CAST(count(*) FILTER (WHERE v.qty IS NULL) AS BIGINT) AS missing_rows,
   CAST(count(*) FILTER (WHERE v.qty < m.qty) AS BIGINT) AS short_rows
-FROM sale_merged m JOIN sale_branch sb ON sb.seq = m.seq
+FROM sale_merged m JOIN sale_branch sb ON sb.order_key = m.seq // 1048576
 LEFT JOIN inventory v ON v.product_code = m.product_code AND v.branch_code = sb.branch_code
 GROUP BY m.seq"""),
 

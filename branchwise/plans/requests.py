@@ -171,38 +171,67 @@ def invoice_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(k).alias("invoice_id"))
 
 
-def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One multi-line sale per order, its items a JSON document of its lines.
+# A sale document holds at most about this many items: a larger order is
+# split into several documents (several requests on the same invoice).
+ITEMS_PER_DOC = 1000
+# Room for the documents of one order in ``seq`` (order key * SEQ_SPACE + doc).
+SEQ_SPACE = 1 << 20
+
+
+def _sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    sup = _suppliers(spark, sf_dir).select("s_suppkey", F.col("r_name").alias("s_branch"))
+    ob = _order_branch(spark, sf_dir).select("o_orderkey", F.col("r_name").alias("o_branch"))
+    return (li.join(part, li.l_partkey == part.p_partkey)
+            .join(sup, li.l_suppkey == sup.s_suppkey)
+            .join(ob, li.l_orderkey == ob.o_orderkey))
+
+
+def sale_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sale header per order: seq base, invoice id, seller, note, branch.
 
     The seller is a supplier of the order's branch when one of its lines
     has such a supplier, else the smallest supplier (a foreign seller, 50001).
-    DonGia is left out for even part keys (the catalogue price is used).
     Every tenth order re-uses its own invoice id (Q6: lines appended or PK_LINE).
     """
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    sup = _suppliers(spark, sf_dir).select("s_suppkey", F.col("r_name").alias("s_branch"))
+    per_order = (_sale_lines(spark, sf_dir).groupBy("l_orderkey")
+                 .agg(F.count(F.lit(1)).alias("n_lines"),
+                      F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
+                      F.min("l_suppkey").alias("any_seller")))
     ob = _order_branch(spark, sf_dir)
-    items = (li.join(part, li.l_partkey == part.p_partkey)
-             .join(sup, li.l_suppkey == sup.s_suppkey)
-             .join(ob.select("o_orderkey", F.col("r_name").alias("o_branch")),
-                   li.l_orderkey == F.col("o_orderkey"))
-             .groupBy("l_orderkey")
-             .agg(F.to_json(F.collect_list(F.struct(
-                 _s(F.col("l_partkey")).alias("MaSP"),
-                 F.col("l_quantity").cast("int").alias("SoLuong"),
-                 F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias("DonGia"))))
-                  .alias("items_json"),
-                  F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
-                  F.min("l_suppkey").alias("any_seller")))
     k = F.col("o_orderkey")
-    return (ob.join(items, ob.o_orderkey == items.l_orderkey, "left")
-            .select(k.alias("seq"),
+    return (ob.join(per_order, ob.o_orderkey == per_order.l_orderkey, "left")
+            .select("o_orderkey", (k * SEQ_SPACE).alias("seq"),
                     F.when(k % 10 == 0, _s(k)).otherwise(F.concat(F.lit("N"), _s(k))).alias("invoice_id"),
                     _s(F.coalesce("own", "any_seller")).alias("employee_id"),
                     F.col("o_orderpriority").alias("note"),
                     F.col("r_name").alias("branch_code"),
-                    "items_json"))
+                    F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
+
+
+def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-line sales: each order's lines as JSON item documents.
+
+    An order becomes one document, or ``ceil(lines / ITEMS_PER_DOC)``
+    documents split by part key, so no document (one collected group) grows
+    with the data.  DonGia is left out for even part keys (the catalogue
+    price is used).  An order without lines is a request without items.
+    """
+    heads = sale_headers(spark, sf_dir)
+    docs_per_order = F.least(F.lit(SEQ_SPACE), F.greatest(F.lit(1), F.ceil(F.col("n_lines") / ITEMS_PER_DOC)))
+    lines = _sale_lines(spark, sf_dir).join(heads.select(F.col("o_orderkey").alias("l_orderkey"), "n_lines"),
+                                            "l_orderkey")
+    docs = (lines.withColumn("doc", F.pmod(F.col("l_partkey"), docs_per_order))
+            .groupBy("l_orderkey", "doc")
+            .agg(F.to_json(F.collect_list(F.struct(
+                _s(F.col("l_partkey")).alias("MaSP"),
+                F.col("l_quantity").cast("int").alias("SoLuong"),
+                F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias("DonGia"))))
+                 .alias("items_json")))
+    return (heads.join(docs, heads.o_orderkey == docs.l_orderkey, "left")
+            .select((F.col("seq") + F.coalesce("doc", F.lit(0))).alias("seq"), "invoice_id", "employee_id",
+                    "note", "branch_code", "items_json"))
 
 
 def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
