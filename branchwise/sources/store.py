@@ -87,12 +87,18 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     (partitioned by branch) and every later query scans that snapshot, the
     way the reference's reports scan stored tables.
     """
-    lazy = adapter.canonical_tables(spark, sf_dir)
     if not materialize:
-        return lazy
+        return adapter.canonical_tables(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _OPENED:
         root = f"{shared_dir(spark)}/store/{uuid.uuid4().hex[:12]}"
+
+        def share(df: DataFrame) -> DataFrame:
+            path = f"{root}/_staging/{uuid.uuid4().hex[:8]}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        lazy = adapter.canonical_tables(spark, sf_dir, share)
         paths = publish(spark, root, 0, {n: lazy.get(n) for n in SCHEMAS})
         stored = read_tables(spark, paths)
         _OPENED[key] = stored.with_tables(invoice_summary=write_summary(spark, root, 0, stored))
