@@ -28,14 +28,13 @@ windows over (key, bucket), so no task holds a whole hot key.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.operators import ordered
-from branchwise.session import shared_dir
+from branchwise.session import materialize
 
 ACCEPTED, REJECTED, UNDECIDED = "A", "R", "U"
 KEY = ["kind", "k1", "k2"]
@@ -61,22 +60,7 @@ class Settled:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder (the
-    cluster's ``spark.checkpoint.dir``) and read it back.
-
-    One computation (a reliable ``checkpoint()`` computes an uncached plan
-    twice), columnar files with statistics for the planner, and nothing on
-    executor-local disks: a lost executor does not lose it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (see ``_checkpoint``)."""
-    return _checkpoint(df)
+    return materialize(df)
 
 
 def _prepare(moves: DataFrame, opening: DataFrame) -> tuple[DataFrame, bool]:
@@ -122,9 +106,13 @@ def _static_checks(single: DataFrame) -> DataFrame:
     return single.groupBy("seq").agg(*_check_aggs(single, ex, ex, bal, bal))
 
 
-def _round(m: DataFrame, state: DataFrame, static: DataFrame, checks: list[tuple[str, list[str]]],
-           bucketed: bool) -> DataFrame:
-    """One round: new status for the undecided requests."""
+_STATIC = [f"s{x}_{n}" for n in CHECK_NAMES for x in "fo"]
+
+
+def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]], bucketed: bool) -> DataFrame:
+    """One round: the whole new state.  Decided requests keep their status;
+    undecided ones are decided from the bounds of this round and their
+    static checks, which the state rows carry."""
     live = m.join(state.where(F.col("status") != REJECTED).select("seq", "status"), "seq")
     a = F.col("status") == ACCEPTED
     zero = F.lit(0).cast("bigint")
@@ -140,9 +128,7 @@ def _round(m: DataFrame, state: DataFrame, static: DataFrame, checks: list[tuple
     bal_lo = F.col("open_qty") + F.col("p_cA") - F.col("p_dAU")
     bal_hi = F.col("open_qty") + F.col("p_cAU") - F.col("p_dA")
     dyn = p.where(F.col("status") == UNDECIDED).groupBy("seq").agg(*_check_aggs(p, ex_lo, ex_hi, bal_lo, bal_hi))
-    und = state.where(F.col("status") == UNDECIDED).select("seq")
-    st = static.select("seq", *[F.col(f"{x}_{n}").alias(f"s{x}_{n}") for n in CHECK_NAMES for x in "fo"])
-    per = und.join(dyn, "seq", "left").join(st, "seq", "left")
+    j = state.join(dyn, "seq", "left")
     status = None
     code = None
     for reject_code, names in checks:
@@ -157,7 +143,11 @@ def _round(m: DataFrame, state: DataFrame, static: DataFrame, checks: list[tuple
         code = code.when(~o, F.lit(None).cast("string"))
     status = F.lit(ACCEPTED) if status is None else status.otherwise(F.lit(ACCEPTED))
     code = F.lit(None).cast("string") if code is None else code.otherwise(F.lit(None).cast("string"))
-    return per.select("seq", status.alias("status"), code.alias("reject_code"))
+    und = F.col("status") == UNDECIDED
+    return j.select("seq",
+                    F.when(und, status).otherwise(F.col("status")).alias("status"),
+                    F.when(und, code).otherwise(F.col("reject_code")).alias("reject_code"),
+                    *_STATIC)
 
 
 def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[str]]]) -> Settled:
@@ -171,25 +161,19 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     """
     prepared, bucketed = _prepare(moves, opening)
     prepared = _checkpoint(prepared)
-    # Moves alone on their key are decided once; only shared keys iterate.
-    static = _checkpoint(_static_checks(prepared.where(F.col("key_rows") == 1)))
+    # Moves alone on their key are decided once (their flags ride on the
+    # state rows); only moves on shared keys take part in the rounds.
+    static = _static_checks(prepared.where(F.col("key_rows") == 1)).select(
+        "seq", *[F.col(c[1:]).alias(c) for c in _STATIC])
     m = _checkpoint(prepared.where(F.col("key_rows") > 1))
-    state = _checkpoint(prepared.select("seq").distinct()
+    state = _checkpoint(prepared.select("seq").distinct().join(static, "seq", "left")
                         .select("seq", F.lit(UNDECIDED).alias("status"),
-                                F.lit(None).cast("string").alias("reject_code")))
+                                F.lit(None).cast("string").alias("reject_code"), *_STATIC))
     rounds = 0
-    while True:
-        undecided = state.where(F.col("status") == UNDECIDED).count()
-        if undecided == 0:
-            break
+    while state.where(F.col("status") == UNDECIDED).limit(1).count() > 0:
         rounds += 1
-        new = _round(m, state, static, checks, bucketed).withColumnRenamed("status", "_s") \
-            .withColumnRenamed("reject_code", "_c")
-        state = _checkpoint(
-            state.join(new, "seq", "left")
-            .select("seq", F.coalesce("_s", "status").alias("status"),
-                    F.when(F.col("_s").isNotNull(), F.col("_c")).otherwise(F.col("reject_code"))
-                    .alias("reject_code")))
+        state = _checkpoint(_round(m, state, checks, bucketed))
+    state = state.select("seq", "status", "reject_code")
     acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
     bal = _earlier_sums(acc, ["net", "credit"], bucketed)
