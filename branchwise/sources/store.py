@@ -11,6 +11,7 @@ reading one branch is a partition filter that prunes whole folders.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,24 +43,6 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])
 
 
-def publish(spark: SparkSession, root: str, version: int, changed: dict[str, DataFrame],
-            base: dict[str, str] | None = None) -> dict[str, str]:
-    """Write the changed tables as ``version`` and then its manifest.
-
-    ``base`` maps the unchanged tables to their current paths; they are
-    carried into the new manifest without being rewritten.
-    """
-    paths = dict(base or {})
-    for name, df in changed.items():
-        path = f"{root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
-        write_table(df, name, path)
-        paths[name] = path
-    rows = [(int(version), n, p) for n, p in sorted(paths.items())]
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite") \
-        .json(f"{root}/_manifest/v={version}")
-    return paths
-
-
 def latest_manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]] | None:
     try:
         m = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/_manifest/*")
@@ -76,19 +59,99 @@ def read_tables(spark: SparkSession, paths: dict[str, str]) -> Tables:
     return Tables(**{n: read_table(spark, n, paths[n]) for n in SCHEMAS})
 
 
-_OPENED: dict[tuple[str, str], Tables] = {}
+SUMMARY = "invoice_summary"
+
+
+@dataclass
+class Store:
+    """A versioned store in the shared folder: ``root`` holds one folder per
+    table version and one manifest per store version."""
+
+    spark: SparkSession
+    root: str
+    version: int
+    paths: dict[str, str]
+    tables: Tables
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> "Store":
+        """The newest published version (readers never see a half-written one)."""
+        found = latest_manifest(spark, root)
+        if found is None:
+            raise FileNotFoundError(f"no published version under {root}")
+        version, paths = found
+        t = read_tables(spark, {n: paths[n] for n in SCHEMAS})
+        if SUMMARY in paths:
+            t = t.with_tables(invoice_summary=_read_summary(spark, paths[SUMMARY]))
+        return cls(spark, root, version, paths, t)
+
+    def commit(self, new: Tables) -> "Store":
+        """Publish ``new`` as the next version.
+
+        Only tables that changed are written; unchanged ones keep their
+        paths.  The summary is rebuilt from the new snapshot when invoices or
+        lines changed.  Data first, manifest last: a failure before the
+        manifest leaves the previous version current, and a re-run writes
+        fresh folders.
+        """
+        version = self.version + 1
+        changed = {n: new.get(n) for n in SCHEMAS if new.get(n) is not self.tables.get(n)}
+        base = {n: p for n, p in self.paths.items() if n not in changed and n != SUMMARY}
+        paths = _write_tables(self.root, version, changed, base)
+        t = read_tables(self.spark, paths)
+        if "invoice" in changed or "invoice_line" in changed or SUMMARY not in self.paths:
+            paths[SUMMARY] = _write_summary(self.root, version, t)
+        else:
+            paths[SUMMARY] = self.paths[SUMMARY]
+        _write_manifest(self.spark, self.root, version, paths)
+        t = t.with_tables(invoice_summary=_read_summary(self.spark, paths[SUMMARY]))
+        return Store(self.spark, self.root, version, paths, t)
+
+
+def _write_tables(root: str, version: int, changed: dict[str, DataFrame],
+                  base: dict[str, str]) -> dict[str, str]:
+    paths = dict(base)
+    for name, df in changed.items():
+        path = f"{root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
+        write_table(df, name, path)
+        paths[name] = path
+    return paths
 
 
-def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
-    """Canonical tables for a driver data folder.
+def _write_manifest(spark: SparkSession, root: str, version: int, paths: dict[str, str]) -> None:
+    rows = [(int(version), n, p) for n, p in sorted(paths.items())]
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite") \
+        .json(f"{root}/_manifest/v={version}")
 
-    ``materialize=False`` returns the lazy adapter plans.  Otherwise the
-    adapter output is written once per application into the shared folder
-    (partitioned by branch) and every later query scans that snapshot, the
-    way the reference's reports scan stored tables.
+
+def _write_summary(root: str, version: int, t: Tables) -> str:
+    """Derived table of a snapshot: every invoice with its total, line count
+    and units, partitioned by branch like its sources.  Written once per
+    snapshot version, it turns the revenue reports into one scan plus a
+    partial aggregate instead of a line aggregation and a join each time."""
+    from branchwise.operators.views import invoice_summary
+
+    path = f"{root}/{SUMMARY}/v={version}-{uuid.uuid4().hex[:8]}"
+    invoice_summary(t).write.mode("overwrite").partitionBy("branch_code").parquet(path)
+    return path
+
+
+def _read_summary(spark: SparkSession, path: str) -> DataFrame:
+    from branchwise.sources.schemas import INVOICE_SUMMARY
+
+    return spark.read.schema(INVOICE_SUMMARY).parquet(path).select(*[f.name for f in INVOICE_SUMMARY.fields])
+
+
+_OPENED: dict[tuple[str, str], Store] = {}
+
+
+def open_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store built from a driver data folder, once per application.
+
+    The adapter output is written into the shared folder (partitioned by
+    branch) as version 0 with its summary; later queries scan that snapshot,
+    the way the reference's reports scan stored tables.
     """
-    if not materialize:
-        return adapter.canonical_tables(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _OPENED:
         root = f"{shared_dir(spark)}/store/{uuid.uuid4().hex[:12]}"
@@ -99,20 +162,16 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
             return spark.read.schema(df.schema).parquet(path)
 
         lazy = adapter.canonical_tables(spark, sf_dir, share)
-        paths = publish(spark, root, 0, {n: lazy.get(n) for n in SCHEMAS})
-        stored = read_tables(spark, paths)
-        _OPENED[key] = stored.with_tables(invoice_summary=write_summary(spark, root, 0, stored))
+        paths = _write_tables(root, 0, {n: lazy.get(n) for n in SCHEMAS}, {})
+        paths[SUMMARY] = _write_summary(root, 0, read_tables(spark, paths))
+        _write_manifest(spark, root, 0, paths)
+        _OPENED[key] = Store.open(spark, root)
     return _OPENED[key]
 
 
-def write_summary(spark: SparkSession, root: str, version: int, t: Tables) -> DataFrame:
-    """Derived table of a snapshot: every invoice with its total, line count
-    and units, partitioned by branch like its sources.  Written once per
-    snapshot version, it turns the revenue reports into one scan plus a
-    partial aggregate instead of a line aggregation and a join each time."""
-    from branchwise.operators.views import invoice_summary
-    from branchwise.sources.schemas import INVOICE_SUMMARY
-
-    path = f"{root}/invoice_summary/v={version}-{uuid.uuid4().hex[:8]}"
-    invoice_summary(t).write.mode("overwrite").partitionBy("branch_code").parquet(path)
-    return spark.read.schema(INVOICE_SUMMARY).parquet(path).select(*[f.name for f in INVOICE_SUMMARY.fields])
+def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
+    """Canonical tables for a driver data folder (see ``open_store``);
+    ``materialize=False`` returns the adapter's lazy plans instead."""
+    if not materialize:
+        return adapter.canonical_tables(spark, sf_dir)
+    return open_store(spark, sf_dir).tables
