@@ -46,7 +46,12 @@ def fragment_roundtrip(t: Tables) -> DataFrame:
     """Every fragment read on its own (partition filter), then UNION ALL."""
     from branchwise.operators.views import fragment, union_fragments
 
-    codes = [r.branch_code for r in t.branch.select("branch_code").collect()]  # registry, bounded
+    from branchwise.sources.adapter import MAX_BRANCHES
+
+    rows = t.branch.select("branch_code").limit(MAX_BRANCHES + 1).collect()  # the registry
+    if len(rows) > MAX_BRANCHES:
+        raise ValueError(f"branch registry larger than {MAX_BRANCHES} rows")
+    codes = [r.branch_code for r in rows]
     frags = [fragment(t.invoice, code).select("invoice_id", "branch_code", "created_at")
              for code in codes]
     return union_fragments(frags)
@@ -201,16 +206,22 @@ def invoice_documents(t: Tables) -> DataFrame:
 
 
 def invoice_documents_nested(t: Tables) -> DataFrame:
-    """L12 nested document: items as an array of structs sorted by code.
+    """L12 nested document: items as arrays of structs sorted by code.
 
-    One document per invoice, the size of the invoice itself (the
-    reference builds it from one request's items).
+    A document page holds at most about ``ITEMS_PER_DOC`` items (pages split
+    an invoice by product hash), so no collected array grows with the data;
+    ``total`` and ``item_count`` are the whole invoice's.
     """
     d = invoice_details(t)
+    sizes = d.groupBy("invoice_id", "branch_code").agg(
+        F.sum("amount").cast(TOTAL).alias("total"), F.count(F.lit(1)).alias("item_count"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("item_count") / F.lit(ITEMS_PER_DOC)))
     items = F.sort_array(F.collect_list(F.struct("product_code", "product_name", "qty",
                                                  "unit_price", "amount")))
-    per = d.groupBy("invoice_id", "branch_code").agg(
-        F.sum("amount").cast(TOTAL).alias("total"), items.alias("items"))
+    per = (d.join(sizes, ["invoice_id", "branch_code"])
+           .groupBy("invoice_id", "branch_code", "total", "item_count",
+                    F.pmod(F.xxhash64("product_code"), pages).alias("page"))
+           .agg(items.alias("items")))
     return t.invoice.join(per, ["invoice_id", "branch_code"], "left")
 
 

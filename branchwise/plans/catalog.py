@@ -94,8 +94,8 @@ def _customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    return c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey)
+    geo = n.join(r, n.n_regionkey == r.r_regionkey)
+    return c.join(geo, c.c_nationkey == geo.n_nationkey)
 
 
 def _json_roundtrip(df: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ from branchwise.sources.schemas import MONEY
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey) \
+    return nation.join(region, nation.n_regionkey == region.r_regionkey) \
         .select("n_nationkey", "r_regionkey", "r_name")
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    return s.join(F.broadcast(_geo(spark, sf_dir)), s.s_nationkey == F.col("n_nationkey"))
+    return s.join(_geo(spark, sf_dir), s.s_nationkey == F.col("n_nationkey"))
 
 
 def _regions(spark: SparkSession, sf_dir: str):
@@ -130,33 +130,40 @@ def stock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k + i * 7) % 50 - 5).cast("int").alias("qty"))
 
 
+def _grid_repeats(spark: SparkSession, sf_dir: str, repeat) -> DataFrame:
+    """part x region, each stock row once plus once more where ``repeat`` holds."""
+    p = read(spark, sf_dir, "part").select("p_partkey")
+    g = p.select("p_partkey", F.explode(_regions(spark, sf_dir)).alias("r")) \
+        .select("p_partkey", F.col("r.rk").alias("r_regionkey"), F.col("r.name").alias("r_name"))
+    reps = F.sequence(F.lit(0), F.when(repeat, F.lit(1)).otherwise(F.lit(0)))
+    return g.select("*", F.explode(reps).alias("i"))
+
+
 def stock_row_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One delete per stock row of even parts, repeated for parts divisible by 6."""
+    """One delete per stock row (odd parts ask for unknown codes); parts
+    divisible by 6 ask twice (the repeat is refused)."""
     k, rk, i = F.col("p_partkey"), F.col("r_regionkey"), F.col("i")
-    g = _grid(spark, sf_dir, 2)
-    return g.select(
+    return _grid_repeats(spark, sf_dir, k % 6 == 0).select(
         ((k * 1024 + rk) * 2 + i).alias("seq"),
         F.col("r_name").alias("branch_code"),
         F.when(k % 2 == 1, F.concat(F.lit("U"), _s(k))).otherwise(_s(k)).alias("product_code"),
-        F.lit(None).cast("int").alias("qty"),
-        ((i == 0) | (k % 6 == 0)).alias("_keep")).where("_keep").drop("_keep")
+        F.lit(None).cast("int").alias("qty"))
 
 
 def stock_row_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One create per stock row; odd parts twice (the repeat is refused)."""
     k, rk, i = F.col("p_partkey"), F.col("r_regionkey"), F.col("i")
-    return _grid(spark, sf_dir, 2).select(
+    return _grid_repeats(spark, sf_dir, k % 2 == 1).select(
         ((k * 1024 + rk) * 2 + i).alias("seq"),
         F.col("r_name").alias("branch_code"),
         F.when(k % 19 == 0, F.concat(F.lit("U"), _s(k))).otherwise(_s(k)).alias("product_code"),
-        ((k + rk) % 40).cast("int").alias("qty"),
-        ((i == 0) | (k % 2 == 1)).alias("_keep")).where("_keep").drop("_keep")
+        ((k + rk) % 40).cast("int").alias("qty"))
 
 
 def _order_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    cb = c.join(F.broadcast(_geo(spark, sf_dir)), c.c_nationkey == F.col("n_nationkey")) \
+    cb = c.join(_geo(spark, sf_dir), c.c_nationkey == F.col("n_nationkey")) \
         .select("c_custkey", "r_name")
     return o.join(cb, o.o_custkey == cb.c_custkey).select("o_orderkey", "o_orderpriority", "r_name")
 

@@ -13,10 +13,10 @@ Rules (one per canonical table):
 * inventory  = one row per (part, branch) with
   ``qty = (p_partkey * 7 + r_regionkey * 13) % 240``
 
-Every join is an equi-join.  Region and nation are broadcast: their size is
-bounded by the number of nations and branches, not by the data.  Customer,
-orders, part and lineitem grow with the data and are left to the planner
-(AQE turns a join into a broadcast join only after measuring the real size).
+Every join is an equi-join and carries no broadcast hint: the planner
+broadcasts a side only when its measured size (file statistics, then AQE's
+runtime statistics) is below the broadcast threshold, so region and nation
+are broadcast and the tables that grow with the data are shuffled.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation -> branch code; 25 rows at every scale factor."""
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return (nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
             .select("n_nationkey", F.col("r_name").alias("branch_code")))
 
 
@@ -67,7 +67,7 @@ def branch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def employee_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     geo = _geo(spark, sf_dir)
-    return (supplier.join(F.broadcast(geo), supplier.s_nationkey == geo.n_nationkey)
+    return (supplier.join(geo, supplier.s_nationkey == geo.n_nationkey)
             .select(
                 F.col("s_suppkey").cast("string").alias("employee_id"),
                 F.col("s_name").alias("full_name"),
@@ -99,7 +99,7 @@ def _order_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     geo = _geo(spark, sf_dir)
-    cust = (customer.join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey)
+    cust = (customer.join(geo, customer.c_nationkey == geo.n_nationkey)
             .select("c_custkey", "branch_code"))
     return orders.join(cust, orders.o_custkey == cust.c_custkey).drop("o_custkey", "c_custkey")
 
