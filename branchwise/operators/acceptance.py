@@ -51,12 +51,14 @@ class Settled:
     ``status``: (seq, status 'A'/'R', reject_code) for every request that had
     moves.  ``moves``: every move of an accepted request with the key's
     balance right before it (``balance_before``) and whether the key existed.
-    ``rounds``: number of rounds used.
+    ``rounds``: number of rounds used; ``undecided_per_round``: requests
+    still undecided after each round.
     """
 
     status: DataFrame
     moves: DataFrame
     rounds: int
+    undecided_per_round: list[int]
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -97,6 +99,10 @@ def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
 
 CHECK_NAMES = (EXISTS, ENOUGH, ABSENT)
 
+# Drop fully decided keys from the rounds each time the undecided set has
+# shrunk this many times.
+COMPACT_RATIO = 8
+
 
 def _static_checks(single: DataFrame) -> DataFrame:
     """Checks of moves that are alone on their key: no earlier move, so the
@@ -170,9 +176,23 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
                         .select("seq", F.lit(UNDECIDED).alias("status"),
                                 F.lit(None).cast("string").alias("reject_code"), *_STATIC))
     rounds = 0
-    while state.where(F.col("status") == UNDECIDED).limit(1).count() > 0:
+    undecided = state.count()
+    compacted_at = undecided
+    trace: list[int] = []
+    while undecided > 0:
         rounds += 1
         state = _checkpoint(_round(m, state, checks, bucketed))
+        undecided = state.where(F.col("status") == UNDECIDED).count()
+        trace.append(undecided)
+        if 0 < undecided * COMPACT_RATIO <= compacted_at:
+            # A key whose moves are all decided can never change an undecided
+            # request again: keep only keys that still have an undecided
+            # move.  Done each time the undecided set has shrunk
+            # COMPACT_RATIO-fold, so later rounds read only the keys still in
+            # conflict while the number of compactions stays logarithmic.
+            open_moves = m.join(state.where(F.col("status") == UNDECIDED).select("seq"), "seq", "left_semi")
+            m = _checkpoint(m.join(open_moves.select(*KEY).distinct(), KEY, "left_semi"))
+            compacted_at = undecided
     state = state.select("seq", "status", "reject_code")
     acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
@@ -180,7 +200,7 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     bal = _checkpoint(bal.select(*KEY, "seq", "debit", "credit",
                                  (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
                                  (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before")))
-    return Settled(status=state, moves=bal, rounds=rounds)
+    return Settled(status=state, moves=bal, rounds=rounds, undecided_per_round=trace)
 
 
 def apply_deltas(opening: DataFrame, accepted_moves: DataFrame) -> DataFrame:

@@ -137,3 +137,13 @@ def test_hot_key_buckets_give_the_same_answers(spark, tables, monkeypatch):
     want = replay.transfers(st, [r.asDict() for r in req.collect()])
     assert {r.seq: (r.accepted, r.reject_code, r.from_before, r.to_before) for r in hot.outcome.collect()} == want
     assert {r.seq: tuple(r) for r in C.replace_invoices(tables, rep_req).outcome.collect()} == plain_rep
+
+
+def test_compaction_every_round_keeps_the_answer(spark, tables, monkeypatch):
+    from branchwise.operators import acceptance
+    monkeypatch.setattr(acceptance, "COMPACT_RATIO", 1)
+    req = RQ.transfer_requests(spark, SF001)
+    res = S.transfer_stock(tables, req)
+    got = {r.seq: (r.accepted, r.reject_code, r.from_before, r.to_before) for r in res.outcome.collect()}
+    assert got == replay.transfers(state_of(tables), [r.asDict() for r in req.collect()])
+    assert res.rounds >= 2
