@@ -172,14 +172,20 @@ def _branch_grid(t: Tables):
     return F.array(*[F.lit(r.branch_code) for r in rows]) if rows else F.array().cast("array<string>")
 
 
-def create_products(t: Tables, req: DataFrame) -> ChangeResult:
+def create_products(t: Tables, req: DataFrame, service_rules: bool = False) -> ChangeResult:
     """Requests (seq, product_code, product_name, unit_price).
 
     Guards: blank code, blank name, price <= 0 (50000); NULL price
     (NOT_NULL); code exists, also when an earlier request created it
     (50000).  A created product gets a 0-stock row in every branch where
-    it has none.
+    it has none.  ``service_rules`` applies the service layer first: an
+    empty or missing name becomes the code, a missing price becomes 0.
     """
+    if service_rules:
+        req = req.withColumn("product_name", F.when(
+            F.col("product_name").isNull() | (F.col("product_name") == ""), X.clean("product_code"))
+            .otherwise(F.col("product_name"))) \
+            .withColumn("unit_price", F.coalesce(F.col("unit_price"), F.lit(0).cast(MONEY)))
     r = req.withColumn("_code_in", X.clean("product_code"))
     r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
     r = r.withColumn("_pre", first_code([

@@ -125,3 +125,15 @@ def test_scan_reads_only_needed_columns(spark, tables):
     # the invoice scan of this report needs neither note nor created_at
     scans = [line for line in plan.splitlines() if line.strip().startswith("ReadSchema")]
     assert scans and not any("note" in s for s in scans)
+
+
+def test_product_create_service_rules(spark, tiny):
+    req = spark.createDataFrame([(1, "P7", "", Decimal("3.00")), (2, "P8", "  ", Decimal("3.00")),
+                                 (3, "P9", "Nine", None)],
+                                "seq BIGINT, product_code STRING, product_name STRING, unit_price DECIMAL(10,2)")
+    proc = {r.seq: r.reject_code for r in C.create_products(tiny, req).outcome.collect()}
+    assert proc == {1: "50000", 2: "50000", 3: "NOT_NULL"}
+    res = C.create_products(tiny, req, service_rules=True)
+    svc = {r.seq: r.reject_code for r in res.outcome.collect()}
+    assert svc == {1: None, 2: "50000", 3: "50000"}
+    assert res.tables.product.where("product_code = 'P7'").first().product_name == "P7"
