@@ -121,14 +121,19 @@ def patch_employees(t: Tables, req: DataFrame) -> ChangeResult:
     e = t.employee.join(latest.withColumnRenamed("_id", "employee_id"), "employee_id", "left")
     new_emp = e.select("employee_id", F.coalesce("_name", "full_name").alias("full_name"),
                        F.coalesce("_title", "job_title").alias("job_title"), "branch_code")
-    after = new_emp.select(F.col("employee_id").alias("_id"), F.col("branch_code").alias("_branch"),
-                           F.col("full_name").alias("full_name_after"),
-                           F.col("job_title").alias("job_title_after"))
-    out = r.join(after, ["_id", "_branch"], "left")
+    # The row as it stands right after each accepted request.
+    acc, hot = ordered.bucketize(r.where(ok), ["_id"])
+    acc = ordered.running_last(acc, ["_id"], {
+        "_n": F.when(~X.is_blank("full_name"), X.clean("full_name")),
+        "_t": F.when(~X.is_blank("job_title"), X.clean("job_title"))}, hot)
+    old = t.employee.select(F.col("employee_id").alias("_id"), F.col("full_name").alias("_n0"),
+                            F.col("job_title").alias("_t0"))
+    after = acc.join(old, "_id", "left").select(
+        "seq", F.coalesce("_n", "_n0").alias("full_name_after"), F.coalesce("_t", "_t0").alias("job_title_after"))
+    out = r.join(after, "seq", "left")
     return ChangeResult(t.with_tables(employee=new_emp),
                         _outcome(out, F.col("_id").alias("employee_id"), F.col("_branch").alias("branch_code"),
-                                 F.when(ok, F.col("full_name_after")).alias("full_name_after"),
-                                 F.when(ok, F.col("job_title_after")).alias("job_title_after")))
+                                 "full_name_after", "job_title_after"))
 
 
 def delete_employees(t: Tables, req: DataFrame) -> ChangeResult:
@@ -232,14 +237,20 @@ def patch_products(t: Tables, req: DataFrame) -> ChangeResult:
     p = t.product.join(latest, "product_code", "left")
     new_prod = p.select("product_code", F.coalesce("_name", "product_name").alias("product_name"),
                         F.coalesce("_price", "unit_price").cast(MONEY).alias("unit_price"))
-    after = new_prod.select(F.col("product_code").alias("_code_in"),
-                            F.col("product_name").alias("product_name_after"),
-                            F.col("unit_price").alias("unit_price_after"))
-    out = r.join(after, "_code_in", "left")
+    # The row as it stands right after each accepted request.
+    acc, hot = ordered.bucketize(r.where(ok), ["_code_in"])
+    acc = ordered.running_last(acc, ["_code_in"], {
+        "_n": F.when(~X.is_blank("product_name"), X.clean("product_name")),
+        "_p": F.col("unit_price").cast(MONEY)}, hot)
+    old = t.product.select(F.col("product_code").alias("_code_in"), F.col("product_name").alias("_n0"),
+                           F.col("unit_price").alias("_p0"))
+    after = acc.join(old, "_code_in", "left").select(
+        "seq", F.coalesce("_n", "_n0").alias("product_name_after"),
+        F.coalesce("_p", "_p0").cast(MONEY).alias("unit_price_after"))
+    out = r.join(after, "seq", "left")
     return ChangeResult(t.with_tables(product=new_prod),
                         _outcome(out, F.col("_code_in").alias("product_code"),
-                                 F.when(ok, F.col("product_name_after")).alias("product_name_after"),
-                                 F.when(ok, F.col("unit_price_after")).alias("unit_price_after")))
+                                 "product_name_after", "unit_price_after"))
 
 
 def delete_products(t: Tables, req: DataFrame) -> ChangeResult:
@@ -273,12 +284,10 @@ def _stock_requests(t: Tables, req: DataFrame) -> DataFrame:
     return _flag(r, inv, ["_code_in", "_branch"], "_exists")
 
 
-def _stock_outcome(t: Tables, r: DataFrame, new_inv: DataFrame, ok: Column) -> DataFrame:
-    after = new_inv.select(F.col("product_code").alias("_code_in"), F.col("branch_code").alias("_branch"),
-                           F.col("qty").alias("qty_after"))
-    out = r.join(after, ["_code_in", "_branch"], "left")
+def _stock_outcome(r: DataFrame, after: DataFrame) -> DataFrame:
+    out = r.join(after, "seq", "left")
     return _outcome(out, F.col("_branch").alias("branch_code"), F.col("_code_in").alias("product_code"),
-                    F.when(ok, F.col("qty_after")).alias("qty_after"))
+                    "qty_after")
 
 
 def set_stock(t: Tables, req: DataFrame) -> ChangeResult:
@@ -300,7 +309,9 @@ def set_stock(t: Tables, req: DataFrame) -> ChangeResult:
             .agg(_last_value(F.col("qty").cast("int"), F.col("seq"), F.lit(True)).alias("_qty")))
     new_inv = (t.inventory.join(last, ["product_code", "branch_code"], "left")
                .select("product_code", "branch_code", F.coalesce("_qty", "qty").cast("int").alias("qty")))
-    return ChangeResult(t.with_tables(inventory=new_inv), _stock_outcome(t, r, new_inv, ok))
+    # Right after an accepted set, the row holds that request's quantity.
+    after = r.where(ok).select("seq", F.col("qty").cast("int").alias("qty_after"))
+    return ChangeResult(t.with_tables(inventory=new_inv), _stock_outcome(r, after))
 
 
 def receive_stock(t: Tables, req: DataFrame) -> ChangeResult:
@@ -323,7 +334,15 @@ def receive_stock(t: Tables, req: DataFrame) -> ChangeResult:
     new_inv = (t.inventory.join(add, ["product_code", "branch_code"], "left")
                .select("product_code", "branch_code",
                        (F.col("qty") + F.coalesce("_add", F.lit(0))).cast("int").alias("qty")))
-    return ChangeResult(t.with_tables(inventory=new_inv), _stock_outcome(t, r, new_inv, ok))
+    # Right after an accepted receipt: opening + all accepted receipts up to it.
+    keys = ["_code_in", "_branch"]
+    acc, hot = ordered.bucketize(r.where(ok).withColumn("_q", F.col("qty").cast("bigint")), keys)
+    acc = ordered.running_sums(acc, keys, ["_q"], hot)
+    opening = t.inventory.select(F.col("product_code").alias("_code_in"), F.col("branch_code").alias("_branch"),
+                                 F.col("qty").alias("_q0"))
+    after = acc.join(opening, keys, "left").select(
+        "seq", (F.col("_q0") + F.col("p__q") + F.col("_q")).cast("int").alias("qty_after"))
+    return ChangeResult(t.with_tables(inventory=new_inv), _stock_outcome(r, after))
 
 
 def create_stock_rows(t: Tables, req: DataFrame) -> ChangeResult:
@@ -346,8 +365,9 @@ def create_stock_rows(t: Tables, req: DataFrame) -> ChangeResult:
         F.col("_code_in").alias("product_code"), F.col("_branch").alias("branch_code"),
         F.coalesce(F.col("qty"), F.lit(0)).cast("int").alias("qty"))
     new_inv = t.inventory.unionByName(new)
-    return ChangeResult(t.with_tables(inventory=new_inv),
-                        _stock_outcome(t, r, new_inv, F.col("_code").isNull()))
+    after = r.where(F.col("_code").isNull()).select(
+        "seq", F.coalesce(F.col("qty"), F.lit(0)).cast("int").alias("qty_after"))
+    return ChangeResult(t.with_tables(inventory=new_inv), _stock_outcome(r, after))
 
 
 def delete_stock_rows(t: Tables, req: DataFrame) -> ChangeResult:

@@ -220,15 +220,17 @@ FROM (SELECT *, """ + _first_valid("id", "50001") + """ AS code FROM (
     WHEN EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id) THEN '50001' END AS pre
   FROM (SELECT *, upper(trim(branch_code)) AS b, trim(employee_id) AS id FROM emp_add) r) p) f"""),
 
-    "employee_patch": _q("""SELECT r.seq, r.id AS employee_id, r.b AS branch_code, r.code IS NULL AS accepted, r.code AS reject_code,
-  CASE WHEN r.code IS NULL THEN coalesce(n.name, e.full_name) END AS full_name_after,
-  CASE WHEN r.code IS NULL THEN coalesce(n.title, e.job_title) END AS job_title_after
-FROM rr r
-LEFT JOIN employee e ON e.employee_id = r.id AND e.branch_code = r.b
-LEFT JOIN (SELECT id,
-    arg_max(trim(full_name), seq) FILTER (WHERE NOT """ + _blank("full_name") + """) AS name,
-    arg_max(trim(job_title), seq) FILTER (WHERE NOT """ + _blank("job_title") + """) AS title
-  FROM rr WHERE code IS NULL GROUP BY id) n ON n.id = r.id""",
+    "employee_patch": _q("""SELECT r.seq, r.id AS employee_id, r.b AS branch_code, r.code IS NULL AS accepted,
+  r.code AS reject_code, a.full_name_after, a.job_title_after
+FROM rr r LEFT JOIN (
+  SELECT x.seq,
+    coalesce(last_value(CASE WHEN NOT """ + _blank("x.full_name") + """ THEN trim(x.full_name) END IGNORE NULLS) OVER w,
+             e.full_name) AS full_name_after,
+    coalesce(last_value(CASE WHEN NOT """ + _blank("x.job_title") + """ THEN trim(x.job_title) END IGNORE NULLS) OVER w,
+             e.job_title) AS job_title_after
+  FROM rr x LEFT JOIN employee e ON e.employee_id = x.id
+  WHERE x.code IS NULL
+  WINDOW w AS (PARTITION BY x.id ORDER BY x.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) a ON a.seq = r.seq""",
                          """rr AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
     WHEN """ + _blank("employee_id") + """ THEN '50000'
     WHEN NOT EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id AND e.branch_code = b) THEN '50001' END AS code
@@ -243,14 +245,15 @@ FROM (SELECT *, """ + _first_valid("id, b", "50001") + """ AS code FROM (
   FROM (SELECT *, upper(trim(branch_code)) AS b, trim(employee_id) AS id FROM emp_del) r) p) f"""),
 
     "product_patch": _q("""SELECT r.seq, r.code_in AS product_code, r.code IS NULL AS accepted, r.code AS reject_code,
-  CASE WHEN r.code IS NULL THEN coalesce(n.name, p.product_name) END AS product_name_after,
-  CASE WHEN r.code IS NULL THEN CAST(coalesce(n.price, p.unit_price) AS DECIMAL(10,2)) END AS unit_price_after
-FROM rr r
-LEFT JOIN product p ON p.product_code = r.code_in
-LEFT JOIN (SELECT code_in,
-    arg_max(trim(product_name), seq) FILTER (WHERE NOT """ + _blank("product_name") + """) AS name,
-    arg_max(unit_price, seq) FILTER (WHERE unit_price IS NOT NULL) AS price
-  FROM rr WHERE code IS NULL GROUP BY code_in) n ON n.code_in = r.code_in""",
+  a.product_name_after, a.unit_price_after
+FROM rr r LEFT JOIN (
+  SELECT x.seq,
+    coalesce(last_value(CASE WHEN NOT """ + _blank("x.product_name") + """ THEN trim(x.product_name) END IGNORE NULLS) OVER w,
+             p.product_name) AS product_name_after,
+    CAST(coalesce(last_value(x.unit_price IGNORE NULLS) OVER w, p.unit_price) AS DECIMAL(10,2)) AS unit_price_after
+  FROM rr x LEFT JOIN product p ON p.product_code = x.code_in
+  WHERE x.code IS NULL
+  WINDOW w AS (PARTITION BY x.code_in ORDER BY x.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) a ON a.seq = r.seq""",
                         """rr AS (SELECT *, CASE WHEN """ + _blank("product_code") + """ THEN '50000'
     WHEN unit_price IS NOT NULL AND unit_price <= 0 THEN '50000'
     WHEN NOT EXISTS (SELECT 1 FROM product p WHERE p.product_code = code_in) THEN '50001' END AS code
@@ -265,11 +268,8 @@ FROM (SELECT *, """ + _first_valid("code_in", "50001") + """ AS code FROM (
 
     "inventory_set": _q("""SELECT r.seq, r.b AS branch_code, r.code_in AS product_code, r.code IS NULL AS accepted,
   r.code AS reject_code,
-  CASE WHEN r.code IS NULL THEN CAST(coalesce(n.qty, v.qty) AS INT) END AS qty_after
-FROM rr r
-LEFT JOIN inventory v ON v.product_code = r.code_in AND v.branch_code = r.b
-LEFT JOIN (SELECT code_in, b, arg_max(qty, seq) AS qty FROM rr WHERE code IS NULL GROUP BY 1, 2) n
-  ON n.code_in = r.code_in AND n.b = r.b""",
+  CASE WHEN r.code IS NULL THEN r.qty END AS qty_after
+FROM rr r""",
                         """rr AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN '50000'
     WHEN """ + _blank("product_code") + """ THEN '50000'
     WHEN qty < 0 THEN '50000'
@@ -279,11 +279,12 @@ LEFT JOIN (SELECT code_in, b, arg_max(qty, seq) AS qty FROM rr WHERE code IS NUL
 
     "stock_receipt": _q("""SELECT r.seq, r.b AS branch_code, r.code_in AS product_code, r.code IS NULL AS accepted,
   r.code AS reject_code,
-  CASE WHEN r.code IS NULL THEN CAST(v.qty + coalesce(n.qty, 0) AS INT) END AS qty_after
-FROM rr r
-LEFT JOIN inventory v ON v.product_code = r.code_in AND v.branch_code = r.b
-LEFT JOIN (SELECT code_in, b, sum(qty) AS qty FROM rr WHERE code IS NULL GROUP BY 1, 2) n
-  ON n.code_in = r.code_in AND n.b = r.b""",
+  a.qty_after
+FROM rr r LEFT JOIN (
+  SELECT x.seq, CAST(v.qty + sum(x.qty) OVER (PARTITION BY x.code_in, x.b ORDER BY x.seq
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS qty_after
+  FROM rr x JOIN inventory v ON v.product_code = x.code_in AND v.branch_code = x.b
+  WHERE x.code IS NULL) a ON a.seq = r.seq""",
                         """rr AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN '50000'
     WHEN """ + _blank("product_code") + """ THEN '50000'
     WHEN qty <= 0 THEN '50000'
