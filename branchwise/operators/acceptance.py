@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.operators import ordered
-from branchwise.session import materialize
+from branchwise.session import materialize, materialize_observed
 
 ACCEPTED, REJECTED, UNDECIDED = "A", "R", "U"
 KEY = ["kind", "k1", "k2"]
@@ -172,17 +172,20 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     static = _static_checks(prepared.where(F.col("key_rows") == 1)).select(
         "seq", *[F.col(c[1:]).alias(c) for c in _STATIC])
     m = _checkpoint(prepared.where(F.col("key_rows") > 1))
-    state = _checkpoint(prepared.select("seq").distinct().join(static, "seq", "left")
-                        .select("seq", F.lit(UNDECIDED).alias("status"),
-                                F.lit(None).cast("string").alias("reject_code"), *_STATIC))
+    und = F.sum(F.when(F.col("status") == UNDECIDED, 1).otherwise(0))
+    state, seen = materialize_observed(
+        prepared.select("seq").distinct().join(static, "seq", "left")
+        .select("seq", F.lit(UNDECIDED).alias("status"), F.lit(None).cast("string").alias("reject_code"),
+                *_STATIC), undecided=und)
     rounds = 0
-    undecided = state.count()
+    undecided = seen.get("undecided") or 0
     compacted_at = undecided
     trace: list[int] = []
     while undecided > 0:
         rounds += 1
-        state = _checkpoint(_round(m, state, checks, bucketed))
-        undecided = state.where(F.col("status") == UNDECIDED).count()
+        # The undecided count comes from the same job that writes the state.
+        state, seen = materialize_observed(_round(m, state, checks, bucketed), undecided=und)
+        undecided = seen.get("undecided") or 0
         trace.append(undecided)
         if 0 < undecided * COMPACT_RATIO <= compacted_at:
             # A key whose moves are all decided can never change an undecided

@@ -40,10 +40,11 @@ def bucketize(df: DataFrame, keys: list[str], order: str = "seq",
     nb = F.greatest(F.lit(1), F.ceil(F.col("key_rows") / F.lit(rows_per_bucket)))
     bucket = F.when(nb == 1, F.lit(0)).otherwise(
         F.floor((F.col(order) - F.col("_lo")) * nb / (F.col("_hi") - F.col("_lo") + 1)))
-    from branchwise.session import materialize
+    from branchwise.session import materialize_observed
 
-    stats = materialize(stats)  # one row per key; read twice below
-    hot = stats.where(F.col("key_rows") > rows_per_bucket).limit(1).count() > 0
+    # One row per key, stored once; the same job reports the largest key.
+    stats, seen = materialize_observed(stats, top=F.max("key_rows"))
+    hot = (seen.get("top") or 0) > rows_per_bucket
     out = _join_keys(df, stats, keys).withColumn("bucket", bucket.cast("bigint")).drop("_lo", "_hi")
     return out, hot
 

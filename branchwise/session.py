@@ -87,3 +87,19 @@ def materialize(df):
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df, **metrics):
+    """``materialize`` that also returns aggregate metrics of the rows
+    written (``name=Column``), computed by the same job via ``observe``:
+    no second pass just to count something."""
+    import uuid
+
+    from pyspark.sql import Observation
+
+    obs = Observation(f"m{uuid.uuid4().hex[:8]}")
+    observed = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    observed.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), dict(obs.get)
