@@ -68,7 +68,7 @@ def to_number(x) -> Column:
 
 # ---------------------------------------------------------------- money
 def amount(qty="qty", price="unit_price") -> Column:
-    """CAST(SoLuong * DonGia AS DECIMAL(18,2)) on INT x DECIMAL(10,2)."""
+    """CAST(qty * unit_price AS DECIMAL(18,2)) on INT x DECIMAL(10,2)."""
     return (c(qty).cast("int") * c(price).cast(MONEY)).cast(AMOUNT)
 
 

@@ -17,11 +17,15 @@ from branchwise.sources.schemas import MONEY, TOTAL, Tables
 # Columns the client hides when present (replication adds them).
 HIDDEN_COLUMNS = ("rowguid", "rowid")
 
-# One JSON item of a sale document (OPENJSON ... WITH).
+# The field names of one item of a sale's JSON document
+# (product code, quantity, optional unit price), as the chain's clients
+# send them; documents are only compatible with these exact names.
+ITEM_CODE, ITEM_QTY, ITEM_PRICE = "MaSP", "SoLuong", "DonGia"
+
 ITEM_SCHEMA = T.StructType([
-    T.StructField("MaSP", T.StringType(), True),
-    T.StructField("SoLuong", T.IntegerType(), True),
-    T.StructField("DonGia", MONEY, True),
+    T.StructField(ITEM_CODE, T.StringType(), True),
+    T.StructField(ITEM_QTY, T.IntegerType(), True),
+    T.StructField(ITEM_PRICE, MONEY, True),
 ])
 ITEMS_SCHEMA = T.ArrayType(ITEM_SCHEMA)
 
@@ -227,7 +231,7 @@ def invoice_documents_nested(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ JSON
 def parse_items(json_col) -> "F.Column":
-    """OPENJSON(@ItemsJson) WITH (MaSP, SoLuong, DonGia) as an array.
+    """The items of a JSON sale document as a typed array.
 
     Malformed text gives NULL (SQL Server raises; both reject the request).
     """
@@ -238,9 +242,9 @@ def explode_items(df: DataFrame, json_col: str = "items_json") -> DataFrame:
     """One row per JSON item with typed, trimmed fields and its position."""
     return (df.select("*", F.posexplode_outer(parse_items(json_col)).alias("item_pos", "item"))
             .select(*df.columns, "item_pos",
-                    X.clean("item.MaSP").alias("item_code"),
-                    F.col("item.SoLuong").alias("item_qty"),
-                    F.col("item.DonGia").alias("item_price")))
+                    X.clean(F.col("item").getField(ITEM_CODE)).alias("item_code"),
+                    F.col("item").getField(ITEM_QTY).alias("item_qty"),
+                    F.col("item").getField(ITEM_PRICE).alias("item_price")))
 
 
 # A JSON item document holds at most about this many items; a larger
@@ -256,9 +260,9 @@ def pack_invoice_items(t: Tables) -> DataFrame:
     chunk = F.pmod(F.xxhash64("product_code"), docs)
     return (t.invoice_line.join(sizes, "invoice_id")
             .groupBy("invoice_id", chunk.alias("chunk"))
-            .agg(F.to_json(F.collect_list(F.struct(F.col("product_code").alias("MaSP"),
-                                                   F.col("qty").alias("SoLuong"),
-                                                   F.col("unit_price").alias("DonGia"))))
+            .agg(F.to_json(F.collect_list(F.struct(F.col("product_code").alias(ITEM_CODE),
+                                                   F.col("qty").alias(ITEM_QTY),
+                                                   F.col("unit_price").alias(ITEM_PRICE))))
                  .alias("items_json")))
 
 

@@ -94,7 +94,7 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
 
 def merge_items(req: DataFrame) -> DataFrame:
     """S7 + merge: one row per (request, product): quantities summed, the
-    largest given price kept (the procedure's ``GROUP BY MaSP``)."""
+    largest given price kept, as the sale procedure groups its items."""
     items = explode_items(req.select("seq", "items_json"))
     return (items.where(F.col("item_code").isNotNull() & (F.col("item_code") != ""))
             .groupBy("seq", "item_code")

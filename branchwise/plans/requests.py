@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from branchwise.operators.listings import ITEM_CODE, ITEM_PRICE, ITEM_QTY
 from branchwise.sources.adapter import MAX_BRANCHES, read
 from branchwise.sources.schemas import MONEY
 
@@ -222,7 +223,7 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An order becomes one document, or ``ceil(lines / ITEMS_PER_DOC)``
     documents split by part key, so no document (one collected group) grows
-    with the data.  DonGia is left out for even part keys (the catalogue
+    with the data.  The unit price is left out for even part keys (the catalogue
     price is used).  An order without lines is a request without items.
     """
     heads = sale_headers(spark, sf_dir)
@@ -232,9 +233,9 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = (lines.withColumn("doc", F.pmod(F.col("l_partkey"), docs_per_order))
             .groupBy("l_orderkey", "doc")
             .agg(F.to_json(F.collect_list(F.struct(
-                _s(F.col("l_partkey")).alias("MaSP"),
-                F.col("l_quantity").cast("int").alias("SoLuong"),
-                F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias("DonGia"))))
+                _s(F.col("l_partkey")).alias(ITEM_CODE),
+                F.col("l_quantity").cast("int").alias(ITEM_QTY),
+                F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias(ITEM_PRICE))))
                  .alias("items_json")))
     return (heads.join(docs, heads.o_orderkey == docs.l_orderkey, "left")
             .select((F.col("seq") + F.coalesce("doc", F.lit(0))).alias("seq"), "invoice_id", "employee_id",
