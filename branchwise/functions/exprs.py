@@ -172,5 +172,17 @@ def display_time(ts) -> Column:
     return F.date_format(c(ts), "dd/MM/yyyy HH:mm:ss")
 
 
+def generated_id(prefix, batch_tag: str, seq="seq") -> Column:
+    """Batch form of the service's generated ids: ``<prefix><batch tag>_<seq>``.
+
+    The service uses the clock (``HD_<epoch ms>``; a branch letter plus the
+    last digits of the clock for employees, which can collide).  Here the id
+    is a function of the batch and the request, so a re-run of the same
+    batch gives the same ids and two requests never share one.
+    """
+    pre = F.lit(prefix) if isinstance(prefix, str) else prefix
+    return F.concat(pre, F.lit(batch_tag), F.lit("_"), c(seq).cast("string"))
+
+
 def isin_cols(x, values: Iterable[str]) -> Column:
     return c(x).isin(list(values))

@@ -76,12 +76,19 @@ def _outcome(df: DataFrame, *cols) -> DataFrame:
 
 
 # ------------------------------------------------------------------ employees
-def add_employees(t: Tables, req: DataFrame) -> ChangeResult:
+def add_employees(t: Tables, req: DataFrame, generate_ids: str | None = None) -> ChangeResult:
     """Requests (seq, branch_code, employee_id, full_name, job_title).
 
     Guards in order: branch (BAD_BRANCH); blank id, name, title (50000); id
     exists (50001); an earlier accepted request took the id (50001).
+    ``generate_ids`` (a batch tag) applies the service form: a blank id is
+    replaced by ``<branch letter><tag>_<seq>``.
     """
+    if generate_ids is not None:
+        letter = F.substring(X.normalise_branch("branch_code"), 1, 1)
+        req = req.withColumn("employee_id", F.when(X.is_blank("employee_id"),
+                                                   X.generated_id(letter, generate_ids))
+                             .otherwise(F.col("employee_id")))
     r = with_branch(req, t).withColumn("_id", X.clean("employee_id"))
     r = _flag(r, t.employee.select(F.col("employee_id").alias("_id")), ["_id"], "_exists")
     pre = first_code([

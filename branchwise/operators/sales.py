@@ -101,7 +101,7 @@ def merge_items(req: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price")))
 
 
-def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
+def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None = None) -> ChangeResult:
     """P10: multi-line sales from JSON item documents, all-or-nothing.
 
     Requests (seq, invoice_id, employee_id, note, branch_code, items_json).
@@ -111,7 +111,12 @@ def post_invoices(t: Tables, req: DataFrame, now=None) -> ChangeResult:
     without a positive price (50004); invoice id of another branch
     (PK_INVOICE); stock row missing or short for any product (50005); a
     product already on the invoice (PK_LINE).
+
+    ``generate_ids`` (a batch tag) applies the service form: every request
+    gets a new invoice id ``HD_<tag>_<seq>`` instead of the one it names.
     """
+    if generate_ids is not None:
+        req = req.withColumn("invoice_id", X.generated_id("HD_", generate_ids))
     # The request batch is read once: it is materialised in the shared
     # checkpoint folder, and so are the parsed items and the guard results,
     # which every later step reads several times.

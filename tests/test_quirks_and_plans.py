@@ -159,3 +159,17 @@ def test_nested_documents_are_whole_and_paged(spark, tables, monkeypatch):
     assert paged.count() > docs.count()
     n = paged.groupBy("invoice_id").agg(F.sum(F.size("items")).alias("n")).agg(F.sum("n")).first()[0]
     assert n == tables.invoice_line.count()
+
+
+def test_generated_ids_are_deterministic_and_unique(spark, tiny):
+    import json
+    items = json.dumps([{"MaSP": "P1", "SoLuong": 1}])
+    req = spark.createDataFrame([(1, None, "H1", "a", "HUE", items), (2, "X", "H1", "b", "HUE", items)],
+                                "seq BIGINT, invoice_id STRING, employee_id STRING, note STRING, "
+                                "branch_code STRING, items_json STRING")
+    out = {r.seq: (r.invoice_id, r.accepted) for r in S.post_invoices(tiny, req, generate_ids="B7").outcome.collect()}
+    assert out == {1: ("HD_B7_1", True), 2: ("HD_B7_2", True)}
+    emp = spark.createDataFrame([(5, "hue", " ", "New", "Cashier")],
+                                "seq BIGINT, branch_code STRING, employee_id STRING, full_name STRING, job_title STRING")
+    o = C.add_employees(tiny, emp, generate_ids="B7").outcome.first()
+    assert (o.employee_id, o.accepted) == ("HB7_5", True)
