@@ -91,3 +91,16 @@ def invoice_totals(t: Tables, cond: Column | None = None) -> DataFrame:
     inv = t.invoice if cond is None else t.invoice.where(cond)
     inv = inv.select("invoice_id", "branch_code", "created_at", "employee_id")
     return inv.join(per_invoice, ["invoice_id", "branch_code"]).select(*cols)
+
+
+def product_day_summary(t: Tables) -> DataFrame:
+    """Units, amount and line count per (branch, day, product): the lines
+    rolled up to the grain of the product reports (partial aggregation
+    before the shuffle)."""
+    inv = t.invoice.select("invoice_id", "branch_code", F.to_date("created_at").alias("day"))
+    lines = t.invoice_line.select("invoice_id", "branch_code", "product_code", "qty", "unit_price")
+    return (lines.join(inv, ["invoice_id", "branch_code"])
+            .groupBy("branch_code", "day", "product_code")
+            .agg(F.sum("qty").cast("bigint").alias("units"),
+                 F.sum(amount("qty", "unit_price")).cast(TOTAL).alias("amount"),
+                 F.count(F.lit(1)).alias("n_lines")))

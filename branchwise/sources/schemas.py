@@ -69,6 +69,15 @@ INVOICE_SUMMARY = T.StructType([
     T.StructField("units", T.LongType(), False),
 ])
 
+PRODUCT_DAY_SUMMARY = T.StructType([
+    T.StructField("day", T.DateType(), False),
+    T.StructField("product_code", T.StringType(), False),
+    T.StructField("units", T.LongType(), False),
+    T.StructField("amount", TOTAL, False),
+    T.StructField("n_lines", T.LongType(), False),
+    T.StructField("branch_code", T.StringType(), False),
+])
+
 SCHEMAS = {
     "branch": BRANCH,
     "employee": EMPLOYEE,
@@ -103,6 +112,7 @@ class Tables:
     # Derived per-invoice totals stored beside the snapshot (see
     # ``store.invoice_summary``); None when absent or out of date.
     invoice_summary: DataFrame | None = None
+    product_day_summary: DataFrame | None = None
 
     def names(self) -> list[str]:
         return list(SCHEMAS)
@@ -113,6 +123,7 @@ class Tables:
     def with_tables(self, **changed: DataFrame) -> "Tables":
         """New state; a change of invoices or lines drops the derived summary,
         so readers fall back to computing totals from the lines."""
-        if ("invoice" in changed or "invoice_line" in changed) and "invoice_summary" not in changed:
-            changed["invoice_summary"] = None
+        if "invoice" in changed or "invoice_line" in changed:
+            changed.setdefault("invoice_summary", None)
+            changed.setdefault("product_day_summary", None)
         return replace(self, **changed)

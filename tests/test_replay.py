@@ -11,7 +11,6 @@ import random
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from branchwise.operators import sales as S
 from branchwise.plans import requests as RQ

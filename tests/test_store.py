@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from branchwise.operators import quality as Q
 from branchwise.operators import sales as S
