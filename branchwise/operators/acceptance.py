@@ -61,8 +61,8 @@ class Settled:
     undecided_per_round: list[int]
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    return materialize(df)
+def _checkpoint(df: DataFrame, label: str | None = None) -> DataFrame:
+    return materialize(df, label)
 
 
 def _prepare(moves: DataFrame, opening: DataFrame) -> tuple[DataFrame, bool]:
@@ -73,7 +73,8 @@ def _prepare(moves: DataFrame, opening: DataFrame) -> tuple[DataFrame, bool]:
     m = (moves.join(op, KEY, "left")
          .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
          .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
-    return ordered.bucketize(m, KEY, "seq")
+    # Stored once; the key sizes and every later step read the stored moves.
+    return ordered.bucketize(_checkpoint(m, "replay: moves"), KEY, "seq")
 
 
 def _earlier_sums(df: DataFrame, cols: list[str], bucketed: bool) -> DataFrame:
@@ -166,17 +167,16 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     request fails gives its code, as the procedures test in that order.
     """
     prepared, bucketed = _prepare(moves, opening)
-    prepared = _checkpoint(prepared)
     # Moves alone on their key are decided once (their flags ride on the
     # state rows); only moves on shared keys take part in the rounds.
     static = _static_checks(prepared.where(F.col("key_rows") == 1)).select(
         "seq", *[F.col(c[1:]).alias(c) for c in _STATIC])
-    m = _checkpoint(prepared.where(F.col("key_rows") > 1))
+    m = _checkpoint(prepared.where(F.col("key_rows") > 1), "replay: shared-key moves")
     und = F.sum(F.when(F.col("status") == UNDECIDED, 1).otherwise(0))
     state, seen = materialize_observed(
         prepared.select("seq").distinct().join(static, "seq", "left")
         .select("seq", F.lit(UNDECIDED).alias("status"), F.lit(None).cast("string").alias("reject_code"),
-                *_STATIC), undecided=und)
+                *_STATIC), "replay: initial state", undecided=und)
     rounds = 0
     undecided = seen.get("undecided") or 0
     compacted_at = undecided
@@ -184,7 +184,8 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     while undecided > 0:
         rounds += 1
         # The undecided count comes from the same job that writes the state.
-        state, seen = materialize_observed(_round(m, state, checks, bucketed), undecided=und)
+        state, seen = materialize_observed(_round(m, state, checks, bucketed), f"replay: round {rounds}",
+                                           undecided=und)
         undecided = seen.get("undecided") or 0
         trace.append(undecided)
         if 0 < undecided * COMPACT_RATIO <= compacted_at:
@@ -194,7 +195,7 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
             # COMPACT_RATIO-fold, so later rounds read only the keys still in
             # conflict while the number of compactions stays logarithmic.
             open_moves = m.join(state.where(F.col("status") == UNDECIDED).select("seq"), "seq", "left_semi")
-            m = _checkpoint(m.join(open_moves.select(*KEY).distinct(), KEY, "left_semi"))
+            m = _checkpoint(m.join(open_moves.select(*KEY).distinct(), KEY, "left_semi"), "replay: compact")
             compacted_at = undecided
     state = state.select("seq", "status", "reject_code")
     acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
@@ -202,7 +203,8 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     bal = _earlier_sums(acc, ["net", "credit"], bucketed)
     bal = _checkpoint(bal.select(*KEY, "seq", "debit", "credit",
                                  (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
-                                 (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before")))
+                                 (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before")),
+                      "replay: balances")
     return Settled(status=state, moves=bal, rounds=rounds, undecided_per_round=trace)
 
 

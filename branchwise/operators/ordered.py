@@ -43,7 +43,7 @@ def bucketize(df: DataFrame, keys: list[str], order: str = "seq",
     from branchwise.session import materialize_observed
 
     # One row per key, stored once; the same job reports the largest key.
-    stats, seen = materialize_observed(stats, top=F.max("key_rows"))
+    stats, seen = materialize_observed(stats, "key sizes", top=F.max("key_rows"))
     hot = (seen.get("top") or 0) > rows_per_bucket
     out = _join_keys(df, stats, keys).withColumn("bucket", bucket.cast("bigint")).drop("_lo", "_hi")
     return out, hot

@@ -17,6 +17,7 @@ from branchwise.functions import exprs as X
 from branchwise.operators import acceptance as A
 from branchwise.operators.changes import NOT_NULL, ChangeResult, _flag, first_code, with_branch
 from branchwise.operators.listings import explode_items
+from branchwise.session import materialize
 from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Tables
 
 PK_LINE = "PK_LINE"          # the same product again on an existing invoice (Q6)
@@ -120,7 +121,7 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     # The request batch is read once: it is materialised in the shared
     # checkpoint folder, and so are the parsed items and the guard results,
     # which every later step reads several times.
-    req = A.materialize(req)
+    req = materialize(req, "sales: requests")
     r = with_branch(req, t).withColumn("_inv", X.clean("invoice_id")).withColumn("_emp", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_emp"), F.col("branch_code").alias("_branch"))
     r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok")
@@ -128,13 +129,13 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     # merged quantity and price and the item checks of its raw items.
     items = explode_items(req.select("seq", "items_json"))
     bad = X.is_blank("item_code") | F.col("item_qty").isNull() | (F.col("item_qty") <= 0)
-    per_item = A.materialize(
+    per_item = materialize(
         items.where(F.col("item_pos").isNotNull())
         .groupBy("seq", "item_code")
         .agg(F.count(F.lit(1)).alias("_n"), F.max(bad).alias("_bad"),
              F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price"))
         .join(t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat")),
-              "item_code", "left"))
+              "item_code", "left"), "sales: items")
     merged = per_item.where(F.col("item_code").isNotNull() & (F.col("item_code") != "")) \
         .select("seq", "item_code", "qty", "price", "_cat")
     has_code = F.col("item_code").isNotNull() & (F.col("item_code") != "")
@@ -152,8 +153,8 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     ]
     r = r.withColumn("_pre", first_code(pre)).drop("items_json")
     r = _invoice_owner(t, r, F.col("_pre").isNull())
-    r = A.materialize(r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-                                   .when(F.col("_foreign"), F.lit(PK_INVOICE))))
+    r = materialize(r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
+                                 .when(F.col("_foreign"), F.lit(PK_INVOICE))), "sales: static guards")
     live = r.where(F.col("_code").isNull()).select("seq", "_inv", "_branch", "_is_new")
     m = merged.join(live, "seq")
     # A line can only collide on an invoice that exists already or that

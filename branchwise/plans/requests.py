@@ -196,26 +196,46 @@ def _sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(ob, li.l_orderkey == ob.o_orderkey))
 
 
-def sale_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sale header per order: seq base, invoice id, seller, note, branch.
+def _sale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item documents per (order, doc) plus the seller candidates.
 
-    The seller is a supplier of the order's branch when one of its lines
-    has such a supplier, else the smallest supplier (a foreign seller, 50001).
-    Every tenth order re-uses its own invoice id (Q6: lines appended or PK_LINE).
+    The line count per order comes from lineitem alone (no joins), so the
+    joined lines are built once and grouped once.
     """
-    per_order = (_sale_lines(spark, sf_dir).groupBy("l_orderkey")
-                 .agg(F.count(F.lit(1)).alias("n_lines"),
-                      F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
-                      F.min("l_suppkey").alias("any_seller")))
-    ob = _order_branch(spark, sf_dir)
+    n = (read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_o"))
+         .agg(F.count(F.lit(1)).alias("n_lines")))
+    docs_per_order = F.least(F.lit(SEQ_SPACE), F.greatest(F.lit(1), F.ceil(F.col("n_lines") / ITEMS_PER_DOC)))
+    lines = _sale_lines(spark, sf_dir).join(n, F.col("l_orderkey") == F.col("_o"))
+    return (lines.withColumn("doc", F.pmod(F.col("l_partkey"), docs_per_order))
+            .groupBy("l_orderkey", "doc")
+            .agg(F.to_json(F.collect_list(F.struct(
+                _s(F.col("l_partkey")).alias(ITEM_CODE),
+                F.col("l_quantity").cast("int").alias(ITEM_QTY),
+                F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias(ITEM_PRICE))))
+                 .alias("items_json"),
+                 F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
+                 F.min("l_suppkey").alias("any_seller")))
+
+
+def _headers(ob: DataFrame, docs: DataFrame) -> DataFrame:
+    per_order = docs.groupBy("l_orderkey").agg(F.min("own").alias("own"), F.min("any_seller").alias("any_seller"))
     k = F.col("o_orderkey")
     return (ob.join(per_order, ob.o_orderkey == per_order.l_orderkey, "left")
             .select("o_orderkey", (k * SEQ_SPACE).alias("seq"),
                     F.when(k % 10 == 0, _s(k)).otherwise(F.concat(F.lit("N"), _s(k))).alias("invoice_id"),
                     _s(F.coalesce("own", "any_seller")).alias("employee_id"),
                     F.col("o_orderpriority").alias("note"),
-                    F.col("r_name").alias("branch_code"),
-                    F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
+                    F.col("r_name").alias("branch_code")))
+
+
+def sale_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sale header per order: seq base, invoice id, seller, note, branch.
+
+    The seller is a supplier of the order's branch when one of its lines
+    has such a supplier, else the smallest supplier (a foreign seller, 50001).
+    Every tenth order re-uses its own invoice id (Q6: lines appended or PK_LINE).
+    """
+    return _headers(_order_branch(spark, sf_dir), _sale_docs(spark, sf_dir))
 
 
 def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,21 +243,14 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An order becomes one document, or ``ceil(lines / ITEMS_PER_DOC)``
     documents split by part key, so no document (one collected group) grows
-    with the data.  The unit price is left out for even part keys (the catalogue
-    price is used).  An order without lines is a request without items.
+    with the data.  The unit price is left out for even part keys (the
+    catalogue price is used).  An order without lines is a request without
+    items.
     """
-    heads = sale_headers(spark, sf_dir)
-    docs_per_order = F.least(F.lit(SEQ_SPACE), F.greatest(F.lit(1), F.ceil(F.col("n_lines") / ITEMS_PER_DOC)))
-    lines = _sale_lines(spark, sf_dir).join(heads.select(F.col("o_orderkey").alias("l_orderkey"), "n_lines"),
-                                            "l_orderkey")
-    docs = (lines.withColumn("doc", F.pmod(F.col("l_partkey"), docs_per_order))
-            .groupBy("l_orderkey", "doc")
-            .agg(F.to_json(F.collect_list(F.struct(
-                _s(F.col("l_partkey")).alias(ITEM_CODE),
-                F.col("l_quantity").cast("int").alias(ITEM_QTY),
-                F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias(ITEM_PRICE))))
-                 .alias("items_json")))
-    return (heads.join(docs, heads.o_orderkey == docs.l_orderkey, "left")
+    docs = _sale_docs(spark, sf_dir)
+    heads = _headers(_order_branch(spark, sf_dir), docs)
+    return (heads.join(docs.select("l_orderkey", "doc", "items_json"),
+                       heads.o_orderkey == docs.l_orderkey, "left")
             .select((F.col("seq") + F.coalesce("doc", F.lit(0))).alias("seq"), "invoice_id", "employee_id",
                     "note", "branch_code", "items_json"))
 

@@ -73,7 +73,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df):
+def materialize(df, label: str | None = None):
     """Cut the lineage: write ``df`` as Parquet into the shared folder (the
     cluster's ``spark.checkpoint.dir``) and read it back.
 
@@ -85,11 +85,12 @@ def materialize(df):
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    with _job_label(spark, label):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_observed(df, **metrics):
+def materialize_observed(df, label: str | None = None, **metrics):
     """``materialize`` that also returns aggregate metrics of the rows
     written (``name=Column``), computed by the same job via ``observe``:
     no second pass just to count something."""
@@ -101,5 +102,21 @@ def materialize_observed(df, **metrics):
     observed = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    observed.write.mode("overwrite").parquet(path)
+    with _job_label(spark, label):
+        observed.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), dict(obs.get)
+
+
+class _job_label:
+    """Name the Spark jobs of a step (shown in the event log)."""
+
+    def __init__(self, spark, label):
+        self.sc, self.label = spark.sparkContext, label
+
+    def __enter__(self):
+        if self.label:
+            self.sc.setJobDescription(self.label)
+
+    def __exit__(self, *exc):
+        if self.label:
+            self.sc.setJobDescription(None)
