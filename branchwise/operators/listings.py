@@ -193,6 +193,21 @@ def invoice_documents(t: Tables) -> DataFrame:
     order).  Everything is an aggregate, so a huge invoice never becomes
     one in-memory value.
     """
+    if t.invoice_summary is not None:
+        # Totals from the stored summary; from the lines only the first item
+        # per invoice (a partial-aggregate min), then its product name.
+        first = (t.invoice_line.groupBy("invoice_id", "branch_code")
+                 .agg(F.min(F.struct("product_code", "qty", "unit_price")).alias("f"))
+                 .select("invoice_id", "branch_code", F.col("f.product_code").alias("product_code"),
+                         F.col("f.qty").alias("first_qty"), F.col("f.unit_price").alias("first_unit_price")))
+        first = first.join(t.product.select("product_code", F.col("product_name").alias("first_product_name")),
+                           "product_code", "left").withColumnRenamed("product_code", "first_product_code")
+        s = t.invoice_summary.join(first, ["invoice_id", "branch_code"], "left")
+        return s.select("invoice_id", "branch_code", "employee_id", "note", "created_at",
+                        F.coalesce("total", F.lit(0).cast(TOTAL)).alias("total"),
+                        F.col("n_lines").cast("bigint").alias("item_count"),
+                        "first_product_code", "first_qty",
+                        F.col("first_unit_price").cast(MONEY).alias("first_unit_price"), "first_product_name")
     d = invoice_details(t)
     first = F.min(F.struct("product_code", "qty", "unit_price", "product_name"))
     per = (d.groupBy("invoice_id", "branch_code")
