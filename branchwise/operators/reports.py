@@ -140,17 +140,25 @@ def branch_dashboard_all(t: Tables, branch: str | None = None) -> DataFrame:
     b = _branch_filter(t.branch, branch).select("branch_code")
     emp = (_branch_filter(t.employee, branch).groupBy("branch_code")
            .agg(F.count(F.lit(1)).alias("employee_count")))
-    inv = (_branch_filter(t.invoice, branch).groupBy("branch_code")
-           .agg(F.count(F.lit(1)).alias("invoice_count")))
-    rev = (invoice_totals(t, _branch_cond(branch)).groupBy("branch_code")
-           .agg(X.money_sum("total").alias("revenue")))
+    if t.invoice_summary is not None:
+        # Invoice count and revenue in one pass over the stored summary (an
+        # invoice without lines counts, its NULL total adds nothing).
+        inv = (_branch_filter(t.invoice_summary, branch).groupBy("branch_code")
+               .agg(F.count(F.lit(1)).alias("invoice_count"), X.money_sum("total").alias("revenue")))
+        rev = None
+    else:
+        inv = (_branch_filter(t.invoice, branch).groupBy("branch_code")
+               .agg(F.count(F.lit(1)).alias("invoice_count")))
+        rev = (invoice_totals(t, _branch_cond(branch)).groupBy("branch_code")
+               .agg(X.money_sum("total").alias("revenue")))
     stock = (_branch_filter(t.inventory, branch).groupBy("branch_code")
              .agg(X.int_sum("qty").alias("total_stock_units"),
                   X.int_sum(F.when(F.col("qty") < X.LOW_STOCK_BELOW, 1).otherwise(0))
                   .alias("low_stock_products")))
     out = b
     for part in (emp, inv, rev, stock):
-        out = out.join(part, "branch_code", "left")
+        if part is not None:
+            out = out.join(part, "branch_code", "left")
     return out.select(
         "branch_code",
         F.coalesce("employee_count", F.lit(0)).cast("bigint").alias("employee_count"),
