@@ -101,8 +101,11 @@ def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
 CHECK_NAMES = (EXISTS, ENOUGH, ABSENT)
 
 # Drop fully decided keys from the rounds each time the undecided set has
-# shrunk this many times.
+# shrunk this many times, once the moves on shared keys are at least this
+# many rows (below that, re-reading them each round costs less than
+# rewriting them).
 COMPACT_RATIO = 8
+COMPACT_MIN_MOVES = 10_000_000
 
 
 def _static_checks(single: DataFrame) -> DataFrame:
@@ -171,7 +174,9 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     # state rows); only moves on shared keys take part in the rounds.
     static = _static_checks(prepared.where(F.col("key_rows") == 1)).select(
         "seq", *[F.col(c[1:]).alias(c) for c in _STATIC])
-    m = _checkpoint(prepared.where(F.col("key_rows") > 1), "replay: shared-key moves")
+    m, seen_m = materialize_observed(prepared.where(F.col("key_rows") > 1), "replay: shared-key moves",
+                                     rows=F.count(F.lit(1)))
+    compacting = (seen_m.get("rows") or 0) >= COMPACT_MIN_MOVES
     und = F.sum(F.when(F.col("status") == UNDECIDED, 1).otherwise(0))
     state, seen = materialize_observed(
         prepared.select("seq").distinct().join(static, "seq", "left")
@@ -188,7 +193,7 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
                                            undecided=und)
         undecided = seen.get("undecided") or 0
         trace.append(undecided)
-        if 0 < undecided * COMPACT_RATIO <= compacted_at:
+        if compacting and 0 < undecided * COMPACT_RATIO <= compacted_at:
             # A key whose moves are all decided can never change an undecided
             # request again: keep only keys that still have an undecided
             # move.  Done each time the undecided set has shrunk

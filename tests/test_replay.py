@@ -141,6 +141,7 @@ def test_hot_key_buckets_give_the_same_answers(spark, tables, monkeypatch):
 def test_compaction_every_round_keeps_the_answer(spark, tables, monkeypatch):
     from branchwise.operators import acceptance
     monkeypatch.setattr(acceptance, "COMPACT_RATIO", 1)
+    monkeypatch.setattr(acceptance, "COMPACT_MIN_MOVES", 0)
     req = RQ.transfer_requests(spark, SF001)
     res = S.transfer_stock(tables, req)
     got = {r.seq: (r.accepted, r.reject_code, r.from_before, r.to_before) for r in res.outcome.collect()}
