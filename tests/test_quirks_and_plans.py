@@ -177,3 +177,9 @@ def test_generated_ids_are_deterministic_and_unique(spark, tiny):
                                 "seq BIGINT, branch_code STRING, employee_id STRING, full_name STRING, job_title STRING")
     o = C.add_employees(tiny, emp, generate_ids="B7").outcome.first()
     assert (o.employee_id, o.accepted) == ("HB7_5", True)
+
+
+def test_s10_replication_columns_are_hidden(spark, tiny):
+    emp = tiny.employee.withColumn("RowGuid", F.lit("x")).withColumn("rowid", F.lit(1))
+    cols = L.employees_by_branch(tiny.with_tables(employee=emp), "HUE").columns
+    assert cols == ["employee_id", "full_name", "job_title", "branch_code"]
