@@ -27,6 +27,7 @@ from branchwise.sources.schemas import MONEY, Tables
 BAD_BRANCH = "BAD_BRANCH"
 FK_INVOICE = "FK_INVOICE"
 NOT_NULL = "NOT_NULL"
+CENTRAL_ONLY = "CENTRAL_ONLY"
 
 
 @dataclass
@@ -52,6 +53,14 @@ def with_branch(req: DataFrame, t: Tables, col: str = "branch_code", out: str =
     return r.join(reg, out, "left").withColumn(f"{out}_ok", F.coalesce(f"{out}_ok", F.lit(False)))
 
 
+def central_only(req: DataFrame) -> list[tuple[Column, str]]:
+    """Service rule for central operations: when requests carry a ``caller``
+    column, a caller other than the central node is refused first."""
+    if "caller" not in req.columns:
+        return []
+    return [(F.coalesce(X.normalise_branch("caller") != F.lit(X.CENTRAL), F.lit(True)), CENTRAL_ONLY)]
+
+
 def _flag(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Left join with the distinct keys of ``other``; ``name`` = key present."""
     o = other.select(*keys).distinct().withColumn(name, F.lit(True))
@@ -200,7 +209,7 @@ def create_products(t: Tables, req: DataFrame, service_rules: bool = False) -> C
             .withColumn("unit_price", F.coalesce(F.col("unit_price"), F.lit(0).cast(MONEY)))
     r = req.withColumn("_code_in", X.clean("product_code"))
     r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
-    r = r.withColumn("_pre", first_code([
+    r = r.withColumn("_pre", first_code(central_only(req) + [
         (X.is_blank("product_code") | X.is_blank("product_name"), str(X.E_INPUT)),
         (F.col("unit_price") <= 0, str(X.E_INPUT)),
         (F.col("_exists"), str(X.E_INPUT)),
@@ -231,7 +240,7 @@ def patch_products(t: Tables, req: DataFrame) -> ChangeResult:
     """
     r = req.withColumn("_code_in", X.clean("product_code"))
     r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
-    r = r.withColumn("_code", first_code([
+    r = r.withColumn("_code", first_code(central_only(req) + [
         (X.is_blank("product_code"), str(X.E_INPUT)),
         (F.col("unit_price").isNotNull() & (F.col("unit_price") <= 0), str(X.E_INPUT)),
         (~F.col("_exists"), str(X.E_NOT_FOUND)),
@@ -270,7 +279,7 @@ def delete_products(t: Tables, req: DataFrame) -> ChangeResult:
     r = req.withColumn("_code_in", X.clean("product_code"))
     r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
     r = _flag(r, t.invoice_line.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_sold")
-    r = r.withColumn("_pre", first_code([
+    r = r.withColumn("_pre", first_code(central_only(req) + [
         (X.is_blank("product_code"), str(X.E_INPUT)),
         (~F.col("_exists"), str(X.E_NOT_FOUND)),
         (F.col("_sold"), str(X.E_50002)),

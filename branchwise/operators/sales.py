@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from branchwise.functions import exprs as X
 from branchwise.operators import acceptance as A
-from branchwise.operators.changes import NOT_NULL, ChangeResult, _flag, first_code, with_branch
+from branchwise.operators.changes import NOT_NULL, ChangeResult, _flag, central_only, first_code, with_branch
 from branchwise.operators.listings import explode_items
 from branchwise.session import materialize
 from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Tables
@@ -249,7 +249,7 @@ def transfer_guards(t: Tables, req: DataFrame) -> DataFrame:
     """Static guards of a transfer; adds ``_from``, ``_to``, ``_code_in``, ``_code``."""
     r = with_branch(req, t, "from_branch", "_from")
     r = with_branch(r, t, "to_branch", "_to").withColumn("_code_in", X.clean("product_code"))
-    return r.withColumn("_code", first_code([
+    return r.withColumn("_code", first_code(central_only(req) + [
         (~F.col("_from_ok") | ~F.col("_to_ok"), str(X.E_INPUT)),
         (F.col("_from") == F.col("_to"), str(X.E_INPUT)),
         (X.is_blank("product_code"), str(X.E_INPUT)),

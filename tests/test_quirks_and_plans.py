@@ -183,3 +183,14 @@ def test_s10_replication_columns_are_hidden(spark, tiny):
     emp = tiny.employee.withColumn("RowGuid", F.lit("x")).withColumn("rowid", F.lit(1))
     cols = L.employees_by_branch(tiny.with_tables(employee=emp), "HUE").columns
     assert cols == ["employee_id", "full_name", "job_title", "branch_code"]
+
+
+def test_central_only_operations_refuse_other_callers(spark, tiny):
+    req = spark.createDataFrame([(1, "P1", "X", None, " central "), (2, "P1", "Y", None, "HUE"), (3, "P1", "Z", None, None)],
+                                "seq BIGINT, product_code STRING, product_name STRING, unit_price DECIMAL(10,2), "
+                                "caller STRING")
+    out = {r.seq: r.reject_code for r in C.patch_products(tiny, req).outcome.collect()}
+    assert out == {1: None, 2: "CENTRAL_ONLY", 3: "CENTRAL_ONLY"}
+    tr = spark.createDataFrame([(1, "HUE", "SAIGON", "P1", 1, "SAIGON")],
+                               "seq BIGINT, from_branch STRING, to_branch STRING, product_code STRING, qty INT, caller STRING")
+    assert S.transfer_stock(tiny, tr).outcome.first().reject_code == "CENTRAL_ONLY"
