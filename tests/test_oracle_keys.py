@@ -17,10 +17,19 @@ def test_key_matches_oracle(spark, duck001, name):
     same_as_sql(df, duck001, ORACLE[name])
 
 
-def test_every_key_runs(spark):
+def test_every_key_runs_without_cross_products(spark):
+    import contextlib
+    import io
+
     for name, fn in E.queries().items():
         df = fn(spark, SF001)
         assert df.columns, name
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        plan = buf.getvalue()
+        for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert node not in plan, (name, node)
 
 
 def test_entry_schema_is_stable(spark):
