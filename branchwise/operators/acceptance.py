@@ -16,9 +16,12 @@ passed.  The **bounds iteration** decides requests in rounds:
 The earliest undecided request has only decided requests before it, so its
 bounds are exact and it is decided: every round decides at least one
 request and the loop always ends, with no cap.  Each round is a handful of
-DataFrame operations; the request state is checkpointed to the shared
-checkpoint folder every round so the lineage stays short and a lost
-executor recomputes one round, not the whole history.
+DataFrame operations; the request state is written as Parquet into the
+shared folder (``spark.checkpoint.dir``) every round, so the lineage stays
+one round long and a lost executor recomputes one round, not the whole
+history.  Moves alone on their key are decided once, before the rounds;
+once the moves are large, keys whose moves are all decided are dropped as
+the undecided set shrinks.
 
 Running sums are skew-safe: a key with many moves (one product may hold a
 third of all sales) is cut into contiguous ``seq`` buckets; per-bucket
