@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from branchwise.session import shared_dir
+from branchwise.session import configure, shared_dir
 from branchwise.sources import adapter
 from branchwise.sources.schemas import FRAGMENTED, SCHEMAS, Tables
 
@@ -77,6 +77,7 @@ class Store:
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> "Store":
         """The newest published version (readers never see a half-written one)."""
+        configure(spark)  # days and weeks are cut in UTC (Q12), whoever opens the store
         found = latest_manifest(spark, root)
         if found is None:
             raise FileNotFoundError(f"no published version under {root}")
@@ -163,6 +164,7 @@ def open_store(spark: SparkSession, sf_dir: str) -> Store:
     branch) as version 0 with its summary; later queries scan that snapshot,
     the way the reference's reports scan stored tables.
     """
+    configure(spark)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _OPENED:
         root = f"{shared_dir(spark)}/store/{uuid.uuid4().hex[:12]}"

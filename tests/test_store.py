@@ -37,3 +37,17 @@ def test_commit_publishes_a_consistent_next_version(spark):
     assert canon(from_summary.columns, from_summary.collect()) == canon(from_lines.columns, from_lines.collect())
     # the registered queries still read version 0
     assert open_store(spark, SF001).version == 0
+
+
+def test_days_are_cut_in_utc_whatever_the_session_zone(spark):
+    from branchwise.operators import reports as R
+    root = open_store(spark, SF001).root
+    base = R.daily_revenue(Store.open(spark, root).tables)      # newest version, UTC session
+    want = canon(base.columns, base.collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        t = Store.open(spark, root).tables             # opening resets the session to UTC
+        got = R.daily_revenue(t)
+        assert canon(got.columns, got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
