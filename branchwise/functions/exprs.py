@@ -129,8 +129,12 @@ def week_bounds(as_of: _dt.date, offset: int = 0) -> tuple[_dt.date, _dt.date] |
 
 
 def ts_lit(d: _dt.date) -> Column:
-    """Midnight UTC of a date as a TIMESTAMP literal (folded by Catalyst)."""
-    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp")
+    """Midnight of a date as a TIMESTAMP_NTZ literal (folded by Catalyst).
+
+    Invoice times are wall-clock times without a zone (as in the driver's
+    data), so day and week cuts never depend on the session time zone.
+    """
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def in_days(ts, start: _dt.date, end: _dt.date) -> Column:

@@ -26,10 +26,10 @@ PK_INVOICE = "PK_INVOICE"    # the invoice id belongs to another branch
 
 def _now_lit(now) -> Column:
     if now is None:
-        return F.current_timestamp()
+        return F.localtimestamp()
     if isinstance(now, _dt.date) and not isinstance(now, _dt.datetime):
         now = _dt.datetime(now.year, now.month, now.day)
-    return F.lit(now.isoformat(sep=" ")).cast("timestamp")
+    return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _stock_opening(t: Tables) -> DataFrame:

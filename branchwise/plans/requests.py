@@ -285,7 +285,7 @@ def member_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicated table the feed applies to: one member per customer."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return c.select(F.col("c_custkey").alias("member_id"), F.col("c_acctbal").alias("balance"),
-                    F.lit(None).cast("timestamp").alias("updated_at"))
+                    F.lit(None).cast("timestamp_ntz").alias("updated_at"))
 
 
 def product_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:

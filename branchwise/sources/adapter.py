@@ -114,7 +114,7 @@ def invoice_table(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = No
             .select(
                 F.col("o_orderkey").cast("string").alias("invoice_id"),
                 F.col("o_orderpriority").alias("note"),
-                F.col("o_orderdate").alias("created_at"),
+                F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
                 "branch_code",
                 F.col("seller").cast("string").alias("employee_id")))
 

@@ -39,7 +39,7 @@ PRODUCT = T.StructType([
 INVOICE = T.StructType([
     T.StructField("invoice_id", T.StringType(), False),
     T.StructField("note", T.StringType(), True),
-    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("created_at", T.TimestampNTZType(), False),
     T.StructField("branch_code", T.StringType(), False),
     T.StructField("employee_id", T.StringType(), True),
 ])
@@ -61,7 +61,7 @@ INVOICE_LINE = T.StructType([
 INVOICE_SUMMARY = T.StructType([
     T.StructField("invoice_id", T.StringType(), False),
     T.StructField("note", T.StringType(), True),
-    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("created_at", T.TimestampNTZType(), False),
     T.StructField("branch_code", T.StringType(), False),
     T.StructField("employee_id", T.StringType(), True),
     T.StructField("total", TOTAL, True),
