@@ -102,7 +102,8 @@ def merge_items(req: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price")))
 
 
-def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None = None) -> ChangeResult:
+def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None = None,
+                  fold_item_codes: bool = False) -> ChangeResult:
     """P10: multi-line sales from JSON item documents, all-or-nothing.
 
     Requests (seq, invoice_id, employee_id, note, branch_code, items_json).
@@ -115,6 +116,8 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
 
     ``generate_ids`` (a batch tag) applies the service form: every request
     gets a new invoice id ``HD_<tag>_<seq>`` instead of the one it names.
+    ``fold_item_codes`` folds the item codes of the documents like
+    ``keys.fold_keys`` folds ids (case-insensitive matching, opt-in).
     """
     if generate_ids is not None:
         req = req.withColumn("invoice_id", X.generated_id("HD_", generate_ids))
@@ -128,6 +131,8 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     # Items are parsed once: one row per (request, item code) carries the
     # merged quantity and price and the item checks of its raw items.
     items = explode_items(req.select("seq", "items_json"))
+    if fold_item_codes:
+        items = items.withColumn("item_code", F.upper(F.col("item_code")))
     bad = X.is_blank("item_code") | F.col("item_qty").isNull() | (F.col("item_qty") <= 0)
     per_item = materialize(
         items.where(F.col("item_pos").isNotNull())
