@@ -61,9 +61,15 @@ def central_only(req: DataFrame) -> list[tuple[Column, str]]:
     return [(F.coalesce(X.normalise_branch("caller") != F.lit(X.CENTRAL), F.lit(True)), CENTRAL_ONLY)]
 
 
-def _flag(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Left join with the distinct keys of ``other``; ``name`` = key present."""
-    o = other.select(*keys).distinct().withColumn(name, F.lit(True))
+def _flag(df: DataFrame, other: DataFrame, keys: list[str], name: str, unique: bool = False) -> DataFrame:
+    """Left join with the keys of ``other``; ``name`` = key present.
+
+    ``unique``: the keys are the primary key of ``other`` (the store holds
+    them unique, see ``dq_duplicate_keys``), so no ``distinct`` -- a full
+    aggregation of the table -- is needed before the join.
+    """
+    o = other.select(*keys)
+    o = (o if unique else o.distinct()).withColumn(name, F.lit(True))
     return df.join(o, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
@@ -99,7 +105,7 @@ def add_employees(t: Tables, req: DataFrame, generate_ids: str | None = None) ->
                                                    X.generated_id(letter, generate_ids))
                              .otherwise(F.col("employee_id")))
     r = with_branch(req, t).withColumn("_id", X.clean("employee_id"))
-    r = _flag(r, t.employee.select(F.col("employee_id").alias("_id")), ["_id"], "_exists")
+    r = _flag(r, t.employee.select(F.col("employee_id").alias("_id")), ["_id"], "_exists", unique=True)
     pre = first_code([
         (~F.col("_branch_ok"), BAD_BRANCH),
         (X.is_blank("employee_id") | X.is_blank("full_name") | X.is_blank("job_title"), str(X.E_INPUT)),
@@ -124,7 +130,7 @@ def patch_employees(t: Tables, req: DataFrame) -> ChangeResult:
     """
     r = with_branch(req, t).withColumn("_id", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_id"), F.col("branch_code").alias("_branch"))
-    r = _flag(r, emp, ["_id", "_branch"], "_exists")
+    r = _flag(r, emp, ["_id", "_branch"], "_exists", unique=True)
     r = r.withColumn("_code", first_code([
         (~F.col("_branch_ok"), BAD_BRANCH),
         (X.is_blank("employee_id"), str(X.E_INPUT)),
@@ -161,7 +167,7 @@ def delete_employees(t: Tables, req: DataFrame) -> ChangeResult:
     """
     r = with_branch(req, t).withColumn("_id", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_id"), F.col("branch_code").alias("_branch"))
-    r = _flag(r, emp, ["_id", "_branch"], "_exists")
+    r = _flag(r, emp, ["_id", "_branch"], "_exists", unique=True)
     sold = t.invoice.where(F.col("employee_id").isNotNull()).select(F.col("employee_id").alias("_id"))
     r = _flag(r, sold, ["_id"], "_used")
     pre = first_code([
@@ -208,7 +214,7 @@ def create_products(t: Tables, req: DataFrame, service_rules: bool = False) -> C
             .otherwise(F.col("product_name"))) \
             .withColumn("unit_price", F.coalesce(F.col("unit_price"), F.lit(0).cast(MONEY)))
     r = req.withColumn("_code_in", X.clean("product_code"))
-    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
+    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists", unique=True)
     r = r.withColumn("_pre", first_code(central_only(req) + [
         (X.is_blank("product_code") | X.is_blank("product_name"), str(X.E_INPUT)),
         (F.col("unit_price") <= 0, str(X.E_INPUT)),
@@ -239,7 +245,7 @@ def patch_products(t: Tables, req: DataFrame) -> ChangeResult:
     product (50001).
     """
     r = req.withColumn("_code_in", X.clean("product_code"))
-    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
+    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists", unique=True)
     r = r.withColumn("_code", first_code(central_only(req) + [
         (X.is_blank("product_code"), str(X.E_INPUT)),
         (F.col("unit_price").isNotNull() & (F.col("unit_price") <= 0), str(X.E_INPUT)),
@@ -277,7 +283,7 @@ def delete_products(t: Tables, req: DataFrame) -> ChangeResult:
     change, which is one new snapshot (no half-deleted branches, Q8).
     """
     r = req.withColumn("_code_in", X.clean("product_code"))
-    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists")
+    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_exists", unique=True)
     r = _flag(r, t.invoice_line.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_sold")
     r = r.withColumn("_pre", first_code(central_only(req) + [
         (X.is_blank("product_code"), str(X.E_INPUT)),
@@ -297,7 +303,7 @@ def delete_products(t: Tables, req: DataFrame) -> ChangeResult:
 def _stock_requests(t: Tables, req: DataFrame) -> DataFrame:
     r = with_branch(req, t).withColumn("_code_in", X.clean("product_code"))
     inv = t.inventory.select(F.col("product_code").alias("_code_in"), F.col("branch_code").alias("_branch"))
-    return _flag(r, inv, ["_code_in", "_branch"], "_exists")
+    return _flag(r, inv, ["_code_in", "_branch"], "_exists", unique=True)
 
 
 def _stock_outcome(r: DataFrame, after: DataFrame) -> DataFrame:
@@ -368,7 +374,7 @@ def create_stock_rows(t: Tables, req: DataFrame) -> ChangeResult:
     after an earlier request created it (50000).
     """
     r = _stock_requests(t, req)
-    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_known")
+    r = _flag(r, t.product.select(F.col("product_code").alias("_code_in")), ["_code_in"], "_known", unique=True)
     r = r.withColumn("_pre", first_code([
         (~F.col("_branch_ok"), BAD_BRANCH),
         (~F.col("_known"), str(X.E_NOT_FOUND)),
@@ -413,7 +419,7 @@ def delete_invoices(t: Tables, req: DataFrame) -> ChangeResult:
     """
     r = with_branch(req, t).withColumn("_id", X.clean("invoice_id"))
     inv = t.invoice.select(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"))
-    r = _flag(r, inv, ["_id", "_branch"], "_exists")
+    r = _flag(r, inv, ["_id", "_branch"], "_exists", unique=True)
     r = r.withColumn("_pre", first_code([
         (~F.col("_branch_ok"), BAD_BRANCH),
         (~F.col("_exists"), str(X.E_NOT_FOUND)),

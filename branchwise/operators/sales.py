@@ -127,7 +127,7 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     req = materialize(req, "sales: requests")
     r = with_branch(req, t).withColumn("_inv", X.clean("invoice_id")).withColumn("_emp", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_emp"), F.col("branch_code").alias("_branch"))
-    r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok")
+    r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok", unique=True)
     # Items are parsed once: one row per (request, item code) carries the
     # merged quantity and price and the item checks of its raw items.
     items = explode_items(req.select("seq", "items_json"))
@@ -207,11 +207,11 @@ def post_single_lines(t: Tables, req: DataFrame, strict: bool = True, now=None)
     r = (with_branch(req, t).withColumn("_inv", X.clean("invoice_id"))
          .withColumn("_emp", X.clean("employee_id")).withColumn("item_code", X.clean("product_code")))
     emp = t.employee.select(F.col("employee_id").alias("_emp"), F.col("branch_code").alias("_branch"))
-    r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok")
+    r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok", unique=True)
     r = r.join(t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat")),
                "item_code", "left")
     stock = t.inventory.select(F.col("product_code").alias("item_code"), F.col("branch_code").alias("_branch"))
-    r = _flag(r, stock, ["item_code", "_branch"], "_has_stock")
+    r = _flag(r, stock, ["item_code", "_branch"], "_has_stock", unique=True)
     pre = [
         (~F.col("_branch_ok"), str(X.E_INPUT)),
         (X.is_blank("invoice_id") | X.is_blank("employee_id") | X.is_blank("product_code"), str(X.E_INPUT)),
