@@ -22,6 +22,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Joins of a small, selective side (a batch of requests, one week of
+    # invoices) with a huge table: a runtime Bloom filter and dynamic
+    # partition pruning cut the big side at its scan.  They only fire when
+    # the big side is large, so small runs are unaffected.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
 
 
