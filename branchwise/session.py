@@ -61,21 +61,20 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for checkpoints and written tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set.  Only when it is
-    unset (local runs, tests) a private folder is created and registered, so
-    that ``DataFrame.checkpoint`` works.
+    Uses the folder the session already names (``spark.checkpoint.dir``, or
+    one set with ``setCheckpointDir``).  Only a local session without either
+    gets a private folder; on a cluster a missing setting is an error, because
+    a machine-local folder is not visible to the other executors.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        base = configured.rstrip("/")
-    else:
-        base = getattr(sc, "_branchwise_shared", None)
-        if base is None:
-            base = tempfile.mkdtemp(prefix="branchwise-", dir=os.environ.get("BRANCHWISE_TMP", "/tmp"))
-            sc._branchwise_shared = base
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="branchwise-", dir=os.environ.get("BRANCHWISE_TMP", "/tmp"))
+    base = base.rstrip("/")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base + "/checkpoints")
+        sc.setCheckpointDir(base)
     return base
 
 
