@@ -16,7 +16,7 @@ WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one chunk of a running sum holds on average.
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,3 +29,79 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_lines AS BIGINT) AS n_lines, CAST(fail_bits AS BIGINT) AS fail_bits
 FROM b
 """
+
+SQL["op3_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+  count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+SQL["op1_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
+    (strlen(text) + 3) // 4 + 4 AS tok,
+    24 + length(role) + length(regexp_replace(text,
+      '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])', '\1\\\2\3', 'g')) AS f FROM c),
+p AS (SELECT *, CAST(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS e FROM t),
+s AS (SELECT conv_id, tok AS st, f AS sf FROM p WHERE pos = 0 AND role = 'system'),
+x AS (SELECT p.*, e - tok AS b, greatest(768 - coalesce(st, 0), 128) AS room FROM p LEFT JOIN s ON s.conv_id = p.conv_id),
+y AS (SELECT *, (b // room) * 2 + CASE WHEN e > (b // room + 1) * room THEN 1 ELSE 0 END AS win FROM x),
+w AS (SELECT conv_id, win, min(pos) AS fp, min(b) AS wb FROM y GROUP BY conv_id, win),
+h AS (SELECT w.conv_id, sum(f) AS n FROM w JOIN y ON y.conv_id = w.conv_id AND w.wb >= y.e AND w.wb <= y.b + 256
+  WHERE NOT (y.pos = 0 AND y.role = 'system') GROUP BY w.conv_id),
+z AS (SELECT w.conv_id, sum(sf) AS n FROM w JOIN s ON s.conv_id = w.conv_id WHERE fp > 0 GROUP BY w.conv_id),
+k AS (SELECT conv_id, count(*) AS n_windows FROM w GROUP BY conv_id),
+g AS (SELECT conv_id, count(*) AS n_turns, sum(f) AS f,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS target FROM y GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256,
+  CAST(g.f + coalesce(h.n, 0) + coalesce(z.n, 0) AS BIGINT) AS formatted_chars, n_windows
+FROM g JOIN k ON k.conv_id = g.conv_id LEFT JOIN h ON h.conv_id = g.conv_id LEFT JOIN z ON z.conv_id = g.conv_id
+"""
+
+
+def _either_case(words: str) -> str:
+    """The pattern with both cases of each letter (outside of escapes)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _secret_kind(name: str, kind: int, pattern: str, keep: str) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+{name}_m AS (SELECT doc_id, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS g FROM d
+  WHERE regexp_matches(t, {p})),
+{name}_i AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM {name}_m),
+{name} AS (SELECT doc_id, {kind} AS kind, m[i] AS v, length(array_to_string(g[1:i], ''))
+    + CASE WHEN i > 1 THEN length(array_to_string(m[1:i-1], '')) ELSE 0 END AS b FROM {name}_i WHERE {keep.format(p=p)})"""
+
+
+_VALUE = r"""["']?\x20*[:=]\x20*["']?"""
+_SECRET_KINDS = ",".join((
+    _secret_kind("assign", 0, "(" + _either_case("password|passwd|secret|token|api_?key") + ")" + _VALUE + r"([A-Za-z0-9+/_.=-]+)",
+                 "length(regexp_extract(m[i], {p}, 2)) >= 6"),
+    _secret_kind("access", 1, "AKIA[A-Z0-9]+", "length(m[i]) >= 20"),
+    _secret_kind("hex", 2, "[0-9a-f]+", "length(m[i]) >= 24"),
+    _secret_kind("account", 3, "(?:" + _either_case("user_?name|user_?id|login|client_?id|access_?key_?id|account_?id") + ")"
+                 + _VALUE + r"[A-Za-z0-9_.@+-]{3,}", "true"),
+    _secret_kind("random", 4, "[A-Za-z0-9+/]{40,}", "length(m[i]) = 40 AND regexp_matches(m[i], '[a-z]') "
+                 "AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[0-9]')"),
+    _secret_kind("endpoint", 5, "(?:https?|s3|ftp|amqps?|redis|mongodb|mysql|postgres|postgresql)://[A-Za-z0-9_.:@/?&=%+-]+", "true"),
+))
+SQL["op2_secret_scan"] = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)," + _SECRET_KINDS + r""",
+a AS (SELECT doc_id, kind, b, b + length(v) AS e FROM (SELECT * FROM assign UNION ALL SELECT * FROM access
+  UNION ALL SELECT * FROM hex UNION ALL SELECT * FROM account UNION ALL SELECT * FROM random UNION ALL SELECT * FROM endpoint)),
+n AS (SELECT a.doc_id, a.kind, a.b, a.e, bool_or(o.kind IN (1, 3)) AS acc, bool_or(o.kind IN (0, 4)) AS sec
+  FROM a JOIN a o ON o.doc_id = a.doc_id AND abs(o.b - a.b) <= 400 GROUP BY ALL),
+r AS (SELECT doc_id, kind, b, e FROM n WHERE kind < 3 OR (kind = 3 AND sec) OR (kind = 4 AND acc) OR (kind = 5 AND acc AND sec)),
+s AS (SELECT doc_id, kind, b, (['assign', 'access', 'hex', 'linked_account', 'linked_random', 'linked_endpoint'])[kind + 1]
+  || ':' || b || ':' || e AS x FROM r),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex, string_agg(x, ',' ORDER BY b, kind) FILTER (kind < 3) AS base,
+    string_agg(x, ',' ORDER BY b, kind) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

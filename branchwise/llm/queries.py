@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.llm import oracle, quality
+from branchwise.llm import chat, exact, mixing, oracle, quality, secrets, sharding
 from branchwise.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,39 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_lines", "fail_bits")
 
 
+#: A conversation of texts that look like marks of templates.
+TRICKY = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY, "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.windows(rows.unionByName(tricky)))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                       F.sha2(secrets.as_text("base"), 256).alias("base_sha256"), secrets.as_text("spans").alias("spans"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.decide(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op7_quality_rules,)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_exact_dedup, op5_mixing, op7_quality_rules, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
