@@ -79,3 +79,10 @@ def sorted_names(values: DataFrame, keys: list[str], rows: int, out: str) -> Dat
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (local.join(offsets, "_part").withColumn(out, F.col("_offset") + F.col("_row"))
             .drop("_id", "_part", "_row", "_offset"))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows and bytes that a Python worker gets at once: a batch of very long
+    texts stays as small as one of short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

@@ -105,3 +105,44 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
+
+SQL["op4_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l0 AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS line FROM d),
+l1 AS (SELECT doc_id, x, line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM l0),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos,
+    sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS cw FROM l1 WHERE w > 0),
+run AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM l a JOIN l b
+  ON b.doc_id = a.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 50 AND b.cw - a.cw + a.w >= 50 GROUP BY a.doc_id, a.pos),
+txt AS (SELECT r.doc_id, r.pos, r.last, string_agg(l.x, chr(10) ORDER BY l.pos) AS g
+  FROM run r JOIN l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.last GROUP BY r.doc_id, r.pos, r.last),
+f AS (SELECT *, first_value(doc_id) OVER q AS fd, first_value(pos) OVER q AS fp FROM txt
+  WINDOW q AS (PARTITION BY g ORDER BY doc_id, pos)),
+gone AS (SELECT DISTINCT l0.doc_id, l0.line FROM f
+  JOIN l a ON a.doc_id = f.doc_id AND a.pos = f.pos JOIN l b ON b.doc_id = f.doc_id AND b.pos = f.last
+  JOIN l0 ON l0.doc_id = f.doc_id AND l0.line BETWEEN a.line AND b.line
+  WHERE f.fd <> f.doc_id OR f.fp + (f.last - f.pos + 1) <= f.pos),
+isl AS (SELECT doc_id, min(line) AS a, max(line) AS b FROM (SELECT doc_id, line,
+  line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM gone) GROUP BY doc_id, k),
+runs AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS deleted, sum(b - a + 1) AS n FROM isl GROUP BY doc_id),
+stay AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY line) AS clean FROM l0 ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted,
+  coalesce(deleted, '') AS deleted, sha256(coalesce(clean, '')) AS clean_sha256
+FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id LEFT JOIN stay ON stay.doc_id = d.doc_id
+"""
+
+SQL["op10_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+  coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+"""

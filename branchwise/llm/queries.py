@@ -3,17 +3,23 @@ operator to the whole table and derives the digest columns from its output."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.llm import chat, exact, mixing, oracle, quality, secrets, sharding
+from branchwise.llm import chat, exact, html, lines, minhash, mixing, oracle, pieces, quality, secrets, sharding
 from branchwise.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.extract(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -42,18 +48,47 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.transform("runs", lambda r: F.concat_ws("-", r["from"].cast("string"), r["to"].cast("string")))
+    return rows.select("doc_id", "n_lines", F.size("gone").cast("bigint").alias("n_deleted"),
+                       F.array_join(runs, ",").alias("deleted"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_model() -> str:
+    """Path of the public SentencePiece model."""
+    return os.environ.get("BRANCHWISE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, docs = tokenizer_model(), table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.decode(pieces.encode(docs, model), model)
+    rows = pieces.encode(rows, model, out="merged", algorithm="merges")
+    digest = lambda c: F.sha2(F.array_join(c, " "), 256)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest("ids").alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+                       F.size("merged").cast("bigint").alias("n_merged"), digest("merged").alias("merged_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_exact_dedup, op5_mixing, op7_quality_rules, op9_sharding)}
+    ops = (op1_chat_formatting, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_html_extraction,
+           op7_quality_rules, op8_sentencepiece, op9_sharding, op10_near_dedup)
+    return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
