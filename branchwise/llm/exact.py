@@ -94,8 +94,10 @@ def decide(docs: DataFrame, rid: Column | None = None, chars: int = BLOCK_CHARS,
     """
     rows, identity = identities(docs, F.monotonically_increasing_id() if rid is None else rid, chars, hashed)
     members = materialize(identity.join(rows.drop("hs"), "rid"), "exact: members")
-    groups = members.groupBy("n_blocks", "name").agg(
-        F.max(F.struct("doc_id", "rid")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below is one of plain shuffles and a group
+    # with many rows can be split in it.
+    groups = materialize(members.groupBy("n_blocks", "name").agg(
+        F.max(F.struct("doc_id", "rid")).alias("stays"), F.count(F.lit(1)).alias("group_size")), "exact: groups")
     return members.join(groups, ["n_blocks", "name"]).select(
         "rid", "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("stays.rid")).alias("kept"), "text_sha256")
