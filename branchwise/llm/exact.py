@@ -40,7 +40,7 @@ def _named(values: DataFrame, keys: list[str]) -> DataFrame:
 
 def _level_0(docs: DataFrame, rows: DataFrame, chars: int, hashed) -> DataFrame:
     """(rid, n_blocks, idx, name) of every block of every row."""
-    blocks = docs.select(F.explode(_blocks(chars)).alias("b")).select(hashed(F.col("b")).alias("h"), "b")
+    blocks = docs.select(F.explode_outer(_blocks(chars)).alias("b")).select(hashed(F.col("b")).alias("h"), "b")
     names = materialize(_named(blocks, ["h", "b"]).select("h", "name"), "exact: names of blocks")
     places = rows.select("rid", "text_sha256", F.size("hs").alias("n_blocks"), F.posexplode("hs").alias("idx", "h"))
     shared = names.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")

@@ -50,7 +50,8 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             a["w"] >= min_words, a).otherwise(F.struct((a["w"] + x["words"]).alias("w"), (a["n"] + 1).alias("n"))))
         return F.when(reach["w"] >= min_words, reach["n"])
     rows = rows.withColumn("need", F.transform("l", lambda _, i: need(i)))
-    rows = rows.select("doc_id", "k1", "k2", F.posexplode(F.arrays_zip("l", "need")).alias("pos", "z"))
+    # Outer: else the optimiser would add a filter that makes the arrays twice.
+    rows = rows.select("doc_id", "k1", "k2", F.posexplode_outer(F.arrays_zip("l", "need")).alias("pos", "z")).where("pos IS NOT NULL")
     return rows.select("doc_id", "k1", "k2", "pos", "z.l.line", "z.l.words", "z.need", "z.l.h1", "z.l.h2")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import WORD, text_of
+from branchwise.session import materialize
 
 # The symbols counted by ``n_symbols``, the window length of
 # repeated words, and the thresholds of the two base rules.
@@ -137,5 +138,10 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The documents that pass the policy, with all their columns."""
-    return measure(docs, docs.columns).where(passes(policy, fail_bits())).select("doc.*")
+    """The documents that pass the policy, with all their columns.
+
+    The bits are written first: a filter on them would be pushed below the
+    measurements, and each of these repeated in it.
+    """
+    rows = materialize(measure(docs, docs.columns).select("doc", fail_bits().alias("fail_bits")), "quality: ledger")
+    return rows.where(passes(policy)).select("doc.*")
