@@ -15,18 +15,16 @@ passed.  The **bounds iteration** decides requests in rounds:
 
 The earliest undecided request has only decided requests before it, so its
 bounds are exact and it is decided: every round decides at least one
-request and the loop always ends, with no cap.  Each round is a handful of
-DataFrame operations; the request state is written as Parquet into the
-shared folder (``spark.checkpoint.dir``) every round, so the lineage stays
-one round long and a lost executor recomputes one round, not the whole
-history.  Moves alone on their key are decided once, before the rounds;
-once the moves are large, keys whose moves are all decided are dropped as
-the undecided set shrinks.
-
-Running sums are skew-safe: a key with many moves (one product may hold a
-third of all sales) is cut into contiguous ``seq`` buckets; per-bucket
-totals give each bucket's offset, and the within-bucket running sums are
-windows over (key, bucket), so no task holds a whole hot key.
+request and the loop always ends, with no cap.  A round reads only what is
+still open: the undecided requests, and the moves on keys that an undecided
+request touches.  What a round decides is written once and never read by
+later rounds; rejected moves and closed keys leave.  Both tables are written
+as Parquet into the shared folder (``spark.checkpoint.dir``), so the lineage
+stays one round long and a lost executor recomputes one round.  Moves alone
+on their key are decided once, before the rounds.
+
+Running sums are skew-safe (``ordered``): a key with many moves (one product
+may hold a third of all sales) is spread over several range partitions.
 """
 
 from __future__ import annotations
@@ -44,7 +42,10 @@ KEY = ["kind", "k1", "k2"]
 
 
 # Check names a move can carry.
-EXISTS, ENOUGH, ABSENT = "exists", "enough", "absent"
+# (``absent`` and ``foreign`` ask for the
+# same, that the key does not exist, under different reject codes.)
+EXISTS, ENOUGH, ABSENT, FOREIGN = "exists", "enough", "absent", "foreign"
+CHECK_NAMES = (EXISTS, ENOUGH, ABSENT, FOREIGN)
 
 
 @dataclass
@@ -64,25 +65,21 @@ class Settled:
     undecided_per_round: list[int]
 
 
-def _checkpoint(df: DataFrame, label: str | None = None) -> DataFrame:
-    return materialize(df, label)
-
-
-def _prepare(moves: DataFrame, opening: DataFrame) -> tuple[DataFrame, bool]:
+def _prepare(moves: DataFrame, opening: DataFrame) -> DataFrame:
     """Attach the opening balance, the key's move count (``key_rows``) and a
-    bucket number; also tell whether any key is hot."""
+    bucket number.  Checks that no move asks for are false."""
     op = opening.select(*KEY, F.col("qty").cast("bigint").alias("open_qty"),
                         F.lit(True).alias("open_exists"))
-    m = (moves.join(op, KEY, "left")
+    missing = {f"chk_{n}": F.lit(False) for n in CHECK_NAMES if f"chk_{n}" not in moves.columns}
+    m = (moves.withColumns(missing).join(op, KEY, "left")
          .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
          .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
-    # Stored once; the key sizes and every later step read the stored moves.
-    return ordered.bucketize(_checkpoint(m, "replay: moves"), KEY, "seq")
+    return ordered.with_key_rows(ordered.bucketize(m, KEY, "seq"), KEY)
 
 
-def _earlier_sums(df: DataFrame, cols: list[str], bucketed: bool) -> DataFrame:
+def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
     """Add ``p_<c>``: sum of ``c`` over strictly earlier moves of the same key."""
-    return ordered.running_sums(df, KEY, cols, bucketed)
+    return ordered.running_sums(df, KEY, cols)
 
 
 def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
@@ -92,6 +89,7 @@ def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
         EXISTS: (~ex_hi, ex_lo),
         ENOUGH: (F.col("debit") > bal_hi, F.col("debit") <= bal_lo),
         ABSENT: (ex_lo, ~ex_hi),
+        FOREIGN: (ex_lo, ~ex_hi),
     }
     aggs = []
     for name, (fail, ok) in sure.items():
@@ -101,16 +99,6 @@ def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
     return aggs
 
 
-CHECK_NAMES = (EXISTS, ENOUGH, ABSENT)
-
-# Drop fully decided keys from the rounds each time the undecided set has
-# shrunk this many times, once the moves on shared keys are at least this
-# many rows (below that, re-reading them each round costs less than
-# rewriting them).
-COMPACT_RATIO = 8
-COMPACT_MIN_MOVES = 10_000_000
-
-
 def _static_checks(single: DataFrame) -> DataFrame:
     """Checks of moves that are alone on their key: no earlier move, so the
     bounds are exact from the start and never change."""
@@ -122,25 +110,23 @@ def _static_checks(single: DataFrame) -> DataFrame:
 _STATIC = [f"s{x}_{n}" for n in CHECK_NAMES for x in "fo"]
 
 
-def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]], bucketed: bool) -> DataFrame:
-    """One round: the whole new state.  Decided requests keep their status;
-    undecided ones are decided from the bounds of this round and their
-    static checks, which the state rows carry."""
-    live = m.join(state.where(F.col("status") != REJECTED).select("seq", "status"), "seq")
-    a = F.col("status") == ACCEPTED
+def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """One round: the undecided requests of ``state`` with their new status,
+    from the bounds of this round and the static checks on their rows.
+    ``m`` holds accepted (``acc``) and undecided moves."""
     zero = F.lit(0).cast("bigint")
-    live = live.select(
+    live = m.select(
         "*",
-        F.when(a, F.col("debit")).otherwise(zero).alias("dA"),
+        F.when(F.col("acc"), F.col("debit")).otherwise(zero).alias("dA"),
         F.col("debit").alias("dAU"),
-        F.when(a, F.col("credit")).otherwise(zero).alias("cA"),
+        F.when(F.col("acc"), F.col("credit")).otherwise(zero).alias("cA"),
         F.col("credit").alias("cAU"))
-    p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"], bucketed)
+    p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"])
     ex_lo = F.col("open_exists") | (F.col("p_cA") > 0)
     ex_hi = F.col("open_exists") | (F.col("p_cAU") > 0)
     bal_lo = F.col("open_qty") + F.col("p_cA") - F.col("p_dAU")
     bal_hi = F.col("open_qty") + F.col("p_cAU") - F.col("p_dA")
-    dyn = p.where(F.col("status") == UNDECIDED).groupBy("seq").agg(*_check_aggs(p, ex_lo, ex_hi, bal_lo, bal_hi))
+    dyn = p.where(~F.col("acc")).groupBy("seq").agg(*_check_aggs(p, ex_lo, ex_hi, bal_lo, bal_hi))
     j = state.join(dyn, "seq", "left")
     status = None
     code = None
@@ -156,60 +142,52 @@ def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]],
         code = code.when(~o, F.lit(None).cast("string"))
     status = F.lit(ACCEPTED) if status is None else status.otherwise(F.lit(ACCEPTED))
     code = F.lit(None).cast("string") if code is None else code.otherwise(F.lit(None).cast("string"))
-    und = F.col("status") == UNDECIDED
-    return j.select("seq",
-                    F.when(und, status).otherwise(F.col("status")).alias("status"),
-                    F.when(und, code).otherwise(F.col("reject_code")).alias("reject_code"),
-                    *_STATIC)
+    return j.select("seq", status.alias("status"), code.alias("reject_code"), *_STATIC)
 
 
 def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[str]]]) -> Settled:
     """Replay ``moves`` against ``opening`` in ``seq`` order.
 
     ``moves``: seq BIGINT, kind, k1, k2 STRING, debit, credit BIGINT (>= 0),
-    chk_exists / chk_enough / chk_absent BOOLEAN.  At most one move per
+    and BOOLEAN chk_exists / chk_enough / chk_absent / chk_foreign (a
+    missing one is false).  At most one move per
     (request, key).  ``opening``: kind, k1, k2, qty for keys that exist.
     ``checks``: ordered (reject_code, [check names]) -- the first group a
     request fails gives its code, as the procedures test in that order.
     """
-    prepared, bucketed = _prepare(moves, opening)
+    prepared = materialize(_prepare(moves, opening), "replay: moves")
     # Moves alone on their key are decided once (their flags ride on the
     # state rows); only moves on shared keys take part in the rounds.
     static = _static_checks(prepared.where(F.col("key_rows") == 1)).select(
         "seq", *[F.col(c[1:]).alias(c) for c in _STATIC])
-    m, seen_m = materialize_observed(prepared.where(F.col("key_rows") > 1), "replay: shared-key moves",
-                                     rows=F.count(F.lit(1)))
-    compacting = (seen_m.get("rows") or 0) >= COMPACT_MIN_MOVES
-    und = F.sum(F.when(F.col("status") == UNDECIDED, 1).otherwise(0))
-    state, seen = materialize_observed(
-        prepared.select("seq").distinct().join(static, "seq", "left")
-        .select("seq", F.lit(UNDECIDED).alias("status"), F.lit(None).cast("string").alias("reject_code"),
-                *_STATIC), "replay: initial state", undecided=und)
-    rounds = 0
-    undecided = seen.get("undecided") or 0
-    compacted_at = undecided
-    trace: list[int] = []
-    while undecided > 0:
+    m = prepared.where(F.col("key_rows") > 1).withColumn("acc", F.lit(False))
+    state = prepared.select("seq").distinct().join(static, "seq", "left")
+    is_open = F.col("status") == UNDECIDED
+    done: DataFrame | None = None
+    rounds, trace, undecided = 0, [], None
+    while undecided is None or undecided > 0:
         rounds += 1
-        # The undecided count comes from the same job that writes the state.
-        state, seen = materialize_observed(_round(m, state, checks, bucketed), f"replay: round {rounds}",
-                                           undecided=und)
+        # The undecided count comes from the same job that writes the round.
+        result, seen = materialize_observed(_round(m, state, checks), f"replay: round {rounds}",
+                                            undecided=F.sum(F.when(is_open, 1).otherwise(0)))
         undecided = seen.get("undecided") or 0
         trace.append(undecided)
-        if compacting and 0 < undecided * COMPACT_RATIO <= compacted_at:
-            # A key whose moves are all decided can never change an undecided
-            # request again: keep only keys that still have an undecided
-            # move.  Done each time the undecided set has shrunk
-            # COMPACT_RATIO-fold, so later rounds read only the keys still in
-            # conflict while the number of compactions stays logarithmic.
-            open_moves = m.join(state.where(F.col("status") == UNDECIDED).select("seq"), "seq", "left_semi")
-            m = _checkpoint(m.join(open_moves.select(*KEY).distinct(), KEY, "left_semi"), "replay: compact")
-            compacted_at = undecided
-    state = state.select("seq", "status", "reject_code")
+        settled = result.where(~is_open).select("seq", "status", "reject_code")
+        done = settled if done is None else done.unionByName(settled)
+        state = result.where(is_open).select("seq", *_STATIC)
+        if undecided:
+            # Rejected moves leave, and keys without an undecided move: these
+            # can never change an undecided request again.
+            now = m.join(result.select("seq", "status"), "seq", "left")
+            now = now.where(F.col("acc") | F.col("status").isin(ACCEPTED, UNDECIDED))
+            now = now.withColumn("acc", F.col("acc") | F.coalesce(F.col("status") == ACCEPTED, F.lit(False)))
+            open_keys = m.join(state.select("seq"), "seq", "left_semi").select(*KEY).distinct()
+            m = materialize(now.drop("status").join(open_keys, KEY, "left_semi"), "replay: open moves")
+    state = done
     acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
-    bal = _earlier_sums(acc, ["net", "credit"], bucketed)
-    bal = _checkpoint(bal.select(*KEY, "seq", "debit", "credit",
+    bal = _earlier_sums(acc, ["net", "credit"])
+    bal = materialize(bal.select(*KEY, "seq", "debit", "credit",
                                  (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
                                  (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before")),
                       "replay: balances")

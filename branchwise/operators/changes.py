@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from branchwise.functions import exprs as X
 from branchwise.operators import ordered
+from branchwise.operators.views import with_every_branch
 from branchwise.sources.schemas import MONEY, Tables
 
 BAD_BRANCH = "BAD_BRANCH"
@@ -144,10 +145,10 @@ def patch_employees(t: Tables, req: DataFrame) -> ChangeResult:
     new_emp = e.select("employee_id", F.coalesce("_name", "full_name").alias("full_name"),
                        F.coalesce("_title", "job_title").alias("job_title"), "branch_code")
     # The row as it stands right after each accepted request.
-    acc, hot = ordered.bucketize(r.where(ok), ["_id"])
+    acc = ordered.bucketize(r.where(ok), ["_id"])
     acc = ordered.running_last(acc, ["_id"], {
         "_n": F.when(~X.is_blank("full_name"), X.clean("full_name")),
-        "_t": F.when(~X.is_blank("job_title"), X.clean("job_title"))}, hot)
+        "_t": F.when(~X.is_blank("job_title"), X.clean("job_title"))})
     old = t.employee.select(F.col("employee_id").alias("_id"), F.col("full_name").alias("_n0"),
                             F.col("job_title").alias("_t0"))
     after = acc.join(old, "_id", "left").select(
@@ -188,17 +189,6 @@ def delete_employees(t: Tables, req: DataFrame) -> ChangeResult:
 
 
 # ------------------------------------------------------------------ products
-def _branch_grid(t: Tables):
-    """Registered branch codes as a literal array (the registry is a bounded
-    configuration table; its size is checked before it is inlined)."""
-    from branchwise.sources.adapter import MAX_BRANCHES
-
-    rows = t.branch.where(F.col("is_active")).select("branch_code").limit(MAX_BRANCHES + 1).collect()
-    if len(rows) > MAX_BRANCHES:
-        raise ValueError(f"branch registry larger than {MAX_BRANCHES} rows")
-    return F.array(*[F.lit(r.branch_code) for r in rows]) if rows else F.array().cast("array<string>")
-
-
 def create_products(t: Tables, req: DataFrame, service_rules: bool = False) -> ChangeResult:
     """Requests (seq, product_code, product_name, unit_price).
 
@@ -227,7 +217,8 @@ def create_products(t: Tables, req: DataFrame, service_rules: bool = False) -> C
     new = r.where(F.col("_code").isNull()).select(
         F.col("_code_in").alias("product_code"), X.clean("product_name").alias("product_name"),
         F.col("unit_price").cast(MONEY).alias("unit_price"))
-    stock = (new.select("product_code", F.explode(_branch_grid(t)).alias("branch_code"))
+    active = t.branch.where(F.col("is_active")).select("branch_code")
+    stock = (with_every_branch(new.select("product_code"), "product_code", active)
              .join(t.inventory.select("product_code", "branch_code"), ["product_code", "branch_code"],
                    "left_anti")
              .select("product_code", "branch_code", F.lit(0).cast("int").alias("qty")))
@@ -260,10 +251,10 @@ def patch_products(t: Tables, req: DataFrame) -> ChangeResult:
     new_prod = p.select("product_code", F.coalesce("_name", "product_name").alias("product_name"),
                         F.coalesce("_price", "unit_price").cast(MONEY).alias("unit_price"))
     # The row as it stands right after each accepted request.
-    acc, hot = ordered.bucketize(r.where(ok), ["_code_in"])
+    acc = ordered.bucketize(r.where(ok), ["_code_in"])
     acc = ordered.running_last(acc, ["_code_in"], {
         "_n": F.when(~X.is_blank("product_name"), X.clean("product_name")),
-        "_p": F.col("unit_price").cast(MONEY)}, hot)
+        "_p": F.col("unit_price").cast(MONEY)})
     old = t.product.select(F.col("product_code").alias("_code_in"), F.col("product_name").alias("_n0"),
                            F.col("unit_price").alias("_p0"))
     after = acc.join(old, "_code_in", "left").select(
@@ -358,8 +349,8 @@ def receive_stock(t: Tables, req: DataFrame) -> ChangeResult:
                        (F.col("qty") + F.coalesce("_add", F.lit(0))).cast("int").alias("qty")))
     # Right after an accepted receipt: opening + all accepted receipts up to it.
     keys = ["_code_in", "_branch"]
-    acc, hot = ordered.bucketize(r.where(ok).withColumn("_q", F.col("qty").cast("bigint")), keys)
-    acc = ordered.running_sums(acc, keys, ["_q"], hot)
+    acc = ordered.bucketize(r.where(ok).withColumn("_q", F.col("qty").cast("bigint")), keys)
+    acc = ordered.running_sums(acc, keys, ["_q"])
     opening = t.inventory.select(F.col("product_code").alias("_code_in"), F.col("branch_code").alias("_branch"),
                                  F.col("qty").alias("_q0"))
     after = acc.join(opening, keys, "left").select(
@@ -448,7 +439,8 @@ def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
 
     Requests (seq, branch_code, invoice_id, product_code, product_name, qty,
     unit_price, total_amount, employee_id, note).  The invoice must exist in
-    the branch (50001).  Every field falls back to the invoice's current
+    the branch (50001); while it has no line, a request must give both a
+    product and a quantity (NOT_NULL).  Every field falls back to the invoice's current
     row: the product to the last given one (first line by code at the
     start), the quantity to the last positive one, the employee to the last
     non-blank one, the note to the last non-NULL one.  The price is the
@@ -462,24 +454,32 @@ def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
     """
     r = with_branch(req, t).withColumn("_id", X.clean("invoice_id"))
     inv = t.invoice.select(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"),
-                           F.col("employee_id").alias("_emp0"), F.col("note").alias("_note0"))
-    r = r.join(inv, ["_id", "_branch"], "left")
-    r = _flag(r, t.invoice.select(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch")),
-              ["_id", "_branch"], "_exists")
-    r = r.withColumn("_code", first_code([(~F.col("_branch_ok"), BAD_BRANCH),
-                                          (~F.col("_exists"), str(X.E_NOT_FOUND))]))
-    first = (t.invoice_line.groupBy(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"))
+                           F.col("employee_id").alias("_emp0"), F.col("note").alias("_note0"), F.lit(True).alias("_here"))
+    r = r.join(inv, ["_id", "_branch"], "left").withColumn("_exists", F.coalesce("_here", F.lit(False))).drop("_here")
+    r = r.withColumn("_pre", first_code([(~F.col("_branch_ok"), BAD_BRANCH),
+                                         (~F.col("_exists"), str(X.E_NOT_FOUND))]))
+    # The first line of the requested invoices; an invoice without lines
+    # starts with the first request that gives both product and quantity.
+    given = X.blank_to_null("product_code").isNotNull() & (F.col("qty") > 0)
+    asked = r.where(F.col("_pre").isNull()).groupBy("_id", "_branch").agg(
+        F.min(F.when(given, F.col("seq"))).alias("_start"))
+    first = (t.invoice_line.select(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch"),
+                                   "product_code", "qty")
+             .join(asked.select("_id", "_branch"), ["_id", "_branch"], "left_semi").groupBy("_id", "_branch")
              .agg(F.min(F.struct("product_code", "qty")).alias("_f")))
-    ok = r.where(F.col("_code").isNull()).join(first, ["_id", "_branch"], "left")
+    r = r.join(asked, ["_id", "_branch"], "left").join(first, ["_id", "_branch"], "left")
+    lacking = F.col("_f").isNull() & (F.col("_start").isNull() | (F.col("seq") < F.col("_start")))
+    r = r.withColumn("_code", F.coalesce(F.col("_pre"), F.when(lacking, F.lit(NOT_NULL)))).drop("_pre", "_start")
+    ok, r = r.where(F.col("_code").isNull()), r.drop("_f")
     # "Last value up to this request" per invoice, then per product; both
-    # are skew-safe ordered scans (hot keys are cut into seq buckets).
-    ok, hot = ordered.bucketize(ok, ["_id", "_branch"])
+    # are skew-safe ordered scans.
+    ok = ordered.bucketize(ok, ["_id", "_branch"])
     ok = ordered.running_last(ok, ["_id", "_branch"], {
         "_p": X.blank_to_null("product_code"),
         "_q": F.when(F.col("qty") > 0, F.col("qty")),
         "_e": X.blank_to_null("employee_id"),
-        "_n": F.col("note")}, hot)
-    ok = ok.select(*[c for c in ok.columns if c not in ("bucket", "key_rows")],
+        "_n": F.col("note")})
+    ok = ok.select(*[c for c in ok.columns if c != "bucket"],
                    F.coalesce("_p", F.col("_f.product_code")).alias("product_code_after"),
                    F.coalesce("_q", F.col("_f.qty")).cast("int").alias("qty_after"),
                    F.coalesce("_e", "_emp0").alias("employee_id_after"),
@@ -489,9 +489,9 @@ def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
     ok = ok.join(cat, "product_code_after", "left")
     explicit = (F.when(F.col("unit_price") > 0, F.col("unit_price"))
                 .when((F.col("total_amount") > 0) & (F.col("qty") > 0), F.col("total_amount") / F.col("qty")))
-    ok, hot = ordered.bucketize(ok, ["product_code_after"])
+    ok = ordered.bucketize(ok, ["product_code_after"])
     ok = ordered.running_last(ok, ["product_code_after"], {
-        "_price": explicit.cast(MONEY), "_name": X.blank_to_null("product_name")}, hot)
+        "_price": explicit.cast(MONEY), "_name": X.blank_to_null("product_name")})
     ok = ok.select("*",
                    F.coalesce("_price", "_price0", F.lit(0)).cast(MONEY).alias("unit_price_after"),
                    F.coalesce("_name", "_name0", "product_code_after").alias("product_name_after"))
@@ -522,7 +522,7 @@ def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
     tables = t.with_tables(
         invoice=heads,
         invoice_line=t.invoice_line.join(gone, ["invoice_id", "branch_code"], "left_anti")
-        .unionByName(lines.where(F.col("product_code").isNotNull())),
+        .unionByName(lines),
         product=new_prod)
     ok_col = F.col("_code").isNull()
     return ChangeResult(tables, _outcome(

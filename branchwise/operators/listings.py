@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from branchwise.functions import exprs as X
+from branchwise.operators import ordered
 from branchwise.sources.schemas import MONEY, TOTAL, Tables
 
 # Columns the client hides when present (replication adds them).
@@ -47,18 +48,10 @@ def scan_invoice_lines(t: Tables) -> DataFrame:
 
 
 def fragment_roundtrip(t: Tables) -> DataFrame:
-    """Every fragment read on its own (partition filter), then UNION ALL."""
-    from branchwise.operators.views import fragment, union_fragments
-
-    from branchwise.sources.adapter import MAX_BRANCHES
-
-    rows = t.branch.select("branch_code").limit(MAX_BRANCHES + 1).collect()  # the registry
-    if len(rows) > MAX_BRANCHES:
-        raise ValueError(f"branch registry larger than {MAX_BRANCHES} rows")
-    codes = [r.branch_code for r in rows]
-    frags = [fragment(t.invoice, code).select("invoice_id", "branch_code", "created_at")
-             for code in codes]
-    return union_fragments(frags)
+    """The fragments of all registered branches together.  One fragment
+    is a partition filter (``views.fragment``); all of them are one scan."""
+    return (t.invoice.join(t.branch.select("branch_code"), "branch_code", "left_semi")
+            .select("invoice_id", "branch_code", "created_at"))
 
 
 # ------------------------------------------------------------------ products
@@ -169,6 +162,11 @@ def invoice_list(t: Tables, branch: str | None = None) -> DataFrame:
 
 def invoice_list_no_employee(t: Tables, branch: str | None = None) -> DataFrame:
     """The invoice list over a schema without the employee column."""
+    if t.invoice_summary is not None:
+        s = _branch_filter(t.invoice_summary, branch)
+        return (s.select("invoice_id", "total", F.col("n_lines").cast("bigint").alias("line_count"), "note",
+                         "created_at", "branch_code", F.lit(None).cast("string").alias("employee_id"),
+                         F.lit(None).cast("string").alias("employee_name")).orderBy(F.desc("created_at")))
     return invoice_list(t.with_tables(invoice=t.invoice.drop("employee_id")), branch)
 
 
@@ -224,24 +222,21 @@ def invoice_documents(t: Tables) -> DataFrame:
                     F.col("f.product_name").alias("first_product_name")))
 
 
-def invoice_documents_nested(t: Tables) -> DataFrame:
-    """L12 nested document: items as arrays of structs sorted by code.
-
-    A document page holds at most about ``ITEMS_PER_DOC`` items (pages split
-    an invoice by product hash), so no collected array grows with the data;
-    ``total`` and ``item_count`` are the whole invoice's.
-    """
+def invoice_document_items(t: Tables) -> DataFrame:
+    """L12, the items of the documents: one row per item with the invoice's
+    header, its total and number of items, and ``item_no`` from 1 by product
+    code.  An invoice without lines has one row without an item."""
+    keys = ["invoice_id", "branch_code"]
     d = invoice_details(t)
-    sizes = d.groupBy("invoice_id", "branch_code").agg(
-        F.sum("amount").cast(TOTAL).alias("total"), F.count(F.lit(1)).alias("item_count"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("item_count") / F.lit(ITEMS_PER_DOC)))
-    items = F.sort_array(F.collect_list(F.struct("product_code", "product_name", "qty",
-                                                 "unit_price", "amount")))
-    per = (d.join(sizes, ["invoice_id", "branch_code"])
-           .groupBy("invoice_id", "branch_code", "total", "item_count",
-                    F.pmod(F.xxhash64("product_code"), pages).alias("page"))
-           .agg(items.alias("items")))
-    return t.invoice.join(per, ["invoice_id", "branch_code"], "left")
+    sizes = d.groupBy(*keys).agg(F.sum("amount").cast(TOTAL).alias("total"), F.count(F.lit(1)).alias("item_count"))
+    d = ordered.bucketize(d.withColumn("_one", F.lit(1).cast("bigint")), keys, "product_code")
+    d = ordered.running_sums(d, keys, ["_one"], "product_code")
+    items = d.select(*keys, (F.col("p__one") + 1).alias("item_no"), "product_code", "product_name", "qty",
+                     "unit_price", "amount")
+    return (t.invoice.join(sizes, keys, "left").join(items, keys, "left")
+            .select(*keys, "employee_id", "note", "created_at", F.coalesce("total", F.lit(0).cast(TOTAL)).alias("total"),
+                    F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"), "item_no", "product_code",
+                    "product_name", "qty", "unit_price", "amount"))
 
 
 # ------------------------------------------------------------------ JSON
@@ -262,23 +257,12 @@ def explode_items(df: DataFrame, json_col: str = "items_json") -> DataFrame:
                     F.col("item").getField(ITEM_PRICE).alias("item_price")))
 
 
-# A JSON item document holds at most about this many items; a larger
-# invoice is packed as several documents (chunks by product hash), so no
-# collected group grows with the data.
-ITEMS_PER_DOC = 1000
-
-
 def pack_invoice_items(t: Tables) -> DataFrame:
-    """Lines -> JSON item documents (``JSON.stringify(items)``)."""
-    sizes = t.invoice_line.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("_n"))
-    docs = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(ITEMS_PER_DOC)))
-    chunk = F.pmod(F.xxhash64("product_code"), docs)
-    return (t.invoice_line.join(sizes, "invoice_id")
-            .groupBy("invoice_id", chunk.alias("chunk"))
-            .agg(F.to_json(F.collect_list(F.struct(F.col("product_code").alias(ITEM_CODE),
-                                                   F.col("qty").alias(ITEM_QTY),
-                                                   F.col("unit_price").alias(ITEM_PRICE))))
-                 .alias("items_json")))
+    """Lines -> JSON item documents (``JSON.stringify(items)``), an array of
+    one item per line, so nothing is collected whatever an invoice holds."""
+    return t.invoice_line.select("invoice_id", F.to_json(F.array(F.struct(
+        F.col("product_code").alias(ITEM_CODE), F.col("qty").alias(ITEM_QTY),
+        F.col("unit_price").alias(ITEM_PRICE)))).alias("items_json"))
 
 
 def parse_invoice_items(t: Tables) -> DataFrame:

@@ -1,17 +1,15 @@
 """Skew-safe ordered scans per key: running sums and last non-NULL values.
 
 A window ``partitionBy(key).orderBy(seq)`` puts every row of a key into one
-task, so one hot key (a third of all rows) would be one task.  Here a key
-with more than ``ROWS_PER_BUCKET`` rows is cut into contiguous ``seq``
-buckets:
+task, so one hot key (a third of all rows) would be one task.  Here all rows
+are range-partitioned by (key, order): a key with many rows fills several
+partitions, whatever its order values are and however they are spread, and
+the partition number is the row's ``bucket``:
 
 * per (key, bucket) one summary row (a sum, or the last non-NULL value);
-* a window over the summaries of a key (at most a few thousand rows even
-  for the hottest key) gives every bucket the summary of all earlier ones;
+* a window over the summaries of a key gives every bucket the summary of
+  all earlier ones;
 * the rows themselves are scanned by windows per (key, bucket).
-
-When no key is hot (the common case, checked with one tiny query) the plain
-window per key is used.
 """
 
 from __future__ import annotations
@@ -19,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
+from branchwise.session import materialize
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,30 +28,23 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(ren, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def bucketize(df: DataFrame, keys: list[str], order: str = "seq",
-              rows_per_bucket: int | None = None) -> tuple[DataFrame, bool]:
-    """Add ``bucket`` (0 for every key that is not hot) and ``key_rows``;
-    return the frame and whether any key is hot."""
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"), F.min(order).alias("_lo"),
-                                  F.max(order).alias("_hi"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("key_rows") / F.lit(rows_per_bucket)))
-    bucket = F.when(nb == 1, F.lit(0)).otherwise(
-        F.floor((F.col(order) - F.col("_lo")) * nb / (F.col("_hi") - F.col("_lo") + 1)))
-    from branchwise.session import materialize_observed
-
-    # One row per key, stored once; the same job reports the largest key.
-    stats, seen = materialize_observed(stats, "key sizes", top=F.max("key_rows"))
-    hot = (seen.get("top") or 0) > rows_per_bucket
-    out = _join_keys(df, stats, keys).withColumn("bucket", bucket.cast("bigint")).drop("_lo", "_hi")
-    return out, hot
-
-
-def running_sums(df: DataFrame, keys: list[str], cols: list[str], hot: bool, order: str = "seq") -> DataFrame:
-    """Add ``p_<c>``: sum of ``c`` over the strictly earlier rows of the key."""
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"p_{c}") for c in cols])
+def bucketize(df: DataFrame, keys: list[str], order: str = "seq", partitions: int | None = None) -> DataFrame:
+    """Add ``bucket``: rows of one key that follow each other share it, and
+    buckets of a key follow the order.  Written at once, so that the buckets
+    stay what they are; ``partitions`` defaults to the session's."""
+    n = [partitions] if partitions else []
+    spread = df.repartitionByRange(*n, *[F.col(k) for k in keys], F.col(order))
+    return materialize(spread.withColumn("bucket", F.spark_partition_id().cast("bigint")), "ordered: buckets")
+
+
+def with_key_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``key_rows``, the number of rows of the key."""
+    return _join_keys(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows")), keys)
+
+
+def running_sums(df: DataFrame, keys: list[str], cols: list[str], order: str = "seq") -> DataFrame:
+    """Add ``p_<c>``: sum of ``c`` over the strictly earlier rows of the key.
+    ``df`` comes from ``bucketize`` (rows may have been dropped since)."""
     tot = df.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
     wb = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "bucket", *[F.coalesce(F.sum(f"t_{c}").over(wb), F.lit(0)).alias(f"o_{c}")
@@ -64,13 +55,9 @@ def running_sums(df: DataFrame, keys: list[str], cols: list[str], hot: bool, ord
     return out.select(*df.columns, *[(F.col(f"o_{c}") + F.col(f"w_{c}")).alias(f"p_{c}") for c in cols])
 
 
-def running_last(df: DataFrame, keys: list[str], cols: dict[str, "F.Column"], hot: bool,
-                 order: str = "seq") -> DataFrame:
+def running_last(df: DataFrame, keys: list[str], cols: dict[str, "F.Column"], order: str = "seq") -> DataFrame:
     """Add one column per ``cols`` entry: the last non-NULL value of the
     expression over the rows of the key up to and including this one."""
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.last(e, True).over(w).alias(n) for n, e in cols.items()])
     tagged = df.select("*", *[e.alias(f"_v_{n}") for n, e in cols.items()])
     last_in_bucket = tagged.groupBy(*keys, "bucket").agg(
         *[F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(F.col(order).alias("s"), F.col(f"_v_{n}").alias("v"))))
@@ -82,3 +69,18 @@ def running_last(df: DataFrame, keys: list[str], cols: dict[str, "F.Column"], ho
     inner = tagged.select("*", *[F.last(f"_v_{n}", True).over(wm).alias(f"w_{n}") for n in cols])
     out = _join_keys(inner, off, keys + ["bucket"])
     return out.select(*df.columns, *[F.coalesce(F.col(f"w_{n}"), F.col(f"o_{n}")).alias(n) for n in cols])
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
+    """Add ``out``: 1, 2, ... in the given order (whose values are all
+    different).  Every range partition numbers its own sorted rows; offsets
+    come from one row per partition."""
+    local = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                        .withColumn("_id", F.monotonically_increasing_id()), "ordered: numbers")
+    part, row = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    local = local.withColumn("_part", part).withColumn("_row", row)
+    sizes = local.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (local.join(offsets, "_part").withColumn(out, F.col("_offset") + F.col("_row") + 1)
+            .drop("_id", "_part", "_row", "_offset"))

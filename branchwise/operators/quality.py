@@ -61,15 +61,14 @@ def orphans(t: Tables) -> DataFrame:
     """Q-FK: per foreign key, rows checked and rows without a parent.
 
     A NULL child key is allowed (invoice without employee) and not counted.
-    The parent side is reduced to distinct keys before the anti join.
+    Parent keys are primary keys, so the join keeps one row per child row.
     """
     parts = []
     for name, child, ccols, parent, pcols in FOREIGN_KEYS:
         c = t.get(child).select(*ccols)
         p = (t.get(parent).select(*[F.col(pc).alias(cc) for pc, cc in zip(pcols, ccols)])
-             .distinct().withColumn("_parent", F.lit(True)))
+             .withColumn("_parent", F.lit(True)))
         present = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in ccols])
-        # Left join on distinct parent keys: one output row per child row.
         parts.append(
             c.where(present).join(p, ccols, "left")
             .agg(F.count(F.lit(1)).alias("checked_rows"),
@@ -91,10 +90,10 @@ def check_violations(t: Tables) -> DataFrame:
         agg = t.get(table).agg(
             F.count(F.lit(1)).alias("checked_rows"),
             *[F.sum(F.when(~cond, 1).otherwise(0)).alias(n) for n, cond in rules])
-        for n, _ in rules:
-            parts.append(agg.select(F.lit(n).alias("constraint_name"),
-                                    F.col("checked_rows").cast("bigint").alias("checked_rows"),
-                                    F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("violations")))
+        each = F.array(*[F.struct(F.lit(n).alias("constraint_name"),
+                                  F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("violations")) for n, _ in rules])
+        parts.append(agg.select(F.col("checked_rows").cast("bigint").alias("checked_rows"), F.explode(each).alias("r"))
+                     .select("r.constraint_name", "checked_rows", "r.violations"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -104,9 +103,9 @@ def null_counts(t: Tables) -> DataFrame:
     for table, schema in SCHEMAS.items():
         cols = [f.name for f in schema.fields if not f.nullable]
         agg = t.get(table).agg(*[F.sum(F.when(F.col(x).isNull(), 1).otherwise(0)).alias(x) for x in cols])
-        for x in cols:
-            parts.append(agg.select(F.lit(table).alias("table_name"), F.lit(x).alias("column_name"),
-                                    F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias("null_count")))
+        each = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(x).alias("column_name"),
+                                  F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias("null_count")) for x in cols])
+        parts.append(agg.select(F.explode(each).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, parts)
 
 

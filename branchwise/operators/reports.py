@@ -207,8 +207,13 @@ def branch_revenue_7d_from_totals(t: Tables, as_of, branch: str | None = None) -
     spine = (_branch_filter(t.branch, branch)
              .select("branch_code",
                      F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day")))
-    inv = t.invoice.where(X.in_days("created_at", first, as_of + _dt.timedelta(days=1)))
-    lst = invoice_list(t.with_tables(invoice=inv), branch)
+    days = X.in_days("created_at", first, as_of + _dt.timedelta(days=1))
+    if t.invoice_summary is not None:
+        lst = _branch_filter(t.invoice_summary.where(days), branch)
+    else:
+        inv = t.invoice.where(days)
+        lines = t.invoice_line.join(inv.select("invoice_id", "branch_code"), ["invoice_id", "branch_code"], "left_semi")
+        lst = invoice_list(t.with_tables(invoice=inv, invoice_line=lines), branch)
     per_day = (lst.groupBy("branch_code", F.to_date(X.iso_day("created_at")).alias("day"))
                .agg(X.money_sum(X.to_number("total")).alias("revenue")))
     return (spine.join(per_day, ["branch_code", "day"], "left")

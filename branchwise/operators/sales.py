@@ -45,17 +45,31 @@ def _line_opening(t: Tables, invoice_ids: DataFrame) -> DataFrame:
                         F.col("product_code").alias("k2"), F.lit(0).alias("qty"))
 
 
-def _invoice_owner(t: Tables, r: DataFrame, ok: Column) -> DataFrame:
-    """Flag requests whose invoice id belongs to another branch: the branch
-    of the existing invoice, or of the first request naming a new id."""
-    existing = t.invoice.select(F.col("invoice_id").alias("_inv"), F.col("branch_code").alias("_owner_old"))
-    first = (r.where(ok).groupBy("_inv")
-             .agg(F.min(F.struct(F.col("seq").alias("s"), F.col("_branch").alias("b"))).getField("b")
-                  .alias("_owner_new")))
-    j = r.join(existing, "_inv", "left").join(first, "_inv", "left")
-    owner = F.coalesce("_owner_old", "_owner_new")
-    return j.withColumn("_foreign", F.coalesce(owner != F.col("_branch"), F.lit(False))) \
-        .withColumn("_is_new", F.col("_owner_old").isNull()).drop("_owner_old", "_owner_new")
+def _invoice_owner(t: Tables, r: DataFrame) -> DataFrame:
+    """Flag requests whose invoice id belongs to another branch already
+    (``_foreign``) and those that name a new one (``_is_new``)."""
+    existing = t.invoice.select(F.col("invoice_id").alias("_inv"), F.col("branch_code").alias("_owner"))
+    j = r.join(existing, "_inv", "left")
+    return j.withColumn("_foreign", F.coalesce(F.col("_owner") != F.col("_branch"), F.lit(False))) \
+        .withColumn("_is_new", F.col("_owner").isNull()).drop("_owner")
+
+
+def _owner_moves(live: DataFrame) -> DataFrame:
+    """Ownership of new invoice ids that several branches name, as moves.
+
+    An accepted request makes the invoice exist in its branch (a credit on
+    the key of invoice and branch), and it must not exist in any of the other
+    branches that name it.  So a request that fails leaves the id free.
+    """
+    named = live.where("_is_new").select("_inv", F.col("_branch").alias("_other")).distinct()
+    several = named.groupBy("_inv").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_inv")
+    named = named.join(several, "_inv")
+    at = live.select("seq", "_inv", "_branch").join(named, "_inv")
+    own = F.col("_branch") == F.col("_other")
+    return at.select("seq", F.lit("O").alias("kind"), F.col("_inv").alias("k1"), F.col("_other").alias("k2"),
+                     F.lit(0).cast("bigint").alias("debit"), F.when(own, 1).otherwise(0).cast("bigint").alias("credit"),
+                     F.lit(False).alias("chk_exists"), F.lit(False).alias("chk_enough"), F.lit(False).alias("chk_absent"),
+                     (~own).alias("chk_foreign"))
 
 
 def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled | None,
@@ -93,20 +107,28 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
     return tables, r
 
 
-def merge_items(req: DataFrame) -> DataFrame:
-    """S7 + merge: one row per (request, product): quantities summed, the
-    largest given price kept, as the sale procedure groups its items."""
+def items_of(req: DataFrame) -> DataFrame:
+    """The item rows (seq, item_code, item_qty, item_price) of JSON documents."""
     items = explode_items(req.select("seq", "items_json"))
+    return items.where(F.col("item_pos").isNotNull()).select("seq", "item_code", "item_qty", "item_price")
+
+
+def merge_items(items: DataFrame) -> DataFrame:
+    """One row per (request, product): quantities summed, the largest given
+    price kept, as the sale procedure groups its items."""
     return (items.where(F.col("item_code").isNotNull() & (F.col("item_code") != ""))
             .groupBy("seq", "item_code")
             .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price")))
 
 
 def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None = None,
-                  fold_item_codes: bool = False) -> ChangeResult:
-    """P10: multi-line sales from JSON item documents, all-or-nothing.
+                  fold_item_codes: bool = False, items: DataFrame | None = None) -> ChangeResult:
+    """P10: multi-line sales, all-or-nothing.
 
-    Requests (seq, invoice_id, employee_id, note, branch_code, items_json).
+    Requests (seq, invoice_id, employee_id, note, branch_code) with their
+    items either as a JSON document (``items_json``), as the API takes them,
+    or as rows ``items`` (seq, item_code, item_qty, item_price), where a
+    request may have any number.
     Guards in order: branch, blank invoice / employee / items (50000);
     employee not of the branch (50001); no items or bad JSON (50002); an
     item without code or with quantity NULL or <= 0 (50003); a product
@@ -130,13 +152,16 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     r = _flag(r, emp, ["_emp", "_branch"], "_emp_ok", unique=True)
     # Items are parsed once: one row per (request, item code) carries the
     # merged quantity and price and the item checks of its raw items.
-    items = explode_items(req.select("seq", "items_json"))
+    if items is None:
+        items, no_items = items_of(req), X.is_blank("items_json")
+    else:
+        req, no_items = req.withColumn("items_json", F.lit(None).cast("string")), F.lit(False)
+        r = r.withColumn("items_json", F.lit(None).cast("string"))
     if fold_item_codes:
         items = items.withColumn("item_code", F.upper(F.col("item_code")))
     bad = X.is_blank("item_code") | F.col("item_qty").isNull() | (F.col("item_qty") <= 0)
     per_item = materialize(
-        items.where(F.col("item_pos").isNotNull())
-        .groupBy("seq", "item_code")
+        items.groupBy("seq", "item_code")
         .agg(F.count(F.lit(1)).alias("_n"), F.max(bad).alias("_bad"),
              F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price"))
         .join(t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat")),
@@ -150,14 +175,14 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     r = r.join(item_stats, "seq", "left")
     pre = [
         (~F.col("_branch_ok"), str(X.E_INPUT)),
-        (X.is_blank("invoice_id") | X.is_blank("employee_id") | X.is_blank("items_json"), str(X.E_INPUT)),
+        (X.is_blank("invoice_id") | X.is_blank("employee_id") | no_items, str(X.E_INPUT)),
         (~F.col("_emp_ok"), str(X.E_NOT_FOUND)),
         (F.coalesce(F.col("_n_items"), F.lit(0)) == 0, str(X.E_50002)),
         (F.coalesce(F.col("_bad_item"), F.lit(False)), str(X.E_50003)),
         (F.coalesce(F.col("_bad_price"), F.lit(False)), str(X.E_50004)),
     ]
     r = r.withColumn("_pre", first_code(pre)).drop("items_json")
-    r = _invoice_owner(t, r, F.col("_pre").isNull())
+    r = _invoice_owner(t, r)
     r = materialize(r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
                                  .when(F.col("_foreign"), F.lit(PK_INVOICE))), "sales: static guards")
     live = r.where(F.col("_code").isNull()).select("seq", "_inv", "_branch", "_is_new")
@@ -175,9 +200,11 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
         .unionByName(lm.select("seq", F.lit("L").alias("kind"), F.col("_inv").alias("k1"),
                               F.col("item_code").alias("k2"), F.lit(0).cast("bigint").alias("debit"),
                               F.lit(1).cast("bigint").alias("credit"), F.lit(False).alias("chk_exists"),
-                              F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent")))
+                              F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent"))) \
+        .withColumn("chk_foreign", F.lit(False)).unionByName(_owner_moves(live))
     opening = _stock_opening(t).unionByName(_line_opening(t, shared))
-    settled = A.settle(moves, opening, [(str(X.E_50005), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
+    settled = A.settle(moves, opening, [
+        (PK_INVOICE, [A.FOREIGN]), (str(X.E_50005), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
     tables, r = _sale_effects(t, r, merged, settled, now)
     totals = (merged.where(F.col("_cat").isNotNull())
               .groupBy("seq").agg(F.count(F.lit(1)).alias("_lines"),
@@ -221,7 +248,7 @@ def post_single_lines(t: Tables, req: DataFrame, strict: bool = True, now=None)
         (F.col("qty").isNull(), NOT_NULL),
     ]
     r = r.withColumn("_pre", first_code(pre))
-    r = _invoice_owner(t, r, F.col("_pre").isNull())
+    r = _invoice_owner(t, r)
     r = r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
                      .when(F.col("_foreign"), F.lit(PK_INVOICE)))
     live = r.where(F.col("_code").isNull())
@@ -234,9 +261,11 @@ def post_single_lines(t: Tables, req: DataFrame, strict: bool = True, now=None)
         .unionByName(live.select("seq", F.lit("L").alias("kind"), F.col("_inv").alias("k1"),
                                  F.col("item_code").alias("k2"), F.lit(0).cast("bigint").alias("debit"),
                                  F.lit(1).cast("bigint").alias("credit"), F.lit(False).alias("chk_exists"),
-                                 F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent")))
+                                 F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent"))) \
+        .withColumn("chk_foreign", F.lit(False)).unionByName(_owner_moves(live))
     opening = _stock_opening(t).unionByName(_line_opening(t, live.select("_inv")))
-    settled = A.settle(moves, opening, [(str(X.E_50003), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
+    settled = A.settle(moves, opening, [
+        (PK_INVOICE, [A.FOREIGN]), (str(X.E_50003), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
     merged = r.select("seq", "item_code", F.col("qty").cast("bigint").alias("qty"),
                       F.lit(None).cast(MONEY).alias("price"), "_cat")
     tables, r = _sale_effects(t, r, merged, settled, now)

@@ -27,6 +27,19 @@ def union_fragments(frags: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frags)
 
 
+SPREAD = 16
+
+
+def with_every_branch(df: DataFrame, key: str, branches: DataFrame) -> DataFrame:
+    """Each row of ``df`` once per row of ``branches`` (a stock row of a
+    product in every branch): an equality join on one of ``SPREAD`` parts.
+    A row belongs to the part of its key, every branch is in all parts, so
+    neither side is limited or read to the driver."""
+    parts = branches.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
+    rows = df.withColumn("_part", F.pmod(F.hash(F.col(key)), F.lit(SPREAD)))
+    return rows.join(parts, "_part").drop("_part")
+
+
 def national_employees(t: Tables) -> DataFrame:
     """S4 v_NhanVien_ToanQuoc."""
     return t.employee.select("employee_id", "full_name", "job_title", "branch_code")

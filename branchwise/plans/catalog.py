@@ -45,6 +45,7 @@ _ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "invoice_list": L.invoice_list,
     "invoice_details": L.invoice_details,
     "invoice_documents": L.invoice_documents,
+    "invoice_document_items": L.invoice_document_items,
     # reports
     "revenue_by_branch": R.revenue_by_branch,
     "revenue_by_branch_global": R.revenue_by_branch_global,

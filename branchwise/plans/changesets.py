@@ -2,10 +2,10 @@
 
 Requests come from ``requests`` (every source row is a request).  Keys whose
 result does not depend on replay order beyond "first valid request of a
-key" have an oracle written directly in SQL.  ``post_invoices``,
-``post_single_line`` and ``stock_transfer`` depend on which earlier requests
-consumed stock; they have no SQL form and are checked against a plain
-serial replay in ``tests/test_replay.py``.
+key" have an oracle written directly in SQL here; the tables after a change
+and the replays that can be stepped have theirs in ``states``.
+``post_invoices`` couples several stock rows per request; it has no SQL form
+and is checked against a plain serial replay in ``tests/test_replay.py``.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ def _run(build):
 
 
 def _invoice_item_merge(s, d, t):
-    return S.merge_items(RQ.sale_requests(s, d)).select(
+    return S.merge_items(RQ.sale_items(s, d)).select(
         "seq", F.col("item_code").alias("product_code"), "qty", F.col("price").alias("given_price"))
 
 
 def _invoice_price_resolve(s, d, t):
-    m = S.merge_items(RQ.sale_requests(s, d))
+    m = S.merge_items(RQ.sale_items(s, d))
     cat = t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat"))
     from branchwise.functions.exprs import resolve_price
     return m.join(cat, "item_code", "left").select(
@@ -49,7 +49,7 @@ def _invoice_price_resolve(s, d, t):
 def _invoice_stock_check(s, d, t):
     """Each sale document alone against the opening stock of its branch."""
     req = RQ.sale_requests(s, d)
-    m = S.merge_items(req).join(req.select("seq", "branch_code"), "seq")
+    m = S.merge_items(RQ.sale_items(s, d)).join(req.select("seq", "branch_code"), "seq")
     inv = t.inventory.select(F.col("product_code").alias("item_code"), "branch_code", F.col("qty").alias("_on_hand"))
     j = m.join(inv, ["item_code", "branch_code"], "left")
     return j.groupBy("seq").agg(
@@ -80,16 +80,38 @@ def _apply_change_feed(s, d, t):
                          ["balance", "updated_at"])
 
 
-def _single_line_requests(s, d):
-    """One single-line sale per order: the order's smallest part."""
-    from branchwise.sources.adapter import read
-    li = read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    first = li.groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("f"))
-    heads = RQ.sale_headers(s, d)
-    return (heads.join(first, heads.o_orderkey == first.l_orderkey, "left")
-            .select("seq", "invoice_id", "employee_id",
-                    F.col("f.l_partkey").cast("string").alias("product_code"),
-                    F.col("f.l_quantity").cast("int").alias("qty"), "note", "branch_code"))
+def _state(change, requests, table, *columns):
+    """The new ``table`` after a change."""
+    return lambda s, d, t: change(t, requests(s, d)).tables.get(table).select(*columns)
+
+
+_STATES = {
+    "employees_after_insert": _state(C.add_employees, RQ.employee_add, "employee", "employee_id", "full_name", "branch_code"),
+    "employees_after_patch": _state(C.patch_employees, RQ.employee_patch, "employee",
+                                    "employee_id", "full_name", "job_title", "branch_code"),
+    "employees_after_delete": _state(C.delete_employees, RQ.employee_delete, "employee", "employee_id", "branch_code"),
+    "products_after_create": _state(C.create_products, RQ.product_create, "product", "product_code", "unit_price"),
+    "products_after_patch": _state(C.patch_products, RQ.product_patch, "product",
+                                   "product_code", "product_name", "unit_price"),
+    "products_after_delete": _state(C.delete_products, RQ.product_delete, "product", "product_code"),
+    "inventory_after_product_delete": _state(C.delete_products, RQ.product_delete, "inventory",
+                                             "product_code", "branch_code", "qty"),
+    "inventory_after_receipt": _state(C.receive_stock, RQ.stock_requests, "inventory",
+                                      "product_code", "branch_code", "qty"),
+    "inventory_after_row_delete": _state(C.delete_stock_rows, RQ.stock_row_deletes, "inventory",
+                                         "product_code", "branch_code", "qty"),
+    "invoices_after_delete": _state(C.delete_invoices, RQ.invoice_deletes, "invoice", "invoice_id", "branch_code"),
+    "lines_after_delete": _state(C.delete_invoices, RQ.invoice_deletes, "invoice_line",
+                                 "invoice_id", "product_code", "qty", "branch_code"),
+    "invoices_after_replace": _state(C.replace_invoices, RQ.invoice_replaces, "invoice",
+                                     "invoice_id", "note", "employee_id", "branch_code"),
+    "lines_after_replace": _state(C.replace_invoices, RQ.invoice_replaces, "invoice_line",
+                                  "invoice_id", "product_code", "qty", "unit_price", "branch_code"),
+    "products_after_replace": _state(C.replace_invoices, RQ.invoice_replaces, "product",
+                                     "product_code", "product_name", "unit_price"),
+    "inventory_after_transfer": _state(S.transfer_stock, RQ.transfer_requests, "inventory",
+                                       "product_code", "branch_code", "qty"),
+}
 
 
 _BUILDERS = {
@@ -111,14 +133,14 @@ _BUILDERS = {
     "invoice_stock_check": _invoice_stock_check,
     "transfer_validate": _transfer_validate,
     "apply_change_feed": _apply_change_feed,
-    "post_invoices": lambda s, d, t: S.post_invoices(t, RQ.sale_requests(s, d), now=NOW).outcome,
-    "post_single_line": lambda s, d, t: S.post_single_lines(t, _single_line_requests(s, d), now=NOW).outcome,
+    "post_invoices": lambda s, d, t: S.post_invoices(t, RQ.sale_requests(s, d), now=NOW, items=RQ.sale_items(s, d)).outcome,
+    "post_single_line": lambda s, d, t: S.post_single_lines(t, RQ.single_line_requests(s, d), now=NOW).outcome,
     "stock_transfer": lambda s, d, t: S.transfer_stock(t, RQ.transfer_requests(s, d)).outcome,
 }
 
 
 def queries():
-    return {name: _run(fn) for name, fn in _BUILDERS.items()}
+    return {name: _run(fn) for name, fn in {**_BUILDERS, **_STATES}.items()}
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -154,15 +176,15 @@ prod_del AS (SELECT p_partkey AS seq,
   CASE WHEN p_partkey % 13 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code
   FROM part),
 grid AS (SELECT p_partkey, r_regionkey, r_name, i FROM part, region, (VALUES (0), (1)) v(i)),
-stock_req AS (SELECT (p_partkey * 1024 + r_regionkey) * 2 + i AS seq,
+stock_req AS (SELECT row_number() OVER (ORDER BY p_partkey, r_regionkey, i) AS seq,
   CASE WHEN p_partkey % 31 = 0 AND i = 1 THEN 'NOWHERE' ELSE r_name END AS branch_code,
   CASE WHEN p_partkey % 29 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) WHEN p_partkey % 37 = 0 THEN ' '
        ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
   CAST((p_partkey + i * 7) % 50 - 5 AS INT) AS qty FROM grid),
-row_del AS (SELECT (p_partkey * 1024 + r_regionkey) * 2 + i AS seq, r_name AS branch_code,
+row_del AS (SELECT row_number() OVER (ORDER BY p_partkey, r_regionkey, i) AS seq, r_name AS branch_code,
   CASE WHEN p_partkey % 2 = 1 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code
   FROM grid WHERE i = 0 OR p_partkey % 6 = 0),
-row_add AS (SELECT (p_partkey * 1024 + r_regionkey) * 2 + i AS seq, r_name AS branch_code,
+row_add AS (SELECT row_number() OVER (ORDER BY p_partkey, r_regionkey, i) AS seq, r_name AS branch_code,
   CASE WHEN p_partkey % 19 = 0 THEN 'U' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) END AS product_code,
   CAST((p_partkey + r_regionkey) % 40 AS INT) AS qty FROM grid WHERE i = 0 OR p_partkey % 2 = 1),
 ord AS (SELECT o_orderkey, o_orderpriority, g.branch_code FROM orders
@@ -170,8 +192,7 @@ ord AS (SELECT o_orderkey, o_orderpriority, g.branch_code FROM orders
 inv_del AS (SELECT o_orderkey * 2 + i AS seq,
   CASE WHEN o_orderkey % 7 = 0 THEN 'NOWHERE' ELSE branch_code END AS branch_code,
   CAST(o_orderkey AS VARCHAR) AS invoice_id FROM ord, (VALUES (0), (1)) v(i) WHERE i = 0 OR o_orderkey % 11 = 0),
-sale_items AS (SELECT l_orderkey * 1048576
-    + l_partkey % least(1048576, greatest(1, CAST(ceil(count(*) OVER (PARTITION BY l_orderkey) / 1000) AS BIGINT))) AS seq,
+sale_items AS (SELECT l_orderkey AS seq,
   CAST(l_partkey AS VARCHAR) AS product_code, CAST(l_quantity AS INT) AS qty,
   CASE WHEN l_partkey % 2 = 1 THEN CAST(p_retailprice AS DECIMAL(10,2)) END AS price
   FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -314,14 +335,18 @@ FROM (SELECT *, """ + _first_valid("id, b", "50001") + """ AS code FROM (
     "invoice_replace": _q("""SELECT g.seq, g.id AS invoice_id, g.b AS branch_code, g.code IS NULL AS accepted,
   g.code AS reject_code, a2.product_code_after, a2.qty_after, a2.unit_price_after, a2.product_name_after,
   a2.employee_id_after, a2.note_after
-FROM g LEFT JOIN a2 ON a2.seq = g.seq""", """g AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
+FROM g LEFT JOIN a2 ON a2.seq = g.seq""", """pre AS (SELECT *, CASE WHEN NOT """ + ACTIVE.format(b="b") + """ THEN 'BAD_BRANCH'
     WHEN NOT EXISTS (SELECT 1 FROM invoice i WHERE i.invoice_id = id AND i.branch_code = b) THEN '50001' END AS code
   FROM (SELECT *, upper(trim(branch_code)) AS b, trim(invoice_id) AS id FROM repl) r0),
 fl AS (SELECT invoice_id, branch_code, min(product_code) AS p0, arg_min(qty, product_code) AS q0
   FROM invoice_line GROUP BY 1, 2),
-ok AS (SELECT g.*, i.employee_id AS e0, i.note AS n0, fl.p0, fl.q0 FROM g
-  JOIN invoice i ON i.invoice_id = g.id AND i.branch_code = g.b
-  LEFT JOIN fl ON fl.invoice_id = g.id AND fl.branch_code = g.b WHERE g.code IS NULL),
+st AS (SELECT id, b, min(seq) AS s0 FROM pre WHERE code IS NULL AND trim(product_code) <> '' AND qty > 0 GROUP BY 1, 2),
+g AS (SELECT pre.* EXCLUDE (code), fl.p0, fl.q0,
+    CASE WHEN code IS NOT NULL THEN code WHEN p0 IS NULL AND (s0 IS NULL OR seq < s0) THEN 'NOT_NULL' END AS code
+  FROM pre LEFT JOIN fl ON fl.invoice_id = pre.id AND fl.branch_code = pre.b
+  LEFT JOIN st ON st.id = pre.id AND st.b = pre.b),
+ok AS (SELECT g.*, i.employee_id AS e0, i.note AS n0 FROM g
+  JOIN invoice i ON i.invoice_id = g.id AND i.branch_code = g.b WHERE g.code IS NULL),
 a1 AS (SELECT ok.*,
   coalesce(last_value(nullif(trim(product_code), '') IGNORE NULLS) OVER w, p0) AS product_code_after,
   CAST(coalesce(last_value(CASE WHEN qty > 0 THEN qty END IGNORE NULLS) OVER w, q0) AS INT) AS qty_after,
@@ -346,7 +371,7 @@ FROM sale_merged m LEFT JOIN product p ON p.product_code = m.product_code"""),
     "invoice_stock_check": _q("""SELECT m.seq, count(*) AS product_count,
   CAST(count(*) FILTER (WHERE v.qty IS NULL) AS BIGINT) AS missing_rows,
   CAST(count(*) FILTER (WHERE v.qty < m.qty) AS BIGINT) AS short_rows
-FROM sale_merged m JOIN sale_branch sb ON sb.order_key = m.seq // 1048576
+FROM sale_merged m JOIN sale_branch sb ON sb.order_key = m.seq
 LEFT JOIN inventory v ON v.product_code = m.product_code AND v.branch_code = sb.branch_code
 GROUP BY m.seq"""),
 

@@ -139,6 +139,12 @@ FROM inventory v JOIN product p ON p.product_code = v.product_code ORDER BY v.pr
  CAST(l.qty * l.unit_price AS DECIMAL(18,2)) AS amount
 FROM invoice_line l LEFT JOIN product p ON p.product_code = l.product_code
 JOIN invoice i ON i.invoice_id = l.invoice_id AND i.branch_code = l.branch_code"""),
+    "invoice_document_items": q("""SELECT i.invoice_id, i.branch_code, i.employee_id, i.note, i.created_at,
+  CAST(coalesce(sum(amount) OVER w, 0) AS DECIMAL(28,2)) AS total, count(d.product_code) OVER w AS item_count,
+  CASE WHEN d.product_code IS NOT NULL THEN row_number() OVER (PARTITION BY i.invoice_id, i.branch_code ORDER BY d.product_code) END AS item_no,
+  d.product_code, p.product_name, d.qty, d.unit_price, d.amount
+FROM invoice i LEFT JOIN gl d ON d.invoice_id = i.invoice_id AND d.branch_code = i.branch_code
+LEFT JOIN product p ON p.product_code = d.product_code WINDOW w AS (PARTITION BY i.invoice_id, i.branch_code)"""),
     "invoice_documents": q("""SELECT i.invoice_id, i.branch_code, i.employee_id, i.note, i.created_at,
  CAST(coalesce(d.total, 0) AS DECIMAL(28,2)) AS total, CAST(coalesce(d.item_count, 0) AS BIGINT) AS item_count,
  f.product_code AS first_product_code, f.qty AS first_qty, f.unit_price AS first_unit_price,
@@ -351,6 +357,7 @@ FROM lineitem JOIN part ON p_partkey = l_partkey""",
 
 def oracle_sql() -> dict[str, str]:
     out = dict(ORACLE)
-    from branchwise.plans import changesets
-    out.update(getattr(changesets, "ORACLE", {}))
+    from branchwise.plans import changesets, states
+    out.update(changesets.ORACLE)
+    out.update(states.SQL)
     return out

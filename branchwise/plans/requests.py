@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.operators.listings import ITEM_CODE, ITEM_PRICE, ITEM_QTY
-from branchwise.sources.adapter import MAX_BRANCHES, read
+from branchwise.operators import ordered
+from branchwise.operators.views import with_every_branch
+from branchwise.sources.adapter import read
 from branchwise.sources.schemas import MONEY
 
 
@@ -29,14 +30,8 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(_geo(spark, sf_dir), s.s_nationkey == F.col("n_nationkey"))
 
 
-def _regions(spark: SparkSession, sf_dir: str):
-    """The (bounded) region registry as a literal array of (key, name)."""
-    rows = read(spark, sf_dir, "region").select("r_regionkey", "r_name") \
-        .orderBy("r_regionkey").limit(MAX_BRANCHES + 1).collect()
-    if len(rows) > MAX_BRANCHES:
-        raise ValueError(f"branch registry larger than {MAX_BRANCHES} rows")
-    return F.array(*[F.struct(F.lit(r.r_regionkey).alias("rk"), F.lit(r.r_name).alias("name"))
-                     for r in rows])
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
 
 def _s(x) -> F.Column:
@@ -112,40 +107,32 @@ def product_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 13 == 0, F.concat(F.lit("U"), _s(k))).otherwise(_s(k)).alias("product_code"))
 
 
-def _grid(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
-    """part x region x copies, as explodes over bounded literal arrays."""
-    p = read(spark, sf_dir, "part").select("p_partkey")
-    reps = F.array(*[F.lit(i) for i in range(copies)])
-    return p.select("p_partkey", F.explode(_regions(spark, sf_dir)).alias("r"), F.explode(reps).alias("i")) \
-        .select("p_partkey", F.col("r.rk").alias("r_regionkey"), F.col("r.name").alias("r_name"), "i")
+def _grid(spark: SparkSession, sf_dir: str, repeat=None) -> DataFrame:
+    """part x region, each stock row once (``i`` = 0) plus once more (1)
+    where ``repeat`` holds, numbered by part, region and ``i``."""
+    grid = with_every_branch(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", _regions(spark, sf_dir))
+    last = F.lit(0) if repeat is None else F.when(repeat, F.lit(1)).otherwise(F.lit(0))
+    grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), last)))
+    return grid if repeat is None else ordered.numbered(grid, ["p_partkey", "r_regionkey", "i"])
 
 
 def stock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two requests per stock row (set and receive use the same rows)."""
-    k, rk, i = F.col("p_partkey"), F.col("r_regionkey"), F.col("i")
-    return _grid(spark, sf_dir, 2).select(
-        ((k * 1024 + rk) * 2 + i).alias("seq"),
+    k, i = F.col("p_partkey"), F.col("i")
+    return _grid(spark, sf_dir, F.lit(True)).select(
+        "seq",
         F.when((k % 31 == 0) & (i == 1), F.lit("NOWHERE")).otherwise(F.col("r_name")).alias("branch_code"),
         F.when(k % 29 == 0, F.concat(F.lit("U"), _s(k))).when(k % 37 == 0, F.lit(" "))
          .otherwise(_s(k)).alias("product_code"),
         ((k + i * 7) % 50 - 5).cast("int").alias("qty"))
 
 
-def _grid_repeats(spark: SparkSession, sf_dir: str, repeat) -> DataFrame:
-    """part x region, each stock row once plus once more where ``repeat`` holds."""
-    p = read(spark, sf_dir, "part").select("p_partkey")
-    g = p.select("p_partkey", F.explode(_regions(spark, sf_dir)).alias("r")) \
-        .select("p_partkey", F.col("r.rk").alias("r_regionkey"), F.col("r.name").alias("r_name"))
-    reps = F.sequence(F.lit(0), F.when(repeat, F.lit(1)).otherwise(F.lit(0)))
-    return g.select("*", F.explode(reps).alias("i"))
-
-
 def stock_row_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One delete per stock row (odd parts ask for unknown codes); parts
     divisible by 6 ask twice (the repeat is refused)."""
-    k, rk, i = F.col("p_partkey"), F.col("r_regionkey"), F.col("i")
-    return _grid_repeats(spark, sf_dir, k % 6 == 0).select(
-        ((k * 1024 + rk) * 2 + i).alias("seq"),
+    k = F.col("p_partkey")
+    return _grid(spark, sf_dir, k % 6 == 0).select(
+        "seq",
         F.col("r_name").alias("branch_code"),
         F.when(k % 2 == 1, F.concat(F.lit("U"), _s(k))).otherwise(_s(k)).alias("product_code"),
         F.lit(None).cast("int").alias("qty"))
@@ -153,9 +140,9 @@ def stock_row_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stock_row_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One create per stock row; odd parts twice (the repeat is refused)."""
-    k, rk, i = F.col("p_partkey"), F.col("r_regionkey"), F.col("i")
-    return _grid_repeats(spark, sf_dir, k % 2 == 1).select(
-        ((k * 1024 + rk) * 2 + i).alias("seq"),
+    k, rk = F.col("p_partkey"), F.col("r_regionkey")
+    return _grid(spark, sf_dir, k % 2 == 1).select(
+        "seq",
         F.col("r_name").alias("branch_code"),
         F.when(k % 19 == 0, F.concat(F.lit("U"), _s(k))).otherwise(_s(k)).alias("product_code"),
         ((k + rk) % 40).cast("int").alias("qty"))
@@ -179,13 +166,6 @@ def invoice_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(k).alias("invoice_id"))
 
 
-# A sale document holds at most about this many items: a larger order is
-# split into several documents (several requests on the same invoice).
-ITEMS_PER_DOC = 1000
-# Room for the documents of one order in ``seq`` (order key * SEQ_SPACE + doc).
-SEQ_SPACE = 1 << 20
-
-
 def _sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
@@ -196,77 +176,59 @@ def _sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(ob, li.l_orderkey == ob.o_orderkey))
 
 
-def _sale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item documents per (order, doc) plus the seller candidates.
+def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sale per order: seq, invoice id, seller, note, branch.
 
-    The line count per order comes from lineitem alone (no joins), so the
-    joined lines are built once and grouped once.
+    The seller is a supplier of the order's branch when one of its lines
+    has such a supplier, else the smallest supplier (a foreign seller, 50001).
+    Every tenth order re-uses its own invoice id (Q6: lines appended or PK_LINE).
     """
-    n = (read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_o"))
-         .agg(F.count(F.lit(1)).alias("n_lines")))
-    docs_per_order = F.least(F.lit(SEQ_SPACE), F.greatest(F.lit(1), F.ceil(F.col("n_lines") / ITEMS_PER_DOC)))
-    lines = _sale_lines(spark, sf_dir).join(n, F.col("l_orderkey") == F.col("_o"))
-    return (lines.withColumn("doc", F.pmod(F.col("l_partkey"), docs_per_order))
-            .groupBy("l_orderkey", "doc")
-            .agg(F.to_json(F.collect_list(F.struct(
-                _s(F.col("l_partkey")).alias(ITEM_CODE),
-                F.col("l_quantity").cast("int").alias(ITEM_QTY),
-                F.when(F.col("l_partkey") % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias(ITEM_PRICE))))
-                 .alias("items_json"),
-                 F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
-                 F.min("l_suppkey").alias("any_seller")))
-
-
-def _headers(ob: DataFrame, docs: DataFrame) -> DataFrame:
-    per_order = docs.groupBy("l_orderkey").agg(F.min("own").alias("own"), F.min("any_seller").alias("any_seller"))
-    k = F.col("o_orderkey")
-    return (ob.join(per_order, ob.o_orderkey == per_order.l_orderkey, "left")
-            .select("o_orderkey", (k * SEQ_SPACE).alias("seq"),
+    sellers = _sale_lines(spark, sf_dir).groupBy("l_orderkey").agg(
+        F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
+        F.min("l_suppkey").alias("any_seller"))
+    ob, k = _order_branch(spark, sf_dir), F.col("o_orderkey")
+    return (ob.join(sellers, ob.o_orderkey == sellers.l_orderkey, "left")
+            .select(k.alias("seq"),
                     F.when(k % 10 == 0, _s(k)).otherwise(F.concat(F.lit("N"), _s(k))).alias("invoice_id"),
                     _s(F.coalesce("own", "any_seller")).alias("employee_id"),
                     F.col("o_orderpriority").alias("note"),
                     F.col("r_name").alias("branch_code")))
 
 
-def sale_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sale header per order: seq base, invoice id, seller, note, branch.
-
-    The seller is a supplier of the order's branch when one of its lines
-    has such a supplier, else the smallest supplier (a foreign seller, 50001).
-    Every tenth order re-uses its own invoice id (Q6: lines appended or PK_LINE).
-    """
-    return _headers(_order_branch(spark, sf_dir), _sale_docs(spark, sf_dir))
-
+def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the sales: one row per order line.  The unit price is
+    left out for even part keys (the catalogue price is used)."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    k = F.col("l_partkey")
+    return li.join(part, k == part.p_partkey).select(
+        F.col("l_orderkey").alias("seq"), _s(k).alias("item_code"), F.col("l_quantity").cast("int").alias("item_qty"),
+        F.when(k % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias("item_price"))
 
-def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-line sales: each order's lines as JSON item documents.
 
-    An order becomes one document, or ``ceil(lines / ITEMS_PER_DOC)``
-    documents split by part key, so no document (one collected group) grows
-    with the data.  The unit price is left out for even part keys (the
-    catalogue price is used).  An order without lines is a request without
-    items.
-    """
-    docs = _sale_docs(spark, sf_dir)
-    heads = _headers(_order_branch(spark, sf_dir), docs)
-    return (heads.join(docs.select("l_orderkey", "doc", "items_json"),
-                       heads.o_orderkey == docs.l_orderkey, "left")
-            .select((F.col("seq") + F.coalesce("doc", F.lit(0))).alias("seq"), "invoice_id", "employee_id",
-                    "note", "branch_code", "items_json"))
+def single_line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One single-line sale per product of each order (quantities of repeated
+    lines summed), numbered by order and product."""
+    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
+    line = ordered.numbered(li, ["l_orderkey", "l_partkey"])
+    heads = sale_requests(spark, sf_dir).withColumnRenamed("seq", "l_orderkey")
+    return line.join(heads, "l_orderkey").select(
+        "seq", "invoice_id", "employee_id", _s(F.col("l_partkey")).alias("product_code"),
+        F.col("qty").cast("int").alias("qty"), "note", "branch_code")
 
 
 def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transfer per event: the user's product moves between two regions
     chosen from the user and event ids (same region -> refused)."""
     ev = read(spark, sf_dir, "events").select("event_id", "user_id")
-    regs = _regions(spark, sf_dir)
-    n = F.size(regs)
-    frm = F.element_at(regs, (F.pmod(F.col("user_id"), n) + 1).cast("int"))
-    to = F.element_at(regs, (F.pmod(F.col("user_id") + F.col("event_id"), n) + 1).cast("int"))
+    regs = ordered.numbered(_regions(spark, sf_dir), ["r_regionkey"], "pos").select(F.col("pos") - 1, "r_name").toDF("pos", "name")
+    n = regs.count()
+    side = lambda c: regs.select(F.col("pos").alias(f"{c}_pos"), F.col("name").alias(c))
+    ev = ev.withColumn("from_branch_pos", F.pmod(F.col("user_id"), F.lit(n))).withColumn(
+        "to_branch_pos", F.pmod(F.col("user_id") + F.col("event_id"), F.lit(n)))
+    ev = ev.join(side("from_branch"), "from_branch_pos").join(side("to_branch"), "to_branch_pos")
     return ev.select(
-        F.col("event_id").alias("seq"),
-        frm.getField("name").alias("from_branch"),
-        to.getField("name").alias("to_branch"),
+        F.col("event_id").alias("seq"), "from_branch", "to_branch",
         _s(F.col("user_id")).alias("product_code"),
         (F.col("event_id") % 61).cast("int").alias("qty"))
 
@@ -299,7 +261,7 @@ def product_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lookup per stock row: padded, unknown or blank codes."""
     k = F.col("p_partkey")
-    return _grid(spark, sf_dir, 1).select(
+    return _grid(spark, sf_dir).select(
         F.col("r_name").alias("branch_code"),
         F.when(k % 11 == 0, F.concat(F.lit("U"), _s(k))).when(k % 13 == 0, F.lit(" "))
          .otherwise(F.concat(F.lit(" "), _s(k))).alias("requested_code"))

@@ -26,14 +26,6 @@ from pyspark.sql import functions as F
 
 from branchwise.sources.schemas import MONEY, Tables
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
-                 "lineitem", "events", "documents", "embeddings", "pages",
-                 "benchmark", "labels", "conversations")
-
-# Most branches a registry may list; the grid of stock rows (product x
-# branch) is built from the registry, so its size must stay bounded.
-MAX_BRANCHES = 1024
-
 
 _READS: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -139,25 +131,15 @@ def stock_rule(partkey, regionkey):
 
 
 def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stock row per (product, branch).
+    """One stock row per (product, branch)."""
+    from branchwise.operators.views import with_every_branch
 
-    The branch registry is a bounded configuration table (like the
-    reference's branch registry); it is read once, checked against
-    MAX_BRANCHES, and turned into an ``explode`` over a literal array, so
-    the grid is a map-only step with no join.
-    """
-    region_rows = read(spark, sf_dir, "region").select("r_regionkey", "r_name") \
-        .limit(MAX_BRANCHES + 1).collect()
-    if len(region_rows) > MAX_BRANCHES:
-        raise ValueError(f"branch registry larger than {MAX_BRANCHES} rows")
-    grid = F.array(*[F.struct(F.lit(r.r_regionkey).alias("rk"), F.lit(r.r_name).alias("code"))
-                     for r in region_rows]) if region_rows else F.array()
-    part = read(spark, sf_dir, "part").select("p_partkey")
-    return (part.select("p_partkey", F.explode(grid).alias("b"))
-            .select(
-                F.col("p_partkey").cast("string").alias("product_code"),
-                F.col("b.code").alias("branch_code"),
-                stock_rule(F.col("p_partkey"), F.col("b.rk")).alias("qty")))
+    regions = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    grid = with_every_branch(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", regions)
+    return grid.select(
+        F.col("p_partkey").cast("string").alias("product_code"),
+        F.col("r_name").alias("branch_code"),
+        stock_rule(F.col("p_partkey"), F.col("r_regionkey")).alias("qty"))
 
 
 def raw_invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

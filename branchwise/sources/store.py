@@ -30,11 +30,25 @@ MANIFEST_SCHEMA = T.StructType([
 
 
 def write_table(df: DataFrame, name: str, path: str) -> None:
-    cols = [f.name for f in SCHEMAS[name].fields]
-    w = df.select(*cols).write.mode("overwrite")
+    rows = df.select(*[f.name for f in SCHEMAS[name].fields])
     if name in FRAGMENTED or name == "branch":
-        w = w.partitionBy("branch_code")
-    w.parquet(path)
+        _together(rows, path)
+    else:
+        rows.write.parquet(path)
+
+
+#: Parts that the rows of a branch are written in at least (more if large:
+#: runtime re-planning splits and joins partitions by their size).
+BRANCH_PARTS = 4
+
+
+def _together(rows: DataFrame, path: str, *order: str) -> None:
+    """Write fragments by branch: the rows of a branch come from few tasks, so
+    there are few files, sorted by ``order``.  The sort begins with the branch
+    as the partitioned write needs it, so the writer does not sort again."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(BRANCH_PARTS))
+    rows = rows.repartition("branch_code", part)
+    rows.sortWithinPartitions("branch_code", *order).write.partitionBy("branch_code").parquet(path)
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -119,7 +133,7 @@ def _write_tables(root: str, version: int, changed: dict[str, DataFrame],
 
 def _write_manifest(spark: SparkSession, root: str, version: int, paths: dict[str, str]) -> None:
     rows = [(int(version), n, p) for n, p in sorted(paths.items())]
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite") \
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("errorifexists") \
         .json(f"{root}/_manifest/v={version}")
 
 
@@ -139,7 +153,7 @@ def _write_summaries(root: str, version: int, t: Tables) -> dict[str, str]:
     for name, df, order in ((SUMMARY, invoice_summary(t), "created_at"),
                             (PRODUCT_DAYS, product_day_summary(t), "day")):
         path = f"{root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
-        df.sortWithinPartitions(order).write.mode("overwrite").partitionBy("branch_code").parquet(path)
+        _together(df, path, order)
         out[name] = path
     return out
 

@@ -28,14 +28,15 @@ class State:
         self.lines = set(lines)                             # (invoice, product)
 
 
-def _owners(requests, pre_ok, existing):
-    """Branch owning each new invoice id: the first request passing the static guards."""
-    out = {}
-    for r in sorted(requests, key=lambda r: r["seq"]):
-        inv = clean(r["invoice_id"])
-        if pre_ok(r) and inv not in existing and inv not in out:
-            out[inv] = (r["branch_code"] or "").strip(" ").upper()
-    return out
+def with_documents(requests, items):
+    """Requests with the JSON documents of their item rows."""
+    docs = {}
+    for i in items:
+        one = {"MaSP": i["item_code"], "SoLuong": i["item_qty"]}
+        if i["item_price"] is not None:
+            one["DonGia"] = float(i["item_price"])
+        docs.setdefault(i["seq"], []).append(one)
+    return [{**r, "items_json": json.dumps(docs.get(r["seq"], []))} for r in requests]
 
 
 def _items(doc):
@@ -69,14 +70,13 @@ def post_invoices(st: State, requests):
                 return "50004"
         return None
 
-    owners = _owners(requests, lambda r: static(r) is None, st.invoices)
     out = {}
     for r in sorted(requests, key=lambda r: r["seq"]):
         code = static(r)
         b = (r["branch_code"] or "").strip(" ").upper()
         inv = clean(r["invoice_id"])
         if code is None:
-            owner = st.invoices.get(inv, owners.get(inv))
+            owner = st.invoices.get(inv)
             if owner is not None and owner != b:
                 code = "PK_INVOICE"
         if code is None:
@@ -135,14 +135,13 @@ def post_single_lines(st: State, requests, strict=True):
             return "NOT_NULL"
         return None
 
-    owners = _owners(requests, lambda r: static(r) is None, st.invoices)
     out = {}
     for r in sorted(requests, key=lambda r: r["seq"]):
         code = static(r)
         b = (r["branch_code"] or "").strip(" ").upper()
         inv, c, q = clean(r["invoice_id"]), clean(r["product_code"]), r["qty"]
         if code is None:
-            owner = st.invoices.get(inv, owners.get(inv))
+            owner = st.invoices.get(inv)
             if owner is not None and owner != b:
                 code = "PK_INVOICE"
         if code is None:

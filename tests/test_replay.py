@@ -14,7 +14,7 @@ import pytest
 
 from branchwise.operators import sales as S
 from branchwise.plans import requests as RQ
-from branchwise.plans.changesets import NOW, _single_line_requests
+from branchwise.plans.changesets import NOW
 from branchwise.sources.schemas import SCHEMAS, Tables
 from tests import replay
 from tests.conftest import SF001
@@ -32,22 +32,43 @@ def state_of(t: Tables) -> replay.State:
 
 
 def test_post_invoices_equals_serial_replay(spark, tables):
-    req = RQ.sale_requests(spark, SF001)
-    res = S.post_invoices(tables, req, now=NOW)
+    req, items = RQ.sale_requests(spark, SF001), RQ.sale_items(spark, SF001)
+    res = S.post_invoices(tables, req, now=NOW, items=items)
     got = {r.seq: (r.accepted, r.reject_code, r.line_count, r.total) for r in res.outcome.collect()}
-    want = replay.post_invoices(state_of(tables), [r.asDict() for r in req.collect()])
+    st, rows = state_of(tables), replay.with_documents([r.asDict() for r in req.collect()], [r.asDict() for r in items.collect()])
+    want = replay.post_invoices(st, rows)
     assert got == want
     codes = {v[1] for v in want.values()}
     assert {None, "50001", "50005", "PK_LINE"} <= codes, codes
     # stock after the batch equals the replay's
-    st = state_of(tables)
-    replay.post_invoices(st, [r.asDict() for r in req.collect()])
     new_stock = {(r.product_code, r.branch_code): r.qty for r in res.tables.inventory.collect()}
     assert new_stock == st.stock
 
 
+def test_a_failed_sale_leaves_its_invoice_id_free(spark):
+    """HUE's sale of a new id fails on stock, so SAIGON's sale of it passes;
+    then the id is SAIGON's."""
+    data = {
+        "branch": [("HUE", "Hue", None, True), ("SAIGON", "Saigon", None, True)],
+        "employee": [("H1", "a", "x", "HUE"), ("S1", "b", "x", "SAIGON")],
+        "product": [("P", "p", Decimal("2.00"))], "invoice": [], "invoice_line": [],
+        "inventory": [("P", "HUE", 5), ("P", "SAIGON", 5)],
+    }
+    t = Tables(**{n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in data.items()})
+    sales = [(1, "A", "H1", "HUE", 9), (2, "A", "S1", "SAIGON", 3), (3, "A", "H1", "HUE", 1), (4, "B", "H1", "HUE", 2)]
+    req = spark.createDataFrame([(s, i, e, "n", b) for s, i, e, b, _ in sales],
+                                "seq BIGINT, invoice_id STRING, employee_id STRING, note STRING, branch_code STRING")
+    items = spark.createDataFrame([(s, "P", q, None) for s, _, _, _, q in sales],
+                                  "seq BIGINT, item_code STRING, item_qty INT, item_price DECIMAL(10,2)")
+    got = {r.seq: r.reject_code for r in S.post_invoices(t, req, items=items).outcome.collect()}
+    assert got == {1: "50005", 2: None, 3: "PK_INVOICE", 4: None}
+    one = req.join(items.selectExpr("seq", "item_code AS product_code", "item_qty AS qty"), "seq")
+    got = {r.seq: r.reject_code for r in S.post_single_lines(t, one).outcome.collect()}
+    assert got == {1: "50003", 2: None, 3: "PK_INVOICE", 4: None}
+
+
 def test_post_single_lines_equals_serial_replay(spark, tables):
-    req = _single_line_requests(spark, SF001)
+    req = RQ.single_line_requests(spark, SF001)
     rows = [r.asDict() for r in req.collect()]
     for strict in (True, False):
         res = S.post_single_lines(tables, req, strict=strict, now=NOW)
@@ -118,32 +139,3 @@ def test_random_sales_match_replay(spark, seed):
     got = {r.seq: (r.accepted, r.reject_code, r.line_count, r.total) for r in res.outcome.collect()}
     want = replay.post_invoices(state_of(t), [r.asDict() for r in req.collect()])
     assert got == want
-
-
-def test_hot_key_buckets_give_the_same_answers(spark, tables, monkeypatch):
-    """Force the bucketed (hot key) path with tiny buckets."""
-    from branchwise.operators import ordered
-    from branchwise.operators import changes as C
-    req = RQ.transfer_requests(spark, SF001)
-    plain = S.transfer_stock(tables, req)
-    plain_out = {r.seq: tuple(r) for r in plain.outcome.collect()}
-    rep_req = RQ.invoice_replaces(spark, SF001)
-    plain_rep = {r.seq: tuple(r) for r in C.replace_invoices(tables, rep_req).outcome.collect()}
-    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 3)
-    hot = S.transfer_stock(tables, req)
-    assert {r.seq: tuple(r) for r in hot.outcome.collect()} == plain_out
-    st = state_of(tables)
-    want = replay.transfers(st, [r.asDict() for r in req.collect()])
-    assert {r.seq: (r.accepted, r.reject_code, r.from_before, r.to_before) for r in hot.outcome.collect()} == want
-    assert {r.seq: tuple(r) for r in C.replace_invoices(tables, rep_req).outcome.collect()} == plain_rep
-
-
-def test_compaction_every_round_keeps_the_answer(spark, tables, monkeypatch):
-    from branchwise.operators import acceptance
-    monkeypatch.setattr(acceptance, "COMPACT_RATIO", 1)
-    monkeypatch.setattr(acceptance, "COMPACT_MIN_MOVES", 0)
-    req = RQ.transfer_requests(spark, SF001)
-    res = S.transfer_stock(tables, req)
-    got = {r.seq: (r.accepted, r.reject_code, r.from_before, r.to_before) for r in res.outcome.collect()}
-    assert got == replay.transfers(state_of(tables), [r.asDict() for r in req.collect()])
-    assert res.rounds >= 2

@@ -19,10 +19,11 @@ sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
 spark = build_local_session(8, 16)
 t = open_tables(spark, sf)
 req = RQ.sale_requests(spark, sf)
-res = S.post_invoices(t, req, now=NOW)
+items = RQ.sale_items(spark, sf)
+res = S.post_invoices(t, req, now=NOW, items=items)
 got = {r.seq: (r.accepted, r.reject_code, r.line_count, r.total) for r in res.outcome.collect()}
 st = state_of(t)
-want = replay.post_invoices(st, [r.asDict() for r in req.collect()])
+want = replay.post_invoices(st, replay.with_documents([r.asDict() for r in req.collect()], [r.asDict() for r in items.collect()]))
 print("sales", len(got), "equal:", got == want, "rounds", res.rounds,
       "accepted", sum(1 for v in want.values() if v[0]))
 new_stock = {(r.product_code, r.branch_code): r.qty for r in res.tables.inventory.collect()}
