@@ -7,10 +7,10 @@ Documents at the threshold share a table with probability 0.9999.
 
 Candidates are verified on the full shingle sets.  Equal sets are one class,
 so copies cost nothing.  In each table a class is first compared with the
-smallest class there; this joins the groups.  Then classes of one table that
-are still in different groups are compared with each other, so no link that
-the tables show is lost, and a large group of near copies is never expanded
-into its pairs.
+smallest class there; this joins the groups.  Classes that met in a table but
+are still in different groups are then compared with each other where the
+rarest shingles of both allow it: an exact filter, so no link that the tables
+show is lost, and a large group of near copies is not expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import bounded_batches, text_of
@@ -159,30 +159,64 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame
                        .where(_like_sizes("n_a", "n_b")).select("a", "b"))
     to_first = materialize(sized(crowded.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
                                  .distinct()), "minhash: first candidates")
-    edges = materialize(verified(to_first, _sets(docs, classes, to_first, words)), "minhash: first links")
+    edges = materialize(verified(to_first, _sets(docs, classes, _both(to_first), words)), "minhash: first links")
     groups = materialize(components(edges), "minhash: first groups")
 
     # Classes of one table that are still apart; those of size two are settled.
     of = groups.select(F.col("node").alias("cid"), "root")
     apart = crowded.where("n > 2 AND cid <> first").join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     apart = apart.join(n_of, "cid").select("key", "cid", "root", "n_shingles")
-    open_tables = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    apart = materialize(apart.join(open_tables, "key"), "minhash: still apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid"))
-                  & (F.col("x.root") != F.col("y.root")) & _like_sizes("x.n_shingles", "y.n_shingles"))
+    apart = _open(apart).select("cid", "root", "n_shingles").distinct()
+    apart = materialize(apart, "minhash: still apart")
+    sets = _sets(docs, classes, apart.select("cid"), words)
+    tokens = materialize(_rarest(sets, apart), "minhash: rarest shingles")
+    x, y = tokens.alias("x"), tokens.alias("y")
+    left = lambda t: F.col(f"{t}.n_shingles") - F.col(f"{t}.place")
+    most = F.least(left("x"), left("y"))
+    rest = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.cid") < F.col("y.cid"))
+                  & (F.col("x.root") != F.col("y.root"))
+                  & (100 * most >= THRESHOLD_PERCENT * (F.col("x.n_shingles") + F.col("y.n_shingles") - most)))
     rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     rest = materialize(rest.join(to_first, ["a", "b"], "left_anti"), "minhash: other candidates")
     if rest.isEmpty():
         return groups
-    more = verified(rest, _sets(docs, classes, rest, words))
-    return components(edges.unionByName(more))
+    return components(edges.unionByName(verified(rest, sets)))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the classes in ``pairs``, made again from the text
-    of one document of each class."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+def _open(members: DataFrame) -> DataFrame:
+    """The members (key, root, ...) of tables that hold more than one group."""
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return members.join(mixed, "key")
+
+
+def _rarest(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(item, cid, root, n_shingles, place): the rarest shingles of each class
+    that others of ``classes`` have too.
+
+    All sets are put in one order, from rare to frequent among these classes;
+    ``place`` counts from 0 in it.  Two sets that reach the threshold share
+    one of their first ``n - ceil(0.8 n) + 1`` shingles, and from the first
+    one they share on, each still has all of what they share.  Shingles that
+    only one class has take part in the order, but meet nothing.
+    """
+    items = sets.select("cid", F.explode("items").alias("item"))
+    shared = materialize(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash: shared shingles")
+    of = items.join(shared, "item").join(classes, "cid")
+    rare = Window.partitionBy("cid").orderBy("n", "item")
+    alone = F.col("n_shingles") - F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    of = of.withColumn("place", alone + F.row_number().over(rare) - 1)
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * THRESHOLD_PERCENT / 100) + 1
+    return of.where(F.col("place") < first).select("item", "cid", "root", "n_shingles", "place")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    """The classes (cid) in pairs (a, b)."""
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of the classes ``wanted``, made again from the text of
+    one document of each class."""
     wanted = wanted.join(classes.select("cid", "h", "g"), "cid")
     texts = docs.select(*_row_key(), text_of().alias("text")).join(wanted, ["h", "g"]).select("cid", "text")
     made = texts.dropDuplicates(["cid"]).mapInArrow(lambda b: _with_sets(b, words), "cid bigint, items array<bigint>")
