@@ -65,7 +65,7 @@ def _ranked(values: DataFrame, keys: list[str], label: str, out: str = "rank") -
 def repeated_runs(lines: DataFrame, longest: int) -> DataFrame:
     """(k1, k2, pos, need): the shortest runs that count and are later copies."""
     at = ["k1", "k2", "pos"]
-    ranks = [materialize(lines.select(*at, "h1", "h2").join(_ranked(lines, ["h1", "h2"], "lines: level 0"), ["h1", "h2"])
+    ranks = [materialize(lines.select(*at, "h1", "h2").join(_ranked(lines, ["h1", "h2"], "lines: level 0").hint("merge"), ["h1", "h2"])
                          .select(*at, "rank"), "lines: ranks 0")]
     while (1 << len(ranks)) <= longest:
         level, last = len(ranks), ranks[-1]
@@ -119,8 +119,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     added = ("clean_text", "n_lines", "gone", "runs")
     own = [c for c in docs.columns if c not in added]
     gone = materialize(deleted_lines(docs, min_words), "lines: deleted")
-    keyed = docs.select(F.struct(*own).alias("doc"), *_key(), F.split(text_of(), "\n").alias("l"))
-    both = keyed.join(gone, ["k1", "k2"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), *_key())
+    # A merge join: what goes grows with the documents and is never broadcast.
+    both = keyed.join(gone.hint("merge"), ["k1", "k2"], "left").select(
+        "doc", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
+        F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n").alias("l"))
     # Line numbers are sorted; the lines between two deleted ones stay.
     cuts = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("l")))
     stay = F.flatten(F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda i: F.slice(

@@ -119,13 +119,12 @@ def pieces(rows: DataFrame, sources: DataFrame, n_rows: int, most: int = MOST_EP
     return cut.join(schedule(sources), ["source_id", "block"])
 
 
-def sized(docs: DataFrame, size: Column | None = None, keep: list[str] = ()) -> tuple[DataFrame, int]:
+def sized(docs: DataFrame, rid: Column) -> tuple[DataFrame, int]:
     """A written table of the documents' sizes and places in the shuffle, with
-    a number ``rid`` for each row, and how many they are."""
-    rows = docs.select(*keep, "source", (size if size is not None else words_in(text_of())).alias("size"),
-                       F.xxhash64(F.lit("mix"), "doc_id", text_of()).alias("h"))
-    rows, seen = materialize_observed(rows.withColumn("rid", F.monotonically_increasing_id()), "mixing: sizes",
-                                      n=F.count(F.lit(1)))
+    the number ``rid`` of each row, and how many they are."""
+    rows = docs.select("doc_id", "source", words_in(text_of()).alias("size"),
+                       F.xxhash64(F.lit("mix"), "doc_id", text_of()).alias("h"), rid.alias("rid"))
+    rows, seen = materialize_observed(rows, "mixing: sizes", n=F.count(F.lit(1)))
     return rows, seen["n"]
 
 
@@ -137,7 +136,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     - no document is taken more than ``MOST_EPOCHS`` times its size;
     - an empty table gives an empty mix.
     """
-    rows, n = sized(docs, keep=["doc_id"])
+    rows, n = sized(docs, F.monotonically_increasing_id())
     sources = plan_sources(rows)
     return rows, sources, pieces(rows, sources, n)
 
@@ -154,12 +153,12 @@ def taken(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, each as often as the mix takes it: a
     copy per epoch that takes at least half its words."""
-    numbered = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "mixing: documents")
-    rows = materialize(numbered.select(F.col("_rid").alias("rid"), "source", words_in(text_of()).alias("size"),
-                                       F.xxhash64(F.lit("mix"), "doc_id", text_of()).alias("h")), "mixing: sizes")
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid")),
+                           "mixing: documents")
+    rows, n = sized(numbered.select("doc.doc_id", "doc.source", "doc.text", "rid"), F.col("rid"))
     sources = plan_sources(rows)
-    parts = pieces(rows, sources, rows.count())
-    copies = (parts.groupBy("rid", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-              .join(rows.select("rid", "size"), "rid").where("2 * taken >= size").groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("n")))
-    out = numbered.join(copies, numbered["_rid"] == copies["rid"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*docs.columns)
+    words = pieces(rows, sources, n).groupBy("rid", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    copies = (words.join(rows.select("rid", "size"), "rid").where("2 * taken >= size")
+              .groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    out = numbered.join(copies, "rid").select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return out.select("doc.*")

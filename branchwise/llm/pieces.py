@@ -284,11 +284,12 @@ def _vocabulary(parts: tuple) -> Vocabulary:
     return _LOADED[key]
 
 
-def _pieces_of(texts: list, most: int = BATCH_CODES) -> Iterator[list]:
+def _parts_of(texts: list, most: int = BATCH_CODES) -> Iterator[list[str]]:
+    """The texts, null as empty, in parts of about ``most`` characters."""
     part, size = [], 0
     for t in texts:
-        part.append(t)
-        size += len(t)
+        part.append(t or "")
+        size += len(part[-1])
         if size >= most:
             yield part
             part, size = [], 0
@@ -299,7 +300,7 @@ def _pieces_of(texts: list, most: int = BATCH_CODES) -> Iterator[list]:
 def _encoded(batches: Iterator[pa.RecordBatch], parts: tuple, column: str, out: str, method) -> Iterator[pa.RecordBatch]:
     v = _vocabulary(parts)
     for batch in batches:
-        made = [encode_batch([t or "" for t in some], v, method) for some in _pieces_of(batch.column(column).to_pylist())]
+        made = [encode_batch(some, v, method) for some in _parts_of(batch.column(column).to_pylist())]
         ids = np.concatenate([i for i, _ in made] or [np.empty(0, np.int64)]).astype(np.int32)
         counts = np.concatenate([c for _, c in made] or [np.empty(0, np.int64)])
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
