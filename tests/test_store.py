@@ -15,7 +15,7 @@ from tests.conftest import SF001
 
 def test_commit_publishes_a_consistent_next_version(spark):
     store = open_store(spark, SF001)
-    res = S.post_invoices(store.tables, RQ.sale_requests(spark, SF001), now=NOW)
+    res = S.post_invoices(store.tables, RQ.sale_requests(spark, SF001), now=NOW, items=RQ.sale_items(spark, SF001))
     accepted = res.outcome.where("accepted").count()
     new = store.commit(res.tables)
     assert new.version == store.version + 1
