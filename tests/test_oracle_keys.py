@@ -5,15 +5,16 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from branchwise.plans import registry
 from tests.compare import same_as_sql
 from tests.conftest import SF001
 
-ORACLE = E.oracle_sql()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_key_matches_oracle(spark, duck001, name):
-    df = E.queries()[name](spark, SF001)
+    df = registry.queries()[name](spark, SF001)
     same_as_sql(df, duck001, ORACLE[name])
 
 
@@ -21,7 +22,7 @@ def test_every_key_runs_without_cross_products(spark):
     import contextlib
     import io
 
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         df = fn(spark, SF001)
         assert df.columns, name
         buf = io.StringIO()
