@@ -84,8 +84,11 @@ def repeated_runs(lines: DataFrame, longest: int) -> DataFrame:
         ends = of if ends is None else ends.unionByName(of)
     ends = materialize(ends, "lines: runs")
     here = F.struct("doc_id", "k1", "k2", "pos")
-    first = ends.groupBy("need", "rank", "last").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = ends.join(first.drop("n"), ["need", "rank", "last"])
+    # Written, so that the join back is one of plain shuffles and a run with
+    # many copies can be split in it.
+    first = materialize(ends.groupBy("need", "rank", "last").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").drop("n"), "lines: first copies")
+    found = ends.join(first, ["need", "rank", "last"])
     same = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
     later = ~same | (F.col("first.pos") + F.col("need") <= F.col("pos"))
     return found.where(later).select(*at, "need")
