@@ -33,6 +33,7 @@ LEFT, LEFT_HASHES, RIGHT, RIGHT_HASHES = 6, 1, 10, 2
 HASHES = LEFT * LEFT_HASHES + RIGHT * RIGHT_HASHES
 THRESHOLD_PERCENT = 80
 SEGMENT = 1 << 20
+HEAD = 64
 
 _SPACE = re.compile(rb"[\x09-\x0D\x20]")
 
@@ -173,9 +174,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame
     x, y = tokens.alias("x"), tokens.alias("y")
     left = lambda t: F.col(f"{t}.n_shingles") - F.col(f"{t}.place")
     most = F.least(left("x"), left("y"))
+    earlier = lambda t: F.slice(F.col(f"{t}.head"), F.lit(1), F.least(F.col(f"{t}.rank"), F.lit(HEAD)))
     rest = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.cid") < F.col("y.cid"))
                   & (F.col("x.root") != F.col("y.root"))
-                  & (100 * most >= THRESHOLD_PERCENT * (F.col("x.n_shingles") + F.col("y.n_shingles") - most)))
+                  & (100 * most >= THRESHOLD_PERCENT * (F.col("x.n_shingles") + F.col("y.n_shingles") - most))
+                  & ~F.arrays_overlap(earlier("x"), earlier("y")))
     rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     rest = materialize(rest.join(to_first, ["a", "b"], "left_anti"), "minhash: other candidates")
     if rest.isEmpty():
@@ -190,23 +193,27 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(item, cid, root, n_shingles, place): the rarest shingles of each class
+    """(item, cid, root, n_shingles, place, rank, head): the rarest shingles of each class
     that others of ``classes`` have too.
 
     All sets are put in one order, from rare to frequent among these classes;
     ``place`` counts from 0 in it.  Two sets that reach the threshold share
     one of their first ``n - ceil(0.8 n) + 1`` shingles, and from the first
     one they share on, each still has all of what they share.  Shingles that
-    only one class has take part in the order, but meet nothing.
+    only one class has take part in the order, but meet nothing.  ``rank``
+    counts the shared ones, and ``head`` has the first ``HEAD`` of them: two
+    rows whose heads show an earlier meeting need not meet again.
     """
     items = sets.select("cid", F.explode("items").alias("item"))
     shared = materialize(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash: shared shingles")
     of = items.join(shared, "item").join(classes, "cid")
     rare = Window.partitionBy("cid").orderBy("n", "item")
     alone = F.col("n_shingles") - F.count(F.lit(1)).over(Window.partitionBy("cid"))
-    of = of.withColumn("place", alone + F.row_number().over(rare) - 1)
+    of = of.withColumn("rank", F.row_number().over(rare) - 1).withColumn("place", alone + F.col("rank"))
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * THRESHOLD_PERCENT / 100) + 1
-    return of.where(F.col("place") < first).select("item", "cid", "root", "n_shingles", "place")
+    whole = rare.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.collect_list(F.when(F.col("rank") < HEAD, F.col("item"))).over(whole)
+    return of.where(F.col("place") < first).select("item", "cid", "root", "n_shingles", "place", "rank", head.alias("head"))
 
 
 def _both(pairs: DataFrame) -> DataFrame:
