@@ -125,12 +125,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, cid): the keys of each class in all tables."""
+    """(key, cid, n_shingles): the keys of each class in all tables."""
     sig, left = F.col("sig"), LEFT * LEFT_HASHES
     a = [[sig[i * LEFT_HASHES + k] for k in range(LEFT_HASHES)] for i in range(LEFT)]
     b = [[sig[left + j * RIGHT_HASHES + k] for k in range(RIGHT_HASHES)] for j in range(RIGHT)]
     keys = F.array(*[F.xxhash64(F.lit(i * RIGHT + j), *a[i], *b[j]) for i in range(LEFT) for j in range(RIGHT)])
-    return classes.select("cid", F.explode(keys).alias("key"))
+    return classes.select("cid", "n_shingles", F.explode(keys).alias("key"))
 
 
 def _like_sizes(a: str, b: str) -> Column:
@@ -150,23 +150,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(node, root) of the classes that are linked with others."""
-    keys = table_keys(classes)
-    tables = materialize(keys.groupBy("key").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n"))
-                         .where("n > 1"), "minhash: tables")
-    crowded = materialize(keys.join(tables, "key").select("key", "cid", "first", "n"), "minhash: members")
-    n_of = classes.select("cid", "n_shingles")
-    sized = lambda p: (p.join(n_of.select(F.col("cid").alias("a"), F.col("n_shingles").alias("n_a")), "a")
-                       .join(n_of.select(F.col("cid").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-                       .where(_like_sizes("n_a", "n_b")).select("a", "b"))
-    to_first = materialize(sized(crowded.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
-                                 .distinct()), "minhash: first candidates")
+    keys, n_of = table_keys(classes), classes.select(F.col("cid").alias("first"), F.col("n_shingles").alias("n_first"))
+    tables = keys.groupBy("key").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    tables = materialize(tables.join(n_of, "first"), "minhash: tables")
+    crowded = materialize(keys.join(tables, "key").select("key", "cid", "n_shingles", "first", "n_first", "n"), "minhash: members")
+    to_first = crowded.where((F.col("cid") != F.col("first")) & _like_sizes("n_shingles", "n_first"))
+    to_first = materialize(to_first.select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "minhash: first candidates")
     edges = materialize(verified(to_first, _sets(docs, classes, _both(to_first), words)), "minhash: first links")
     groups = materialize(components(edges), "minhash: first groups")
 
     # Classes of one table that are still apart; those of size two are settled.
     of = groups.select(F.col("node").alias("cid"), "root")
     apart = crowded.where("n > 2 AND cid <> first").join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    apart = apart.join(n_of, "cid").select("key", "cid", "root", "n_shingles")
+    apart = apart.select("key", "cid", "root", "n_shingles")
     apart = _open(apart).select("cid", "root", "n_shingles").distinct()
     apart = materialize(apart, "minhash: still apart")
     sets = _sets(docs, classes, apart.select("cid"), words)
