@@ -11,9 +11,16 @@ that occur twice ever take part.
 A run counts from ``MIN_WORDS`` words on.  The shortest run that counts at a
 line has a fixed number of lines, the same in every copy, so two copies share
 an interval of that length: it is read from the two ranks, of the greatest
-power of two, that cover the run from its two ends.  All lines of a maximal
-repeated run lie in such runs.  The first copy stays; the lines of later
-copies are deleted.
+power of two, that cover the run from its two ends.  The first copy stays; the
+lines of later copies are deleted.
+
+Runs that start at a line miss the last lines of a maximal repeated run, where
+what is left of it holds fewer words; this is the rule of the registered
+query's SQL.  With ``whole``, the shortest run that ends at a line is tested
+too, and with a line that counts alone the pairs it makes with its neighbours.
+Then all lines of a maximal run, and every two neighbours, lie in such runs:
+those up to the end of the first run that starts in it, and each later one
+ends a run inside of it.
 
 A line without words belongs to no run; it goes if the lines on both sides
 of it go with one run.
@@ -35,24 +42,28 @@ def _key() -> list:
     return [F.xxhash64("doc_id", text_of()).alias("k1"), F.xxhash64(F.lit("2"), text_of()).alias("k2")]
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+def lines_of(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     """(doc, k1, k2, pos, line, words, need, h1, h2): the lines with words;
     ``pos`` counts these, ``line`` all; ``need`` is how many lines from here
     on hold ``min_words`` words, or null if they never do.  h1 and h2 (128
-    bits) stand for the line's content."""
+    bits) stand for the line's content.  With ``whole``, also ``back``: as
+    ``need``, of the lines up to here."""
     split = F.transform(F.split(text_of(), "\n"), lambda x, i: F.struct(
         i.alias("line"), words_in(x).alias("words"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("2"), x).alias("h2")))
     rows = docs.select("doc_id", *_key(), F.filter(split, lambda s: s["words"] > 0).alias("l"))
     # Every line has a word, so no run that counts needs more than min_words lines.
-    def need(i):
-        ahead = F.slice("l", i + 1, min_words)
-        reach = F.aggregate(ahead, F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("n")), lambda a, x: F.when(
+    def need(some):
+        reach = F.aggregate(some, F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("n")), lambda a, x: F.when(
             a["w"] >= min_words, a).otherwise(F.struct((a["w"] + x["words"]).alias("w"), (a["n"] + 1).alias("n"))))
         return F.when(reach["w"] >= min_words, reach["n"])
-    rows = rows.withColumn("need", F.transform("l", lambda _, i: need(i)))
+    rows = rows.withColumn("need", F.transform("l", lambda _, i: need(F.slice("l", i + 1, min_words))))
+    reaches = ["need"]
+    if whole:
+        upto = lambda i: F.slice("l", F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))
+        rows, reaches = rows.withColumn("back", F.transform("l", lambda _, i: need(F.reverse(upto(i))))), ["need", "back"]
     # Outer: else the optimiser would add a filter that makes the arrays twice.
-    rows = rows.select("doc_id", "k1", "k2", F.posexplode_outer(F.arrays_zip("l", "need")).alias("pos", "z")).where("pos IS NOT NULL")
-    return rows.select("doc_id", "k1", "k2", "pos", "z.l.line", "z.l.words", "z.need", "z.l.h1", "z.l.h2")
+    rows = rows.select("doc_id", "k1", "k2", F.posexplode_outer(F.arrays_zip("l", *reaches)).alias("pos", "z")).where("pos IS NOT NULL")
+    return rows.select("doc_id", "k1", "k2", "pos", "z.l.line", "z.l.words", *[f"z.{c}" for c in reaches], "z.l.h1", "z.l.h2")
 
 
 def _ranked(values: DataFrame, keys: list[str], label: str, out: str = "rank") -> DataFrame:
@@ -63,7 +74,8 @@ def _ranked(values: DataFrame, keys: list[str], label: str, out: str = "rank") -
 
 
 def repeated_runs(lines: DataFrame, longest: int) -> DataFrame:
-    """(k1, k2, pos, need): the shortest runs that count and are later copies."""
+    """(k1, k2, pos, need): the shortest runs that count and are later copies;
+    if ``lines`` has ``back``, those that end at a line too."""
     at = ["k1", "k2", "pos"]
     ranks = [materialize(lines.select(*at, "h1", "h2").join(_ranked(lines, ["h1", "h2"], "lines: level 0").hint("merge"), ["h1", "h2"])
                          .select(*at, "rank"), "lines: ranks 0")]
@@ -75,6 +87,14 @@ def repeated_runs(lines: DataFrame, longest: int) -> DataFrame:
         ranks.append(materialize(pairs.join(names, ["rank", "next"]).select(*at, F.col("new").alias("rank")),
                                  f"lines: ranks {level}"))
     starts = lines.where("need IS NOT NULL").select("doc_id", *at, "need")
+    if "back" in lines.columns:
+        to = lines.where("back IS NOT NULL").select(
+            "doc_id", "k1", "k2", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("need"))
+        # A line that counts alone also pairs with its neighbours, so that
+        # lines without words between two lines of one run are seen in it.
+        alone = lines.where("need = 1").withColumn("pos", F.explode(F.array(F.col("pos") - 1, F.col("pos"))))
+        pairs = alone.where("pos >= 0").select("doc_id", *at, F.lit(2).alias("need"))
+        starts = starts.unionByName(to).unionByName(pairs).distinct()
     ends = None
     for level, rank in enumerate(ranks):
         of = starts.where((F.col("need") >= 1 << level) & (F.col("need") < 2 << level)).join(rank, at)
@@ -94,9 +114,10 @@ def repeated_runs(lines: DataFrame, longest: int) -> DataFrame:
     return found.where(later).select(*at, "need")
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """(k1, k2, gone): the numbers of the lines that go, per document."""
-    lines, seen = materialize_observed(lines_of(docs, min_words).distinct(), "lines: lines", longest=F.max("need"))
+    longest = F.max(F.greatest("need", "back", F.lit(2)) if whole else F.col("need"))
+    lines, seen = materialize_observed(lines_of(docs, min_words, whole).distinct(), "lines: lines", longest=longest)
     runs = repeated_runs(lines, seen["longest"] or 0)
     covered = runs.select("k1", "k2", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("need") - 1)).alias("pos"),
                           (F.col("pos") + F.col("need") - 1).alias("to"))
@@ -109,7 +130,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Every row of ``docs`` with its columns, ``clean_text``, ``n_lines``,
     ``gone`` (numbers of the deleted lines) and ``runs`` (of consecutive ones,
     from and to).  Own columns of these names give way.
@@ -117,11 +138,12 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Copies are ordered by doc_id (null first), then text key and line; a copy
     in the same document counts if it does not overlap the first.  Repeated
     rows (equal id and text) are one document and get the same result.  Null
-    and empty texts have one line without words and lose nothing.
+    and empty texts have one line without words and lose nothing.  ``whole``
+    deletes maximal repeated runs to their last line.
     """
     added = ("clean_text", "n_lines", "gone", "runs")
     own = [c for c in docs.columns if c not in added]
-    gone = materialize(deleted_lines(docs, min_words), "lines: deleted")
+    gone = materialize(deleted_lines(docs, min_words, whole), "lines: deleted")
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), *_key())
     # A merge join: what goes grows with the documents and is never broadcast.
     both = keyed.join(gone.hint("merge"), ["k1", "k2"], "left").select(

@@ -157,3 +157,38 @@ def test_repeated_runs_go(spark, awkward, empty):
             assert sorted(i for a, b in r.runs for i in range(a, b + 1)) == r.gone
     assert lines.without_repeats(empty).count() == 0
     assert lines.without_repeats(awkward).count() == awkward.count()
+
+
+def whole_runs(rows, least):
+    """Deleted line numbers by brute force: every run of lines, of any length,
+    that holds enough words and has an earlier copy."""
+    docs = sorted({(r.doc_id, r.text or "") for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
+    first, gone = {}, defaultdict(set)
+    for doc, (_, text) in enumerate(docs):
+        seq = [(i, x) for i, x in enumerate(text.split("\n")) if words(x)]
+        for p in range(len(seq)):
+            total = 0
+            for n in range(1, len(seq) - p + 1):
+                total += len(words(seq[p + n - 1][1]))
+                if total >= least:
+                    fd, fp = first.setdefault(tuple(x for _, x in seq[p:p + n]), (doc, p))
+                    if fd != doc or fp + n <= p:
+                        gone[doc].update(range(seq[p][0], seq[p + n - 1][0] + 1))
+    return {(d, t): sorted(gone[i]) for i, (d, t) in enumerate(docs)}
+
+
+def test_whole_repeated_runs_go(spark):
+    """The lines after the last run that starts in a repeated passage go too."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = [line("a", 60), line("b", 20), "", line("c", 20)]
+    small = [line(x, n) for x, n in zip("pqrstuv", (3, 4, 30, 2, 6, 25, 1), strict=True)]
+    rows = [(i, "\n".join([line(f"x{i}_", 7), *passage, line(f"y{i}_", 7)])) for i in range(3)]
+    rows += [(10 + i, "\n".join([*small[i % 3:], line(f"z{i}_", 80), *small[:7 - i % 2]])) for i in range(6)]
+    docs = docs_table(spark, rows)
+    got = {r.doc_id: r.gone for r in lines.without_repeats(docs, whole=True).collect()}
+    assert got[0] == [] and got[1] == got[2] == [1, 2, 3, 4]
+    assert {r.doc_id: r.gone for r in lines.without_repeats(docs).collect()}[1] == [1]
+    for least in (7, 50):
+        want = whole_runs(docs.collect(), least)
+        for r in lines.without_repeats(docs, least, whole=True).collect():
+            assert r.gone == want[(r.doc_id, r.text)], (least, r.doc_id)
