@@ -21,6 +21,8 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+#: Scripts that do not put spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 #: Rules in the order of their bits; each is a condition on the measurements
 #: under which a document fails.  A new rule goes to the end.
@@ -30,14 +32,22 @@ RULES: dict[str, str] = {
     "mostly_symbols": "2 * n_symbols > word_chars",
     "mostly_repeated_lines": "10 * n_dup_lines > 8 * n_lines",
     "no_word_shorter_than_100": "n_words > 0 AND word_chars > 100 * n_words",
+    "many_symbols": "10 * n_symbols > n_words",
+    "repeated_lines": "3 * n_dup_lines > n_lines",
+    "word_length": "n_words > 0 AND 2 * n_unspaced <= word_chars AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)",
 }
 
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("too_few_words", "repeated_words"),
-    "v1": tuple(RULES),
+    "v1": tuple(RULES)[:5],
+    # The thresholds of MassiveText (Gopher): symbols against words 0.1,
+    # repeated lines 30% (here a third: one line of three is no junk), mean
+    # word 3 to 10 characters.
+    "v2": tuple(RULES),
 }
 
+#: ``n_unspaced`` is measured besides these, for the word length rule.
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -51,12 +61,14 @@ def policy_mask(policy: str) -> int:
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``doc`` (a struct of the columns ``keep`` of ``docs``, so that
-    none can clash with a measurement) and the measurements of ``MEASURES``.
+    none can clash with a measurement), the measurements of ``MEASURES`` and
+    ``n_unspaced``.
 
     - words: maximal runs of characters other than space and U+0009 to U+000D;
     - ``n_dup_lines``: lines with a word that equal an earlier line;
     - ``n_repeat_words``: words inside a window of five words found twice or
-      more in the text, the first occurrence included.
+      more in the text, the first occurrence included;
+    - ``n_unspaced``: characters of scripts without spaces between words.
 
     A null text counts as empty and measures 0 everywhere.
     """
@@ -71,6 +83,8 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.regexp_count("t", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.size("l").cast("bigint").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
+        F.when(F.octet_length("t") > F.char_length("t"), F.regexp_count("t", F.lit(UNSPACED))).otherwise(F.lit(0))
+        .cast("bigint").alias("n_unspaced"),
     )
     # A window's hash covers its five word hashes.
     windows = F.when(
@@ -95,7 +109,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.transform("p", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("p", i + 1) - x, F.lit(WINDOW)))),
         F.lit(0).cast("bigint"), lambda a, x: a + x)
     one = one.withColumn("n_repeat_words", repeated)
-    return one.select("doc", *MEASURES)
+    return one.select("doc", *MEASURES, "n_unspaced")
 
 
 def fail_bits() -> Column:
@@ -137,7 +151,7 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
+def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that pass the policy, with all their columns.
 
     The bits are written first: a filter on them would be pushed below the

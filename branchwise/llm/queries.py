@@ -24,7 +24,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"),
-                       "n_lines", "fail_bits")
+                       "n_lines", F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("v1"))).cast("bigint").alias("fail_bits"))
 
 
 #: A conversation of texts that look like marks of templates.

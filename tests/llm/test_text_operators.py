@@ -48,6 +48,22 @@ def test_clean_documents_pass(spark):
     assert quality.keep_good(docs_table(spark, [(1, text)])).count() == 1
 
 
+def test_junk_goes_and_clean_text_stays(spark):
+    sentence = lambda i: f"The plain report number {i} speaks of matter {i * 7} & of thing {i * i}."
+    clean = "\n".join(sentence(i) for i in range(20))
+    rows = [(1, clean), (2, "Note.\n" + sentence(1) + " " + sentence(2) + "\nNote."), (3, "\n".join("一段没有空格的普通文字第%d行" % i for i in range(30))),
+            (10, " ".join(f"*word{i}$$" for i in range(60))), (11, clean.replace(" matter ", " #matter| ")),
+            (12, "\n".join([*map(sentence, range(5)), *["Read more here"] * 5])), (13, " ".join("abcdefghij"[i % 10] + str(i % 7) for i in range(70))),
+            (14, " ".join(f"/usr/share/library/{i}/file" for i in range(50)))]
+    docs = docs_table(spark, rows)
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == [1, 2, 3]
+    assert {10, 11, 14} <= {r.doc_id for r in quality.keep_good(docs, "v1").collect()}
+    bits = {r.doc_id: r.fail_bits for r in quality.ledger(docs).collect()}
+    failed = {i: {r for r in quality.RULES if b & quality.rule_bit(r)} for i, b in bits.items()}
+    assert failed[10] >= {"many_symbols"} and failed[11] == {"many_symbols"} and failed[14] == {"word_length"}
+    assert "repeated_lines" in failed[12] and "word_length" in failed[13]
+
+
 def exact_groups(rows):
     groups = defaultdict(list)
     for r in rows:
