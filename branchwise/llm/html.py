@@ -1,8 +1,9 @@
 """Visible text of web pages, laid out.
 
 A tree builder reads the tags: void elements, implied end tags (a block ends
-an open paragraph, an item the item before it, a cell the cell before it) and
-end tags that close what is still open inside.  Rendering the tree skips what
+an open paragraph, an item the item before it, a cell the cell before it, the
+first thing that is not head content the head) and end tags that close what is
+still open inside; svg, math and what they hold may close themselves.  Rendering the tree skips what
 a browser does not show, puts blocks on lines of their own with a blank line
 between paragraphs, marks list items, and aligns the cells of a table in
 columns.  All visible text comes out, in order.
@@ -24,7 +25,15 @@ from branchwise.llm.common import bounded_batches
 
 # The elements of HTML by how they are read or shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style template noscript title datalist svg math iframe object audio video canvas".split())
+HIDDEN = set("head script style template noscript title datalist iframe object audio video canvas".split())
+#: What an open head may hold; any other tag, and text, ends it.
+HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: In svg and math: what is not shown, where HTML goes on, and the tags that
+#: end the whole drawing or formula.
+FOREIGN_HIDDEN = set("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+HTML_AGAIN = {"svg": {"foreignobject"}, "svg text": set(), "math": set("mi mo mn ms mtext".split())}
+BREAKS_OUT = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu
+meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul""".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset".split())
@@ -43,10 +52,18 @@ HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """``space`` is empty in HTML, else ``svg``, ``svg text`` or ``math``."""
 
-    def __init__(self, tag: str, attrs: dict):
+    __slots__ = ("tag", "attrs", "children", "space")
+
+    def __init__(self, tag: str, attrs: dict, around: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        if tag in ("svg", "math"):
+            self.space = tag
+        elif around and tag in HTML_AGAIN[around]:
+            self.space = ""
+        else:
+            self.space = "svg text" if around == "svg" and tag == "text" else around
 
 
 class TreeBuilder(HTMLParser):
@@ -66,17 +83,30 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_P:
+        if tag in BREAKS_OUT:
+            while self.open[-1].space:
+                self.open.pop()
+        if self.open[-1].tag == "head":
+            if tag in ("head", "html"):
+                return
+            if tag not in HEAD:
+                self.open.pop()
+        around = self.open[-1].space
+        if tag in ENDS_P and not around:
             self._end_upto({"p"}, {"td", "th", "table", "button", "object", "caption"})
-        if tag in ENDS:
+        if tag in ENDS and not around:
             self._end_upto(*ENDS[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, {k: v or "" for k, v in attrs}, around)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        """Only svg, math and what is in them can close themselves."""
+        around = self.open[-1].space
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and (tag in ("svg", "math") or around and tag not in BREAKS_OUT | VOID):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         bounds = {"table"} if tag not in ("table", "body", "html") else set()
@@ -86,6 +116,8 @@ class TreeBuilder(HTMLParser):
         return self.parse_bogus_comment(i)
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and SPACE.sub("", data):
+            self.open.pop()
         self.open[-1].children.append(data)
 
 
@@ -129,13 +161,19 @@ class Page:
 
 
 def hidden(node: Node) -> bool:
-    return (node.tag in HIDDEN or "hidden" in node.attrs or bool(HIDES.search(node.attrs.get("style", "")))
+    return (node.tag in HIDDEN or node.space and node.tag in FOREIGN_HIDDEN or "hidden" in node.attrs or bool(HIDES.search(node.attrs.get("style", "")))
             or (node.tag == "dialog" and "open" not in node.attrs))
 
 
 def shown_children(node: Node) -> list:
-    """What a closed element shows: a select its choice, details its summary."""
+    """What a closed element shows: a select its choice, details its summary,
+    a drawing the elements in it but no loose text.  The parts of a fraction
+    and the cells of a matrix stand apart."""
     tags = [c for c in node.children if isinstance(c, Node)]
+    if node.space == "svg":
+        return tags
+    if node.space == "math" and node.tag in ("mfrac", "mtable", "mtr"):
+        return [x for c in node.children for x in (c, " ")][:-1]
     if node.tag == "select":
         options = [o for c in tags for o in ([c] if c.tag == "option" else c.children) if isinstance(o, Node)]
         return [o for o in options if "selected" in o.attrs][:1] or options[:1]
@@ -189,6 +227,8 @@ def render(root: Node, depth: int = 0) -> str:
             if node.tag == "li" or node.tag == "blockquote":
                 page.end_line()
                 page.prefix = value
+            if node.space == "svg text" and node.tag == "text":
+                page.space = bool(page.line)
             if node.tag in BLOCK:
                 page.end_line(1 if node.tag in SPACED and not (node.tag in ("ul", "ol") and lists) else 0)
             continue
@@ -229,6 +269,8 @@ def render(root: Node, depth: int = 0) -> str:
                 page.end_line()
             page.end_line(1)
             continue
+        if node.space == "svg text" and tag == "text":
+            page.space = bool(page.line)
         before = page.prefix
         if tag in ("ul", "ol", "menu"):
             start = node.attrs.get("start", "")

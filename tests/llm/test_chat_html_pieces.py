@@ -82,6 +82,21 @@ def test_rendering(page, text):
     assert html.visible_text(page).split("<![bad")[0].rstrip() == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><p>Hello", "Hello"),
+    ("<html><head><meta charset=x><script>no</script>\n Hello <b>you</b>", "Hello you"),
+    ("<head><title>a</title>\n<link href=x><style>p{}</style></head><body>yes", "yes"),
+    ("<head><template><p>no</p></template><noscript><p>no</p></noscript><h1>T</h1>x</head>y", "T\n\nxy"),
+    ("a<svg width=1 />b<math/>c", "abc"),
+    ("<p>a <svg><path d=x /><g/>no<text x=1>one <tspan>two</tspan></text><text>three</text><desc>no</desc></svg> b", "a one two three b"),
+    ("<svg><foreignObject><div>in</div></foreignObject><defs><text>no</text></defs></svg>out", "in\nout"),
+    ("so <math><mi>x</mi><mspace/><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>.", "so x=1 2."),
+    ("<svg><title>no</title><path><p>broken out</p>", "broken out"),
+])
+def test_heads_and_drawings_hide_no_text(page, text):
+    assert html.visible_text(page) == text
+
+
 def test_deep_pages_do_not_fail():
     assert html.visible_text("<div>" * 5000 + "x") == "x"
     assert "y" in html.visible_text("<table><tr><td>" * 300 + "y")
