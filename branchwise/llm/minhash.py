@@ -252,6 +252,12 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The documents that stay: one of each group, with all columns."""
-    stay = near_groups(docs.select("doc_id", "text"), words).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    """The documents that stay: one row of each group, with all columns.  Of a
+    group the smallest doc_id stays (null is the largest); of rows that also
+    share that id, one."""
+    numbered = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "minhash: documents")
+    groups = near_groups(numbered.select(F.col("_rid").alias("doc_id"), "text"), words)
+    of = groups.select(F.col("doc_id").alias("_rid"), "component_id").join(numbered.select("_rid", "doc_id"), "_rid")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
+    stay = of.groupBy("component_id").agg(least.alias("s")).select(F.col("s._rid").alias("_stay"))
+    return numbered.join(stay, numbered["_rid"] == stay["_stay"], "left_semi").select(*[numbered[c] for c in docs.columns])

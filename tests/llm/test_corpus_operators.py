@@ -171,6 +171,17 @@ def test_near_groups(spark, awkward, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(g.doc_id for g in minhash.near_groups(docs_table(spark, rows)).collect() if g.kept)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that repeat or are null name no group."""
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    rows = [(7, a), (7, a + " more"), (3, b), (None, b), (None, b + " more"), (None, c), (None, c + " end"), (3, d), (9, d), (5, None), (5, "")]
+    kept = minhash.one_of_each(docs_table(spark, rows)).collect()
+    # Of group c either row may stay: both ids are null.
+    assert Counter((r.doc_id, (r.text or "")[:60]) for r in kept) == Counter(
+        (i, (t or "")[:60]) for i, t in [(7, a), (3, b), (None, c), (3, d), (5, None), (5, "")])
+
+
 def test_long_text_hashes_like_short_segments(monkeypatch):
     text = prose(random.Random(2), 5000)
     whole = minhash.word_hashes(text)
