@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from branchwise.llm import components, minhash, mixing, sharding
+from branchwise.llm import components, minhash, mixing, pieces, sharding
+from branchwise.llm.queries import tokenizer_model
 from tests.compare import same_as_sql
 from tests.conftest import SF001
 from tests.llm.conftest import docs_table, prose, words
+from tests.llm.test_chat_html_pieces import by_hand
+from tests.llm.test_text_operators import measured
 
 
 def targets(sizes):
@@ -222,3 +225,58 @@ def test_pipeline(spark, awkward, empty):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, SF001)
         assert rows.count() >= 0
+
+
+def good_by_hand(text):
+    n, chars, symbols, n_lines, n_dup, repeated = measured(text)
+    return not (n < 10 or 100 * repeated > 20 * n or 10 * symbols > n or 3 * n_dup > n_lines or chars < 3 * n or chars > 10 * n)
+
+
+def one_of_near(rows):
+    """Smallest id of each group linked by 5-word Jaccard similarity."""
+    sets = {}
+    for i, t, _ in rows:
+        w = [x.lower() for x in words(t)]
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return [r for r in rows if group[r[0]] == r[0]]
+
+
+def test_pipeline_rows_equal_brute_force(spark, tmp_path):
+    """Rules, exact groups, near groups, the whole-document mix and the ids."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randrange(20, 70), 5000), "abbbbbbbc"[i % 9]) for i in range(36)]
+    rows += [(100, "too short", "a"), (101, "a b c d e " * 30, "b"), (102, None, "a"), (103, " ".join(f"*word{i}$" for i in range(40)), "c")]
+    rows += [(200 + i, rows[3][1], "ac"[i % 2]) for i in range(3)] + [(300, rows[20][1] + " more", "c"), (301, rows[20][1].upper() + " more or", "a")]
+    path = str(tmp_path / "documents.parquet")
+    docs_table(spark, rows).write.parquet(path)
+    left = [r for r in rows if good_by_hand(r[1])]
+    assert len(left) == len(rows) - 4
+    left = one_of_near([r for r in left if r[0] == max(x[0] for x in left if x[1] == r[1])])
+    assert len(left) == 36
+    hashed = spark.read.parquet(path).select("doc_id", F.xxhash64(F.lit("mix"), "doc_id", "text").alias("h")).collect()
+    place = {r.doc_id: r.h for r in hashed}
+    sizes = Counter()
+    for _, t, s in left:
+        sizes[s] += len(words(t))
+    copies = Counter()
+    for s, target in targets(sizes).items():
+        quota, at = min(int(target + 0.5), 3 * sizes[s]), 0
+        for _ in range(3):
+            for i, t, _ in sorted((r for r in left if r[2] == s), key=lambda r: place[r[0]]):
+                n = len(words(t))
+                copies[i] += 2 * max(0, min(quota - at, n)) >= n
+                at += n
+    assert len(set(copies.values())) > 1
+    vocabulary = pieces.Vocabulary(*pieces.load_vocabulary(tokenizer_model()))
+    ids = {i: tuple(by_hand(t, vocabulary)) for i, t, _ in left}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.exact and r.n_ids == len(r.ids) for r in got)
+    source = {i: s for i, _, s in left}
+    assert Counter((r.doc_id, r.source, tuple(r.ids)) for r in got) == Counter(
+        {(i, source[i], ids[i]): n for i, n in copies.items() if n})
