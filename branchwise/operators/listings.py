@@ -257,12 +257,21 @@ def explode_items(df: DataFrame, json_col: str = "items_json") -> DataFrame:
                     F.col("item").getField(ITEM_PRICE).alias("item_price")))
 
 
+#: Items of one packed document; an invoice with more has several, by page.
+PAGE_ITEMS = 500
+
+
 def pack_invoice_items(t: Tables) -> DataFrame:
-    """Lines -> JSON item documents (``JSON.stringify(items)``), an array of
-    one item per line, so nothing is collected whatever an invoice holds."""
-    return t.invoice_line.select("invoice_id", F.to_json(F.array(F.struct(
-        F.col("product_code").alias(ITEM_CODE), F.col("qty").alias(ITEM_QTY),
-        F.col("unit_price").alias(ITEM_PRICE)))).alias("items_json"))
+    """Lines -> JSON item documents (``JSON.stringify(items)``): the invoice's
+    items by product code, ``PAGE_ITEMS`` to a document, numbered by ``page``
+    from 0.  No line is left out and no document grows with its invoice."""
+    keys = ["invoice_id", "branch_code"]
+    d = ordered.bucketize(t.invoice_line.withColumn("_one", F.lit(1).cast("bigint")), keys, "product_code")
+    d = ordered.running_sums(d, keys, ["_one"], "product_code")
+    item = F.struct("product_code", "qty", "unit_price")
+    docs = d.groupBy(*keys, F.floor(F.col("p__one") / PAGE_ITEMS).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return docs.select(*keys, "page", F.to_json(F.transform("items", lambda x: F.struct(
+        x["product_code"].alias(ITEM_CODE), x["qty"].alias(ITEM_QTY), x["unit_price"].alias(ITEM_PRICE)))).alias("items_json"))
 
 
 def parse_invoice_items(t: Tables) -> DataFrame:

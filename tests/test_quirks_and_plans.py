@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import contextlib
+import json
 from decimal import Decimal
 
 import pytest
@@ -183,3 +184,17 @@ def test_central_only_operations_refuse_other_callers(spark, tiny):
     tr = spark.createDataFrame([(1, "HUE", "SAIGON", "P1", 1, "SAIGON")],
                                "seq BIGINT, from_branch STRING, to_branch STRING, product_code STRING, qty INT, caller STRING")
     assert S.transfer_stock(tiny, tr).outcome.first().reject_code == "CENTRAL_ONLY"
+
+
+def test_packed_documents_hold_whole_invoices(tables, monkeypatch):
+    """One document per invoice, or pages that are full but the last."""
+    from branchwise.operators import listings as L
+    lines = tables.invoice_line.groupBy("invoice_id", "branch_code").count().collect()
+    n = {(r.invoice_id, r.branch_code): r["count"] for r in lines}
+    assert max(n.values()) > 3
+    for most in (L.PAGE_ITEMS, 3):
+        monkeypatch.setattr(L, "PAGE_ITEMS", most)
+        got = {}
+        for r in L.pack_invoice_items(tables).collect():
+            got.setdefault((r.invoice_id, r.branch_code), {})[r.page] = len(json.loads(r.items_json))
+        assert got == {k: {p: min(most, c - p * most) for p in range(-(-c // most))} for k, c in n.items()}
