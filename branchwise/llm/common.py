@@ -4,9 +4,12 @@ and running sums and ranks that no single key can pull into one task."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from branchwise.session import configure, materialize
 
@@ -81,6 +84,37 @@ def sorted_names(values: DataFrame, keys: list[str], rows: int, out: str) -> Dat
             .drop("_id", "_part", "_row", "_offset"))
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def nullable(t: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as it is read from Parquet."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in t])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(nullable(t.elementType))
+    return T.MapType(nullable(t.keyType), nullable(t.valueType)) if isinstance(t, T.MapType) else t
+
+
+def with_arrow_column(rows: DataFrame, column: str, out: str, kind: T.DataType,
+                      made: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``rows`` with ``out`` in place of a column of that name: what ``made``
+    gives for each batch of ``column``.  The other columns pass as one struct,
+    whatever their names."""
+    bounded_batches(rows.sparkSession)
+    own = [c for c in rows.columns if c != out]
+    packed = rows.select(F.struct(F.lit(0).alias("_"), *quoted(own)).alias("row"), quoted([column])[0].alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), made(batch.column("value"))], ["row", "out"])
+
+    schema = T.StructType([T.StructField("row", nullable(packed.schema["row"].dataType)), T.StructField("out", kind)])
+    return packed.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in own], F.col("out").alias(out))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Rows and bytes that a Python worker gets at once: a batch of very long
     texts stays as small as one of short ones."""

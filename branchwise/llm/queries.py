@@ -9,8 +9,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.llm import chat, exact, html, lines, minhash, mixing, oracle, pieces, quality, secrets, sharding
-from branchwise.llm.common import table
+from branchwise.llm import (
+    bytepairs,
+    chat,
+    divergence,
+    exact,
+    html,
+    lines,
+    minhash,
+    mixing,
+    oracle,
+    periods,
+    pieces,
+    quality,
+    secrets,
+    sharding,
+)
+from branchwise.llm.common import WORD, table, text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -85,9 +100,55 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def byte_ranks() -> tuple[str, str]:
+    """Path of the public byte-level ranks, and the pattern that goes with them."""
+    import public_tokenizers
+    return (os.environ.get("BRANCHWISE_RANKS", public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+            public_tokenizers.PATTERN)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = byte_ranks()
+    rows = bytepairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    rows = bytepairs.decode(rows, ranks)
+    return rows.select("doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by a hash of its id) goes on periodically from
+    some word on; a null id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", text_of().alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    planted = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periods.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    rows = rows.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("m"),
+                       F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", (-F.col("m.s")).alias("start"), F.col("m.n").alias("length"), (-F.col("m.p")).alias("period"),
+                       F.expr("1000 * m.n div -m.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, QueryFn]:
     ops = (op1_chat_formatting, op2_secret_scan, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_html_extraction,
-           op7_quality_rules, op8_sentencepiece, op9_sharding, op10_near_dedup)
+           op7_quality_rules, op8_sentencepiece, op9_sharding, op10_near_dedup, op11_source_divergence, op12_byte_bpe,
+           op13_periodic_runs)
     return {op.__name__: op for op in ops}
 
 
