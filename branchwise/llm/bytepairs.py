@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchwise.llm.common import bounded_batches, nullable, quoted, text_of, with_arrow_column
+from branchwise.llm.common import bounded_batches, materialize_bucketed, nullable, quoted, text_of, with_arrow_column
 from branchwise.session import materialize
 
 #: Pre-tokens and distinct words that a block holds at most.
-BLOCK_WORDS = 1 << 23
+BLOCK_WORDS = 1 << 21
 #: Characters of a text that are cut into pre-tokens at once.
 SEGMENT = 1 << 20
 #: The ranks are read on the driver and sent to the tasks.
@@ -105,6 +105,21 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
+def _pack_ranks(a: np.ndarray) -> bytes:
+    """Numbers of which the small ones are frequent: a byte each, where 255
+    stands for the next one of the large numbers, which follow."""
+    large = _pack(a[a >= 255] - 255)
+    return len(large).to_bytes(8, "little") + large + len(a).to_bytes(8, "little") + _ZSTD.compress(
+        np.minimum(a, 255).astype(np.uint8).tobytes(), asbytes=True)
+
+
+def _unpack_ranks(data: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    out = np.frombuffer(_ZSTD.decompress(data[cut + 8:], int.from_bytes(data[cut:cut + 8], "little"), asbytes=True), np.uint8).astype(np.uint32)
+    out[out == 255] = _unpack(data[8:cut]) + 255
+    return out
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     sizes = _pack(np.fromiter(map(len, words), np.uint32, len(words)))
     joined = b"".join(words)
@@ -144,7 +159,12 @@ class _Block:
         self.held += len(words)
 
     def row(self, name: int, buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+        at = np.concatenate(self.at)
+        order = np.argsort(-np.bincount(at, minlength=len(self.numbers)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
         words = [w.encode("utf-8", "surrogatepass") for w in self.numbers]
+        words = [words[i] for i in order.tolist()]
         bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -156,7 +176,7 @@ class _Block:
             pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([name], pa.int64()),
             pa.array([of], schema.field("of").type), pa.array([part], schema.field("part").type),
             pa.array([n], schema.field("n").type),
-            pa.array([_pack(np.concatenate(self.at))], pa.binary()),
+            pa.array([_pack_ranks(rank[at])], pa.binary()),
             pa.array([_pack(bucket.astype(np.uint32))], pa.binary()),
             pa.array([out], schema.field("words").type)], schema=schema)
 
@@ -221,7 +241,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(flat or [np.empty(0, np.uint32)])
             size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             size[order], start[order] = in_order, np.cumsum(in_order) - in_order
-            at = _unpack(take("at").as_py())
+            at = _unpack_ranks(take("at").as_py())
             ends = np.cumsum(take("n").values.to_numpy())
             per_place = np.concatenate([[0], np.cumsum(size[at])])
             ids_until = np.concatenate([[0], per_place[ends]])
@@ -267,9 +287,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_words: int = BLOCK_W
     rows = docs.select(F.struct(F.lit(0).alias("_"), *quoted(own)).alias("doc"), text_of().alias("text"))
     doc = nullable(rows.schema["doc"].dataType)
     buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = materialize(rows.mapInArrow(lambda b: _blocks(b, pattern, buckets, block_words), _fields(
+    # Bucketed by block, so that the positions stay where they are when the ids come back.
+    blocks = materialize_bucketed(rows.mapInArrow(lambda b: _blocks(b, pattern, buckets, block_words), _fields(
         "block bigint, of array<bigint>, part array<int>, n array<bigint>, at binary, bucket_of binary, "
-        "words array<struct<bucket:int,words:binary>>", docs=T.ArrayType(doc))), "byte pairs: blocks")
+        "words array<struct<bucket:int,words:binary>>", docs=T.ArrayType(doc))), "block", "byte pairs: blocks")
     words = blocks.select("block", F.inline("words"))
     encoded = words.groupBy("bucket").applyInArrow(lambda t: _encoded_bucket(t, table), "block bigint, bucket int, ids binary")
     back = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("ids"))

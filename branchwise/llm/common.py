@@ -4,6 +4,7 @@ and running sums and ranks that no single key can pull into one task."""
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchwise.session import configure, materialize
+from branchwise.session import configure, materialize, shared_dir
 
 # The white space that separates words, as a regular expression
 # class, and its complement.
@@ -115,6 +116,21 @@ def with_arrow_column(rows: DataFrame, column: str, out: str, kind: T.DataType,
     return packed.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in own], F.col("out").alias(out))
 
 
+def materialize_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``materialize``, bucketed by ``key`` into as many parts as a shuffle
+    has: a join or grouping by ``key`` need not move these rows.  The table is
+    known to the catalog only while it is opened; its files stay."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    spark.sparkContext.setJobDescription(label)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option(
+        "path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name, format="parquet")
+    spark.sparkContext.setJobDescription(None)
+    out = spark.table(name)
+    out.schema  # opened: the plan holds the files from here on
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Rows and bytes that a Python worker gets at once: a batch of very long
     texts stays as small as one of short ones."""
