@@ -56,11 +56,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word: the neighbours of the lowest rank merge, the leftmost
-    first, until none can.  A word that is a token is that token."""
-    if word in ranks:
-        return [ranks[word]]
+def neighbours_merged(word: bytes | str, ranks: dict) -> list[int]:
+    """Where the symbols of a word end, one character each at first, after the
+    neighbours of the lowest rank have merged, the leftmost first, until none
+    can.  A heap of candidates, so long words take near-linear time."""
     n = len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n))
     heap = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
@@ -79,11 +78,19 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             heapq.heappush(heap, (r, left, end))
     out, i = [], 0
     while i < n:
-        out.append(ranks[word[i:after[i]]])
         i = after[i]
+        out.append(i)
     return out
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word.  A word that is a token is that token."""
+    if word in ranks:
+        return [ranks[word]]
+    ends = neighbours_merged(word, ranks)
+    return [ranks[word[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class _Numbers(dict):
     """Numbers words in the order in which they are first asked for."""
 

@@ -102,15 +102,15 @@ def nullable(t: T.DataType) -> T.DataType:
 def with_arrow_column(rows: DataFrame, column: str, out: str, kind: T.DataType,
                       made: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """``rows`` with ``out`` in place of a column of that name: what ``made``
-    gives for each batch of ``column``.  The other columns pass as one struct,
+    gives for each batch of ``column``.  The columns pass as one struct,
     whatever their names."""
     bounded_batches(rows.sparkSession)
     own = [c for c in rows.columns if c != out]
-    packed = rows.select(F.struct(F.lit(0).alias("_"), *quoted(own)).alias("row"), quoted([column])[0].alias("value"))
+    packed = rows.select(F.struct(*quoted([column, *[c for c in own if c != column]])).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), made(batch.column("value"))], ["row", "out"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), made(batch.column(0).field(0))], ["row", "out"])
 
     schema = T.StructType([T.StructField("row", nullable(packed.schema["row"].dataType)), T.StructField("out", kind)])
     return packed.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in own], F.col("out").alias(out))

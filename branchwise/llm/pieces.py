@@ -3,14 +3,14 @@
 A batch of texts becomes one array of code points, cut into words wherever no
 piece holds the two characters at the cut, so words are encoded apart without
 changing the result.  Words of equal length form a matrix; equal words are
-encoded once.  Substrings are hashed by prefix sums, the hashes probe the
+encoded once, and remembered by the worker.  Substrings are hashed by prefix sums, the hashes probe the
 sorted keys of the pieces (and the characters are compared, so a hash decides
 nothing by itself), and all words of a length advance together:
 
 - ``viterbi``: the segmentation of the highest total score; vectorised maxima
   over the last piece store its length and id as backpointers;
-- ``merges``: the best-scored neighbours merge until none can, which is what
-  the library does for a model of merges.
+- ``merges``, beside the method and word by word: the best-scored neighbours
+  merge until none can, which is what the library does for a model of merges.
 
 Characters without a piece become the byte pieces of their UTF-8 form, so
 decoding gives back the text exactly.  A U+2581 in a text is also written as
@@ -26,13 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from branchwise.llm.common import bounded_batches, text_of
+from branchwise.llm.bytepairs import neighbours_merged
+from branchwise.llm.common import with_arrow_column
 
 # The mark of a space, and the code that stands for its own
 # character in a text (no code point).
 SPACE, LITERAL_MARK = 0x2581, 0x110000
+#: Stands for that mark while neighbours are merged; no character.
+NO_PIECE = 0x10FFFF
 #: What a character without a piece costs below the lowest score.
 UNKNOWN_COST = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +43,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MOST_MODEL_BYTES = 64 << 20
 #: Code points that are encoded together.
 BATCH_CODES = 1 << 19
+#: Code points of the words that a worker remembers.
+MEMO_CODES = 1 << 21
 
 
 def _codes(text: str) -> np.ndarray:
@@ -82,6 +87,10 @@ class Vocabulary:
         for n, (_, _, _, rows) in self.by_length.items():
             for k in range(n - 1):
                 self.together[self.classes[rows[:, k]] * np.int64(self.n_classes) + self.classes[rows[:, k + 1]]] = True
+        # Merging: ids and ranks (0 is the best) of the pieces.
+        self.ids = {self.pieces[i]: int(i) for i in ids}
+        _, ranks = np.unique(-self.scores[ids], return_inverse=True)
+        self.ranks = dict(zip(self.ids, ranks.tolist(), strict=True))
         self.powers = np.cumprod(np.array([1] + [int(BASE)] * self.longest, np.uint64), dtype=np.uint64)
         # Decoding: the bytes of every id, end to end.
         of_byte = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
@@ -158,57 +167,72 @@ def viterbi(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merges(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``viterbi``, by merging.  Every live word merges one pair per
-    step, so all of them keep as many symbols as each other."""
+    """Like ``viterbi``, by merging the best-scored neighbours."""
     m, n = words.shape
-    prefix = np.zeros((m, n + 1), np.uint64)
-    for k in range(n):
-        prefix[:, k + 1] = prefix[:, k] * BASE + words[:, k].astype(np.uint64) + np.uint64(1)
     out, count = np.zeros((m, n), np.int64), np.zeros(m, np.int64)
-
-    def look(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, scores = np.full(len(rows), -1, np.int64), np.full(len(rows), -np.inf)
-        size = end - start
-        for w in np.unique(size[size <= v.longest]):
-            if int(w) not in v.by_length:
-                continue
-            own = np.flatnonzero(size == w)
-            r, s = rows[own], start[own]
-            h = prefix[r, s + w] - prefix[r, s] * v.powers[w]
-            found = v.find(int(w), h, lambda hits, r=r, s=s, w=w: words[r[hits][:, None], s[hits][:, None] + np.arange(w)])
-            hit = found >= 0
-            ids[own[hit]], scores[own[hit]] = v.by_length[int(w)][1][found[hit]], v.by_length[int(w)][2][found[hit]]
-        return ids, scores
-
-    rows, bounds = np.arange(m), np.tile(np.arange(n + 1), (m, 1))
-    pairs = np.empty((m, max(0, n - 1)))
-    for k in range(n - 1):
-        pairs[:, k] = look(rows, bounds[:, k], bounds[:, k + 2])[1]
-    while len(rows):
-        top = np.argmax(pairs, axis=1) if pairs.shape[1] else np.zeros(len(rows), np.int64)
-        live = pairs[np.arange(len(rows)), top] > -np.inf if pairs.shape[1] else np.zeros(len(rows), bool)
-        r, b, symbols = rows[~live], bounds[~live], bounds.shape[1] - 1
-        for k in range(symbols if len(r) else 0):
-            ids, _ = look(r, b[:, k], b[:, k + 1])
-            out[r, n - symbols + k] = np.where(ids >= 0, ids, -1 - words[r, b[:, k]])
-        count[r] = symbols
-        rows, bounds, pairs, top = rows[live], bounds[live], pairs[live], top[live]
-        if not len(rows):
-            break
-        each, left = np.arange(len(rows)), bounds.shape[1]
-        bounds = bounds[np.arange(left)[None, :] != top[:, None] + 1].reshape(len(rows), left - 1)
-        pairs = pairs[np.arange(left - 2)[None, :] != top[:, None]].reshape(len(rows), left - 3)
-        # ``pairs[k]`` now spans the symbols k and k + 1; two of them changed.
-        for k in (top - 1, top):
-            ok = np.flatnonzero((k >= 0) & (k < left - 3))
-            if len(ok):
-                b, p = each[ok], k[ok]
-                pairs[b, p] = look(rows[b], bounds[b, p], bounds[b, p + 2])[1]
+    own_mark = np.where(words == LITERAL_MARK, NO_PIECE, words).astype("<u4")
+    for i in range(m):
+        text = own_mark[i].tobytes().decode("utf-32-le", "surrogatepass")
+        ends = neighbours_merged(text, v.ranks)
+        ids = [v.ids.get(text[a:b], -1 - int(words[i, a])) for a, b in zip([0, *ends], ends, strict=False)]
+        out[i, n - len(ids):], count[i] = ids, len(ids)
     return out, count
 
 
-def encode_batch(texts: list[str], v: Vocabulary, method=viterbi) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces ``flat[start:start + size]`` end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Memo:
+    """Words encoded so far, and their tokens.  Words are few where texts are
+    many, so a worker keeps what it made for the batches that follow, up to
+    ``MEMO_CODES`` characters; then it begins anew."""
+
+    def __init__(self, v: Vocabulary, method=viterbi):
+        self.v, self.method = v, method
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.codes, self.n_tokens = 0, 0
+        self.tokens, self.start, self.count = (np.empty(1 << 12, np.int64) for _ in range(3))
+
+    def begin(self) -> None:
+        """Before a batch: places from here on hold until the next one."""
+        if self.codes > MEMO_CODES:
+            self._clear()
+
+    def _room(self, name: str, used: int, more: int) -> np.ndarray:
+        array = getattr(self, name)
+        if used + more > len(array):
+            array = np.concatenate([array[:used], np.empty(max(used, more), np.int64)])
+            setattr(self, name, array)
+        return array
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Places of the different words of a matrix; new ones are encoded."""
+        m, n = words.shape
+        keys = np.ascontiguousarray(words.astype("<u4")).view(np.dtype((np.void, 4 * n))).ravel().tolist()
+        out = np.fromiter((self.places.get(k, -1) for k in keys), np.int64, m)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            tokens, count = self.method(words[new], self.v)
+            flat, first = tokens[np.arange(n) >= n - count[:, None]], len(self.places)
+            self._room("tokens", self.n_tokens, len(flat))[self.n_tokens:self.n_tokens + len(flat)] = flat
+            for name, values in (("start", self.n_tokens + np.cumsum(count) - count), ("count", count)):
+                self._room(name, first, len(new))[first:first + len(new)] = values
+            out[new] = first + np.arange(len(new))
+            self.places.update(zip([keys[i] for i in new.tolist()], out[new].tolist(), strict=True))
+            self.n_tokens, self.codes = self.n_tokens + len(flat), self.codes + n * len(new)
+        return out
+
+
+def encode_batch(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and how many each has."""
+    v = memo.v
+    memo.begin()
     codes, sizes = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if t:
@@ -226,7 +250,7 @@ def encode_batch(texts: list[str], v: Vocabulary, method=viterbi) -> tuple[np.nd
     cut[text_ends[text_ends < len(flat)]] = True
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.append(starts, len(flat)))
-    per_word, done = np.zeros(len(starts), np.int64), []
+    place = np.empty(len(starts), np.int64)
     order = np.argsort(lengths, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
         words = flat[starts[own][:, None] + np.arange(lengths[own[0]])]
@@ -234,16 +258,9 @@ def encode_batch(texts: list[str], v: Vocabulary, method=viterbi) -> tuple[np.nd
         if not (words == words[one][which]).all():  # two words share a hash
             _, one, which = np.unique(words, axis=0, return_index=True, return_inverse=True)
             which = which.ravel()
-        tokens, count = method(words[one], v)
-        per_word[own] = count[which]
-        done.append((own, tokens, count, which))
-    first = np.cumsum(per_word) - per_word
-    ids = np.empty(per_word.sum(), np.int64)
-    for own, tokens, count, which in done:
-        width = tokens.shape[1]
-        for k in range(1, count.max() + 1):
-            has = np.flatnonzero(count[which] >= k)
-            ids[first[own[has]] + count[which[has]] - k] = tokens[which[has], width - k]
+        place[own] = memo.place(words[one])[which]
+    per_word = memo.count[place]
+    ids = _gathered(memo.tokens, memo.start[place], per_word)
     word_text = np.searchsorted(text_ends, starts, side="right")
     owner = np.repeat(word_text, per_word)
     missing = ids < 0
@@ -273,17 +290,27 @@ def decode_batch(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[str
     return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-_LOADED: dict[str, Vocabulary] = {}
+_LOADED: dict[tuple, Memo | Vocabulary] = {}
 
 
 def _vocabulary(parts: tuple) -> Vocabulary:
     """The tables are built once per Python worker."""
-    key = hashlib.sha256("\0".join(parts[0]).encode() + parts[1].tobytes()).hexdigest()
+    key = (hashlib.sha256("\0".join(parts[0]).encode() + parts[1].tobytes()).hexdigest(), "")
     if key not in _LOADED:
         _LOADED[key] = Vocabulary(*parts)
     return _LOADED[key]
 
 
+def _memo(parts: tuple, algorithm: str) -> Memo:
+    """The words that this Python worker has encoded."""
+    v = _vocabulary(parts)
+    for known in _LOADED.values():
+        if isinstance(known, Memo) and known.v is v and known.method.__name__ == algorithm:
+            return known
+    _LOADED[algorithm, str(len(_LOADED))] = memo = Memo(v, {"viterbi": viterbi, "merges": merges}[algorithm])
+    return memo
+
+
 def _parts_of(texts: list, most: int = BATCH_CODES) -> Iterator[list[str]]:
     """The texts, null as empty, in parts of about ``most`` characters."""
     part, size = [], 0
@@ -297,43 +324,30 @@ def _parts_of(texts: list, most: int = BATCH_CODES) -> Iterator[list[str]]:
         yield part
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], parts: tuple, column: str, out: str, method) -> Iterator[pa.RecordBatch]:
-    v = _vocabulary(parts)
-    for batch in batches:
-        made = [encode_batch(some, v, method) for some in _parts_of(batch.column(column).to_pylist())]
-        ids = np.concatenate([i for i, _ in made] or [np.empty(0, np.int64)]).astype(np.int32)
-        counts = np.concatenate([c for _, c in made] or [np.empty(0, np.int64)])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
-        column_out = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, column_out], [*batch.schema.names, out])
-
-
-def _decoded(batches: Iterator[pa.RecordBatch], parts: tuple, column: str, out: str) -> Iterator[pa.RecordBatch]:
-    v = _vocabulary(parts)
-    for batch in batches:
-        lists = batch.column(column)
-        counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-        texts = decode_batch(np.asarray(lists.flatten(), np.int64), counts, v)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+def _encoded(column: pa.Array, parts: tuple, algorithm: str) -> pa.Array:
+    memo = _memo(parts, algorithm)
+    made = [encode_batch(some, memo) for some in _parts_of(column.to_pylist())]
+    ids = np.concatenate([i for i, _ in made] or [np.empty(0, np.int64)]).astype(np.int32)
+    counts = np.concatenate([c for _, c in made] or [np.empty(0, np.int64)])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
 
-def _added(rows: DataFrame, run, out: str, kind: str) -> DataFrame:
-    """``rows`` with the column that ``run`` adds in Arrow batches."""
-    bounded_batches(rows.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, `{out}` {kind}")
+def _decoded(lists: pa.Array, parts: tuple) -> pa.Array:
+    counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    return pa.array(decode_batch(np.asarray(lists.flatten(), np.int64), counts, _vocabulary(parts)), pa.string())
 
 
 def encode(rows: DataFrame, model: str, column: str = "text", out: str = "ids", algorithm: str = "viterbi") -> DataFrame:
     """``rows`` with ``out``, the ids of each text, in place of a column of
     that name.  A null or empty text has no ids.  Rows stay as they are
     otherwise.  ``model`` is a path on the driver."""
-    parts, method = load_vocabulary(model), {"viterbi": viterbi, "merges": merges}[algorithm]
-    return _added(rows.drop(out), lambda b: _encoded(b, parts, column, out, method), out, "array<int>")
+    parts = load_vocabulary(model)
+    return with_arrow_column(rows, column, out, T.ArrayType(T.IntegerType()), lambda texts: _encoded(texts, parts, algorithm))
 
 
 def decode(rows: DataFrame, model: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with ``out``, the text of each list of ids; null and empty
     lists give an empty text."""
     parts = load_vocabulary(model)
-    return _added(rows.drop(out), lambda b: _decoded(b, parts, column, out), out, "string")
+    return with_arrow_column(rows, column, out, T.StringType(), lambda lists: _decoded(lists, parts))

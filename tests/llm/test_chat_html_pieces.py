@@ -138,14 +138,14 @@ def by_hand(text, v):
 
 def test_viterbi_is_the_best_segmentation(vocabulary):
     texts = [*TEXTS, "a▁b ▁"]
-    ids, counts = pieces.encode_batch(texts, vocabulary)
+    ids, counts = pieces.encode_batch(texts, pieces.Memo(vocabulary))
     for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert own.tolist() == by_hand(text, vocabulary), text
 
 
 def test_merges_equal_the_library(vocabulary):
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_model())
-    ids, counts = pieces.encode_batch(TEXTS, vocabulary, pieces.merges)
+    ids, counts = pieces.encode_batch(TEXTS, pieces.Memo(vocabulary, pieces.merges))
     for text, own in zip(TEXTS, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert own.tolist() == model.encode(text), text
 
@@ -159,3 +159,29 @@ def test_round_trip(spark, awkward, empty):
     assert pieces.decode(pieces.encode(empty, model), model).count() == 0
     lists = spark.createDataFrame([(None,), ([],), ([1, 2],)], "ids array<int>")
     assert {r.decoded for r in pieces.decode(lists, model).collect()} == {""}
+
+
+def test_remembered_words_change_nothing(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO_CODES", 40)
+    rng = random.Random(8)
+    memo = pieces.Memo(vocabulary)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "Ünï", "a▁b", "xyzzy", "日本", "é"]) for _ in range(rng.randrange(9))) for _ in range(4)]
+        ids, counts = pieces.encode_batch(texts, memo)
+        fresh, fresh_counts = pieces.encode_batch(texts, pieces.Memo(vocabulary))
+        assert ids.tolist() == fresh.tolist() and counts.tolist() == fresh_counts.tolist()
+
+
+@pytest.mark.parametrize("method", [pieces.viterbi, pieces.merges])
+def test_a_word_of_a_million_letters(vocabulary, method):
+    rng = random.Random(3)
+    text = "".join(rng.choice("etaoin") for _ in range(1_000_000))
+    ids, counts = pieces.encode_batch([text], pieces.Memo(vocabulary, method))
+    assert counts.tolist() == [len(ids)] and pieces.decode_batch(ids, counts, vocabulary) == [text]
+
+
+def test_odd_column_names_pass_through(spark):
+    model = tokenizer_model()
+    docs = spark.createDataFrame([("a b", "x", 1, "y")], "text string, `a.b` string, ids int, decoded string")
+    r = pieces.decode(pieces.encode(docs, model), model).first()
+    assert r["a.b"] == "x" and r.decoded == "a b" and r.text == "a b"
