@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from branchwise.llm import chat, html, pieces
 from branchwise.llm.queries import tokenizer_model
+from tests.conftest import SF001
 
 CHAT = "conv_id bigint, turn bigint, role string, text string"
 
@@ -185,3 +186,13 @@ def test_odd_column_names_pass_through(spark):
     docs = spark.createDataFrame([("a b", "x", 1, "y")], "text string, `a.b` string, ids int, decoded string")
     r = pieces.decode(pieces.encode(docs, model), model).first()
     assert r["a.b"] == "x" and r.decoded == "a b" and r.text == "a b"
+
+
+def test_merges_of_a_whole_table_equal_the_library(spark):
+    """What the query once carried beside the method: the library's ids."""
+    model = tokenizer_model()
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    for r in pieces.encode(docs, model, algorithm="merges").collect():
+        if "\u2581" not in r.text:
+            assert list(r.ids) == library.encode(r.text), r.doc_id
