@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +80,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folder, below the shared one, of the tables written from here on.
+_group = ""
+
+
+@contextmanager
+def table_group(name: str):
+    """Tables written inside go to a folder of their own, so that they can be
+    dropped together.  Groups do not nest."""
+    global _group
+    before, _group = _group, f"group-{name}"
+    try:
+        yield
+    finally:
+        _group = before
+
+
+def drop_tables(spark: SparkSession, name: str, unless_read_by=None) -> None:
+    """Delete the tables of a group, unless the given DataFrame reads one.
+    For a group whose results have been written elsewhere: a plan that still
+    reads its tables would fail."""
+    if unless_read_by is not None and any(f"/tables/group-{name}/" in f for f in unless_read_by.inputFiles()):
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables/group-{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new path for a written intermediate table."""
+    return "/".join(x for x in (shared_dir(spark), "tables", _group, uuid.uuid4().hex) if x)
+
+
 def materialize(df, label: str | None = None):
     """Cut the lineage: write ``df`` as Parquet into the shared folder (the
     cluster's ``spark.checkpoint.dir``) and read it back.
@@ -86,10 +119,8 @@ def materialize(df, label: str | None = None):
     twice), columnar files with statistics for the planner, and nothing on
     executor-local disks: a lost executor does not lose it.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = table_path(spark)
     with _job_label(spark, label):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -99,14 +130,12 @@ def materialize_observed(df, label: str | None = None, **metrics):
     """``materialize`` that also returns aggregate metrics of the rows
     written (``name=Column``), computed by the same job via ``observe``:
     no second pass just to count something."""
-    import uuid
-
     from pyspark.sql import Observation
 
     obs = Observation(f"m{uuid.uuid4().hex[:8]}")
     observed = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = table_path(spark)
     with _job_label(spark, label):
         observed.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), dict(obs.get)
