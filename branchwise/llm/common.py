@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchwise.session import configure, materialize, shared_dir
+from branchwise.session import configure, materialize, table_path
 
 # The white space that separates words, as a regular expression
 # class, and its complement.
@@ -90,6 +90,17 @@ def quoted(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of a table as one struct ``doc``, beside others: names
+    inside of it clash with nothing."""
+    return docs.select(F.struct(*quoted(docs.columns)).alias("doc"), *more)
+
+
+def own_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``doc`` again."""
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in columns])
+
+
 def nullable(t: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as it is read from Parquet."""
     if isinstance(t, T.StructType):
@@ -123,7 +134,7 @@ def materialize_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     spark.sparkContext.setJobDescription(label)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option(
-        "path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name, format="parquet")
+        "path", table_path(spark)).saveAsTable(name, format="parquet")
     spark.sparkContext.setJobDescription(None)
     out = spark.table(name)
     out.schema  # opened: the plan holds the files from here on

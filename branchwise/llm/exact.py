@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import text_of
+from branchwise.llm.common import own_columns, packed, text_of
 from branchwise.session import materialize, materialize_observed
 
 BLOCK_CHARS = 4096
@@ -105,6 +105,6 @@ def decide(docs: DataFrame, rid: Column | None = None, chars: int = BLOCK_CHARS,
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    numbered = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "exact: documents")
-    stay = decide(numbered, F.col("_rid")).where("kept").select("rid")
-    return numbered.join(stay, numbered["_rid"] == stay["rid"]).select(*[numbered[c] for c in docs.columns])
+    numbered = materialize(packed(docs, F.monotonically_increasing_id().alias("rid")), "exact: documents")
+    stay = decide(numbered.select("doc.doc_id", "doc.text", "rid"), F.col("rid")).where("kept").select("rid")
+    return own_columns(numbered.join(stay, "rid"), docs.columns)

@@ -14,14 +14,13 @@ Pages are independent: one narrow pass in Arrow batches, no shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from branchwise.llm.common import bounded_batches
+from branchwise.llm.common import quoted, with_arrow_column
 
 # The elements of HTML by how they are read or shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -298,21 +297,11 @@ def visible_text(html: str | None) -> str:
     return render(builder.root)
 
 
-def _extracted(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [visible_text(h) for h in batch.column(column).to_pylist()]
-        rest = [n for n in batch.schema.names if n != column]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts, pa.string())], [*rest, "_text"])
-
-
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """Every row of ``pages`` with its columns other than the page itself, and
     ``text``.  An own column named ``text`` gives way.  Rows stay as they are
     otherwise, nulls and repeated rows too; broken markup is read as far as
-    it goes and never fails."""
-    bounded_batches(pages.sparkSession)
-    own = [c for c in pages.columns if c not in (column, "text")]
-    rows = pages.select(F.struct(*own).alias("doc") if own else F.lit(0).alias("doc"), column)
-    kind = rows.schema["doc"].dataType.simpleString()
-    made = rows.mapInArrow(lambda b: _extracted(b, column), f"doc {kind}, _text string")
-    return made.select(*[F.col("doc").getField(c).alias(c) for c in own], F.col("_text").alias("text"))
+    it goes and never fails.  An empty table gives none."""
+    made = lambda html: pa.array([visible_text(h) for h in html.to_pylist()], pa.string())
+    return with_arrow_column(pages.select(*quoted([c for c in pages.columns if c != "text"])), column, "text", T.StringType(), made
+                             ).drop(*quoted([column]))

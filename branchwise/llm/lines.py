@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import WORD, sorted_names, text_of, words_in
+from branchwise.llm.common import WORD, quoted, sorted_names, text_of, words_in
 from branchwise.session import materialize, materialize_observed
 
 MIN_WORDS = 50
@@ -144,7 +144,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = F
     added = ("clean_text", "n_lines", "gone", "runs")
     own = [c for c in docs.columns if c not in added]
     gone = materialize(deleted_lines(docs, min_words, whole), "lines: deleted")
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), *_key())
+    keyed = docs.select(F.struct(*quoted(docs.columns)).alias("doc"), *_key())
     # A merge join: what goes grows with the documents and is never broadcast.
     both = keyed.join(gone.hint("merge"), ["k1", "k2"], "left").select(
         "doc", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),

@@ -9,8 +9,9 @@ Candidates are verified on the full shingle sets.  Equal sets are one class,
 so copies cost nothing.  In each table a class is first compared with the
 smallest class there; this joins the groups.  Classes that met in a table but
 are still in different groups are then compared with each other where the
-rarest shingles of both allow it: an exact filter, so no link that the tables
-show is lost, and a large group of near copies is not expanded into its pairs.
+rarest shingles and the sketches of both allow it: exact bounds, so no link
+that the tables show is lost, and a large group of near copies is not expanded
+into its pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import bounded_batches, text_of
+from branchwise.llm.common import bounded_batches, own_columns, packed, text_of
 from branchwise.llm.components import components
 from branchwise.session import materialize
 
@@ -34,6 +35,8 @@ HASHES = LEFT * LEFT_HASHES + RIGHT * RIGHT_HASHES
 THRESHOLD_PERCENT = 80
 SEGMENT = 1 << 20
 HEAD = 64
+#: 64-bit words of a set's sketch.
+SKETCH = 16
 
 _SPACE = re.compile(rb"[\x09-\x0D\x20]")
 
@@ -102,11 +105,21 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             ["doc_id", "h", "g", "n_shingles", "k1", "k2", "sig"])
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of how many of a set's items fall on each of ``SKETCH * 64``
+    bits.  An item that only one of two sets has flips one bit, so the sets
+    differ in at least as many items as their sketches in bits."""
+    counts = np.bincount((items.view(np.uint64) >> np.uint64(7)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """cid, text -> cid, the sorted set."""
+    """cid, text -> cid, the sorted set, its sketch."""
     for batch in batches:
         sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("cid"), pa.array(sets, pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))],
+            ["cid", "items", "sketch"])
 
 
 def _row_key() -> list[Column]:
@@ -169,7 +182,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame
     tokens = materialize(_rarest(sets, apart), "minhash: rarest shingles")
     x, y = tokens.alias("x"), tokens.alias("y")
     left = lambda t: F.col(f"{t}.n_shingles") - F.col(f"{t}.place")
-    most = F.least(left("x"), left("y"))
+    # What two sets share is at most what both still have from the shared
+    # shingle on, and half of what is left of both without the items that
+    # their sketches show to be in one of them only.
+    differ = sum((F.bit_count(F.get(F.col("x.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col("y.sketch"), F.lit(k))))
+                  for k in range(SKETCH)), F.lit(0))
+    most = F.least(left("x"), left("y"), F.floor((F.col("x.n_shingles") + F.col("y.n_shingles") - differ) / 2))
     earlier = lambda t: F.slice(F.col(f"{t}.head"), F.lit(1), F.least(F.col(f"{t}.rank"), F.lit(HEAD)))
     rest = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.cid") < F.col("y.cid"))
                   & (F.col("x.root") != F.col("y.root"))
@@ -189,7 +207,7 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(item, cid, root, n_shingles, place, rank, head): the rarest shingles of each class
+    """(item, cid, root, n_shingles, place, rank, head, sketch): the rarest shingles of each class
     that others of ``classes`` have too.
 
     All sets are put in one order, from rare to frequent among these classes;
@@ -209,7 +227,8 @@ def _rarest(sets: DataFrame, classes: DataFrame) -> DataFrame:
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * THRESHOLD_PERCENT / 100) + 1
     whole = rare.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = F.collect_list(F.when(F.col("rank") < HEAD, F.col("item"))).over(whole)
-    return of.where(F.col("place") < first).select("item", "cid", "root", "n_shingles", "place", "rank", head.alias("head"))
+    of = of.where(F.col("place") < first).select("item", "cid", "root", "n_shingles", "place", "rank", head.alias("head"))
+    return of.join(sets.select("cid", "sketch"), "cid")
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -222,7 +241,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) ->
     one document of each class."""
     wanted = wanted.join(classes.select("cid", "h", "g"), "cid")
     texts = docs.select(*_row_key(), text_of().alias("text")).join(wanted, ["h", "g"]).select("cid", "text")
-    made = texts.dropDuplicates(["cid"]).mapInArrow(lambda b: _with_sets(b, words), "cid bigint, items array<bigint>")
+    made = texts.dropDuplicates(["cid"]).mapInArrow(lambda b: _with_sets(b, words), "cid bigint, items array<bigint>, sketch array<bigint>")
     return materialize(made, "minhash: sets")
 
 
@@ -255,9 +274,9 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """The documents that stay: one row of each group, with all columns.  Of a
     group the smallest doc_id stays (null is the largest); of rows that also
     share that id, one."""
-    numbered = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "minhash: documents")
-    groups = near_groups(numbered.select(F.col("_rid").alias("doc_id"), "text"), words)
-    of = groups.select(F.col("doc_id").alias("_rid"), "component_id").join(numbered.select("_rid", "doc_id"), "_rid")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
-    stay = of.groupBy("component_id").agg(least.alias("s")).select(F.col("s._rid").alias("_stay"))
-    return numbered.join(stay, numbered["_rid"] == stay["_stay"], "left_semi").select(*[numbered[c] for c in docs.columns])
+    numbered = materialize(packed(docs, F.monotonically_increasing_id().alias("rid")), "minhash: documents")
+    groups = near_groups(numbered.select(F.col("rid").alias("doc_id"), "doc.text"), words)
+    of = groups.select(F.col("doc_id").alias("rid"), "component_id").join(numbered.select("rid", "doc.doc_id"), "rid")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    stay = of.groupBy("component_id").agg(least.alias("s")).select(F.col("s.rid").alias("rid"))
+    return own_columns(numbered.join(stay, "rid", "left_semi"), docs.columns)

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import hash_chunk, running_sum, sorted_names, text_of, words_in
+from branchwise.llm.common import hash_chunk, own_columns, packed, running_sum, sorted_names, text_of, words_in
 from branchwise.session import materialize, materialize_observed
 
 # Weights given to the sources in their order, repeating, and
@@ -153,12 +153,11 @@ def taken(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, each as often as the mix takes it: a
     copy per epoch that takes at least half its words."""
-    numbered = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid")),
-                           "mixing: documents")
+    numbered = materialize(packed(docs, F.monotonically_increasing_id().alias("rid")), "mixing: documents")
     rows, n = sized(numbered.select("doc.doc_id", "doc.source", "doc.text", "rid"), F.col("rid"))
     sources = plan_sources(rows)
     words = pieces(rows, sources, n).groupBy("rid", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     copies = (words.join(rows.select("rid", "size"), "rid").where("2 * taken >= size")
               .groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("n")))
     out = numbered.join(copies, "rid").select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return out.select("doc.*")
+    return own_columns(out, docs.columns)

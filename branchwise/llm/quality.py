@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import WORD, text_of
-from branchwise.session import materialize
+from branchwise.llm.common import WORD, own_columns, quoted, text_of
 
 # The symbols counted by ``n_symbols``, the window length of
 # repeated words, and the thresholds of the two base rules.
@@ -72,7 +71,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     A null text counts as empty and measures 0 everywhere.
     """
-    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), text_of().alias("t"))
+    one = docs.select(F.struct(*quoted(keep)).alias("doc"), text_of().alias("t"))
     one = one.select("doc", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
                      F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("l"))
     one = one.select(
@@ -154,8 +153,8 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that pass the policy, with all their columns.
 
-    The bits are written first: a filter on them would be pushed below the
-    measurements, and each of these repeated in it.
+    The filter names a row number, which keeps it above the measurements: a
+    filter on the bits alone would be pushed below them, with each repeated in it.
     """
-    rows = materialize(measure(docs, docs.columns).select("doc", fail_bits().alias("fail_bits")), "quality: ledger")
-    return rows.where(passes(policy)).select("doc.*")
+    rows = measure(docs, docs.columns).select("doc", fail_bits().alias("fail_bits"), F.monotonically_increasing_id().alias("row"))
+    return own_columns(rows.where(passes(policy) & (F.col("row") >= 0)), docs.columns)

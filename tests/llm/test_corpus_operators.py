@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from branchwise.llm import components, minhash, mixing, pieces, sharding
+from branchwise.llm import components, exact, html, lines, minhash, mixing, pieces, quality, sharding
 from branchwise.llm.queries import tokenizer_model
 from tests.compare import same_as_sql
 from tests.conftest import SF001
@@ -202,7 +203,7 @@ def test_query_matches_sql(spark, duck001, name):
 
 def test_registry():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
 
@@ -280,3 +281,51 @@ def test_pipeline_rows_equal_brute_force(spark, tmp_path):
     source = {i: s for i, _, s in left}
     assert Counter((r.doc_id, r.source, tuple(r.ids)) for r in got) == Counter(
         {(i, source[i], ids[i]): n for i, n in copies.items() if n})
+
+
+def test_columns_of_any_name_come_through(spark, empty):
+    """Columns named like the operators' own, and with dots, keep their values."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60, 5000), "s", f"r{i}", f"d{i}") for i in range(12)]
+    rows += [(50, rows[0][1], "s", "copy", "copy"), (51, rows[1][1] + " more", "t", "near", "near")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _rid string, `a.b` string").repartition(2)
+    want = {(r[0], r[3], r[4]) for r in rows}
+    for stage in (quality.keep_good, exact.deduplicated, minhash.one_of_each, mixing.mixed_documents, lines.without_repeats):
+        got = stage(docs)
+        assert got.columns[:5] == docs.columns
+        assert {(r.doc_id, r["_rid"], r["a.b"]) for r in got.collect()} <= want
+    assert {r["a.b"] for r in exact.deduplicated(docs).collect()} == {r[4] for r in rows} - {"d0"}
+    pages = docs.withColumnRenamed("text", "html")
+    assert {(r["_rid"], r["a.b"], r.text) for r in html.extract(pages).collect()} == {(r[3], r[4], r[1]) for r in rows}
+    assert html.extract(empty.withColumnRenamed("text", "html")).count() == 0
+
+
+def test_sketches_bound_what_sets_share():
+    rng = random.Random(6)
+    for _ in range(200):
+        a = np.unique(np.array([rng.randrange(2**63) for _ in range(rng.randrange(1, 400))], np.int64))
+        b = np.unique(np.concatenate([rng.sample(a.tolist(), rng.randrange(len(a) + 1)), [rng.randrange(2**63) for _ in range(rng.randrange(60))]]).astype(np.int64))
+        differ = sum(int(x).bit_count() for x in (minhash.sketch(a) ^ minhash.sketch(b)).view(np.uint64))
+        assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - differ) / 2
+
+
+def test_a_large_group_of_copies_that_hardly_link(spark):
+    """Near copies of one text, most of them short of the threshold to each other."""
+    rng = random.Random(12)
+    base = prose(rng, 120, 5000).split()
+    rows = []
+    for i in range(160):
+        text = base.copy()
+        for k in rng.sample(range(120), rng.choice([1, 2, 4, 5, 6])):
+            text[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    docs = docs_table(spark, rows)
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(116)} for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(docs).collect()} == group
+    assert 20 < len(set(group.values())) < 160
