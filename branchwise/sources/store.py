@@ -37,17 +37,15 @@ def write_table(df: DataFrame, name: str, path: str) -> None:
         rows.write.parquet(path)
 
 
-#: Parts that the rows of a branch are written in at least (more if large:
-#: runtime re-planning splits and joins partitions by their size).
-BRANCH_PARTS = 4
-
-
 def _together(rows: DataFrame, path: str, *order: str) -> None:
-    """Write fragments by branch: the rows of a branch come from few tasks, so
-    there are few files, sorted by ``order``.  The sort begins with the branch
-    as the partitioned write needs it, so the writer does not sort again."""
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(BRANCH_PARTS))
-    rows = rows.repartition("branch_code", part)
+    """Write fragments by branch, sorted by ``order`` inside each file.
+
+    Rebalanced by branch: runtime re-planning splits a large branch by the
+    measured size of its rows and puts small ones together, so files have the
+    session's advisory size and their number grows with the data.  The sort
+    begins with the branch as the partitioned write needs it, so the writer
+    does not sort again."""
+    rows = rows.hint("rebalance", "branch_code")
     rows.sortWithinPartitions("branch_code", *order).write.partitionBy("branch_code").parquet(path)
 
 

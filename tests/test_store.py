@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 
+import glob
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
 from branchwise.operators import quality as Q
 from branchwise.operators import sales as S
 from branchwise.operators.views import invoice_totals
 from branchwise.plans import requests as RQ
 from branchwise.plans.changesets import NOW
-from branchwise.sources.store import Store, open_store
+from branchwise.sources.store import Store, _together, open_store
 from tests.compare import canon
 from tests.conftest import SF001
 
@@ -51,3 +57,27 @@ def test_days_are_cut_in_utc_whatever_the_session_zone(spark):
         assert canon(got.columns, got.collect()) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_files_of_a_branch_grow_with_its_rows(spark):
+    """A large branch is written by several tasks, a small one by one; rows of
+    a file follow the date."""
+    base = tempfile.mkdtemp(prefix="bw-files-", dir=os.environ.get("BRANCHWISE_TMP", "/tmp"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        counts = {}
+        for n in (20_000, 400_000):
+            rows = spark.range(0, n, 1, n // 5000).select(  # input splits grow with the data
+                F.when(F.col("id") % 20 == 0, "SMALL").otherwise("LARGE").alias("branch_code"),
+                F.xxhash64("id").alias("created_at"), F.sha2(F.col("id").cast("string"), 256).alias("note"))
+            _together(rows, f"{base}/{n}", "created_at")
+            counts[n] = {b: len(glob.glob(f"{base}/{n}/branch_code={b}/*.parquet")) for b in ("SMALL", "LARGE")}
+        assert counts[20_000]["LARGE"] <= 8 < 40 <= counts[400_000]["LARGE"]
+        assert counts[400_000]["SMALL"] < counts[400_000]["LARGE"] / 8
+        assert spark.read.parquet(f"{base}/400000").distinct().count() == 400_000
+        for f in glob.glob(f"{base}/400000/branch_code=LARGE/*.parquet")[:5]:
+            dates = [r.created_at for r in spark.read.parquet(f).collect()]
+            assert dates == sorted(dates)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
