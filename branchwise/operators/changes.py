@@ -123,11 +123,16 @@ def add_employees(t: Tables, req: DataFrame, generate_ids: str | None = None) ->
                                          F.col("_branch").alias("branch_code")))
 
 
-def patch_employees(t: Tables, req: DataFrame) -> ChangeResult:
+NO_FIELDS = "NO_FIELDS"      # the service: a patch must give a field
+
+
+def patch_employees(t: Tables, req: DataFrame, service_rules: bool = False) -> ChangeResult:
     """Overwrite only non-blank fields of an employee of the branch.
 
     Guards: branch (BAD_BRANCH); blank id (50000); no such employee in this
     branch (50001).  The last non-blank value of each field wins.
+    ``service_rules`` also refuses a patch without any field (NO_FIELDS, after
+    the blank id), as the service does before it calls the procedure.
     """
     r = with_branch(req, t).withColumn("_id", X.clean("employee_id"))
     emp = t.employee.select(F.col("employee_id").alias("_id"), F.col("branch_code").alias("_branch"))
@@ -135,6 +140,7 @@ def patch_employees(t: Tables, req: DataFrame) -> ChangeResult:
     r = r.withColumn("_code", first_code([
         (~F.col("_branch_ok"), BAD_BRANCH),
         (X.is_blank("employee_id"), str(X.E_INPUT)),
+        (F.lit(service_rules) & X.is_blank("full_name") & X.is_blank("job_title"), NO_FIELDS),
         (~F.col("_exists"), str(X.E_NOT_FOUND)),
     ]))
     ok = F.col("_code").isNull()

@@ -7,7 +7,7 @@ keys joined to the table, so one job answers any number of lookups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,6 @@ HIDDEN_COLUMNS = ("rowguid", "rowid")
 # send them; documents are only compatible with these exact names.
 ITEM_CODE, ITEM_QTY, ITEM_PRICE = "MaSP", "SoLuong", "DonGia"
 
-ITEM_SCHEMA = T.StructType([
-    T.StructField(ITEM_CODE, T.StringType(), True),
-    T.StructField(ITEM_QTY, T.IntegerType(), True),
-    T.StructField(ITEM_PRICE, MONEY, True),
-])
-ITEMS_SCHEMA = T.ArrayType(ITEM_SCHEMA)
 
 
 def _branch_filter(df: DataFrame, branch: str | None) -> DataFrame:
@@ -243,9 +237,19 @@ def invoice_document_items(t: Tables) -> DataFrame:
 def parse_items(json_col) -> "F.Column":
     """The items of a JSON sale document as a typed array.
 
-    Malformed text gives NULL (SQL Server raises; both reject the request).
+    Values are taken as their text and converted, so a number may be given as
+    one (``"2"``), as the procedure's typed columns take it; what cannot be
+    converted (``"two"``, ``2.5`` as a quantity, ``true``) is NULL, and its
+    item bad.  A single object counts as one item; an item that is no object
+    has NULLs.  Malformed text gives NULL (both reject the request).
     """
-    return F.from_json(X.c(json_col), ITEMS_SCHEMA)
+    document = F.try_parse_json(X.c(json_col))
+    text = lambda item, field: F.trim(F.try_variant_get(item, F.lit(f"$.{field}"), "string"))
+    many = F.try_variant_get(document, F.lit("$"), "array<variant>")
+    one = F.when(F.schema_of_variant(document).startswith("OBJECT"), F.array(document))
+    return F.transform(F.coalesce(many, one), lambda item: F.struct(
+        text(item, ITEM_CODE).alias(ITEM_CODE), text(item, ITEM_QTY).try_cast("int").alias(ITEM_QTY),
+        text(item, ITEM_PRICE).try_cast(MONEY).alias(ITEM_PRICE)))
 
 
 def explode_items(df: DataFrame, json_col: str = "items_json") -> DataFrame:
@@ -261,22 +265,27 @@ def explode_items(df: DataFrame, json_col: str = "items_json") -> DataFrame:
 PAGE_ITEMS = 500
 
 
-def pack_invoice_items(t: Tables) -> DataFrame:
+def pack_invoice_items(t: Tables, as_text: Column | None = None) -> DataFrame:
     """Lines -> JSON item documents (``JSON.stringify(items)``): the invoice's
     items by product code, ``PAGE_ITEMS`` to a document, numbered by ``page``
-    from 0.  No line is left out and no document grows with its invoice."""
+    from 0.  No line is left out and no document grows with its invoice.
+    Invoices for which ``as_text`` holds give their numbers as text."""
     keys = ["invoice_id", "branch_code"]
     d = ordered.bucketize(t.invoice_line.withColumn("_one", F.lit(1).cast("bigint")), keys, "product_code")
     d = ordered.running_sums(d, keys, ["_one"], "product_code")
     item = F.struct("product_code", "qty", "unit_price")
     docs = d.groupBy(*keys, F.floor(F.col("p__one") / PAGE_ITEMS).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return docs.select(*keys, "page", F.to_json(F.transform("items", lambda x: F.struct(
-        x["product_code"].alias(ITEM_CODE), x["qty"].alias(ITEM_QTY), x["unit_price"].alias(ITEM_PRICE)))).alias("items_json"))
+    def packed(number):
+        return F.to_json(F.transform("items", lambda x: F.struct(
+            x["product_code"].alias(ITEM_CODE), number(x["qty"]).alias(ITEM_QTY), number(x["unit_price"]).alias(ITEM_PRICE))))
 
+    plain, text = packed(lambda x: x), packed(lambda x: x.cast("string"))
+    return docs.select(*keys, "page", (plain if as_text is None else F.when(as_text, text).otherwise(plain)).alias("items_json"))
 
-def parse_invoice_items(t: Tables) -> DataFrame:
+
+def parse_invoice_items(t: Tables, as_text: Column | None = None) -> DataFrame:
     """S7 round trip: documents parsed back must equal the lines."""
-    docs = pack_invoice_items(t)
+    docs = pack_invoice_items(t, as_text)
     return explode_items(docs).select(
         "invoice_id", F.col("item_code").alias("product_code"),
         F.col("item_qty").alias("qty"), F.col("item_price").alias("unit_price"))

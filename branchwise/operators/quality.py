@@ -61,22 +61,25 @@ def orphans(t: Tables) -> DataFrame:
     """Q-FK: per foreign key, rows checked and rows without a parent.
 
     A NULL child key is allowed (invoice without employee) and not counted.
-    Parent keys are primary keys, so the join keeps one row per child row.
+    One pass: each table is scanned once and gives a row for every constraint
+    it is the child or the parent of; grouped on (constraint, key), with a
+    partial aggregate before the only shuffle, so a parent with most of the
+    children is reduced in every task.
     """
-    parts = []
+    roles: dict[str, list] = {}
     for name, child, ccols, parent, pcols in FOREIGN_KEYS:
-        c = t.get(child).select(*ccols)
-        p = (t.get(parent).select(*[F.col(pc).alias(cc) for pc, cc in zip(pcols, ccols)])
-             .withColumn("_parent", F.lit(True)))
-        present = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in ccols])
-        parts.append(
-            c.where(present).join(p, ccols, "left")
-            .agg(F.count(F.lit(1)).alias("checked_rows"),
-                 F.sum(F.when(F.col("_parent").isNull(), 1).otherwise(0)).alias("orphan_rows"))
-            .select(F.lit(name).alias("constraint_name"),
-                    F.col("checked_rows").cast("bigint").alias("checked_rows"),
-                    F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows")))
-    return reduce(DataFrame.unionByName, parts)
+        for table, cols, n in ((child, ccols, 1), (parent, pcols, 0)):
+            known = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in cols])
+            roles.setdefault(table, []).append(F.struct(
+                F.lit(name).alias("constraint_name"), F.when(known, F.struct(*[F.col(x).cast("string").alias(f"k{i}") for i, x in enumerate(cols)])).alias("key"),
+                F.lit(n).cast("bigint").alias("n")))
+    rows = reduce(DataFrame.unionByName, [
+        t.get(table).select(F.explode(F.array(*structs)).alias("r")).select("r.*") for table, structs in roles.items()])
+    by_key = rows.where("key IS NOT NULL").groupBy("constraint_name", "key").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    found = by_key.groupBy("constraint_name").agg(F.sum("n").alias("checked_rows"), F.sum(F.when(F.col("least") > 0, F.col("n"))).alias("orphan_rows"))
+    names = t.branch.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k[0]) for k in FOREIGN_KEYS])).alias("constraint_name"))
+    return names.join(found, "constraint_name", "left").select(
+        "constraint_name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("checked_rows", "orphan_rows")])
 
 
 def check_violations(t: Tables) -> DataFrame:

@@ -22,6 +22,7 @@ from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Tables
 
 PK_LINE = "PK_LINE"          # the same product again on an existing invoice (Q6)
 PK_INVOICE = "PK_INVOICE"    # the invoice id belongs to another branch
+PRICE_CONFLICT = "PRICE_CONFLICT"  # a product given twice at different prices
 
 
 def _now_lit(now) -> Column:
@@ -110,19 +111,61 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
 def items_of(req: DataFrame) -> DataFrame:
     """The item rows (seq, item_code, item_qty, item_price) of JSON documents."""
     items = explode_items(req.select("seq", "items_json"))
-    return items.where(F.col("item_pos").isNotNull()).select("seq", "item_code", "item_qty", "item_price")
+    return items.where(F.col("item_pos").isNotNull()).select("seq", "item_pos", "item_code", "item_qty", "item_price")
 
 
-def merge_items(items: DataFrame) -> DataFrame:
-    """One row per (request, product): quantities summed, the largest given
-    price kept, as the sale procedure groups its items."""
+def service_items(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """The item rows of API request bodies: the other columns of ``bodies``,
+    item_pos, item_code, item_qty, item_price (0: none given).
+
+    Items without code, quantity and price are dropped.  If none is left, the
+    body's own product is the single item; without that the request has no
+    row.  Missing and non-numeric numbers count as 0 (F16)."""
+    document, at = F.try_parse_json(F.col(body)), lambda v, path, kind: F.try_variant_get(v, F.lit(path), kind)
+
+    def item(v, pos):
+        return F.struct(pos.alias("item_pos"), F.trim(F.coalesce(at(v, "$.productCode", "string"), F.lit(""))).alias("item_code"),
+                        X.to_number(at(v, "$.quantity", "string")).cast("int").alias("item_qty"),
+                        X.to_number(at(v, "$.unitPrice", "string")).cast(MONEY).alias("item_price"))
+
+    own = [c for c in bodies.columns if c != body]
+    rows = bodies.select(*own, document.alias("_document"))
+    given = F.filter(F.transform(at(F.col("_document"), "$.items", "array<variant>"), lambda v, i: item(v, i)),
+                     lambda x: (x["item_code"] != "") | (x["item_qty"] != 0) | (x["item_price"] != 0))
+    rows = rows.select(*own, given.alias("_given"), item(F.col("_document"), F.lit(0)).alias("_single"))
+    items = F.when(F.size("_given") > 0, F.col("_given")).when(F.col("_single.item_code") != "", F.array("_single"))
+    return rows.select(*own, F.explode(items).alias("_item")).select(*own, "_item.*")
+
+
+#: How the given prices of a product's items make one price, by the name of
+#: the policy: the largest one (the sale procedure), the first positive one by
+#: item position (the service), or one that all items must agree on.
+PRICE_POLICIES = {
+    "max": lambda: F.max("item_price"),
+    "first_positive": lambda: F.min(F.when(F.col("item_price") > 0, F.struct("item_pos", "item_price"))).getField("item_price"),
+    "error": lambda: F.max("item_price"),
+}
+
+
+def _conflict() -> Column:
+    """Whether the items of a product give different prices (none counts as 0)."""
+    price = F.coalesce(F.col("item_price"), F.lit(0).cast(MONEY))
+    return F.min(price) != F.max(price)
+
+
+def merge_items(items: DataFrame, price_policy: str = "max") -> DataFrame:
+    """One row per (request, product): quantities summed, one given price kept
+    by ``price_policy``; ``error`` adds ``conflict``.  Every policy is an
+    aggregate with a partial one before the shuffle."""
+    more = [_conflict().alias("conflict")] if price_policy == "error" else []
     return (items.where(F.col("item_code").isNotNull() & (F.col("item_code") != ""))
             .groupBy("seq", "item_code")
-            .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price")))
+            .agg(F.sum(F.col("item_qty").cast("bigint")).alias("qty"), PRICE_POLICIES[price_policy]().alias("price"), *more))
 
 
 def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None = None,
-                  fold_item_codes: bool = False, items: DataFrame | None = None) -> ChangeResult:
+                  fold_item_codes: bool = False, items: DataFrame | None = None,
+                  price_policy: str = "max") -> ChangeResult:
     """P10: multi-line sales, all-or-nothing.
 
     Requests (seq, invoice_id, employee_id, note, branch_code) with their
@@ -136,6 +179,11 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     (PK_INVOICE); stock row missing or short for any product (50005); a
     product already on the invoice (PK_LINE).
 
+    ``price_policy`` says which given price counts where a product comes more
+    than once (``PRICE_POLICIES``; rows need ``item_pos`` for the first
+    positive one).  With ``error``, different prices are refused
+    (PRICE_CONFLICT, after 50003).
+
     ``generate_ids`` (a batch tag) applies the service form: every request
     gets a new invoice id ``HD_<tag>_<seq>`` instead of the one it names.
     ``fold_item_codes`` folds the item codes of the documents like
@@ -163,7 +211,8 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     per_item = materialize(
         items.groupBy("seq", "item_code")
         .agg(F.count(F.lit(1)).alias("_n"), F.max(bad).alias("_bad"),
-             F.sum(F.col("item_qty").cast("bigint")).alias("qty"), F.max("item_price").alias("price"))
+             F.sum(F.col("item_qty").cast("bigint")).alias("qty"), PRICE_POLICIES[price_policy]().alias("price"),
+             (_conflict() if price_policy == "error" else F.lit(False)).alias("_conflict"))
         .join(t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat")),
               "item_code", "left"), "sales: items")
     merged = per_item.where(F.col("item_code").isNotNull() & (F.col("item_code") != "")) \
@@ -171,7 +220,7 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
     has_code = F.col("item_code").isNotNull() & (F.col("item_code") != "")
     item_stats = per_item.groupBy("seq").agg(
         F.sum("_n").alias("_n_items"), F.max("_bad").alias("_bad_item"),
-        F.max(has_code & (X.resolve_price("price", "_cat") <= 0)).alias("_bad_price"))
+        F.max(has_code & (X.resolve_price("price", "_cat") <= 0)).alias("_bad_price"), F.max(has_code & F.col("_conflict")).alias("_conflict"))
     r = r.join(item_stats, "seq", "left")
     pre = [
         (~F.col("_branch_ok"), str(X.E_INPUT)),
@@ -179,6 +228,7 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
         (~F.col("_emp_ok"), str(X.E_NOT_FOUND)),
         (F.coalesce(F.col("_n_items"), F.lit(0)) == 0, str(X.E_50002)),
         (F.coalesce(F.col("_bad_item"), F.lit(False)), str(X.E_50003)),
+        (F.coalesce(F.col("_conflict"), F.lit(False)), PRICE_CONFLICT),
         (F.coalesce(F.col("_bad_price"), F.lit(False)), str(X.E_50004)),
     ]
     r = r.withColumn("_pre", first_code(pre)).drop("items_json")

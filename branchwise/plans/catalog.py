@@ -33,6 +33,7 @@ _ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "global_invoice_lines": V.global_invoice_lines,
     "national_inventory_raw": V.national_inventory_raw,
     "parse_invoice_items": L.parse_invoice_items,
+    "parse_text_items": lambda t: L.parse_invoice_items(t, F.col("invoice_id").cast("bigint") % 2 == 1),
     "invoice_list_no_employee": L.invoice_list_no_employee,
     "employees_by_branch": lambda t: L.employees_by_branch(t, BRANCH),
     "report_json_export": lambda t: _json_roundtrip(R.daily_revenue(t)),

@@ -36,6 +36,20 @@ def _invoice_item_merge(s, d, t):
         "seq", F.col("item_code").alias("product_code"), "qty", F.col("price").alias("given_price"))
 
 
+def _item_price_policies(s, d, t):
+    """The three price policies on the same items."""
+    items = RQ.priced_items(s, d)
+    by = {p: S.merge_items(items, p).withColumnRenamed("price", p) for p in S.PRICE_POLICIES}
+    rows = by["max"].join(by["first_positive"].drop("qty"), ["seq", "item_code"]).join(by["error"].drop("qty"), ["seq", "item_code"])
+    return rows.select("seq", F.col("item_code").alias("product_code"), "qty", F.col("max").alias("largest"), "first_positive", "conflict")
+
+
+def _service_request_items(s, d, t):
+    rows = S.service_items(RQ.sale_bodies(t))
+    return rows.select("invoice_id", F.col("item_pos").alias("pos"), F.col("item_code").alias("product_code"),
+                       F.col("item_qty").alias("qty"), F.col("item_price").alias("price"))
+
+
 def _invoice_price_resolve(s, d, t):
     m = S.merge_items(RQ.sale_items(s, d))
     cat = t.product.select(F.col("product_code").alias("item_code"), F.col("unit_price").alias("_cat"))
@@ -163,6 +177,9 @@ _BUILDERS = {
     "invoice_delete": lambda s, d, t: C.delete_invoices(t, RQ.invoice_deletes(s, d)).outcome,
     "invoice_replace": lambda s, d, t: C.replace_invoices(t, RQ.invoice_replaces(s, d)).outcome,
     "invoice_item_merge": _invoice_item_merge,
+    "item_price_policies": _item_price_policies,
+    "service_request_items": _service_request_items,
+    "employee_patch_service": lambda s, d, t: C.patch_employees(t, RQ.employee_patch(s, d), service_rules=True).outcome,
     "invoice_price_resolve": _invoice_price_resolve,
     "invoice_stock_check": _invoice_stock_check,
     "transfer_validate": _transfer_validate,
@@ -443,6 +460,20 @@ _RD = """rd AS (SELECT *, """ + _first_valid("code_in, b", "50001") + """ AS cod
     WHEN NOT EXISTS (SELECT 1 FROM inventory v WHERE v.product_code = code_in AND v.branch_code = b) THEN '50001' END AS pre
   FROM (SELECT *, upper(trim(branch_code)) AS b, trim(product_code) AS code_in FROM row_del) r0) p)"""
 
+ORACLE["employee_patch_service"] = ORACLE["employee_patch"].replace(
+    "WHEN NOT EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id",
+    "WHEN " + _blank("full_name") + " AND " + _blank("job_title") + """ THEN 'NO_FIELDS'
+    WHEN NOT EXISTS (SELECT 1 FROM employee e WHERE e.employee_id = id""", 1)
+ORACLE["item_price_policies"] = """WITH i AS (SELECT l_orderkey AS seq, l_linenumber AS pos, CAST(l_partkey % 3 AS VARCHAR) AS product_code,
+    CAST(l_quantity AS BIGINT) AS qty, CAST(CASE WHEN (l_partkey + l_linenumber) % 4 > 0 THEN CASE l_partkey % 3 WHEN 0 THEN 0
+      WHEN 1 THEN (l_partkey % 4 + l_linenumber) / 4.0 END END AS DECIMAL(10,2)) AS price FROM lineitem)
+SELECT seq, product_code, CAST(sum(qty) AS BIGINT) AS qty, max(price) AS largest,
+  first(price ORDER BY pos, price) FILTER (WHERE price > 0) AS first_positive,
+  min(coalesce(price, 0)) <> max(coalesce(price, 0)) AS conflict
+FROM i GROUP BY seq, product_code"""
+ORACLE["service_request_items"] = _q("""SELECT invoice_id, CAST(CASE WHEN CAST(product_code AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS INT) AS pos,
+  product_code, qty, CAST(CASE WHEN CAST(product_code AS BIGINT) % 3 = 0 THEN 0 ELSE unit_price END AS DECIMAL(10,2)) AS price
+FROM invoice_line""")
 ORACLE["product_create"] = _q("SELECT seq, code_in AS product_code, code IS NULL AS accepted, code AS reject_code FROM pc", _PC)
 ORACLE["product_create_stock"] = _q("""SELECT pc.code_in AS product_code, b.branch_code, CAST(0 AS INT) AS qty
 FROM pc JOIN branch b ON b.is_active

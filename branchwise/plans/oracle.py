@@ -120,6 +120,7 @@ ORACLE: dict[str, str] = {
     "global_invoice_lines": q("SELECT invoice_id, created_at, branch_code, employee_id, product_code, qty, unit_price, amount FROM gl"),
     "national_inventory_raw": q("SELECT product_code, qty, branch_code FROM inventory"),
     "parse_invoice_items": q("SELECT invoice_id, product_code, qty, unit_price FROM invoice_line"),
+    "parse_text_items": q("SELECT invoice_id, product_code, qty, unit_price FROM invoice_line"),
     "invoice_list_no_employee": q(INVOICE_LIST.format(
         emp_id="CAST(NULL AS VARCHAR)", emp_name="CAST(NULL AS VARCHAR)", emp_join="", emp_group="")),
     "employees_by_branch": q(f"SELECT employee_id, full_name, job_title, branch_code FROM employee WHERE branch_code = '{BRANCH}'"),

@@ -206,6 +206,34 @@ def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 1, F.col("p_retailprice").cast(MONEY)).alias("item_price"))
 
 
+def priced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item rows at prices of their own, a few products per order, so that
+    many come more than once: no price, 0, or one that depends on the line."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    price = F.when(k % 3 == 0, F.lit(0)).when(k % 3 == 1, (k % 4 + n).cast(MONEY) / 4)
+    return li.select(F.col("l_orderkey").alias("seq"), n.cast("int").alias("item_pos"), _s(k % 3).alias("item_code"),
+                     F.col("l_quantity").cast("int").alias("item_qty"),
+                     F.when((k + n) % 4 > 0, price).cast(MONEY).alias("item_price"))
+
+
+def sale_bodies(t) -> DataFrame:
+    """An API request body per invoice line: its product in a list beside an
+    empty item and with the quantity as text, alone in the body, or in a list
+    beside an item that only gives a price of 0."""
+    k, code = F.col("product_code").cast("bigint"), F.col("product_code")
+    qty, price = F.col("qty"), F.col("unit_price")
+    listed = F.to_json(F.struct(F.array(
+        F.struct(F.lit(None).cast("string").alias("productCode"), F.lit(None).cast("string").alias("quantity")),
+        F.struct(code.alias("productCode"), qty.cast("string").alias("quantity"))).alias("items")))
+    single = F.to_json(F.struct(F.array().cast("array<string>").alias("items"), F.concat(F.lit(" "), code).alias("productCode"),
+                                qty.alias("quantity"), price.alias("unitPrice")))
+    beside = F.to_json(F.struct(F.array(
+        F.struct(code.alias("productCode"), qty.alias("quantity"), price.alias("unitPrice")),
+        F.struct(F.lit("").alias("productCode"), F.lit(0).alias("quantity"), F.lit(0).cast(MONEY).alias("unitPrice"))).alias("items")))
+    return t.invoice_line.select("invoice_id", F.when(k % 3 == 0, listed).when(k % 3 == 1, single).otherwise(beside).alias("body"))
+
+
 def single_line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One single-line sale per product of each order (quantities of repeated
     lines summed), numbered by order and product."""
