@@ -15,8 +15,8 @@ power of two, that cover the run from its two ends.  The first copy stays; the
 lines of later copies are deleted.
 
 Runs that start at a line miss the last lines of a maximal repeated run, where
-what is left of it holds fewer words; this is the rule of the registered
-query's SQL.  With ``whole``, the shortest run that ends at a line is tested
+what is left of it holds fewer words.  With ``whole``, as the registered query
+has it, the shortest run that ends at a line is tested
 too, and with a line that counts alone the pairs it makes with its neighbours.
 Then all lines of a maximal run, and every two neighbours, lie in such runs:
 those up to the end of the first run that starts in it, and each later one

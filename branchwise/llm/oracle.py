@@ -17,12 +17,16 @@ dl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_
 m AS (SELECT w.doc_id, len(w) AS n_words,
     length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) AS n_unspaced
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN dl ON dl.doc_id = w.doc_id),
 b AS (SELECT *,
     CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 2 * n_symbols > word_chars THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 8 * n_lines THEN 8 ELSE 0 END
-    + CASE WHEN n_words > 0 AND word_chars > 100 * n_words THEN 16 ELSE 0 END AS fail_bits FROM m)
+    + CASE WHEN n_words > 0 AND word_chars > 100 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 32 ELSE 0 END + CASE WHEN 3 * n_dup_lines > n_lines THEN 64 ELSE 0 END
+    + CASE WHEN n_words > 0 AND 2 * n_unspaced <= word_chars AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)
+      THEN 128 ELSE 0 END AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
@@ -86,14 +90,14 @@ _SECRET_KINDS = ",".join((
     _secret_kind("hex", 2, "[0-9a-f]+", "length(m[i]) >= 24"),
     _secret_kind("account", 3, "(?:" + _either_case("user_?name|user_?id|login|client_?id|access_?key_?id|account_?id") + ")"
                  + _VALUE + r"[A-Za-z0-9_.@+-]{3,}", "true"),
-    _secret_kind("random", 4, "[A-Za-z0-9+/]{40,}", "length(m[i]) = 40 AND regexp_matches(m[i], '[a-z]') "
+    _secret_kind("random", 4, "[A-Za-z0-9+/_-]{20,}={0,2}", "regexp_matches(m[i], '[a-z]') "
                  "AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[0-9]')"),
     _secret_kind("endpoint", 5, "(?:https?|s3|ftp|amqps?|redis|mongodb|mysql|postgres|postgresql)://[A-Za-z0-9_.:@/?&=%+-]+", "true"),
 ))
 SQL["op2_secret_scan"] = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)," + _SECRET_KINDS + r""",
 a AS (SELECT doc_id, kind, b, b + length(v) AS e FROM (SELECT * FROM assign UNION ALL SELECT * FROM access
   UNION ALL SELECT * FROM hex UNION ALL SELECT * FROM account UNION ALL SELECT * FROM random UNION ALL SELECT * FROM endpoint)),
-n AS (SELECT a.doc_id, a.kind, a.b, a.e, bool_or(o.kind IN (1, 3)) AS acc, bool_or(o.kind IN (0, 4)) AS sec
+n AS (SELECT a.doc_id, a.kind, a.b, a.e, bool_or(o.kind IN (1, 3)) AS acc, bool_or(o.kind IN (0, 2, 4)) AS sec
   FROM a JOIN a o ON o.doc_id = a.doc_id AND abs(o.b - a.b) <= 400 GROUP BY ALL),
 r AS (SELECT doc_id, kind, b, e FROM n WHERE kind < 3 OR (kind = 3 AND sec) OR (kind = 4 AND acc) OR (kind = 5 AND acc AND sec)),
 s AS (SELECT doc_id, kind, b, (['assign', 'access', 'hex', 'linked_account', 'linked_random', 'linked_endpoint'])[kind + 1]
@@ -113,7 +117,11 @@ l1 AS (SELECT doc_id, x, line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) A
 l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos,
     sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS cw FROM l1 WHERE w > 0),
 run AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM l a JOIN l b
-  ON b.doc_id = a.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 50 AND b.cw - a.cw + a.w >= 50 GROUP BY a.doc_id, a.pos),
+  ON b.doc_id = a.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 50 AND b.cw - a.cw + a.w >= 50 GROUP BY a.doc_id, a.pos
+  UNION SELECT a.doc_id, max(b.pos), a.pos FROM l a JOIN l b
+  ON b.doc_id = a.doc_id AND b.pos <= a.pos AND b.pos > a.pos - 50 AND a.cw - b.cw + b.w >= 50 GROUP BY a.doc_id, a.pos
+  UNION SELECT a.doc_id, b.pos, b.pos + 1 FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.pos IN (a.pos - 1, a.pos)
+  JOIN l c ON c.doc_id = b.doc_id AND c.pos = b.pos + 1 WHERE a.w >= 50),
 txt AS (SELECT r.doc_id, r.pos, r.last, string_agg(l.x, chr(10) ORDER BY l.pos) AS g
   FROM run r JOIN l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.last GROUP BY r.doc_id, r.pos, r.last),
 f AS (SELECT *, first_value(doc_id) OVER q AS fd, first_value(pos) OVER q AS fp FROM txt

@@ -38,8 +38,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"),
-                       "n_lines", F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("v1"))).cast("bigint").alias("fail_bits"))
+                       (~quality.passes("base")).alias("base_failed"), quality.passes("v2").alias("kept"),
+                       "n_lines", F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("v2"))).cast("bigint").alias("fail_bits"))
 
 
 #: A conversation of texts that look like marks of templates.
@@ -64,7 +64,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     runs = F.transform("runs", lambda r: F.concat_ws("-", r["from"].cast("string"), r["to"].cast("string")))
     return rows.select("doc_id", "n_lines", F.size("gone").cast("bigint").alias("n_deleted"),
                        F.array_join(runs, ",").alias("deleted"), F.sha2("clean_text", 256).alias("clean_sha256"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import text_of
+from branchwise.llm.common import quoted, text_of
 from branchwise.session import materialize
 
 # The base patterns and their least lengths.
@@ -28,42 +28,57 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
 # The weak patterns.
 ACCOUNT = r"""(?i:user_?name|user_?id|login|client_?id|access_?key_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
-RANDOM = r"[A-Za-z0-9+/]{40,}"
-RANDOM_CHARS = 40
+RANDOM = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"(?:https?|s3|ftp|amqps?|redis|mongodb|mysql|postgres|postgresql)://[A-Za-z0-9_.:@/?&=%+-]+"
 
 #: Order of the kinds among spans with one start.
 KINDS = ("assign", "access", "hex", "linked_account", "linked_random", "linked_endpoint")
 SCOPE = 400
 
+#: Matches whose starts are summed up together.
+PIECE = 256
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _spans(text: str, pattern: str, kind: int, holds=None, when: Column | None = None) -> Column:
-    """Spans (code points, end exclusive) of the leftmost non-overlapping
-    matches; those for which ``holds(match)`` is false are dropped.
-
-    The text between the matches and the matches alternate, so their lengths
-    add up to the starts.
-    """
-    pat = F.lit(pattern)
-    found = F.regexp_extract_all(text, pat, F.lit(0))
+def _matches(text: str, pattern: str, holds=None, when: Column | None = None) -> Column:
+    """The leftmost non-overlapping matches, in order: ``skip``, the characters
+    between the match before and this one, ``take``, those of the match, and
+    whether ``holds(match)``."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(F.col(text), pattern)
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(
+    some = F.col(text).rlike(pattern)
+    return F.when(some if when is None else when & some, F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(
         F.char_length(g).cast("bigint").alias("skip"), F.char_length(m).cast("bigint").alias("take"),
-        (holds(m) if holds else F.lit(True)).alias("ok")))
-    start = F.struct(F.array().cast(_SPANS).alias("spans"), F.lit(0).cast("bigint").alias("at"))
+        (holds(m) if holds else F.lit(True)).alias("ok"))))
+
+
+def _pieces(matches: str) -> Column:
+    """The matches in pieces of ``PIECE``; null without any."""
+    return F.when(F.size(matches) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PIECE).cast("int")),
+                                                   lambda k: F.slice(F.col(matches), k * PIECE + 1, F.lit(PIECE))))
 
+
+def _begins(pieces: str) -> Column:
+    """Where each piece begins."""
+    zero = F.lit(0).cast("bigint")
+    lengths = F.transform(pieces, lambda p: F.aggregate(p, zero, lambda acc, x: acc + x["skip"] + x["take"]))
+    return F.aggregate(lengths, F.struct(F.array().cast("array<bigint>").alias("all"), zero.alias("at")), lambda acc, n: F.struct(
+        F.concat(acc["all"], F.array(acc["at"])).alias("all"), (acc["at"] + n).alias("at")), lambda acc: acc["all"])
+
+
+def _spans(pieces: str, begins: str, kind: int) -> Column:
+    """Spans (code points, end exclusive) of the matches that hold.  Lengths
+    add up to starts within a piece, so no array grows with all matches."""
     def step(acc, x):
         begin = acc["at"] + x["skip"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["take"]).alias("end"))
         return F.struct(F.when(x["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
                         (begin + x["take"]).alias("at"))
 
-    some = F.col(text).rlike(pattern)
     none = F.array().cast(_SPANS)
-    return F.when(some if when is None else when & some,
-                  F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(none)
+    spans = F.flatten(F.zip_with(pieces, begins, lambda p, at: F.aggregate(
+        p, F.struct(none.alias("spans"), at.alias("at")), step, lambda acc: acc["spans"])))
+    return F.coalesce(spans, none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -71,23 +86,27 @@ def scan(docs: DataFrame) -> DataFrame:
     (spans of the base kinds), ``weak`` (candidate spans) and ``text_key``,
     which is null where a text has no candidate."""
     own = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), text_of().alias("t"))
+    rows = docs.select(F.struct(*quoted(own)).alias("doc"), text_of().alias("t"))
     long_value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_CHARS
-    mixed = lambda m: ((F.char_length(m) == RANDOM_CHARS) & m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]"))
-    rows = rows.select(
-        "doc", "t",
-        F.concat(_spans("t", ASSIGN, 0, long_value),
-                 _spans("t", ACCESS, 1, lambda m: F.char_length(m) >= ACCESS_CHARS, F.contains("t", F.lit("AKIA"))),
-                 _spans("t", HEX, 2)).alias("base"),
-        F.concat(_spans("t", ACCOUNT, 3), _spans("t", RANDOM, 4, mixed),
-                 _spans("t", ENDPOINT, 5, None, F.contains("t", F.lit("://")))).alias("weak"))
+    mixed = lambda m: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")
+    matches = [_matches("t", ASSIGN, long_value),
+               _matches("t", ACCESS, lambda m: F.char_length(m) >= ACCESS_CHARS, F.contains("t", F.lit("AKIA"))),
+               _matches("t", HEX), _matches("t", ACCOUNT), _matches("t", RANDOM, mixed),
+               _matches("t", ENDPOINT, None, F.contains("t", F.lit("://")))]
+    n = range(len(matches))
+    # Step by step: each column is made once, however often the next one reads it.
+    rows = rows.select("doc", "t", *[m.alias(f"m{k}") for k, m in enumerate(matches)])
+    rows = rows.select("doc", "t", *[_pieces(f"m{k}").alias(f"p{k}") for k in n])
+    rows = rows.select("doc", "t", *[f"p{k}" for k in n], *[_begins(f"p{k}").alias(f"b{k}") for k in n])
+    spans = [_spans(f"p{k}", f"b{k}", k) for k in n]
+    rows = rows.select("doc", "t", F.concat(*spans[:3]).alias("base"), F.concat(*spans[3:]).alias("weak"))
     return rows.select("doc", F.sort_array("base").alias("base"), "weak",
                        F.when(F.size("weak") > 0, F.sha2("t", 256)).alias("text_key"))
 
 
-#: Which part of a credential each kind is.  Hex strings are no part: they
-#: name too many other things.
-PARTS = {"account": (1, 3), "secret": (0, 4), "endpoint": (5,)}
+#: Which part of a credential each kind is.  Hex strings and random ones are
+#: secrets only to their complements: alone they name too many other things.
+PARTS = {"account": (1, 3), "secret": (0, 2, 4), "endpoint": (5,)}
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -208,3 +208,33 @@ def test_whole_repeated_runs_go(spark):
         want = whole_runs(docs.collect(), least)
         for r in lines.without_repeats(docs, least, whole=True).collect():
             assert r.gone == want[(r.doc_id, r.text)], (least, r.doc_id)
+
+
+def test_parts_of_credentials_of_any_length(spark):
+    """Mixed strings from 20 characters on, url-safe ones, and hex spans are
+    secrets beside an account; an endpoint then belongs to them."""
+    near = "login=bob99 https://db.example.com/x "
+    parts = ["aB3" * 11, "aB3_-" * 5, "aB3" * 7 + "==", "0123456789abcdef" * 2]
+    rows = [(i, near + p) for i, p in enumerate(parts)] + [(10, parts[0]), (11, near + "aB3" * 6), (12, near + "ab3" * 9)]
+    got = {r.doc_id: r.s for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).select(
+        "doc_id", secrets.as_text("spans").alias("s")).collect()}
+    for i, p in enumerate(parts):
+        kind = "hex" if i == 3 else "linked_random"
+        assert got[i] == f"linked_account:0:11,linked_endpoint:12:36,{kind}:37:{37 + len(p)}", i
+    assert got[10] == got[11] == got[12] == ""
+
+
+def test_many_matches_in_one_text(spark):
+    """Starts are right beyond one piece of matches, and found in linear time."""
+    n = 80_000
+    text = "token=abcdef " * n
+    r = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).select("base").first()
+    assert [(s.start, s.end) for s in r.base] == [(13 * i, 13 * i + 12) for i in range(n)]
+
+
+def test_the_registered_rules_reject_beyond_the_base(spark):
+    from branchwise.llm import queries
+    from tests.conftest import SF01
+    rows = queries.op7_quality_rules(spark, SF01)
+    assert rows.where("NOT base_failed AND NOT kept").count() > 20
+    assert rows.where("base_failed AND kept").count() == 0
