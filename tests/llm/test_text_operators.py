@@ -215,7 +215,7 @@ def test_parts_of_credentials_of_any_length(spark):
     secrets beside an account; an endpoint then belongs to them."""
     near = "login=bob99 https://db.example.com/x "
     parts = ["aB3" * 11, "aB3_-" * 5, "aB3" * 7 + "==", "0123456789abcdef" * 2]
-    rows = [(i, near + p) for i, p in enumerate(parts)] + [(10, parts[0]), (11, near + "aB3" * 6), (12, near + "ab3" * 9)]
+    rows = [(i, near + p) for i, p in enumerate(parts)] + [(10, parts[0]), (11, near + "aB3" * 6), (12, near + "xy3" * 9)]
     got = {r.doc_id: r.s for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).select(
         "doc_id", secrets.as_text("spans").alias("s")).collect()}
     for i, p in enumerate(parts):
@@ -235,6 +235,6 @@ def test_many_matches_in_one_text(spark):
 def test_the_registered_rules_reject_beyond_the_base(spark):
     from branchwise.llm import queries
     from tests.conftest import SF01
-    rows = queries.op7_quality_rules(spark, SF01)
-    assert rows.where("NOT base_failed AND NOT kept").count() > 20
-    assert rows.where("base_failed AND kept").count() == 0
+    rows = queries.op7_quality_rules(spark, SF01).select("base_failed", "kept").collect()
+    assert sum(not r.base_failed and not r.kept for r in rows) > 20
+    assert not any(r.base_failed and r.kept for r in rows)
