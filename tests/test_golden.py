@@ -49,7 +49,7 @@ def stock_of(t: Tables, branch: str) -> dict:
 def test_sale_from_json(spark, seed):
     items = json.dumps([{"MaSP": "MI_GOI", "SoLuong": 3}, {"MaSP": "NUOC_SUOI", "SoLuong": 3},
                         {"MaSP": "SUA_HOP", "SoLuong": 4}])
-    req = spark.createDataFrame([(1, "HD_Taomoi", "H003", "test", "HUE", items)],
+    req = spark.createDataFrame([(1, "INV-NEW-1", "H003", "test", "HUE", items)],
                                 "seq BIGINT, invoice_id STRING, employee_id STRING, note STRING, "
                                 "branch_code STRING, items_json STRING")
     res = S.post_invoices(seed, req, now=dt.datetime(2025, 1, 1))
@@ -73,34 +73,34 @@ def test_set_stock(spark, seed):
 
 
 def test_product_life_cycle(spark, seed):
-    add = spark.createDataFrame([(1, "SP_TEST_01", "San pham Test", Decimal(25000))],
+    add = spark.createDataFrame([(1, "P-NEW", "Probe item", Decimal(25000))],
                                 "seq BIGINT, product_code STRING, product_name STRING, unit_price DECIMAL(10,2)")
     r1 = C.create_products(seed, add)
     assert r1.outcome.first().accepted
     assert r1.created_stock.count() == 3          # a 0-stock row in each branch
-    patch = spark.createDataFrame([(2, "SP_TEST_01", "San pham Test Da Sua", Decimal(30000))],
+    patch = spark.createDataFrame([(2, "P-NEW", "Probe item, second", Decimal(30000))],
                                   "seq BIGINT, product_code STRING, product_name STRING, unit_price DECIMAL(10,2)")
     r2 = C.patch_products(r1.tables, patch)
     o = r2.outcome.first()
-    assert o.unit_price_after == Decimal("30000.00") and o.product_name_after == "San pham Test Da Sua"
-    dele = spark.createDataFrame([(3, "SP_TEST_01")], "seq BIGINT, product_code STRING")
+    assert o.unit_price_after == Decimal("30000.00") and o.product_name_after == "Probe item, second"
+    dele = spark.createDataFrame([(3, "P-NEW")], "seq BIGINT, product_code STRING")
     r3 = C.delete_products(r2.tables, dele)
     assert r3.outcome.first().accepted
-    assert r3.tables.inventory.where("product_code = 'SP_TEST_01'").count() == 0
+    assert r3.tables.inventory.where("product_code = 'P-NEW'").count() == 0
 
 
 def test_employee_life_cycle(spark, seed):
     schema = "seq BIGINT, branch_code STRING, employee_id STRING, full_name STRING, job_title STRING"
-    r1 = C.add_employees(seed, spark.createDataFrame([(1, "HUE", "H_TEST_01", "Nguyen Van Test", "Thu Ngan")],
+    r1 = C.add_employees(seed, spark.createDataFrame([(1, "HUE", "E-NEW", "Ada Probe", "Clerk")],
                                                      schema))
     assert r1.outcome.first().accepted
     r2 = C.patch_employees(r1.tables, spark.createDataFrame(
-        [(2, "HUE", "H_TEST_01", "Nguyen Van Test Da Sua", "Quan Ly Kho")], schema))
-    assert r2.outcome.first().job_title_after == "Quan Ly Kho"
-    r3 = C.delete_employees(r2.tables, spark.createDataFrame([(3, "HUE", "H_TEST_01")],
+        [(2, "HUE", "E-NEW", "Ada Probe the Second", "Storekeeper")], schema))
+    assert r2.outcome.first().job_title_after == "Storekeeper"
+    r3 = C.delete_employees(r2.tables, spark.createDataFrame([(3, "HUE", "E-NEW")],
                                                              "seq BIGINT, branch_code STRING, employee_id STRING"))
     assert r3.outcome.first().accepted
-    assert r3.tables.employee.where("employee_id = 'H_TEST_01'").count() == 0
+    assert r3.tables.employee.where("employee_id = 'E-NEW'").count() == 0
 
 
 def test_top_stock_default_and_three(seed):
