@@ -101,11 +101,15 @@ class TreeBuilder(HTMLParser):
         self.places[self.open.pop().tag].pop()
 
     def _nearest(self, tags: set) -> int:
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        nearest = 0
+        for tag in tags:
+            if (own := self.places.get(tag)) and own[-1] > nearest:
+                nearest = own[-1]
+        return nearest
 
     def _end_upto(self, tags: set, bounds: set) -> None:
         nearest = self._nearest(tags)
-        if nearest and nearest >= self._nearest(bounds):
+        if nearest and (nearest == len(self.open) - 1 or nearest >= self._nearest(bounds)):
             while len(self.open) > nearest:
                 self._pop()
 
