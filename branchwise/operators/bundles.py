@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from branchwise.functions import exprs as X
 from branchwise.operators import reports as R
+from branchwise.operators.views import invoice_totals
 from branchwise.sources.schemas import MONEY, TOTAL, Tables
 
 LONG_COLUMNS = ["report", "branch_code", "item_key", "item_label", "count_value", "amount", "amount2", "position"]
@@ -47,15 +48,48 @@ def analytics_overview(t: Tables, as_of) -> dict[str, DataFrame]:
     }
 
 
+def _revenue_sets(t: Tables, as_of) -> DataFrame:
+    """Daily, weekly and week-compare rows of R13 from one scan of the totals.
+
+    The totals are summed per branch and day first; the grouping sets then run
+    over those rows, of which there is one per branch and day whatever the
+    number of invoices.
+    """
+    as_of = X.as_date(as_of)
+    zero = F.lit(0).cast(TOTAL)
+
+    def in_week(offset: int):
+        b = X.week_bounds(as_of, offset)
+        return (F.col("day") >= F.lit(b[0])) & (F.col("day") < F.lit(b[1])) if b else F.lit(False)
+
+    days = (invoice_totals(t).groupBy("branch_code", F.to_date("created_at").alias("day"))
+            .agg(F.count(F.lit(1)).alias("orders"), X.money_sum("total").alias("revenue"))
+            .select("branch_code", "day", X.sql_year("day").alias("year"), X.sql_week("day").alias("week"),
+                    (in_week(0) | in_week(-1)).alias("compared"), "orders", "revenue",
+                    F.when(in_week(0), F.col("revenue")).otherwise(zero).alias("this_week"),
+                    F.when(in_week(-1), F.col("revenue")).otherwise(zero).alias("last_week")))
+    sets = [["branch_code", "day"], ["branch_code", "year", "week"], ["branch_code", "compared"]]
+    rows = days.groupingSets(sets, "branch_code", "day", "year", "week", "compared").agg(
+        F.grouping("day").alias("no_day"), F.grouping("week").alias("no_week"),
+        X.int_sum("orders").alias("orders"), X.money_sum("revenue").alias("revenue"),
+        X.money_sum("this_week").alias("this_week"), X.money_sum("last_week").alias("last_week"))
+    daily, weekly = F.col("no_day") == 0, F.col("no_week") == 0
+    revenue = daily | weekly
+    return rows.where(revenue | F.col("compared")).select(
+        F.when(daily, "daily").when(weekly, "weekly").otherwise("week_compare").alias("report"), "branch_code",
+        F.when(daily, X.iso_day("day")).when(weekly, X.week_label("year", "week")).alias("item_key"),
+        F.lit(None).cast("string").alias("item_label"),
+        F.when(revenue, _zero("orders")).cast("bigint").alias("count_value"),
+        F.when(revenue, _zero("revenue")).otherwise(_zero("this_week")).cast(TOTAL).alias("amount"),
+        F.when(~revenue, _zero("last_week")).cast(TOTAL).alias("amount2"),
+        F.lit(None).cast("int").alias("position"))
+
+
 def analytics_overview_long(t: Tables, as_of) -> DataFrame:
-    b = analytics_overview(t, as_of)
     parts = [
-        _long(b["daily"], "daily", key=X.iso_day("day"), count=_zero("order_count"), amount=_zero("revenue")),
-        _long(b["weekly"], "weekly", key=X.week_label("year", "week"), count=_zero("order_count"),
-              amount=_zero("revenue")),
-        _long(b["best_employee"], "best_employee", key="employee_id", label="full_name", amount=_zero("revenue")),
-        _long(b["best_product"], "best_product", key="product_code", label="product_name", count=_zero("units")),
-        _long(b["week_compare"], "week_compare", amount=_zero("this_week"), amount2=_zero("last_week")),
+        _revenue_sets(t, as_of),
+        _long(R.best_employee_week(t, as_of), "best_employee", key="employee_id", label="full_name", amount=_zero("revenue")),
+        _long(R.best_product_week(t, as_of), "best_product", key="product_code", label="product_name", count=_zero("units")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -198,3 +198,25 @@ def test_packed_documents_hold_whole_invoices(tables, monkeypatch):
         for r in L.pack_invoice_items(tables).collect():
             got.setdefault((r.invoice_id, r.branch_code), {})[r.page] = len(json.loads(r.items_json))
         assert got == {k: {p: min(most, c - p * most) for p in range(-(-c // most))} for k, c in n.items()}
+
+
+def test_overview_scans_the_totals_at_most_twice(spark, tables):
+    from branchwise.operators import bundles as B
+    # a pruning subquery reads only what a join has broadcast
+    plan = plan_text(B.analytics_overview_long(tables, AS_OF)).partition("===== Subqueries")[0]
+    scans = [line for line in plan.splitlines() if line.strip().startswith("Location") and "invoice_summary" in line]
+    assert 1 <= len(scans) <= 2, plan
+
+
+def test_overview_equals_its_reports(spark, tables):
+    """Also in week 1, where there is no last week."""
+    from branchwise.operators import bundles as B
+    for as_of in (AS_OF, "2001-01-03"):
+        got = {}
+        for r in B.analytics_overview_long(tables, as_of).collect():
+            got.setdefault(r.report, set()).add((r.branch_code, r.item_key, r.count_value, r.amount, r.amount2))
+        want = B.analytics_overview(tables, as_of)
+        assert got["daily"] == {(r.branch_code, r.day.isoformat(), r.order_count, r.revenue, None) for r in want["daily"].collect()}
+        assert {(b, n, a) for b, _, n, a, _ in got["weekly"]} == {(r.branch_code, r.order_count, r.revenue) for r in want["weekly"].collect()}
+        assert len(got["weekly"]) == want["weekly"].count()
+        assert got.get("week_compare", set()) == {(r.branch_code, None, None, r.this_week, r.last_week) for r in want["week_compare"].collect()}
