@@ -167,13 +167,10 @@ def invoice_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    """The supplier of every order line and the supplier's branch."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     sup = _suppliers(spark, sf_dir).select("s_suppkey", F.col("r_name").alias("s_branch"))
-    ob = _order_branch(spark, sf_dir).select("o_orderkey", F.col("r_name").alias("o_branch"))
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .join(sup, li.l_suppkey == sup.s_suppkey)
-            .join(ob, li.l_orderkey == ob.o_orderkey))
+    return li.join(sup, li.l_suppkey == sup.s_suppkey).select("l_orderkey", "l_suppkey", "s_branch")
 
 
 def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +180,12 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     has such a supplier, else the smallest supplier (a foreign seller, 50001).
     Every tenth order re-uses its own invoice id (Q6: lines appended or PK_LINE).
     """
-    sellers = _sale_lines(spark, sf_dir).groupBy("l_orderkey").agg(
-        F.min(F.when(F.col("s_branch") == F.col("o_branch"), F.col("l_suppkey"))).alias("own"),
-        F.min("l_suppkey").alias("any_seller"))
-    ob, k = _order_branch(spark, sf_dir), F.col("o_orderkey")
-    return (ob.join(sellers, ob.o_orderkey == sellers.l_orderkey, "left")
+    k = F.col("o_orderkey")
+    # grouped on the key of the join: the rows are not shuffled again
+    return (_order_branch(spark, sf_dir).join(_sale_lines(spark, sf_dir), k == F.col("l_orderkey"), "left")
+            .groupBy("o_orderkey", "o_orderpriority", "r_name")
+            .agg(F.min(F.when(F.col("s_branch") == F.col("r_name"), F.col("l_suppkey"))).alias("own"),
+                 F.min("l_suppkey").alias("any_seller"))
             .select(k.alias("seq"),
                     F.when(k % 10 == 0, _s(k)).otherwise(F.concat(F.lit("N"), _s(k))).alias("invoice_id"),
                     _s(F.coalesce("own", "any_seller")).alias("employee_id"),
