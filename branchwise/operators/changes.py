@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from branchwise.functions import exprs as X
 from branchwise.operators import ordered
 from branchwise.operators.views import with_every_branch
-from branchwise.sources.schemas import MONEY, Tables
+from branchwise.sources.schemas import MONEY, Tables, with_defaults
 
 BAD_BRANCH = "BAD_BRANCH"
 FK_INVOICE = "FK_INVOICE"
@@ -116,8 +116,8 @@ def add_employees(t: Tables, req: DataFrame, generate_ids: str | None = None) ->
     r = _first_valid(r, ["_id"], F.col("_pre").isNull())
     r = r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
                      .when(~F.col("_first"), F.lit(str(X.E_NOT_FOUND))))
-    added = r.where(F.col("_code").isNull()).select(
-        F.col("_id").alias("employee_id"), "full_name", "job_title", F.col("_branch").alias("branch_code"))
+    added = with_defaults(r.where(F.col("_code").isNull()).select(
+        F.col("_id").alias("employee_id"), "full_name", "job_title", "_branch"), "employee", own_branch=F.col("_branch"))
     tables = t.with_tables(employee=t.employee.unionByName(added))
     return ChangeResult(tables, _outcome(r, F.col("_id").alias("employee_id"),
                                          F.col("_branch").alias("branch_code")))
@@ -380,9 +380,9 @@ def create_stock_rows(t: Tables, req: DataFrame) -> ChangeResult:
     r = _first_valid(r, ["_code_in", "_branch"], F.col("_pre").isNull())
     r = r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
                      .when(~F.col("_first"), F.lit(str(X.E_INPUT))))
-    new = r.where(F.col("_code").isNull()).select(
-        F.col("_code_in").alias("product_code"), F.col("_branch").alias("branch_code"),
-        F.coalesce(F.col("qty"), F.lit(0)).cast("int").alias("qty"))
+    new = with_defaults(r.where(F.col("_code").isNull()).select(
+        F.col("_code_in").alias("product_code"), "_branch",
+        F.coalesce(F.col("qty"), F.lit(0)).cast("int").alias("qty")), "inventory", own_branch=F.col("_branch"))
     new_inv = t.inventory.unionByName(new)
     after = r.where(F.col("_code").isNull()).select(
         "seq", F.coalesce(F.col("qty"), F.lit(0)).cast("int").alias("qty_after"))

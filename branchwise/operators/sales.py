@@ -18,7 +18,7 @@ from branchwise.operators import acceptance as A
 from branchwise.operators.changes import NOT_NULL, ChangeResult, _flag, central_only, first_code, with_branch
 from branchwise.operators.listings import explode_items
 from branchwise.session import materialize
-from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Tables
+from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Tables, with_defaults
 
 PK_LINE = "PK_LINE"          # the same product again on an existing invoice (Q6)
 PK_INVOICE = "PK_INVOICE"    # the invoice id belongs to another branch
@@ -92,9 +92,9 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
                          F.col("_branch").alias("branch_code")))
     heads = (acc.where("_is_new").groupBy("_inv")
              .agg(F.min(F.struct("seq", "note", "_branch", "_emp")).alias("h"))
-             .select(F.col("_inv").alias("invoice_id"), F.col("h.note").alias("note"),
-                     _now_lit(now).alias("created_at"), F.col("h._branch").alias("branch_code"),
+             .select(F.col("_inv").alias("invoice_id"), F.col("h.note").alias("note"), F.col("h._branch"),
                      F.col("h._emp").alias("employee_id")))
+    heads = with_defaults(heads, "invoice", now=_now_lit(now), own_branch=F.col("_branch"))
     if settled is not None:
         stock_moves = settled.moves.where(F.col("kind") == "S")
         new_stock = A.apply_deltas(_stock_opening(t), stock_moves).select(

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.sources.schemas import MONEY, Tables
+from branchwise.sources.schemas import MONEY, Tables, with_defaults
 
 
 _READS: dict[tuple[str, str, str], DataFrame] = {}
@@ -48,12 +48,10 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def branch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read(spark, sf_dir, "region")
-    return region.select(
+    return with_defaults(region.select(
         F.col("r_name").alias("branch_code"),
         F.initcap("r_name").alias("branch_name"),
-        F.lit(None).cast("string").alias("address"),
-        F.lit(True).alias("is_active"),
-    )
+    ), "branch")
 
 
 def employee_table(spark: SparkSession, sf_dir: str) -> DataFrame:

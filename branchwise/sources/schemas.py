@@ -3,31 +3,40 @@
 Employee, invoice, invoice_line and inventory are fragmented by
 ``branch_code``; product is one replicated dimension.  ``invoice_line`` keeps
 the fragment column of its invoice so each fragment holds its own lines.
+
+A column that the chain's tables fill by default says so in its metadata;
+``with_defaults`` applies that to rows on their way into a table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)      # unit prices
 AMOUNT = T.DecimalType(18, 2)     # one line: qty * price
 TOTAL = T.DecimalType(28, 2)      # any SUM of amounts
 
+# Defaults (Q-DF), as metadata of their columns.
+ACTIVE = {"default": "active"}
+NOW = {"default": "now"}
+OWN_BRANCH = {"default": "own branch"}
+
 BRANCH = T.StructType([
     T.StructField("branch_code", T.StringType(), False),
     T.StructField("branch_name", T.StringType(), False),
     T.StructField("address", T.StringType(), True),
-    T.StructField("is_active", T.BooleanType(), False),
+    T.StructField("is_active", T.BooleanType(), False, ACTIVE),
 ])
 
 EMPLOYEE = T.StructType([
     T.StructField("employee_id", T.StringType(), False),
     T.StructField("full_name", T.StringType(), False),
     T.StructField("job_title", T.StringType(), False),
-    T.StructField("branch_code", T.StringType(), False),
+    T.StructField("branch_code", T.StringType(), False, OWN_BRANCH),
 ])
 
 PRODUCT = T.StructType([
@@ -39,14 +48,14 @@ PRODUCT = T.StructType([
 INVOICE = T.StructType([
     T.StructField("invoice_id", T.StringType(), False),
     T.StructField("note", T.StringType(), True),
-    T.StructField("created_at", T.TimestampNTZType(), False),
-    T.StructField("branch_code", T.StringType(), False),
+    T.StructField("created_at", T.TimestampNTZType(), False, NOW),
+    T.StructField("branch_code", T.StringType(), False, OWN_BRANCH),
     T.StructField("employee_id", T.StringType(), True),
 ])
 
 INVENTORY = T.StructType([
     T.StructField("product_code", T.StringType(), False),
-    T.StructField("branch_code", T.StringType(), False),
+    T.StructField("branch_code", T.StringType(), False, OWN_BRANCH),
     T.StructField("qty", T.IntegerType(), False),
 ])
 
@@ -99,6 +108,20 @@ PRIMARY_KEYS = {
 FRAGMENTED = ("employee", "invoice", "inventory", "invoice_line")
 
 
+def with_defaults(rows: DataFrame, table: str, **given: Column) -> DataFrame:
+    """``rows`` as rows of ``table``: a column that is missing or NULL gets its
+    default.  ``given`` holds what the defaults are taken from: ``own_branch``,
+    the branch that inserts, and ``now`` (the clock when left out)."""
+    made = {"active": F.lit(True), "now": given.get("now", F.localtimestamp()), "own branch": given.get("own_branch")}
+
+    def value(f: T.StructField) -> Column:
+        default = made.get(f.metadata.get("default"))
+        if f.name not in rows.columns:
+            return (F.lit(None) if default is None else default).cast(f.dataType).alias(f.name)
+        return F.col(f.name) if default is None else F.coalesce(F.col(f.name), default).alias(f.name)
+    return rows.select(*[value(f) for f in SCHEMAS[table].fields])
+
+
 @dataclass(frozen=True)
 class Tables:
     """The chain's state: one DataFrame per canonical table."""
