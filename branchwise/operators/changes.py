@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from branchwise.functions import exprs as X
 from branchwise.operators import ordered
 from branchwise.operators.views import with_every_branch
-from branchwise.sources.schemas import MONEY, Tables, with_defaults
+from branchwise.sources.schemas import MONEY, Delta, Tables, with_defaults
 
 BAD_BRANCH = "BAD_BRANCH"
 FK_INVOICE = "FK_INVOICE"
@@ -429,6 +429,7 @@ def delete_invoices(t: Tables, req: DataFrame) -> ChangeResult:
     tables = t.with_tables(
         invoice=t.invoice.join(gone, ["invoice_id", "branch_code"], "left_anti"),
         invoice_line=t.invoice_line.join(gone, ["invoice_id", "branch_code"], "left_anti"))
+    tables = tables.with_deltas(invoice=Delta(t.invoice, removed=gone), invoice_line=Delta(t.invoice_line, removed=gone))
     lines = t.invoice_line.join(gone, ["invoice_id", "branch_code"], "left_semi") \
         .groupBy(F.col("invoice_id").alias("_id"), F.col("branch_code").alias("_branch")) \
         .agg(F.count(F.lit(1)).alias("_lines"))
@@ -530,6 +531,9 @@ def replace_invoices(t: Tables, req: DataFrame) -> ChangeResult:
         invoice_line=t.invoice_line.join(gone, ["invoice_id", "branch_code"], "left_anti")
         .unionByName(lines),
         product=new_prod)
+    tables = tables.with_deltas(
+        invoice=Delta(t.invoice, heads.join(gone, ["invoice_id", "branch_code"], "left_semi"), gone),
+        invoice_line=Delta(t.invoice_line, lines, gone))
     ok_col = F.col("_code").isNull()
     return ChangeResult(tables, _outcome(
         out, F.col("_id").alias("invoice_id"), F.col("_branch").alias("branch_code"),

@@ -267,11 +267,13 @@ def best_employee_week(t: Tables, as_of) -> DataFrame:
 def best_product_week(t: Tables, as_of) -> DataFrame:
     """Best-selling product (units) per branch in as_of's week."""
     if t.product_day_summary is not None:
-        # One week of the stored per-day product totals (pushed to the scan).
+        # One week of the stored per-day product totals (pushed to the scan);
+        # a product whose lines were all taken back is not sold.
         b = X.week_bounds(X.as_date(as_of))
         days = t.product_day_summary
         days = days.where((F.col("day") >= F.lit(b[0])) & (F.col("day") < F.lit(b[1]))) if b else days.where(F.lit(False))
-        per = days.groupBy("branch_code", "product_code").agg(X.int_sum("units").alias("units"))
+        per = (days.groupBy("branch_code", "product_code")
+               .agg(X.int_sum("units").alias("units"), F.sum("n_lines").alias("n_lines")).where("n_lines > 0"))
     else:
         inv = t.invoice.where(X.in_week("created_at", X.as_date(as_of)))
         per = (global_invoice_lines(t, inv).groupBy("branch_code", "product_code")

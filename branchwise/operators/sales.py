@@ -18,7 +18,7 @@ from branchwise.operators import acceptance as A
 from branchwise.operators.changes import NOT_NULL, ChangeResult, _flag, central_only, first_code, with_branch
 from branchwise.operators.listings import explode_items
 from branchwise.session import materialize
-from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Tables, with_defaults
+from branchwise.sources.schemas import AMOUNT, MONEY, TOTAL, Delta, Tables, with_defaults
 
 PK_LINE = "PK_LINE"          # the same product again on an existing invoice (Q6)
 PK_INVOICE = "PK_INVOICE"    # the invoice id belongs to another branch
@@ -95,19 +95,28 @@ def _sale_effects(t: Tables, r: DataFrame, merged: DataFrame, settled: A.Settled
              .select(F.col("_inv").alias("invoice_id"), F.col("h.note").alias("note"), F.col("h._branch"),
                      F.col("h._emp").alias("employee_id")))
     heads = with_defaults(heads, "invoice", now=_now_lit(now), own_branch=F.col("_branch"))
+    deltas = {"invoice": Delta(t.invoice, heads), "invoice_line": Delta(t.invoice_line, new_lines)}
     if settled is not None:
-        stock_moves = settled.moves.where(F.col("kind") == "S")
-        new_stock = A.apply_deltas(_stock_opening(t), stock_moves).select(
-            F.col("k1").alias("product_code"), F.col("k2").alias("branch_code"),
-            F.col("qty").cast("int").alias("qty"))
+        new_stock, deltas["inventory"] = _stock_after(t, settled.moves.where(F.col("kind") == "S"))
     else:
         new_stock = t.inventory
     tables = t.with_tables(invoice=t.invoice.unionByName(heads),
                            invoice_line=t.invoice_line.unionByName(new_lines),
-                           inventory=new_stock)
+                           inventory=new_stock).with_deltas(**deltas)
     return tables, r
 
 
+def _stock_after(t: Tables, moves: DataFrame) -> tuple[DataFrame, Delta]:
+    """The stock after the accepted moves, and its rows that they changed."""
+    def rows(balances: DataFrame) -> DataFrame:
+        return balances.select(F.col("k1").alias("product_code"), F.col("k2").alias("branch_code"),
+                               F.col("qty").cast("int").alias("qty"))
+    opening = _stock_opening(t)
+    touched = moves.select(*A.KEY).distinct()
+    added = rows(A.apply_deltas(opening.join(touched, A.KEY, "left_semi"), moves))
+    return rows(A.apply_deltas(opening, moves)), Delta(t.inventory, added, added.select("product_code", "branch_code"))
+
+
 def items_of(req: DataFrame) -> DataFrame:
     """The item rows (seq, item_code, item_qty, item_price) of JSON documents."""
     items = explode_items(req.select("seq", "items_json"))
@@ -379,8 +388,7 @@ def transfer_stock(t: Tables, req: DataFrame) -> ChangeResult:
         F.when(ok, F.col("from_before") - q).alias("from_after"),
         F.when(ok, F.col("to_before")).alias("to_before"),
         F.when(ok, F.coalesce(F.col("to_before"), F.lit(0)) + q).alias("to_after"))
-    new_stock = A.apply_deltas(_stock_opening(t), mv).select(
-        F.col("k1").alias("product_code"), F.col("k2").alias("branch_code"), F.col("qty").cast("int").alias("qty"))
-    res = ChangeResult(t.with_tables(inventory=new_stock), outcome)
+    new_stock, delta = _stock_after(t, mv)
+    res = ChangeResult(t.with_tables(inventory=new_stock).with_deltas(inventory=delta), outcome)
     res.rounds = settled.rounds
     return res

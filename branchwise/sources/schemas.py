@@ -10,7 +10,8 @@ A column that the chain's tables fill by default says so in its metadata;
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +123,17 @@ def with_defaults(rows: DataFrame, table: str, **given: Column) -> DataFrame:
     return rows.select(*[value(f) for f in SCHEMAS[table].fields])
 
 
+@dataclass(frozen=True)
+class Delta:
+    """What a change did to a table: rows of ``base`` with a key in
+    ``removed`` (its columns are the key, the branch among them) went, and
+    ``added`` came.  An updated row is removed and added."""
+
+    base: DataFrame
+    added: DataFrame | None = None
+    removed: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Tables:
     """The chain's state: one DataFrame per canonical table."""
@@ -136,6 +148,9 @@ class Tables:
     # ``store.invoice_summary``); None when absent or out of date.
     invoice_summary: DataFrame | None = None
     product_day_summary: DataFrame | None = None
+    # How changed tables came from the ones before, where the change says so:
+    # ``Store.commit`` then writes the changed rows instead of whole tables.
+    deltas: Mapping[str, Delta] = field(default_factory=dict)
 
     def names(self) -> list[str]:
         return list(SCHEMAS)
@@ -149,4 +164,9 @@ class Tables:
         if "invoice" in changed or "invoice_line" in changed:
             changed.setdefault("invoice_summary", None)
             changed.setdefault("product_day_summary", None)
-        return replace(self, **changed)
+        deltas = {n: d for n, d in self.deltas.items() if n not in changed}
+        return replace(self, **changed, deltas=deltas)
+
+    def with_deltas(self, **deltas: Delta) -> "Tables":
+        """The same state, with what the last change did to some tables."""
+        return replace(self, deltas={**self.deltas, **deltas})

@@ -9,12 +9,15 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from branchwise.operators import changes as C
 from branchwise.operators import quality as Q
+from branchwise.operators import reports as R
 from branchwise.operators import sales as S
-from branchwise.operators.views import invoice_totals
+from branchwise.operators.views import invoice_summary, invoice_totals, product_day_summary
 from branchwise.plans import requests as RQ
 from branchwise.plans.changesets import NOW
-from branchwise.sources.store import Store, _together, open_store
+from branchwise.sources.schemas import SCHEMAS
+from branchwise.sources.store import STORED, Store, _together, open_store
 from tests.compare import canon
 from tests.conftest import SF001
 
@@ -46,7 +49,6 @@ def test_commit_publishes_a_consistent_next_version(spark):
 
 
 def test_days_are_cut_in_utc_whatever_the_session_zone(spark):
-    from branchwise.operators import reports as R
     root = open_store(spark, SF001).root
     base = R.daily_revenue(Store.open(spark, root).tables)      # newest version, UTC session
     want = canon(base.columns, base.collect())
@@ -81,3 +83,85 @@ def test_files_of_a_branch_grow_with_its_rows(spark):
             assert dates == sorted(dates)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+
+
+def _same(got, want):
+    assert sorted(got.columns) == sorted(want.columns)
+    assert canon(got.columns, got.collect()) == canon(got.columns, want.select(*got.columns).collect())
+
+
+def _holds(t, state):
+    """The tables hold the rows of ``state``, their summaries those of the lines."""
+    for name in SCHEMAS:
+        _same(t.get(name), state.get(name).select(*t.get(name).columns))
+    _same(t.invoice_summary, invoice_summary(t))
+    days = t.product_day_summary.groupBy("branch_code", "day", "product_code").agg(
+        F.sum("units").alias("units"), F.sum("amount").alias("amount"), F.sum("n_lines").alias("n_lines")).where("n_lines > 0")
+    want = product_day_summary(t)
+    _same(days, want.withColumn("amount", F.col("amount").cast(days.schema["amount"].dataType)))
+
+
+def _files(t, name, branch=None):
+    rows = t.get(name) if branch is None else t.get(name).where(F.col("branch_code") == branch)
+    return {f for f in rows.inputFiles() if branch is None or f"/branch_code={branch.replace(' ', '%20')}/" in f}
+
+
+def _own_store(spark):
+    """A store of the same data in which a test publishes."""
+    tables = open_store(spark, SF001).tables
+    mine = Store(spark, tempfile.mkdtemp(prefix="bw-store-", dir=os.environ.get("BRANCHWISE_TMP", "/tmp")), -1, {}, tables)
+    return mine.commit(tables, whole=SCHEMAS)
+
+
+def test_ten_sales_rewrite_no_other_partition(spark):
+    store = _own_store(spark)
+    assert store.version == 0
+    t = store.tables
+    every = RQ.sale_requests(spark, SF001)
+    ten = S.post_invoices(t, every, now=NOW, items=RQ.sale_items(spark, SF001)).outcome \
+        .where("accepted AND branch_code = 'ASIA'").orderBy("seq").limit(10).select("seq")
+    assert ten.count() == 10
+    res = S.post_invoices(t, every.join(ten, "seq"), now=NOW, items=RQ.sale_items(spark, SF001).join(ten, "seq"))
+    sold = {r.invoice_id for r in res.outcome.where("accepted").collect()}
+    new = store.commit(res.tables)
+    _holds(new.tables, res.tables)
+    assert new.paths["product"] == store.paths["product"]
+    for name in ("invoice", "invoice_line", "product_day_summary"):    # rows are added beside the old files
+        assert _files(t, name) < _files(new.tables, name)
+    fresh = not t.invoice.where(F.col("invoice_id").isin(*sold)).count()
+    assert fresh == (_files(t, "invoice_summary") < _files(new.tables, "invoice_summary"))
+    for name in ("inventory", "invoice_summary"):                      # other branches keep theirs
+        for r in t.branch.where("branch_code <> 'ASIA'").collect():
+            assert _files(t, name, r.branch_code) == _files(new.tables, name, r.branch_code) != set()
+    assert not _files(t, "inventory", "ASIA") & _files(new.tables, "inventory", "ASIA")
+
+
+def test_commits_of_rows_follow_one_another(spark):
+    """Sales, deleted and replaced invoices and transfers, published one after
+    the other, then written whole."""
+    store = _own_store(spark)
+    steps = [
+        lambda t: S.post_invoices(t, RQ.sale_requests(spark, SF001), now=NOW, items=RQ.sale_items(spark, SF001)),
+        lambda t: C.delete_invoices(t, t.invoice.where("branch_code IN ('ASIA', 'MIDDLE EAST') AND hash(invoice_id) % 3 = 0").select(
+            F.xxhash64("invoice_id").alias("seq"), "branch_code", "invoice_id")),
+        lambda t: C.replace_invoices(t, t.invoice.where("branch_code = 'EUROPE' AND hash(invoice_id) % 5 = 0").select(
+            F.xxhash64("invoice_id").alias("seq"), "branch_code", "invoice_id", F.lit("1").alias("product_code"),
+            F.lit(None).cast("string").alias("product_name"), F.lit(3).alias("qty"), F.lit(7).cast("decimal(10,2)").alias("unit_price"),
+            F.lit(None).cast("decimal(18,2)").alias("total_amount"), F.lit(None).cast("string").alias("employee_id"),
+            F.lit("new").alias("note"))),
+        lambda t: S.transfer_stock(t, RQ.transfer_requests(spark, SF001)),
+    ]
+    for k, step in enumerate(steps):
+        res = step(store.tables)
+        before, store = store, store.commit(res.tables)
+        assert store.version == before.version + 1 == k + 1
+        _holds(store.tables, res.tables)
+        for name in ("invoice", "invoice_line", "invoice_summary") if 0 < k < 3 else ():
+            assert _files(before.tables, name, "AFRICA") == _files(store.tables, name, "AFRICA") != set()
+            assert _files(before.tables, name) - _files(store.tables, name)
+        _same(R.best_product_week(store.tables, NOW), R.best_product_week(store.tables.with_tables(invoice=store.tables.invoice), NOW))
+    again = Store.open(spark, store.root)
+    _holds(again.tables, store.tables)
+    whole = again.commit(again.tables, whole=STORED)
+    assert all(len(p) == 1 for p in whole.paths.values())
+    _holds(whole.tables, again.tables)
