@@ -27,6 +27,13 @@ FOREIGN_KEYS = [
     ("line_product", "invoice_line", ["product_code"], "product", ["product_code"]),
 ]
 
+# Fragments: a row belongs to the branch of its parent, so its key with its
+# branch must be one of the parent's.
+MEMBERSHIP = [
+    ("invoice_line", "invoice_line", ["invoice_id", "branch_code"], "invoice", ["invoice_id", "branch_code"]),
+    ("invoice_employee", "invoice", ["employee_id", "branch_code"], "employee", ["employee_id", "branch_code"]),
+]
+
 # CHECK constraints: (name, table, column, condition that must hold).
 CHECKS = [
     ("product_price_nonneg", "product", "unit_price", lambda x: x >= 0),
@@ -61,25 +68,34 @@ def orphans(t: Tables) -> DataFrame:
     """Q-FK: per foreign key, rows checked and rows without a parent.
 
     A NULL child key is allowed (invoice without employee) and not counted.
-    One pass: each table is scanned once and gives a row for every constraint
-    it is the child or the parent of; grouped on (constraint, key), with a
-    partial aggregate before the only shuffle, so a parent with most of the
-    children is reduced in every task.
+    """
+    return _without_parent(t, FOREIGN_KEYS).select(
+        F.col("rule").alias("constraint_name"), "checked_rows", F.col("missing").alias("orphan_rows"))
+
+
+def _without_parent(t: Tables, rules: list[tuple]) -> DataFrame:
+    """Per rule, the child rows with a key and how many of them (``missing``)
+    have a key that no parent has.
+
+    One pass: each table is scanned once and gives a row for every rule it is
+    the child or the parent of; grouped on (rule, key), with a partial
+    aggregate before the only shuffle, so a parent with most of the children
+    is reduced in every task.
     """
     roles: dict[str, list] = {}
-    for name, child, ccols, parent, pcols in FOREIGN_KEYS:
+    for name, child, ccols, parent, pcols in rules:
         for table, cols, n in ((child, ccols, 1), (parent, pcols, 0)):
             known = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in cols])
             roles.setdefault(table, []).append(F.struct(
-                F.lit(name).alias("constraint_name"), F.when(known, F.struct(*[F.col(x).cast("string").alias(f"k{i}") for i, x in enumerate(cols)])).alias("key"),
+                F.lit(name).alias("rule"), F.when(known, F.struct(*[F.col(x).cast("string").alias(f"k{i}") for i, x in enumerate(cols)])).alias("key"),
                 F.lit(n).cast("bigint").alias("n")))
     rows = reduce(DataFrame.unionByName, [
         t.get(table).select(F.explode(F.array(*structs)).alias("r")).select("r.*") for table, structs in roles.items()])
-    by_key = rows.where("key IS NOT NULL").groupBy("constraint_name", "key").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
-    found = by_key.groupBy("constraint_name").agg(F.sum("n").alias("checked_rows"), F.sum(F.when(F.col("least") > 0, F.col("n"))).alias("orphan_rows"))
-    names = t.branch.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k[0]) for k in FOREIGN_KEYS])).alias("constraint_name"))
-    return names.join(found, "constraint_name", "left").select(
-        "constraint_name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("checked_rows", "orphan_rows")])
+    by_key = rows.where("key IS NOT NULL").groupBy("rule", "key").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    found = by_key.groupBy("rule").agg(F.sum("n").alias("checked_rows"), F.sum(F.when(F.col("least") > 0, F.col("n"))).alias("missing"))
+    names = t.branch.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k[0]) for k in rules])).alias("rule"))
+    return names.join(found, "rule", "left").select(
+        "rule", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("checked_rows", "missing")])
 
 
 def check_violations(t: Tables) -> DataFrame:
@@ -116,21 +132,8 @@ def fragment_membership(t: Tables) -> DataFrame:
     """Q-FR: rows stored in a fragment other than the one they belong to.
 
     A line belongs to its invoice's branch; an invoice's employee normally
-    to the invoice's branch (reported, not enforced by the reference).
+    to the invoice's branch (reported, not enforced by the reference).  An
+    invoice without employee is not counted.
     """
-    inv = t.invoice.select("invoice_id", F.col("branch_code").alias("home"))
-    lines = (t.invoice_line.select("invoice_id", "branch_code").join(inv, "invoice_id", "left")
-             .agg(F.count(F.lit(1)).alias("checked_rows"),
-                  F.sum(F.when(F.col("home").isNull() | (F.col("home") != F.col("branch_code")), 1)
-                        .otherwise(0)).alias("misplaced_rows"))
-             .select(F.lit("invoice_line").alias("table_name"), "checked_rows", "misplaced_rows"))
-    emp = t.employee.select("employee_id", F.col("branch_code").alias("home"))
-    invs = (t.invoice.where(F.col("employee_id").isNotNull())
-            .select("employee_id", "branch_code").join(emp, "employee_id", "left")
-            .agg(F.count(F.lit(1)).alias("checked_rows"),
-                 F.sum(F.when(F.col("home").isNull() | (F.col("home") != F.col("branch_code")), 1)
-                       .otherwise(0)).alias("misplaced_rows"))
-            .select(F.lit("invoice_employee").alias("table_name"), "checked_rows", "misplaced_rows"))
-    out = lines.unionByName(invs)
-    return out.select("table_name", F.col("checked_rows").cast("bigint").alias("checked_rows"),
-                      F.coalesce("misplaced_rows", F.lit(0)).cast("bigint").alias("misplaced_rows"))
+    return _without_parent(t, MEMBERSHIP).select(
+        F.col("rule").alias("table_name"), "checked_rows", F.col("missing").alias("misplaced_rows"))

@@ -92,6 +92,14 @@ _ON_SOURCE: dict[str, Callable[[SparkSession, str, Tables], DataFrame]] = {
 }
 
 
+# Queries that read no sales: the store builds neither invoices nor lines for them.
+_WITHOUT_SALES = {
+    "product_list", "national_employees", "employees_by_branch", "inventory_by_branch", "national_inventory",
+    "national_inventory_raw", "inventory_enriched", "top_stock", "top_stock_default_n", "product_lookup",
+    "inventory_lookup_default", "parse_event_props", "scalar_dates", "scalar_text", "scalar_numeric",
+}
+
+
 def _customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -109,24 +117,18 @@ def _json_roundtrip(df: DataFrame) -> DataFrame:
     return back
 
 
-def _wrap(fn: Callable[[Tables], DataFrame]) -> QueryFn:
+def _wrap(name: str, fn: Callable[..., DataFrame], source: bool) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return fn(open_tables(spark, sf_dir))
+        t = open_tables(spark, sf_dir, sales=name not in _WITHOUT_SALES)
+        return fn(spark, sf_dir, t) if source else fn(t)
     run.__doc__ = fn.__doc__
     return run
 
 
-def _wrap_source(fn: Callable[[SparkSession, str, Tables], DataFrame]) -> QueryFn:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        configure(spark)
-        return fn(spark, sf_dir, open_tables(spark, sf_dir))
-    return run
-
-
 def queries() -> dict[str, QueryFn]:
-    out: dict[str, QueryFn] = {name: _wrap(fn) for name, fn in _ON_TABLES.items()}
-    out.update({name: _wrap_source(fn) for name, fn in _ON_SOURCE.items()})
+    out: dict[str, QueryFn] = {name: _wrap(name, fn, False) for name, fn in _ON_TABLES.items()}
+    out.update({name: _wrap(name, fn, True) for name, fn in _ON_SOURCE.items()})
     from branchwise.plans import changesets
     out.update(changesets.queries())
     return out

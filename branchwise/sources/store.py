@@ -255,9 +255,25 @@ def _summary_deltas(t: Tables, deltas: dict[str, Delta]) -> tuple[Delta, Delta]:
     return summary, Delta(t.product_day_summary, per_day)
 
 
+#: Tables that are built without the sales.
+BASE = ("branch", "employee", "product", "inventory")
+
+_STARTED: dict[tuple[str, str], tuple[str, dict[str, list[str]]]] = {}
 _OPENED: dict[tuple[str, str], Store] = {}
 
 
+def _start_store(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, list[str]]]:
+    """The root of a driver folder's store and the folders of its base
+    tables, written once per application."""
+    configure(spark)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _STARTED:
+        root = f"{shared_dir(spark)}/store/{uuid.uuid4().hex[:12]}"
+        lazy = adapter.canonical_tables(spark, sf_dir)
+        _STARTED[key] = root, {n: _write(root, 0, n, lazy.get(n)) for n in BASE}
+    return _STARTED[key]
+
+
 def open_store(spark: SparkSession, sf_dir: str) -> Store:
     """The store built from a driver data folder, once per application.
 
@@ -265,10 +281,9 @@ def open_store(spark: SparkSession, sf_dir: str) -> Store:
     branch) as version 0 with its summary; later queries scan that snapshot,
     the way the reference's reports scan stored tables.
     """
-    configure(spark)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _OPENED:
-        root = f"{shared_dir(spark)}/store/{uuid.uuid4().hex[:12]}"
+        root, base = _start_store(spark, sf_dir)
 
         def share(df: DataFrame) -> DataFrame:
             path = f"{root}/_staging/{uuid.uuid4().hex[:8]}"
@@ -276,16 +291,22 @@ def open_store(spark: SparkSession, sf_dir: str) -> Store:
             return spark.read.schema(df.schema).parquet(path)
 
         lazy = adapter.canonical_tables(spark, sf_dir, share)
-        paths = {n: _write(root, 0, n, lazy.get(n)) for n in SCHEMAS}
+        paths = {**base, **{n: _write(root, 0, n, lazy.get(n)) for n in SCHEMAS if n not in base}}
         paths.update(_write_summaries(root, 0, read_tables(spark, root, paths)))
         _write_manifest(spark, root, 0, paths)
         _OPENED[key] = Store.open(spark, root)
+    configure(spark)
     return _OPENED[key]
 
 
-def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
+def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True, sales: bool = True) -> Tables:
     """Canonical tables for a driver data folder (see ``open_store``);
-    ``materialize=False`` returns the adapter's lazy plans instead."""
+    ``materialize=False`` returns the adapter's lazy plans instead.  With
+    ``sales=False`` invoices, lines and their summaries are absent (None), and
+    nothing is read or written for them."""
     if not materialize:
         return adapter.canonical_tables(spark, sf_dir)
-    return open_store(spark, sf_dir).tables
+    if sales:
+        return open_store(spark, sf_dir).tables
+    root, base = _start_store(spark, sf_dir)
+    return Tables(invoice=None, invoice_line=None, **{n: read_table(spark, root, n, base[n]) for n in BASE})

@@ -165,3 +165,34 @@ def test_commits_of_rows_follow_one_another(spark):
     whole = again.commit(again.tables, whole=STORED)
     assert all(len(p) == 1 for p in whole.paths.values())
     _holds(whole.tables, again.tables)
+
+
+def test_listings_build_no_sales(spark):
+    """Listings of products, staff and stock read and write no invoices or
+    lines; the whole store then takes up the tables they built."""
+    from branchwise.plans import catalog
+    from branchwise.sources import store
+    where = f"{SF001}/."                                               # a folder no other test opens
+    qs = catalog.queries()
+    want = {name: qs[name](spark, SF001) for name in sorted(catalog._WITHOUT_SALES)}
+    for name, df in want.items():
+        _same(qs[name](spark, where), df)
+    root, base = store._start_store(spark, where)
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{root}/*")) == sorted(store.BASE)
+    whole = open_store(spark, where)
+    assert whole.root == root and {n: whole.paths[n] for n in store.BASE} == base
+    _holds(whole.tables, open_store(spark, SF001).tables)
+
+
+def test_members_of_fragments_are_checked_in_one_pass(spark):
+    t = open_store(spark, SF001).tables
+    report = Q.fragment_membership(t)
+    scans = [x for x in report._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in x]
+    assert len(scans) == 3, scans                                      # lines, invoices, employees
+    before = {r.table_name: (r.checked_rows, r.misplaced_rows) for r in report.collect()}
+    one = t.invoice_line.orderBy("invoice_id", "product_code").limit(1).withColumn("branch_code", F.lit("ELSEWHERE"))
+    lost = t.invoice_line.limit(1).withColumn("invoice_id", F.lit("none"))
+    after = Q.fragment_membership(t.with_tables(invoice_line=t.invoice_line.unionByName(one).unionByName(lost)))
+    after = {r.table_name: (r.checked_rows, r.misplaced_rows) for r in after.collect()}
+    n, bad = before["invoice_line"]
+    assert after == {**before, "invoice_line": (n + 2, bad + 2)}
