@@ -100,6 +100,14 @@ _WITHOUT_SALES = {
 }
 
 
+# Queries over invoices and lines that read no summary of them.
+_WITHOUT_SUMMARIES = {
+    "scan_invoice_lines", "fragment_roundtrip", "global_invoice_lines", "parse_invoice_items", "parse_text_items",
+    "invoice_details", "invoice_document_items", "dq_duplicate_keys", "dq_orphans", "dq_check_violations", "dq_null_counts",
+    "dq_fragment_membership",
+}
+
+
 def _customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -120,7 +128,7 @@ def _json_roundtrip(df: DataFrame) -> DataFrame:
 def _wrap(name: str, fn: Callable[..., DataFrame], source: bool) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        t = open_tables(spark, sf_dir, sales=name not in _WITHOUT_SALES)
+        t = open_tables(spark, sf_dir, sales=name not in _WITHOUT_SALES, summaries=name not in _WITHOUT_SUMMARIES)
         return fn(spark, sf_dir, t) if source else fn(t)
     run.__doc__ = fn.__doc__
     return run

@@ -24,10 +24,12 @@ from branchwise.sources.store import open_tables
 NOW = _dt.datetime(AS_OF.year, AS_OF.month, AS_OF.day, 12, 0, 0)
 
 
-def _run(build):
+def _run(build, sales: bool):
+    """No change reads the summaries; those of ``_WITHOUT_SALES`` read neither
+    invoices nor lines, so the store builds none for them."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return build(spark, sf_dir, open_tables(spark, sf_dir))
+        return build(spark, sf_dir, open_tables(spark, sf_dir, sales=sales, summaries=False))
     return run
 
 
@@ -190,8 +192,18 @@ _BUILDERS = {
 }
 
 
+_WITHOUT_SALES = {
+    "employee_insert", "employee_patch", "employee_patch_service", "product_create", "product_create_stock", "product_patch",
+    "inventory_set", "stock_receipt", "inventory_item_delete", "inventory_item_create", "invoice_item_merge",
+    "item_price_policies", "invoice_price_resolve", "invoice_stock_check", "transfer_validate", "apply_change_feed",
+    "stock_transfer", "employees_after_insert", "employees_after_patch", "products_after_create", "products_after_patch",
+    "inventory_after_receipt", "inventory_after_set", "inventory_after_row_delete", "inventory_after_row_create",
+    "inventory_after_transfer",
+}
+
+
 def queries():
-    return {name: _run(fn) for name, fn in {**_BUILDERS, **_STATES}.items()}
+    return {name: _run(fn, name not in _WITHOUT_SALES) for name, fn in {**_BUILDERS, **_STATES}.items()}
 
 
 # ---------------------------------------------------------------- oracle SQL

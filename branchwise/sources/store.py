@@ -259,6 +259,7 @@ def _summary_deltas(t: Tables, deltas: dict[str, Delta]) -> tuple[Delta, Delta]:
 BASE = ("branch", "employee", "product", "inventory")
 
 _STARTED: dict[tuple[str, str], tuple[str, dict[str, list[str]]]] = {}
+_SOLD: dict[tuple[str, str], dict[str, list[str]]] = {}
 _OPENED: dict[tuple[str, str], Store] = {}
 
 
@@ -274,6 +275,22 @@ def _start_store(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, list[
     return _STARTED[key]
 
 
+def _sell(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, list[str]]]:
+    """The root of a driver folder's store and the folders of all canonical
+    tables: invoices and lines beside the base, written once per application."""
+    root, base = _start_store(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _SOLD:
+        def share(df: DataFrame) -> DataFrame:
+            path = f"{root}/_staging/{uuid.uuid4().hex[:8]}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        lazy = adapter.canonical_tables(spark, sf_dir, share)
+        _SOLD[key] = {**base, **{n: _write(root, 0, n, lazy.get(n)) for n in SCHEMAS if n not in base}}
+    return root, _SOLD[key]
+
+
 def open_store(spark: SparkSession, sf_dir: str) -> Store:
     """The store built from a driver data folder, once per application.
 
@@ -283,30 +300,26 @@ def open_store(spark: SparkSession, sf_dir: str) -> Store:
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _OPENED:
-        root, base = _start_store(spark, sf_dir)
-
-        def share(df: DataFrame) -> DataFrame:
-            path = f"{root}/_staging/{uuid.uuid4().hex[:8]}"
-            df.write.mode("overwrite").parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
-
-        lazy = adapter.canonical_tables(spark, sf_dir, share)
-        paths = {**base, **{n: _write(root, 0, n, lazy.get(n)) for n in SCHEMAS if n not in base}}
-        paths.update(_write_summaries(root, 0, read_tables(spark, root, paths)))
+        root, paths = _sell(spark, sf_dir)
+        paths = {**paths, **_write_summaries(root, 0, read_tables(spark, root, paths))}
         _write_manifest(spark, root, 0, paths)
         _OPENED[key] = Store.open(spark, root)
     configure(spark)
     return _OPENED[key]
 
 
-def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True, sales: bool = True) -> Tables:
+def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True, sales: bool = True,
+                summaries: bool = True) -> Tables:
     """Canonical tables for a driver data folder (see ``open_store``);
     ``materialize=False`` returns the adapter's lazy plans instead.  With
     ``sales=False`` invoices, lines and their summaries are absent (None), and
-    nothing is read or written for them."""
+    nothing is read or written for them; with ``summaries=False`` only the
+    summaries are."""
     if not materialize:
         return adapter.canonical_tables(spark, sf_dir)
-    if sales:
-        return open_store(spark, sf_dir).tables
-    root, base = _start_store(spark, sf_dir)
-    return Tables(invoice=None, invoice_line=None, **{n: read_table(spark, root, n, base[n]) for n in BASE})
+    if not sales:
+        root, base = _start_store(spark, sf_dir)
+        return Tables(invoice=None, invoice_line=None, **{n: read_table(spark, root, n, base[n]) for n in BASE})
+    if not summaries:
+        return read_tables(spark, *_sell(spark, sf_dir))
+    return open_store(spark, sf_dir).tables

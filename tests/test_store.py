@@ -196,3 +196,19 @@ def test_members_of_fragments_are_checked_in_one_pass(spark):
     after = {r.table_name: (r.checked_rows, r.misplaced_rows) for r in after.collect()}
     n, bad = before["invoice_line"]
     assert after == {**before, "invoice_line": (n + 2, bad + 2)}
+
+
+def test_changes_build_only_the_tables_they_read(spark):
+    """Changes of staff, products and stock build no invoices or lines, and no
+    change builds the summaries."""
+    from branchwise.plans import changesets
+    from branchwise.sources import store
+    where = f"{SF001}/./."                                             # a folder no other test opens
+    qs = changesets.queries()
+    for name in ("employees_after_patch", "products_after_create", "stock_transfer", "stock_receipt", "inventory_after_row_delete"):
+        qs[name](spark, where)
+    root, _ = store._start_store(spark, where)
+    built = lambda: {os.path.basename(p) for p in glob.glob(f"{root}/[!_]*")}
+    assert built() == set(store.BASE)
+    qs["service_request_items"](spark, where)
+    assert built() == set(store.SCHEMAS)
