@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.operators import ordered
@@ -53,8 +53,9 @@ class Settled:
     """Result of the replay.
 
     ``status``: (seq, status 'A'/'R', reject_code) for every request that had
-    moves.  ``moves``: every move of an accepted request with the key's
-    balance right before it (``balance_before``) and whether the key existed.
+    moves.  ``moves``: every move of an accepted request; with balances, also
+    the key's balance right before it (``balance_before``) and whether the key
+    existed.
     ``rounds``: number of rounds used; ``undecided_per_round``: requests
     still undecided after each round.
     """
@@ -66,15 +67,18 @@ class Settled:
 
 
 def _prepare(moves: DataFrame, opening: DataFrame) -> DataFrame:
-    """Attach the opening balance, the key's move count (``key_rows``) and a
-    bucket number.  Checks that no move asks for are false."""
+    """Attach the opening balance, a bucket number, whether other moves share
+    the key (``shared``) and the sums of the key's earlier moves
+    (``p_debit``, ``p_credit``).  Checks that no move asks for are false."""
     op = opening.select(*KEY, F.col("qty").cast("bigint").alias("open_qty"),
                         F.lit(True).alias("open_exists"))
     missing = {f"chk_{n}": F.lit(False) for n in CHECK_NAMES if f"chk_{n}" not in moves.columns}
     m = (moves.withColumns(missing).join(op, KEY, "left")
          .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
          .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
-    return ordered.with_key_rows(ordered.bucketize(m, KEY, "seq"), KEY)
+    m = _earlier_sums(ordered.bucketize(m, KEY, "seq"), ["debit", "credit"])
+    here = F.count(F.lit(1)).over(Window.partitionBy(*KEY, "bucket"))
+    return m.withColumn("shared", F.col("spans") | (here > 1))
 
 
 def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -82,9 +86,10 @@ def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
     return ordered.running_sums(df, KEY, cols)
 
 
-def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
-    """Per-request aggregates: f_<check> (some move surely fails it) and
-    o_<check> (every move surely passes it)."""
+def _check_aggs(ex_lo, ex_hi, bal_lo, bal_hi, of=None, prefix: str = "") -> list:
+    """Per-request aggregates over its moves (those where ``of`` holds):
+    f_<check> (some move surely fails it) and o_<check> (every move surely
+    passes it)."""
     sure = {
         EXISTS: (~ex_hi, ex_lo),
         ENOUGH: (F.col("debit") > bal_hi, F.col("debit") <= bal_lo),
@@ -93,41 +98,18 @@ def _check_aggs(p: DataFrame, ex_lo, ex_hi, bal_lo, bal_hi) -> list:
     }
     aggs = []
     for name, (fail, ok) in sure.items():
-        on = F.col(f"chk_{name}")
-        aggs.append(F.max(on & fail).alias(f"f_{name}"))
-        aggs.append(F.min(~on | ok).alias(f"o_{name}"))
+        on = F.col(f"chk_{name}") if of is None else F.col(f"chk_{name}") & of
+        aggs.append(F.max(on & fail).alias(f"{prefix}f_{name}"))
+        aggs.append(F.min(~on | ok).alias(f"{prefix}o_{name}"))
     return aggs
 
 
-def _static_checks(single: DataFrame) -> DataFrame:
-    """Checks of moves that are alone on their key: no earlier move, so the
-    bounds are exact from the start and never change."""
-    ex = F.col("open_exists")
-    bal = F.col("open_qty")
-    return single.groupBy("seq").agg(*_check_aggs(single, ex, ex, bal, bal))
-
-
 _STATIC = [f"s{x}_{n}" for n in CHECK_NAMES for x in "fo"]
 
 
-def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
-    """One round: the undecided requests of ``state`` with their new status,
-    from the bounds of this round and the static checks on their rows.
-    ``m`` holds accepted (``acc``) and undecided moves."""
-    zero = F.lit(0).cast("bigint")
-    live = m.select(
-        "*",
-        F.when(F.col("acc"), F.col("debit")).otherwise(zero).alias("dA"),
-        F.col("debit").alias("dAU"),
-        F.when(F.col("acc"), F.col("credit")).otherwise(zero).alias("cA"),
-        F.col("credit").alias("cAU"))
-    p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"])
-    ex_lo = F.col("open_exists") | (F.col("p_cA") > 0)
-    ex_hi = F.col("open_exists") | (F.col("p_cAU") > 0)
-    bal_lo = F.col("open_qty") + F.col("p_cA") - F.col("p_dAU")
-    bal_hi = F.col("open_qty") + F.col("p_cAU") - F.col("p_dA")
-    dyn = p.where(~F.col("acc")).groupBy("seq").agg(*_check_aggs(p, ex_lo, ex_hi, bal_lo, bal_hi))
-    j = state.join(dyn, "seq", "left")
+def _decide(j: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """The requests of ``j`` with their new status, from the bounds of this
+    round and the static checks on their rows."""
     status = None
     code = None
     for reject_code, names in checks:
@@ -145,7 +127,37 @@ def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]])
     return j.select("seq", status.alias("status"), code.alias("reject_code"), *_STATIC)
 
 
-def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[str]]]) -> Settled:
+def _first_round(prepared: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """The first round: every request is undecided, so the sums of all earlier
+    moves are the bounds.  Moves alone on their key have no earlier move:
+    their checks are exact from the start and never change (``_STATIC``)."""
+    ex_lo, ex_hi = F.col("open_exists"), F.col("open_exists") | (F.col("p_credit") > 0)
+    bal_lo, bal_hi = F.col("open_qty") - F.col("p_debit"), F.col("open_qty") + F.col("p_credit")
+    shared, ex, bal = F.col("shared"), F.col("open_exists"), F.col("open_qty")
+    return _decide(prepared.groupBy("seq").agg(*_check_aggs(ex_lo, ex_hi, bal_lo, bal_hi, shared),
+                                               *_check_aggs(ex, ex, bal, bal, ~shared, "s")), checks)
+
+
+def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """One round: the undecided requests of ``state`` with their new status.
+    ``m`` holds accepted (``acc``) and undecided moves."""
+    zero = F.lit(0).cast("bigint")
+    live = m.select(
+        "*",
+        F.when(F.col("acc"), F.col("debit")).otherwise(zero).alias("dA"),
+        F.col("debit").alias("dAU"),
+        F.when(F.col("acc"), F.col("credit")).otherwise(zero).alias("cA"),
+        F.col("credit").alias("cAU"))
+    p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"])
+    ex_lo = F.col("open_exists") | (F.col("p_cA") > 0)
+    ex_hi = F.col("open_exists") | (F.col("p_cAU") > 0)
+    bal_lo = F.col("open_qty") + F.col("p_cA") - F.col("p_dAU")
+    bal_hi = F.col("open_qty") + F.col("p_cAU") - F.col("p_dA")
+    dyn = p.where(~F.col("acc")).groupBy("seq").agg(*_check_aggs(ex_lo, ex_hi, bal_lo, bal_hi))
+    return _decide(state.join(dyn, "seq", "left"), checks)
+
+
+def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[str]]], balances: bool = True) -> Settled:
     """Replay ``moves`` against ``opening`` in ``seq`` order.
 
     ``moves``: seq BIGINT, kind, k1, k2 STRING, debit, credit BIGINT (>= 0),
@@ -154,21 +166,22 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
     (request, key).  ``opening``: kind, k1, k2, qty for keys that exist.
     ``checks``: ordered (reject_code, [check names]) -- the first group a
     request fails gives its code, as the procedures test in that order.
+    Without ``balances`` the accepted moves come as a plan and without the
+    state of their keys before them.
     """
     prepared = materialize(_prepare(moves, opening), "replay: moves")
-    # Moves alone on their key are decided once (their flags ride on the
-    # state rows); only moves on shared keys take part in the rounds.
-    static = _static_checks(prepared.where(F.col("key_rows") == 1)).select(
-        "seq", *[F.col(c[1:]).alias(c) for c in _STATIC])
-    m = prepared.where(F.col("key_rows") > 1).withColumn("acc", F.lit(False))
-    state = prepared.select("seq").distinct().join(static, "seq", "left")
+    # Moves alone on their key are decided in the first round (their flags
+    # ride on the state rows); only moves on shared keys take part in others.
+    m = prepared.where("shared").drop("shared", "p_debit", "p_credit").withColumn("acc", F.lit(False))
+    state = None
     is_open = F.col("status") == UNDECIDED
     done: DataFrame | None = None
     rounds, trace, undecided = 0, [], None
     while undecided is None or undecided > 0:
         rounds += 1
         # The undecided count comes from the same job that writes the round.
-        result, seen = materialize_observed(_round(m, state, checks), f"replay: round {rounds}",
+        step = _first_round(prepared, checks) if state is None else _round(m, state, checks)
+        result, seen = materialize_observed(step, f"replay: round {rounds}",
                                             undecided=F.sum(F.when(is_open, 1).otherwise(0)))
         undecided = seen.get("undecided") or 0
         trace.append(undecided)
@@ -184,7 +197,9 @@ def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[st
             open_keys = m.join(state.select("seq"), "seq", "left_semi").select(*KEY).distinct()
             m = materialize(now.drop("status").join(open_keys, KEY, "left_semi"), "replay: open moves")
     state = done
-    acc = prepared.join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
+    acc = prepared.drop("shared", "p_debit", "p_credit").join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
+    if not balances:
+        return Settled(status=state, moves=acc.select(*KEY, "seq", "debit", "credit"), rounds=rounds, undecided_per_round=trace)
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
     bal = _earlier_sums(acc, ["net", "credit"])
     bal = materialize(bal.select(*KEY, "seq", "debit", "credit",

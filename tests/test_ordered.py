@@ -49,3 +49,14 @@ def test_numbers_follow_the_order(spark):
     got = ordered.numbered(spark.createDataFrame(rows, "a INT, b INT").repartition(5), ["b", "a"], "n").collect()
     assert [(r.b, r.a) for r in sorted(got, key=lambda r: r.n)] == sorted((b, a) for a, b in rows)
     assert sorted(r.n for r in got) == list(range(1, 502))
+
+
+def test_only_keys_of_several_buckets_are_summarised(spark):
+    """Rows are scanned with one shuffle; summaries are of keys that span buckets."""
+    df = spark.range(4000).selectExpr("id AS seq", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE string(id % 500) END AS k", "1 AS v")
+    b = ordered.bucketize(df, ["k"], partitions=20)
+    of = {r.k: (r.n, r.spans) for r in b.groupBy("k").agg(F.countDistinct("bucket").alias("n"), F.max("spans").alias("spans")).collect()}
+    assert all(spans == (n > 1) for n, spans in of.values()) and of["hot"][1]
+    assert sum(spans for _, spans in of.values()) <= 20 < len(of)
+    plan = ordered.running_sums(b, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
