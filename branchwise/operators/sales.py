@@ -263,7 +263,7 @@ def post_invoices(t: Tables, req: DataFrame, now=None, generate_ids: str | None
         .withColumn("chk_foreign", F.lit(False)).unionByName(_owner_moves(live))
     opening = _stock_opening(t).unionByName(_line_opening(t, shared))
     settled = A.settle(moves, opening, [
-        (PK_INVOICE, [A.FOREIGN]), (str(X.E_50005), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
+        (PK_INVOICE, [A.FOREIGN]), (str(X.E_50005), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])], balances=False)
     tables, r = _sale_effects(t, r, merged, settled, now)
     totals = (merged.where(F.col("_cat").isNotNull())
               .groupBy("seq").agg(F.count(F.lit(1)).alias("_lines"),
@@ -308,23 +308,30 @@ def post_single_lines(t: Tables, req: DataFrame, strict: bool = True, now=None)
     ]
     r = r.withColumn("_pre", first_code(pre))
     r = _invoice_owner(t, r)
-    r = r.withColumn("_code", F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-                     .when(F.col("_foreign"), F.lit(PK_INVOICE)))
+    # Every later step reads the guarded requests: they are worked out once.
+    r = materialize(r.select("seq", "_inv", "_emp", "_branch", "item_code", "qty", "note", "_cat", "_has_stock", "_is_new",
+                             F.when(F.col("_pre").isNotNull(), F.col("_pre"))
+                             .when(F.col("_foreign"), F.lit(PK_INVOICE)).alias("_code")), "single lines: static guards")
     live = r.where(F.col("_code").isNull())
+    # A line can only collide on an invoice that exists already or with
+    # another request for it; any other needs no line move at all.
+    line = ["_inv", "item_code"]
+    shared = live.groupBy(*line).agg(F.count(F.lit(1)).alias("_uses"), F.min("_is_new").alias("_new"))
+    lines = live.join(shared.where((F.col("_uses") > 1) | ~F.col("_new")).select(*line), line, "left_semi")
     # Without a stock row the non-strict rule neither checks nor changes stock.
     stock_live = live if strict else live.where("_has_stock")
     moves = stock_live.select("seq", F.lit("S").alias("kind"), F.col("item_code").alias("k1"),
                               F.col("_branch").alias("k2"), F.col("qty").cast("bigint").alias("debit"),
                               F.lit(0).cast("bigint").alias("credit"), F.lit(True).alias("chk_exists"),
                               F.lit(True).alias("chk_enough"), F.lit(False).alias("chk_absent")) \
-        .unionByName(live.select("seq", F.lit("L").alias("kind"), F.col("_inv").alias("k1"),
-                                 F.col("item_code").alias("k2"), F.lit(0).cast("bigint").alias("debit"),
-                                 F.lit(1).cast("bigint").alias("credit"), F.lit(False).alias("chk_exists"),
-                                 F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent"))) \
+        .unionByName(lines.select("seq", F.lit("L").alias("kind"), F.col("_inv").alias("k1"),
+                                  F.col("item_code").alias("k2"), F.lit(0).cast("bigint").alias("debit"),
+                                  F.lit(1).cast("bigint").alias("credit"), F.lit(False).alias("chk_exists"),
+                                  F.lit(False).alias("chk_enough"), F.lit(True).alias("chk_absent"))) \
         .withColumn("chk_foreign", F.lit(False)).unionByName(_owner_moves(live))
-    opening = _stock_opening(t).unionByName(_line_opening(t, live.select("_inv")))
+    opening = _stock_opening(t).unionByName(_line_opening(t, live.where(~F.col("_is_new")).select("_inv")))
     settled = A.settle(moves, opening, [
-        (PK_INVOICE, [A.FOREIGN]), (str(X.E_50003), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])])
+        (PK_INVOICE, [A.FOREIGN]), (str(X.E_50003), [A.EXISTS, A.ENOUGH]), (PK_LINE, [A.ABSENT])], balances=False)
     merged = r.select("seq", "item_code", F.col("qty").cast("bigint").alias("qty"),
                       F.lit(None).cast(MONEY).alias("price"), "_cat")
     tables, r = _sale_effects(t, r, merged, settled, now)

@@ -139,3 +139,24 @@ def test_random_sales_match_replay(spark, seed):
     got = {r.seq: (r.accepted, r.reject_code, r.line_count, r.total) for r in res.outcome.collect()}
     want = replay.post_invoices(state_of(t), [r.asDict() for r in req.collect()])
     assert got == want
+
+
+def test_lines_that_cannot_collide_make_no_move(spark, monkeypatch):
+    """Only lines of existing invoices and repeated ones are moves of the
+    replay; the others cannot be on their invoice already."""
+    data = {
+        "branch": [("HUE", "Hue", None, True)], "employee": [("H1", "a", "x", "HUE")],
+        "product": [("P", "p", Decimal("2.00")), ("Q", "q", Decimal("2.00"))],
+        "invoice": [("OLD", "n", NOW, "HUE", "H1")], "invoice_line": [("OLD", "P", 1, Decimal("2.00"), "HUE")],
+        "inventory": [("P", "HUE", 9), ("Q", "HUE", 9)],
+    }
+    t = Tables(**{n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in data.items()})
+    sales = [(1, "A", "P"), (2, "A", "Q"), (3, "A", "Q"), (4, "OLD", "P"), (5, "OLD", "Q"), (6, "B", "P")]
+    req = spark.createDataFrame([(s, i, "H1", p, 1, "n", "HUE") for s, i, p in sales],
+                                "seq BIGINT, invoice_id STRING, employee_id STRING, product_code STRING, qty INT, note STRING, "
+                                "branch_code STRING")
+    seen, settle = [], S.A.settle
+    monkeypatch.setattr(S.A, "settle", lambda moves, *a, **k: seen.append(moves) or settle(moves, *a, **k))
+    got = {r.seq: r.reject_code for r in S.post_single_lines(t, req).outcome.collect()}
+    assert got == {1: None, 2: None, 3: "PK_LINE", 4: "PK_LINE", 5: None, 6: None}
+    assert sorted(r.seq for r in seen[0].where("kind = 'L'").collect()) == [2, 3, 4, 5]
