@@ -21,15 +21,19 @@ request touches.  What a round decides is written once and never read by
 later rounds; rejected moves and closed keys leave.  Both tables are written
 as Parquet into the shared folder (``spark.checkpoint.dir``), so the lineage
 stays one round long and a lost executor recomputes one round.  Moves alone
-on their key are decided once, before the rounds.
+on their key are decided once, before the rounds.  A request of one move is
+decided on the row of the move (``alone``); only requests of several moves
+are grouped by request and joined with their moves again.
 
 Running sums are skew-safe (``ordered``): a key with many moves (one product
 may hold a third of all sales) is spread over several range partitions.
+Other keys are joined with the opening and scanned in one shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,19 +70,56 @@ class Settled:
     undecided_per_round: list[int]
 
 
-def _prepare(moves: DataFrame, opening: DataFrame) -> DataFrame:
-    """Attach the opening balance, a bucket number, whether other moves share
-    the key (``shared``) and the sums of the key's earlier moves
-    (``p_debit``, ``p_credit``).  Checks that no move asks for are false."""
+def _bits(names) -> dict[str, int]:
+    return {n: 1 << i for i, n in enumerate(names)}
+
+
+#: What a move carries as one number: the checks it asks for, and whether it
+#: is the only move of its request.
+ALONE = "alone"
+_FLAGS = _bits([*CHECK_NAMES, ALONE])
+
+
+def _has(name: str):
+    return F.col("flags").bitwiseAND(F.lit(_FLAGS[name])) != 0
+
+
+def _prepare(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[str]]]) -> tuple[DataFrame, bool]:
+    """The moves with their flags, the opening balance, a bucket number,
+    whether other moves share the key (``shared``), the sums of the key's
+    earlier moves (``p_debit``, ``p_credit``), and the first decision on
+    requests of one move (``status``, ``reject_code``); and whether keys are
+    crowded.  Checks that no move asks for are false.  Keys that few moves
+    share are joined and scanned in one shuffle; only crowded ones are spread
+    over buckets."""
     op = opening.select(*KEY, F.col("qty").cast("bigint").alias("open_qty"),
                         F.lit(True).alias("open_exists"))
-    missing = {f"chk_{n}": F.lit(False) for n in CHECK_NAMES if f"chk_{n}" not in moves.columns}
-    m = (moves.withColumns(missing).join(op, KEY, "left")
-         .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
-         .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
-    m = _earlier_sums(ordered.bucketize(m, KEY, "seq"), ["debit", "credit"])
-    here = F.count(F.lit(1)).over(Window.partitionBy(*KEY, "bucket"))
-    return m.withColumn("shared", F.col("spans") | (here > 1))
+    flags = F.lit(0)
+    for n in _FLAGS:
+        name = n if n == ALONE else f"chk_{n}"
+        if name in moves.columns:
+            flags = flags + F.when(F.col(name), _FLAGS[n]).otherwise(0)
+    moves = moves.select("seq", *KEY, "debit", "credit", flags.alias("flags"))
+
+    def opened(m: DataFrame) -> DataFrame:
+        return (m.join(op, KEY, "left")
+                .withColumn("open_qty", F.coalesce("open_qty", F.lit(0).cast("bigint")))
+                .withColumn("open_exists", F.coalesce("open_exists", F.lit(False))))
+
+    def scanned(m: DataFrame) -> DataFrame:
+        here = F.count(F.lit(1)).over(Window.partitionBy(*KEY, "bucket"))
+        # A key that the opening has twice gives a request two moves.
+        twice = F.count(F.lit(1)).over(Window.partitionBy(*KEY, "bucket", "seq")) > 1
+        m = _earlier_sums(m, ["debit", "credit"]).withColumns({"shared": F.col("spans") | (here > 1), "_twice": twice})
+        flags = F.when(F.col("_twice"), F.col("flags").bitwiseAND(F.lit(~_FLAGS[ALONE]))).otherwise(F.col("flags"))
+        m = m.withColumns({"flags": flags, "acc": F.lit(False)}).drop("_twice")
+        return _with_open(_decided_alone(m, checks, *_first_bounds()))
+
+    few, crowd = ordered.by_crowd(moves, KEY)
+    rows = scanned(opened(few).withColumns({"bucket": F.lit(0).cast("bigint"), "spans": F.lit(False)}))
+    if crowd is not None:
+        rows = rows.unionByName(scanned(ordered.bucketize(opened(crowd), KEY, "seq")))
+    return rows, crowd is not None
 
 
 def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -86,19 +127,23 @@ def _earlier_sums(df: DataFrame, cols: list[str]) -> DataFrame:
     return ordered.running_sums(df, KEY, cols)
 
 
-def _check_aggs(ex_lo, ex_hi, bal_lo, bal_hi, of=None, prefix: str = "") -> list:
-    """Per-request aggregates over its moves (those where ``of`` holds):
-    f_<check> (some move surely fails it) and o_<check> (every move surely
-    passes it)."""
-    sure = {
+def _sure(ex_lo, ex_hi, bal_lo, bal_hi) -> dict:
+    """Per check: whether a move surely fails it, and whether it surely passes."""
+    return {
         EXISTS: (~ex_hi, ex_lo),
         ENOUGH: (F.col("debit") > bal_hi, F.col("debit") <= bal_lo),
         ABSENT: (ex_lo, ~ex_hi),
         FOREIGN: (ex_lo, ~ex_hi),
     }
+
+
+def _check_aggs(ex_lo, ex_hi, bal_lo, bal_hi, of=None, prefix: str = "") -> list:
+    """Per-request aggregates over its moves (those where ``of`` holds):
+    f_<check> (some move surely fails it) and o_<check> (every move surely
+    passes it)."""
     aggs = []
-    for name, (fail, ok) in sure.items():
-        on = F.col(f"chk_{name}") if of is None else F.col(f"chk_{name}") & of
+    for name, (fail, ok) in _sure(ex_lo, ex_hi, bal_lo, bal_hi).items():
+        on = _has(name) if of is None else _has(name) & of
         aggs.append(F.max(on & fail).alias(f"{prefix}f_{name}"))
         aggs.append(F.min(~on | ok).alias(f"{prefix}o_{name}"))
     return aggs
@@ -107,40 +152,75 @@ def _check_aggs(ex_lo, ex_hi, bal_lo, bal_hi, of=None, prefix: str = "") -> list
 _STATIC = [f"s{x}_{n}" for n in CHECK_NAMES for x in "fo"]
 
 
-def _decide(j: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
-    """The requests of ``j`` with their new status, from the bounds of this
-    round and the static checks on their rows."""
+def _verdict(checks: list[tuple[str, list[str]]], fails, passes) -> tuple:
+    """(status, reject code): the first group of checks that is not surely
+    passed decides; ``fails`` and ``passes`` say what is sure of a check."""
     status = None
     code = None
     for reject_code, names in checks:
         f = F.lit(False)
         o = F.lit(True)
         for n in names:
-            f = f | F.coalesce(F.col(f"f_{n}"), F.lit(False)) | F.coalesce(F.col(f"sf_{n}"), F.lit(False))
-            o = o & F.coalesce(F.col(f"o_{n}"), F.lit(True)) & F.coalesce(F.col(f"so_{n}"), F.lit(True))
+            f = f | fails(n)
+            o = o & passes(n)
         status = (F.when(f, F.lit(REJECTED)) if status is None else status.when(f, F.lit(REJECTED)))
         status = status.when(~o, F.lit(UNDECIDED))
         code = (F.when(f, F.lit(reject_code)) if code is None else code.when(f, F.lit(reject_code)))
         code = code.when(~o, F.lit(None).cast("string"))
     status = F.lit(ACCEPTED) if status is None else status.otherwise(F.lit(ACCEPTED))
     code = F.lit(None).cast("string") if code is None else code.otherwise(F.lit(None).cast("string"))
+    return status, code
+
+
+def _decide(j: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """The requests of ``j`` with their new status, from the bounds of this
+    round and the static checks on their rows."""
+    fails = lambda n: F.coalesce(F.col(f"f_{n}"), F.lit(False)) | F.coalesce(F.col(f"sf_{n}"), F.lit(False))
+    passes = lambda n: F.coalesce(F.col(f"o_{n}"), F.lit(True)) & F.coalesce(F.col(f"so_{n}"), F.lit(True))
+    status, code = _verdict(checks, fails, passes)
     return j.select("seq", status.alias("status"), code.alias("reject_code"), *_STATIC)
 
 
+def _decided_alone(rows: DataFrame, checks: list[tuple[str, list[str]]], *bounds) -> DataFrame:
+    """``rows`` with the new status of the requests of one move, on the row of
+    that move; it is NULL on the moves of other requests."""
+    sure = _sure(*bounds)
+    fails = lambda n: F.coalesce(_has(n) & sure[n][0], F.lit(False))
+    passes = lambda n: F.coalesce(~_has(n) | sure[n][1], F.lit(True))
+    status, code = _verdict(checks, fails, passes)
+    return rows.withColumns({"status": F.when(_has(ALONE), status), "reject_code": F.when(_has(ALONE), code)})
+
+
+def _first_bounds() -> tuple:
+    """In the first round every request is undecided, so the sums of all
+    earlier moves are the bounds."""
+    return (F.col("open_exists"), F.col("open_exists") | (F.col("p_credit") > 0),
+            F.col("open_qty") - F.col("p_debit"), F.col("open_qty") + F.col("p_credit"))
+
+
 def _first_round(prepared: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
-    """The first round: every request is undecided, so the sums of all earlier
-    moves are the bounds.  Moves alone on their key have no earlier move:
-    their checks are exact from the start and never change (``_STATIC``)."""
-    ex_lo, ex_hi = F.col("open_exists"), F.col("open_exists") | (F.col("p_credit") > 0)
-    bal_lo, bal_hi = F.col("open_qty") - F.col("p_debit"), F.col("open_qty") + F.col("p_credit")
+    """The first round.  Moves alone on their key have no earlier move: their
+    checks are exact from the start and never change (``_STATIC``)."""
     shared, ex, bal = F.col("shared"), F.col("open_exists"), F.col("open_qty")
-    return _decide(prepared.groupBy("seq").agg(*_check_aggs(ex_lo, ex_hi, bal_lo, bal_hi, shared),
+    return _decide(prepared.groupBy("seq").agg(*_check_aggs(*_first_bounds(), shared),
                                                *_check_aggs(ex, ex, bal, bal, ~shared, "s")), checks)
 
 
-def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
-    """One round: the undecided requests of ``state`` with their new status.
-    ``m`` holds accepted (``acc``) and undecided moves."""
+_BOUNDS = ["ex_lo", "ex_hi", "bal_lo", "bal_hi"]
+_MOVE = ["seq", *KEY, "debit", "credit", "flags", "open_qty", "open_exists", "bucket", "spans", "acc"]
+
+
+def _with_open(p: DataFrame) -> DataFrame:
+    """Add ``_open``: whether an undecided request touches the key of the
+    move, in this bucket.  Requests of several moves count as undecided."""
+    mine = ~F.col("acc") & F.coalesce(F.col("status") == UNDECIDED, F.lit(True))
+    return p.withColumn("_open", F.max(mine).over(Window.partitionBy(*KEY, "bucket")))
+
+
+def _scan(m: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """The moves of one round (accepted ones, ``acc``, and undecided ones)
+    with the new status of requests of one move, and on the undecided moves of
+    other requests with the bounds of their balances (``_BOUNDS``)."""
     zero = F.lit(0).cast("bigint")
     live = m.select(
         "*",
@@ -149,64 +229,90 @@ def _round(m: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]])
         F.when(F.col("acc"), F.col("credit")).otherwise(zero).alias("cA"),
         F.col("credit").alias("cAU"))
     p = _earlier_sums(live, ["dA", "dAU", "cA", "cAU"])
-    ex_lo = F.col("open_exists") | (F.col("p_cA") > 0)
-    ex_hi = F.col("open_exists") | (F.col("p_cAU") > 0)
-    bal_lo = F.col("open_qty") + F.col("p_cA") - F.col("p_dAU")
-    bal_hi = F.col("open_qty") + F.col("p_cAU") - F.col("p_dA")
-    dyn = p.where(~F.col("acc")).groupBy("seq").agg(*_check_aggs(ex_lo, ex_hi, bal_lo, bal_hi))
+    bounds = (F.col("open_exists") | (F.col("p_cA") > 0), F.col("open_exists") | (F.col("p_cAU") > 0),
+              F.col("open_qty") + F.col("p_cA") - F.col("p_dAU"), F.col("open_qty") + F.col("p_cAU") - F.col("p_dA"))
+    p = _with_open(_decided_alone(p, checks, *bounds))
+    several = ~F.col("acc") & ~_has(ALONE)
+    p = p.select(*_MOVE, *[F.when(several, b).alias(n) for n, b in zip(_BOUNDS, bounds)],
+                 F.when(F.col("acc"), F.lit(ACCEPTED)).otherwise(F.col("status")).alias("status"),
+                 F.when(~F.col("acc"), F.col("reject_code")).alias("reject_code"), "_open")
+    return p.where("NOT acc OR spans OR _open")
+
+
+def _round(rows: DataFrame, state: DataFrame, checks: list[tuple[str, list[str]]]) -> DataFrame:
+    """The undecided requests of several moves (``state``) with their new
+    status, from the bounds on the moves of the round."""
+    dyn = rows.where(~F.col("acc") & ~_has(ALONE)).groupBy("seq").agg(*_check_aggs(*map(F.col, _BOUNDS)))
     return _decide(state.join(dyn, "seq", "left"), checks)
 
 
+def _next(rows: DataFrame, result: DataFrame | None, crowded: bool) -> DataFrame:
+    """The moves of the next round: rejected moves leave, and keys without an
+    undecided move, which can never change an undecided request again."""
+    live = rows.where("_open AND NOT spans")
+    if crowded:
+        keys = rows.where("_open AND spans").select(*KEY).distinct()  # at most two of each bucket
+        live = live.unionByName(rows.where("spans").join(F.broadcast(keys), KEY, "left_semi"))
+    if result is not None:
+        asked = live.where("status IS NULL").drop("status").join(result.select("seq", "status"), "seq")
+        live = live.where("status IS NOT NULL").unionByName(asked)
+    live = live.where(F.col("status").isin(ACCEPTED, UNDECIDED)).withColumn("acc", F.col("status") == ACCEPTED)
+    return (live if crowded else live.withColumn("spans", F.lit(False))).select(*_MOVE)
+
+
 def settle(moves: DataFrame, opening: DataFrame, checks: list[tuple[str, list[str]]], balances: bool = True) -> Settled:
     """Replay ``moves`` against ``opening`` in ``seq`` order.
 
     ``moves``: seq BIGINT, kind, k1, k2 STRING, debit, credit BIGINT (>= 0),
     and BOOLEAN chk_exists / chk_enough / chk_absent / chk_foreign (a
     missing one is false).  At most one move per
-    (request, key).  ``opening``: kind, k1, k2, qty for keys that exist.
+    (request, key).  A BOOLEAN ``alone`` may say that a move is the only one
+    of its request: such a request is decided on the row of its move, without
+    a shuffle of its own.  ``opening``: kind, k1, k2, qty for keys that exist.
     ``checks``: ordered (reject_code, [check names]) -- the first group a
     request fails gives its code, as the procedures test in that order.
+    ``moves`` is read twice or more.
     Without ``balances`` the accepted moves come as a plan and without the
     state of their keys before them.
     """
-    prepared = materialize(_prepare(moves, opening), "replay: moves")
-    # Moves alone on their key are decided in the first round (their flags
-    # ride on the state rows); only moves on shared keys take part in others.
-    m = prepared.where("shared").drop("shared", "p_debit", "p_credit").withColumn("acc", F.lit(False))
-    state = None
-    is_open = F.col("status") == UNDECIDED
-    done: DataFrame | None = None
-    rounds, trace, undecided = 0, [], None
-    while undecided is None or undecided > 0:
-        rounds += 1
-        # The undecided count comes from the same job that writes the round.
-        step = _first_round(prepared, checks) if state is None else _round(m, state, checks)
-        result, seen = materialize_observed(step, f"replay: round {rounds}",
-                                            undecided=F.sum(F.when(is_open, 1).otherwise(0)))
-        undecided = seen.get("undecided") or 0
+    is_open, one = F.col("status") == UNDECIDED, _has(ALONE)
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    prepared, crowded = _prepare(moves, opening, checks)
+    # The undecided counts come from the same jobs that write the rounds.
+    prepared, found = materialize_observed(prepared, "replay: moves", "zstd", undecided=count(one & is_open), several=count(~one))
+    alone, several = [prepared.where(one & ~is_open)], []
+    step = _first_round(prepared.where(~one), checks) if found.get("several") else None
+    rows, trace = prepared.where("shared"), []
+    while True:
+        undecided, result, state = found.get("undecided") or 0, None, None
+        if step is not None:
+            result, seen = materialize_observed(step, f"replay: round {len(trace) + 1}", "zstd", undecided=count(is_open))
+            several.append(result.where(~is_open).select("seq", "status", "reject_code"))
+            if seen.get("undecided"):
+                undecided, state = undecided + seen["undecided"], result.where(is_open).select("seq", *_STATIC)
         trace.append(undecided)
-        settled = result.where(~is_open).select("seq", "status", "reject_code")
-        done = settled if done is None else done.unionByName(settled)
-        state = result.where(is_open).select("seq", *_STATIC)
-        if undecided:
-            # Rejected moves leave, and keys without an undecided move: these
-            # can never change an undecided request again.
-            now = m.join(result.select("seq", "status"), "seq", "left")
-            now = now.where(F.col("acc") | F.col("status").isin(ACCEPTED, UNDECIDED))
-            now = now.withColumn("acc", F.col("acc") | F.coalesce(F.col("status") == ACCEPTED, F.lit(False)))
-            open_keys = m.join(state.select("seq"), "seq", "left_semi").select(*KEY).distinct()
-            m = materialize(now.drop("status").join(open_keys, KEY, "left_semi"), "replay: open moves")
-    state = done
-    acc = prepared.drop("shared", "p_debit", "p_credit").join(state.where(F.col("status") == ACCEPTED).select("seq"), "seq")
+        if not undecided:
+            break
+        rows, found = materialize_observed(_scan(_next(rows, result, crowded), checks), "replay: open moves", "zstd",
+                                           undecided=count(one & is_open))
+        alone.append(rows.where(~F.col("acc") & one & ~is_open))
+        step = None if state is None else _round(rows, state, checks)
+    status = reduce(DataFrame.unionByName, [d.select("seq", "status", "reject_code") for d in alone] + several)
+    own = ["seq", *KEY, "debit", "credit", "open_qty", "open_exists", "bucket", "spans"]
+    acc = [d.where(F.col("status") == ACCEPTED).select(*own) for d in alone]
+    if several:
+        passed = reduce(DataFrame.unionByName, several).where(F.col("status") == ACCEPTED).select("seq")
+        acc.append(prepared.where(~one).select(*own).join(passed, "seq"))
+    acc = reduce(DataFrame.unionByName, acc)
     if not balances:
-        return Settled(status=state, moves=acc.select(*KEY, "seq", "debit", "credit"), rounds=rounds, undecided_per_round=trace)
+        return Settled(status=status, moves=acc.select(*KEY, "seq", "debit", "credit"), rounds=len(trace), undecided_per_round=trace)
     acc = acc.withColumn("net", F.col("credit") - F.col("debit"))
     bal = _earlier_sums(acc, ["net", "credit"])
     bal = materialize(bal.select(*KEY, "seq", "debit", "credit",
                                  (F.col("open_qty") + F.col("p_net")).alias("balance_before"),
                                  (F.col("open_exists") | (F.col("p_credit") > 0)).alias("existed_before")),
                       "replay: balances")
-    return Settled(status=state, moves=bal, rounds=rounds, undecided_per_round=trace)
+    return Settled(status=status, moves=bal, rounds=len(trace), undecided_per_round=trace)
 
 
 def apply_deltas(opening: DataFrame, accepted_moves: DataFrame) -> DataFrame:

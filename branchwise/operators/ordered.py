@@ -12,6 +12,9 @@ spread, and the partition number is the row's ``bucket``:
   (key, bucket) of these one summary row (a sum, or the last non-NULL value);
 * a window over the summaries of a key gives every bucket the summary of
   all earlier ones, at most two rows per bucket, broadcast to the rows.
+
+``by_crowd`` tells the rows that need this from those whose keys any task can
+hold: a window per key alone orders these.
 """
 
 from __future__ import annotations
@@ -19,7 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchwise.session import materialize
+from branchwise.session import materialize, materialize_observed
+
+#: Hash parts that keys are counted in, and the rows of a part that one task
+#: may order.
+PARTS = 1 << 16
+CROWD = 1 << 18
 
 
 def _join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,6 +38,20 @@ def _join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(ren), cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def by_crowd(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys that few share, and those of keys that may be too many
+    for one task (None without such).  Keys are counted in ``PARTS`` parts of
+    their hash, so the counts are few; a part of more than ``CROWD`` rows
+    counts as crowded with all of its keys."""
+    tagged = df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)))
+    many, seen = materialize_observed(tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD)
+                                      .select("_part"), "ordered: crowded keys", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return df, None
+    few, crowd = (tagged.join(F.broadcast(many), "_part", how).drop("_part") for how in ("left_anti", "left_semi"))
+    return few, crowd
+
+
 def bucketize(df: DataFrame, keys: list[str], order: str = "seq", partitions: int | None = None) -> DataFrame:
     """Add ``bucket``: rows of one key that follow each other share it, and
     buckets of a key follow the order; and ``spans``: whether the key may have
@@ -74,16 +96,18 @@ def running_last(df: DataFrame, keys: list[str], cols: dict[str, "F.Column"], or
     return out.select(*df.columns, *[F.coalesce(F.col(f"w_{n}"), F.col(f"o_{n}")).alias(n) for n in cols])
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], out: str = "seq", dealt: bool = False) -> DataFrame:
     """Add ``out``: 1, 2, ... in the given order (whose values are all
     different).  Every range partition numbers its own sorted rows; offsets
-    come from one row per partition."""
-    local = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                        .withColumn("_id", F.monotonically_increasing_id()), "ordered: numbers")
+    come from one row per partition, broadcast.  ``dealt``: the rows are in
+    range partitions of this order already."""
+    spread = df if dealt else df.repartitionByRange(*order)
+    local = materialize(spread.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()),
+                        "ordered: numbers", "zstd")
     part, row = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     local = local.withColumn("_part", part).withColumn("_row", row)
     sizes = local.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (local.join(offsets, "_part").withColumn(out, F.col("_offset") + F.col("_row") + 1)
+    return (local.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + F.col("_row") + 1)
             .drop("_id", "_part", "_row", "_offset"))

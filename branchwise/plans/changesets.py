@@ -24,12 +24,13 @@ from branchwise.sources.store import open_tables
 NOW = _dt.datetime(AS_OF.year, AS_OF.month, AS_OF.day, 12, 0, 0)
 
 
-def _run(build, sales: bool):
+def _run(build, sales: bool, planned: bool):
     """No change reads the summaries; those of ``_WITHOUT_SALES`` read neither
-    invoices nor lines, so the store builds none for them."""
+    invoices nor lines, so the store builds none for them, and those of
+    ``_PLANNED_SALES`` read them as plans."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return build(spark, sf_dir, open_tables(spark, sf_dir, sales=sales, summaries=False))
+        return build(spark, sf_dir, open_tables(spark, sf_dir, sales=sales, summaries=False, planned_sales=planned))
     return run
 
 
@@ -110,7 +111,14 @@ def _once(name: str, change):
 
 
 _sales = _once("sales", lambda s, d, t: S.post_invoices(t, RQ.sale_requests(s, d), now=NOW, items=RQ.sale_items(s, d)))
-_single_lines = _once("single lines", lambda s, d, t: S.post_single_lines(t, RQ.single_line_requests(s, d), now=NOW))
+
+
+def _post_single_lines(s, d, t):
+    lines, heads = RQ.single_lines(s, d)
+    return S.post_single_lines(t, lines, now=NOW, heads=heads)
+
+
+_single_lines = _once("single lines", _post_single_lines)
 
 
 def _created_rows(s, d, t):
@@ -187,7 +195,7 @@ _BUILDERS = {
     "transfer_validate": _transfer_validate,
     "apply_change_feed": _apply_change_feed,
     "post_invoices": lambda s, d, t: S.post_invoices(t, RQ.sale_requests(s, d), now=NOW, items=RQ.sale_items(s, d)).outcome,
-    "post_single_line": lambda s, d, t: S.post_single_lines(t, RQ.single_line_requests(s, d), now=NOW).outcome,
+    "post_single_line": lambda s, d, t: _post_single_lines(s, d, t).outcome,
     "stock_transfer": lambda s, d, t: S.transfer_stock(t, RQ.transfer_requests(s, d)).outcome,
 }
 
@@ -202,8 +210,13 @@ _WITHOUT_SALES = {
 }
 
 
+#: Single lines ask the invoices for their branches and the lines of a few
+#: invoices; the tables after them are read once, as results.
+_PLANNED_SALES = {"post_single_line", "invoices_after_single_lines", "lines_after_single_lines", "inventory_after_single_lines"}
+
+
 def queries():
-    return {name: _run(fn, name not in _WITHOUT_SALES) for name, fn in {**_BUILDERS, **_STATES}.items()}
+    return {name: _run(fn, name not in _WITHOUT_SALES, name in _PLANNED_SALES) for name, fn in {**_BUILDERS, **_STATES}.items()}
 
 
 # ---------------------------------------------------------------- oracle SQL

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from branchwise.operators import ordered
 from branchwise.operators.views import with_every_branch
+from branchwise.session import materialize
 from branchwise.sources.adapter import read
 from branchwise.sources.schemas import MONEY
 
@@ -169,7 +170,8 @@ def invoice_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier of every order line and the supplier's branch."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    sup = _suppliers(spark, sf_dir).select("s_suppkey", F.col("r_name").alias("s_branch"))
+    # Written, so that the planner knows its size: joins are guessed too large to broadcast.
+    sup = materialize(_suppliers(spark, sf_dir).select("s_suppkey", F.col("r_name").alias("s_branch")), "requests: suppliers")
     return li.join(sup, li.l_suppkey == sup.s_suppkey).select("l_orderkey", "l_suppkey", "s_branch")
 
 
@@ -232,15 +234,23 @@ def sale_bodies(t) -> DataFrame:
     return t.invoice_line.select("invoice_id", F.when(k % 3 == 0, listed).when(k % 3 == 1, single).otherwise(beside).alias("body"))
 
 
+def single_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``single_line_requests`` in two tables: the lines (seq, head,
+    product_code, qty) and their heads, one per order."""
+    key = ["l_orderkey", "l_partkey"]
+    # grouped inside the ranges that are numbered: the rows are shuffled once
+    li = read(spark, sf_dir, "lineitem").select(*key, "l_quantity").repartitionByRange(*key)
+    line = ordered.numbered(li.groupBy(*key).agg(F.sum("l_quantity").alias("qty")), key, dealt=True)
+    line = line.select("seq", F.col("l_orderkey").alias("head"), _s(F.col("l_partkey")).alias("product_code"),
+                       F.col("qty").cast("int").alias("qty"))
+    return line, sale_requests(spark, sf_dir).withColumnRenamed("seq", "head")
+
+
 def single_line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One single-line sale per product of each order (quantities of repeated
     lines summed), numbered by order and product."""
-    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
-    line = ordered.numbered(li, ["l_orderkey", "l_partkey"])
-    heads = sale_requests(spark, sf_dir).withColumnRenamed("seq", "l_orderkey")
-    return line.join(heads, "l_orderkey").select(
-        "seq", "invoice_id", "employee_id", _s(F.col("l_partkey")).alias("product_code"),
-        F.col("qty").cast("int").alias("qty"), "note", "branch_code")
+    lines, heads = single_lines(spark, sf_dir)
+    return lines.join(heads, "head").select("seq", "invoice_id", "employee_id", "product_code", "qty", "note", "branch_code")
 
 
 def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

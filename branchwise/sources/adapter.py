@@ -74,12 +74,15 @@ def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").cast(MONEY).alias("unit_price"))
 
 
-def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_pairs(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """lineitem summed per (order, part), with partial aggregation map-side.
 
     Grouped on both keys, so one huge order is spread over many tasks.
+    ``ids``: only of the orders with these ``invoice_id``.
     """
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    if ids is not None:
+        li = li.join(ids, li.l_orderkey.cast("string") == ids.invoice_id, "left_semi")
     return (li.groupBy("l_orderkey", "l_partkey")
             .agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("qty"),
                  F.min("l_suppkey").alias("seller")))
@@ -124,6 +127,12 @@ def invoice_line_table(spark: SparkSession, sf_dir: str, pairs: DataFrame | None
                 "branch_code"))
 
 
+def lines_of(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``invoice_line_table`` of the invoices ``ids`` (distinct
+    ``invoice_id``): order lines are filtered before they are grouped."""
+    return invoice_line_table(spark, sf_dir, _line_pairs(spark, sf_dir, ids))
+
+
 def stock_rule(partkey, regionkey):
     return ((partkey * 7 + regionkey * 13) % 240).cast("int")
 

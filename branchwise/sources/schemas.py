@@ -10,7 +10,7 @@ A column that the chain's tables fill by default says so in its metadata;
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -151,6 +151,9 @@ class Tables:
     # How changed tables came from the ones before, where the change says so:
     # ``Store.commit`` then writes the changed rows instead of whole tables.
     deltas: Mapping[str, Delta] = field(default_factory=dict)
+    # Where the lines are a plan: the lines of the invoices in a table of
+    # distinct ``invoice_id``, by a plan that filters them first.
+    lines_of: Callable[[DataFrame], DataFrame] | None = None
 
     def names(self) -> list[str]:
         return list(SCHEMAS)
@@ -164,6 +167,7 @@ class Tables:
         if "invoice" in changed or "invoice_line" in changed:
             changed.setdefault("invoice_summary", None)
             changed.setdefault("product_day_summary", None)
+            changed.setdefault("lines_of", None)
         deltas = {n: d for n, d in self.deltas.items() if n not in changed}
         return replace(self, **changed, deltas=deltas)
 

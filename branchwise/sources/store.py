@@ -309,17 +309,22 @@ def open_store(spark: SparkSession, sf_dir: str) -> Store:
 
 
 def open_tables(spark: SparkSession, sf_dir: str, materialize: bool = True, sales: bool = True,
-                summaries: bool = True) -> Tables:
+                summaries: bool = True, planned_sales: bool = False) -> Tables:
     """Canonical tables for a driver data folder (see ``open_store``);
     ``materialize=False`` returns the adapter's lazy plans instead.  With
     ``sales=False`` invoices, lines and their summaries are absent (None), and
     nothing is read or written for them; with ``summaries=False`` only the
-    summaries are."""
+    summaries are.  With ``planned_sales`` the base tables are written, and
+    invoices and lines are the adapter's plans: for a change that reads a few
+    columns of them, or each of them once."""
     if not materialize:
         return adapter.canonical_tables(spark, sf_dir)
-    if not sales:
+    if not sales or planned_sales:
         root, base = _start_store(spark, sf_dir)
-        return Tables(invoice=None, invoice_line=None, **{n: read_table(spark, root, n, base[n]) for n in BASE})
+        lazy = adapter.canonical_tables(spark, sf_dir) if sales else None
+        return Tables(invoice=lazy and lazy.invoice, invoice_line=lazy and lazy.invoice_line,
+                      lines_of=lazy and (lambda ids: adapter.lines_of(spark, sf_dir, ids)),
+                      **{n: read_table(spark, root, n, base[n]) for n in BASE})
     if not summaries:
         return read_tables(spark, *_sell(spark, sf_dir))
     return open_store(spark, sf_dir).tables
