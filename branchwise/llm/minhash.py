@@ -181,17 +181,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame
     sets = _sets(docs, classes, apart.select("cid"), words)
     tokens = materialize(_rarest(sets, apart), "minhash: rarest shingles")
     x, y = tokens.alias("x"), tokens.alias("y")
-    left = lambda t: F.col(f"{t}.n_shingles") - F.col(f"{t}.place")
-    # What two sets share is at most what both still have from the shared
-    # shingle on, and half of what is left of both without the items that
-    # their sketches show to be in one of them only.
-    differ = sum((F.bit_count(F.get(F.col("x.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col("y.sketch"), F.lit(k))))
-                  for k in range(SKETCH)), F.lit(0))
-    most = F.least(left("x"), left("y"), F.floor((F.col("x.n_shingles") + F.col("y.n_shingles") - differ) / 2))
     earlier = lambda t: F.slice(F.col(f"{t}.head"), F.lit(1), F.least(F.col(f"{t}.rank"), F.lit(HEAD)))
     rest = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.cid") < F.col("y.cid"))
-                  & (F.col("x.root") != F.col("y.root"))
-                  & (100 * most >= THRESHOLD_PERCENT * (F.col("x.n_shingles") + F.col("y.n_shingles") - most))
+                  & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
                   & ~F.arrays_overlap(earlier("x"), earlier("y")))
     rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     rest = materialize(rest.join(to_first, ["a", "b"], "left_anti"), "minhash: other candidates")
@@ -200,6 +192,28 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame
     return components(edges.unionByName(verified(rest, sets)))
 
 
+def _may_link(x: str, y: str) -> Column:
+    """Whether two sets that meet in a shingle can share enough.
+
+    What they share is at most what both still have from that shingle on, and
+    half of what is left of both without the items that their sketches show
+    to be in one of them only.  Each bound is a condition of its own, and the
+    first words of the sketches one before all of them: most pairs end there.
+    """
+    both = F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")
+    # shared / (both - shared) reaches the threshold
+    enough = lambda shared: (100 + THRESHOLD_PERCENT) * shared >= THRESHOLD_PERCENT * both
+
+    def differ(words: range) -> Column:
+        return sum((F.bit_count(F.get(F.col(f"{x}.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{y}.sketch"), F.lit(k))))
+                    for k in words), F.lit(0))
+
+    # Twice the shared items, so that nothing is rounded.
+    apart = lambda words: (100 + THRESHOLD_PERCENT) * (both - differ(words)) >= 2 * THRESHOLD_PERCENT * both
+    return (enough(F.col(f"{x}.n_shingles") - F.col(f"{x}.place")) & enough(F.col(f"{y}.n_shingles") - F.col(f"{y}.place"))
+            & apart(range(SKETCH // 4)) & apart(range(SKETCH)))
+
+
 def _open(members: DataFrame) -> DataFrame:
     """The members (key, root, ...) of tables that hold more than one group."""
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
